@@ -14,7 +14,8 @@ What never reaches a root lies on a circle or hangs from one. Those nodes, wheth
 their circle has a splitter, are solved apart: circles by doubling and a running minimum,
 what hangs from them by the same three steps with the circle's nodes as roots.
 
-Every round ends in a reliable checkpoint, so lost executors cost one round.
+Every round ends as a table in the shared folder, so plans stay short, a lost executor
+costs one round, and a round's table is deleted once the next one is written.
 """
 
 from __future__ import annotations
@@ -25,16 +26,16 @@ from pyspark.sql import functions as F
 from quillgraph.functions.refs import reference_key
 from quillgraph.operators.references import holding_state, node_keys
 from quillgraph.plans.skew import lookup_join
-from quillgraph.session import cut
+from quillgraph.session import discard, stored
 
 SPACING = 8
 
 
 def resolved_parents(nodes: DataFrame) -> DataFrame:
     """``id, parent`` with the parent's id, null where the written parent names no node."""
-    states = holding_state(nodes)
+    states = stored(holding_state(nodes).select("id", "parent", "permalink", "recorded_at"))
     wanted = states.select("id", reference_key(F.col("parent")).alias("key"))
-    keys = node_keys(states.select("id", "permalink", "parent", "recorded_at")).select("key", F.col("id").alias("parent"))
+    keys = node_keys(states).select("key", F.col("id").alias("parent"))
     found = lookup_join(wanted.filter("key != ''"), keys, ["key"], "left").select("id", "parent")
     return found.unionByName(wanted.filter("key = ''").select("id", F.lit(None).cast("string").alias("parent")))
 
@@ -45,6 +46,13 @@ def _double(state: DataFrame, stop: str) -> DataFrame:
     return state.filter(f"NOT {stop}").join(ahead, F.col("ptr") == F.col("n_id"), "inner")
 
 
+def _next(before: DataFrame, after: DataFrame) -> DataFrame:
+    """The table of the next round; that of the last one is deleted."""
+    out = stored(after)
+    discard(before)
+    return out
+
+
 def walk_to_stops(links: DataFrame, spacing: int = SPACING) -> DataFrame:
     """``id, ptr, hops, trail, done``: the next stop strictly above each node.
 
@@ -54,11 +62,11 @@ def walk_to_stops(links: DataFrame, spacing: int = SPACING) -> DataFrame:
     is_stop = F.pmod(F.xxhash64("id"), F.lit(spacing)) == 0
     stops = links.select("id", (is_stop | F.col("parent").isNull()).alias("stop"))
     at = links.alias("l").join(stops.select(F.col("id").alias("parent"), F.col("stop").alias("pstop")), "parent", "left")
-    state = cut(at.select("id", F.col("parent").alias("ptr"), F.when(F.col("parent").isNull(), 0).otherwise(1).alias("hops"), F.array("id").alias("trail"), F.coalesce("pstop", F.lit(True)).alias("done")))
+    state = stored(at.select("id", F.col("parent").alias("ptr"), F.when(F.col("parent").isNull(), 0).otherwise(1).alias("hops"), F.array("id").alias("trail"), F.coalesce("pstop", F.lit(True)).alias("done")))
     left = state.filter("NOT done").count()
     while left:
         step = _double(state, "done").select("id", F.col("n_ptr").alias("ptr"), (F.col("hops") + F.col("n_hops")).alias("hops"), F.concat("trail", "n_trail").alias("trail"), F.col("n_done").alias("done"))
-        state = cut(state.filter("done").unionByName(step))
+        state = _next(state, state.filter("done").unionByName(step))
         now = state.filter("NOT done").count()
         if now == left:  # distances to a stop have no gaps: nothing more will finish
             break
@@ -71,13 +79,13 @@ def _solve_reduced(reduced: DataFrame) -> DataFrame:
 
     ``reduced``: ``id, ptr, hops, weight``; ``size`` sums the weights of a stop and all stops beneath.
     """
-    state = cut(reduced.select("id", "ptr", "hops", F.col("weight").alias("size"), F.col("ptr").isNull().alias("done"), F.col("id").alias("root")))
+    state = stored(reduced.select("id", "ptr", "hops", F.col("weight").alias("size"), F.col("ptr").isNull().alias("done"), F.col("id").alias("root")))
     left = state.filter("NOT done").count()
     while left:
         beneath = state.filter("NOT done").groupBy("ptr").agg(F.sum("size").alias("more")).withColumnRenamed("ptr", "id")
         moved = _double(state, "done").select("id", F.col("n_ptr").alias("ptr"), (F.col("hops") + F.col("n_hops")).alias("hops"), "size", F.col("n_ptr").isNull().alias("done"), F.when(F.col("n_ptr").isNull(), F.col("n_root")).alias("root"))
         both = state.filter("done").unionByName(moved)
-        state = cut(both.join(beneath, "id", "left").withColumn("size", F.col("size") + F.coalesce("more", F.lit(0))).drop("more"))
+        state = _next(state, both.join(beneath, "id", "left").withColumn("size", F.col("size") + F.coalesce("more", F.lit(0))).drop("more"))
         now = state.filter("NOT done").count()
         if now == left:
             break
@@ -97,27 +105,27 @@ def solve_forest(links: DataFrame, spacing: int = SPACING) -> DataFrame:
     stops = ended.filter(is_stop)
     low = ended.filter(~is_stop).withColumn("stop", F.col("ptr")).join(tops, "stop").select("id", "root", (F.col("hops") + F.col("dist")).alias("depth"), "trail", "stop", F.lit(1).cast("bigint").alias("weight"))
     high = stops.join(solved, "id").select("id", "root", F.col("dist").alias("depth"), "trail", F.col("ptr").alias("stop"), F.col("size").alias("weight"))
-    placed = cut(low.unionByName(high))
+    placed = stored(low.unionByName(high))
     sizes = placed.select(F.explode("trail").alias("id"), "weight").groupBy("id").agg(F.sum("weight").alias("size"))
     return placed.join(sizes, "id").select("id", "root", "depth", (F.col("size") - 1).alias("below"), "trail", "stop")
 
 
 def circles(links: DataFrame) -> DataFrame:
     """``id, root, size`` of every node on a circle, for links none of which leads to a root."""
-    state = cut(links.select("id", F.col("parent").alias("ptr")))
+    state = stored(links.select("id", F.col("parent").alias("ptr")))
     left, stride = state.count(), 1
     if not left:
         return links.sparkSession.createDataFrame([], "id string, root string, size bigint")
     while stride < left:
         ahead = state.select(F.col("id").alias("ptr"), F.col("ptr").alias("next"))
-        state, stride = cut(state.join(ahead, "ptr").select("id", F.col("next").alias("ptr"))), stride * 2
+        state, stride = _next(state, state.join(ahead, "ptr").select("id", F.col("next").alias("ptr"))), stride * 2
     on = state.select(F.col("ptr").alias("id")).distinct()
-    ring = cut(links.join(on, "id", "left_semi").select("id", F.col("parent").alias("ptr"), F.least("id", "parent").alias("low")))
+    ring = stored(links.join(on, "id", "left_semi").select("id", F.col("parent").alias("ptr"), F.least("id", "parent").alias("low")))
     size, stride = ring.count(), 1
     while stride < size:
         ahead = ring.select(F.col("id").alias("ptr"), F.col("ptr").alias("next"), F.col("low").alias("far"))
         step = ring.join(ahead, "ptr").select("id", F.col("next").alias("ptr"), F.least("low", "far").alias("low"))
-        ring, stride = cut(step), stride * 2
+        ring, stride = _next(ring, step), stride * 2
     members = ring.groupBy("low").agg(F.count(F.lit(1)).alias("size"))
     return ring.join(members, "low").select("id", F.col("low").alias("root"), "size")
 
@@ -131,15 +139,15 @@ def hierarchy(links: DataFrame, spacing: int = SPACING) -> DataFrame:
     path segment upwards and where the path goes on. Null ids are ignored; of repeated ids
     one row must be given; an empty table gives an empty result.
     """
-    links = cut(links)
-    tree = cut(solve_forest(links, spacing))
+    links = stored(links)
+    tree = stored(solve_forest(links, spacing))
     out = tree.select("id", "root", F.col("depth").cast("int").alias("depth"), F.col("below").cast("int").alias("below"), "trail", "stop", F.lit("tree").alias("kind"))
-    rest = cut(links.join(tree.select("id"), "id", "left_anti"))
+    rest = stored(links.join(tree.select("id"), "id", "left_anti"))
     if not rest.take(1):
         return out
-    ring = cut(circles(rest))
+    ring = stored(circles(rest))
     cutoff = rest.join(ring.select("id", F.lit(True).alias("on")), "id", "left").select("id", F.when(F.col("on").isNull(), F.col("parent")).alias("parent"))
-    hung = cut(solve_forest(cutoff, spacing))
+    hung = stored(solve_forest(cutoff, spacing))
     reach = hung.join(ring.select(F.col("id").alias("root"), F.col("root").alias("low")), "root")
     total = reach.groupBy("low").agg((F.count(F.lit(1)) - 1).alias("others"))
     rings = reach.filter("depth = 0").join(total, "low").select("id", F.col("low").alias("root"), F.lit(-1).alias("depth"), F.col("others").cast("int").alias("below"), "trail", "stop", F.lit("circle").alias("kind"))
@@ -156,10 +164,10 @@ def full_paths(solved: DataFrame) -> DataFrame:
     """
     tree = solved.filter("kind = 'tree'").select("id", "root", "depth", "trail", "stop")
     used = tree.select(F.col("stop").alias("id")).filter("id IS NOT NULL").distinct()
-    state = cut(tree.join(used, "id", "left_semi").select("id", F.col("stop").alias("ptr"), "trail", F.col("stop").isNull().alias("done")))
+    state = stored(tree.join(used, "id", "left_semi").select("id", F.col("stop").alias("ptr"), "trail", F.col("stop").isNull().alias("done")))
     while state.filter("NOT done").take(1):
         step = _double(state, "done").select("id", F.col("n_ptr").alias("ptr"), F.concat("trail", "n_trail").alias("trail"), F.col("n_ptr").isNull().alias("done"))
-        state = cut(state.filter("done").unionByName(step))
+        state = _next(state, state.filter("done").unionByName(step))
     above = state.select(F.col("id").alias("stop"), F.col("trail").alias("rest"))
     return tree.join(above, "stop", "left").select("id", "root", "depth", F.reverse(F.concat("trail", F.coalesce("rest", F.array().cast("array<string>")))).alias("path"))
 

@@ -44,8 +44,23 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back (compressed, prunable)."""
-    path = scratch_path(df.sparkSession, label)
+def stored(df: DataFrame, label: str = "step") -> DataFrame:
+    """Write ``df`` as a table in the shared folder and read it back (compressed, prunable).
+
+    Short plans, few partitions and no lineage: what iterative operators use for each round.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back._quillgraph_path = path
+    return back
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a table made by ``stored`` that nothing reads any more."""
+    path = getattr(df, "_quillgraph_path", None)
+    if path:
+        spark = df.sparkSession
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
