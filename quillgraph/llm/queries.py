@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillgraph.llm.contamination import leaked, without_leaks
 from quillgraph.llm.near_duplicates import NearDuplicates
 from quillgraph.session import table
 
@@ -18,4 +19,18 @@ def p2_groups(spark: SparkSession, sf: str) -> DataFrame:
     return NearDuplicates(table(spark, sf, "pkb_documents"), size=5, min_words=20, threshold=0.8).groups()
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_groups)}
+def p9_found(spark: SparkSession, sf: str) -> DataFrame:
+    return leaked(table(spark, sf, "documents"), table(spark, sf, "eval_items")).select("doc_id", "item_id").distinct()
+
+
+def p9_matches(spark: SparkSession, sf: str) -> DataFrame:
+    """Longest verbatim match of every leaked item, with its place in the document."""
+    return leaked(table(spark, sf, "documents"), table(spark, sf, "eval_items"))
+
+
+def p9_clean(spark: SparkSession, sf: str) -> DataFrame:
+    """What is left of each source once affected documents are removed."""
+    return without_leaks(table(spark, sf, "documents"), table(spark, sf, "eval_items")).groupBy("source").agg(F.count(F.lit(1)).alias("documents"))
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_groups, p9_found, p9_matches, p9_clean)}
