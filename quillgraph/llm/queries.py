@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillgraph.llm.canonical import canonical_values
 from quillgraph.llm.contamination import leaked, without_leaks
 from quillgraph.llm.near_duplicates import NearDuplicates
 from quillgraph.session import table
@@ -19,6 +20,19 @@ def p2_groups(spark: SparkSession, sf: str) -> DataFrame:
     return NearDuplicates(table(spark, sf, "pkb_documents"), size=5, min_words=20, threshold=0.8).groups()
 
 
+def _typed(spark: SparkSession, sf: str) -> DataFrame:
+    return canonical_values(table(spark, sf, "document_entries"), "entry_id", ["status", "doc_type"], table(spark, sf, "canonical_values"))
+
+
+def p3_found(spark: SparkSession, sf: str) -> DataFrame:
+    return _typed(spark, sf).select("entry_id", "field", "value_id").distinct()
+
+
+def p3_unmatched(spark: SparkSession, sf: str) -> DataFrame:
+    """Values that mean nothing on the list, with how often they were typed."""
+    return _typed(spark, sf).filter("value_id = 0").groupBy("field", "raw").agg(F.countDistinct("entry_id").alias("entries"))
+
+
 def p9_found(spark: SparkSession, sf: str) -> DataFrame:
     return leaked(table(spark, sf, "documents"), table(spark, sf, "eval_items")).select("doc_id", "item_id").distinct()
 
@@ -33,4 +47,4 @@ def p9_clean(spark: SparkSession, sf: str) -> DataFrame:
     return without_leaks(table(spark, sf, "documents"), table(spark, sf, "eval_items")).groupBy("source").agg(F.count(F.lit(1)).alias("documents"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_groups, p9_found, p9_matches, p9_clean)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_groups, p3_found, p3_unmatched, p9_found, p9_matches, p9_clean)}
