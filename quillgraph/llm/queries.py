@@ -6,11 +6,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillgraph.llm.canonical import canonical_values
+from quillgraph.llm.chunking import pieces, split_documents
 from quillgraph.llm.contamination import leaked, without_leaks
 from quillgraph.llm.near_duplicates import NearDuplicates
+from quillgraph.llm.survivors import canonical_records, record_instant, survivors
 from quillgraph.session import table
 
 
+def p1_found(spark: SparkSession, sf: str) -> DataFrame:
+    split = split_documents(table(spark, sf, "pkb_documents"), table(spark, sf, "chunk_configs"), texts=False)
+    return split.filter(F.size("pieces") > 1).select("id", "config_id", "cut").distinct()
+
+
+def p1_pieces(spark: SparkSession, sf: str) -> DataFrame:
+    """All pieces of all documents."""
+    return pieces(table(spark, sf, "pkb_documents"), table(spark, sf, "chunk_configs"))
+
+
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:
     return NearDuplicates(table(spark, sf, "pkb_documents"), size=3, min_words=20, threshold=0.5).pairs().select("id_a", "id_b")
 
@@ -33,6 +45,20 @@ def p3_unmatched(spark: SparkSession, sf: str) -> DataFrame:
     return _typed(spark, sf).filter("value_id = 0").groupBy("field", "raw").agg(F.countDistinct("entry_id").alias("entries"))
 
 
+def p6_found(spark: SparkSession, sf: str) -> DataFrame:
+    entries = table(spark, sf, "duplicate_entries")
+    alone = {f: [f] for f in ("status", "assignee", "due")}
+    kept = survivors(entries, alone, record_instant(F.col("modified")))
+    top = canonical_records(entries).select("cluster_id", F.lit("canonical").alias("field"), "id")
+    return top.unionByName(kept.select("cluster_id", F.col("bundle").alias("field"), "id"))
+
+
+def p6_records(spark: SparkSession, sf: str) -> DataFrame:
+    """Survivors built from bundles: status and assignee go together, and a due date must have been seen with them."""
+    entries = table(spark, sf, "duplicate_entries")
+    return survivors(entries, {"work": ["status", "assignee"], "due": ["due"]}, record_instant(F.col("modified")), [("work", "due")])
+
+
 def p9_found(spark: SparkSession, sf: str) -> DataFrame:
     return leaked(table(spark, sf, "documents"), table(spark, sf, "eval_items")).select("doc_id", "item_id").distinct()
 
@@ -47,4 +73,4 @@ def p9_clean(spark: SparkSession, sf: str) -> DataFrame:
     return without_leaks(table(spark, sf, "documents"), table(spark, sf, "eval_items")).groupBy("source").agg(F.count(F.lit(1)).alias("documents"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_groups, p3_found, p3_unmatched, p9_found, p9_matches, p9_clean)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_groups, p3_found, p3_unmatched, p6_found, p6_records, p9_found, p9_matches, p9_clean)}
