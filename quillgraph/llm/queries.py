@@ -9,6 +9,7 @@ from quillgraph.llm.canonical import canonical_values
 from quillgraph.llm.chunking import pieces, split_documents
 from quillgraph.llm.contamination import leaked, without_leaks
 from quillgraph.llm.near_duplicates import NearDuplicates
+from quillgraph.llm.packing import pack, token_counts, unused
 from quillgraph.llm.survivors import canonical_records, record_instant, survivors
 from quillgraph.session import table
 
@@ -59,6 +60,16 @@ def p6_records(spark: SparkSession, sf: str) -> DataFrame:
     return survivors(entries, {"work": ["status", "assignee"], "due": ["due"]}, record_instant(F.col("modified")), [("work", "due")])
 
 
+def p8_containers(spark: SparkSession, sf: str) -> DataFrame:
+    """The container of every text, for every capacity."""
+    return pack(token_counts(table(spark, sf, "documents")), table(spark, sf, "pack_limits"))
+
+
+def p8_unused(spark: SparkSession, sf: str) -> DataFrame:
+    """Containers and room left unused, for every capacity."""
+    return unused(p8_containers(spark, sf))
+
+
 def p9_found(spark: SparkSession, sf: str) -> DataFrame:
     return leaked(table(spark, sf, "documents"), table(spark, sf, "eval_items")).select("doc_id", "item_id").distinct()
 
@@ -73,4 +84,4 @@ def p9_clean(spark: SparkSession, sf: str) -> DataFrame:
     return without_leaks(table(spark, sf, "documents"), table(spark, sf, "eval_items")).groupBy("source").agg(F.count(F.lit(1)).alias("documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_groups, p3_found, p3_unmatched, p6_found, p6_records, p9_found, p9_matches, p9_clean)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_groups, p3_found, p3_unmatched, p6_found, p6_records, p8_containers, p8_unused, p9_found, p9_matches, p9_clean)}
