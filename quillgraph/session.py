@@ -64,3 +64,8 @@ def discard(df: DataFrame) -> None:
         spark = df.sparkSession
         at = spark._jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Let the shuffle files of plans that are no longer reachable be deleted now, not some time."""
+    spark.sparkContext._jvm.System.gc()
