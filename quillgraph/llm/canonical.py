@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillgraph.plans.skew import lookup_join
+from quillgraph.session import stored
 
 # What people also write for the listed meanings, in English, German, French
 # and Spanish. A lexicon is a parameter of the operator; this is its default.
@@ -133,8 +134,9 @@ def reference_entries(reference: DataFrame, lexicon: dict[str, dict[str, str]] =
 
 def map_values(values: DataFrame, reference: DataFrame, lexicon: dict[str, dict[str, str]] = LEXICON) -> DataFrame:
     """``field, raw, value_id, score`` for distinct ``field, raw``."""
-    entries = reference_entries(reference, lexicon)
-    wants = values.select("field", "raw").distinct().withColumn("words", core_words(F.col("raw")))
+    # the stages are kept as tables: each is small, and plans stay short
+    entries = stored(reference_entries(reference, lexicon), "entries")
+    wants = stored(values.select("field", "raw").distinct().withColumn("words", core_words(F.col("raw"))), "typed")
     # two bags each: the tokens, and the whole without blanks
     bags = F.array(F.struct(F.lit(0).alias("whole"), F.col("words").alias("bag")), F.struct(F.lit(1).alias("whole"), F.array(F.array_join("words", "")).alias("bag")))
     in_bags = entries.select("field", "value_id", "entry", F.explode(bags).alias("b")).select("field", "value_id", "entry", "b.whole", F.explode("b.bag").alias("word"))
@@ -142,7 +144,8 @@ def map_values(values: DataFrame, reference: DataFrame, lexicon: dict[str, dict[
     idf = in_bags.groupBy("field", "whole", "word").agg(F.countDistinct("entry").alias("df")).join(sizes, "field").select("field", "whole", "word", F.log(1 + F.col("total") / F.col("df")).alias("w"))
     held = in_bags.join(idf, ["field", "whole", "word"])
     norm = held.groupBy("field", "entry", "whole").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    held = held.join(norm, ["field", "entry", "whole"]).select("field", "whole", "value_id", "entry", "word", "w", (F.col("w") / F.col("norm")).alias("we"))
+    held = stored(held.join(norm, ["field", "entry", "whole"]).select("field", "whole", "value_id", "entry", "word", "w", (F.col("w") / F.col("norm")).alias("we")), "words")
+    idf = held.select("field", "whole", "word", "w").distinct()
     tokens = wants.filter(F.size("words") > 0).select("field", "raw", F.explode(bags).alias("b")).select("field", "raw", "b.whole", F.explode("b.bag").alias("token"))
     # repair: distinct tokens against distinct reference words, over shared deletion variants
     left = tokens.select("field", "token").distinct().filter(F.length("token").between(1, 40)).select("field", "token", F.explode(_variants(F.col("token"))).alias("variant"))
@@ -150,7 +153,8 @@ def map_values(values: DataFrame, reference: DataFrame, lexicon: dict[str, dict[
     spans = held.groupBy("field", "word").agg(F.max(F.when(F.col("whole") == 1, F.length("entry")).otherwise(F.length("word"))).alias("span"))
     right = spans.select("field", "word", "span", F.explode(_variants(F.col("word"))).alias("variant"))
     near = left.join(right, ["field", "variant"]).select("field", "token", "word", "span").distinct().withColumn("d", edits("token", "word"))
-    near = near.filter(F.col("d") <= allowed_edits(F.col("span"))).select("field", "token", "word", (1 - F.col("d") / F.greatest(F.length("token"), F.length("word"))).alias("sim"))
+    near = near.filter(F.col("d") <= allowed_edits(F.col("span")))
+    near = stored(near.select("field", "token", "word", (1 - F.col("d") / F.greatest(F.length("token"), F.length("word"))).alias("sim")), "near")
     # weight of a token: that of its best repair; of an unknown one: of a word seen in one entry
     repaired = near.join(idf, ["field", "word"]).groupBy("field", "whole", "token").agg(F.max_by("w", F.struct("sim", "w")).alias("w"))
     weights = tokens.join(repaired, ["field", "whole", "token"], "left").join(F.broadcast(sizes), "field").withColumn("w", F.coalesce("w", F.log(1.0 + F.col("total"))))
@@ -164,7 +168,7 @@ def map_values(values: DataFrame, reference: DataFrame, lexicon: dict[str, dict[
         .agg(F.sum("part").alias("dot"))
         .join(qnorm, ["field", "raw", "whole"])
     )
-    best = scored.groupBy("field", "raw").agg(F.max(F.struct(F.round(F.col("dot") / F.col("qn"), 9).alias("score"), (-F.col("value_id")).alias("neg"))).alias("b"))
+    best = stored(scored.groupBy("field", "raw").agg(F.max(F.struct(F.round(F.col("dot") / F.col("qn"), 9).alias("score"), (-F.col("value_id")).alias("neg"))).alias("b")), "best")
     others = entries.select(F.col("field").alias("of"), F.array_join("words", "").alias("joined")).distinct()
     joined = F.array_join("words", "")
     known = wants.withColumn("joined", joined)
@@ -175,7 +179,8 @@ def map_values(values: DataFrame, reference: DataFrame, lexicon: dict[str, dict[
     denied = F.arrays_overlap("words", F.array(*[F.lit(w) for w in FILLERS])) | ((F.size("words") > 1) & F.arrays_overlap("words", F.array(*[F.lit(w) for w in NEGATIONS])))
     out = wants.join(best, ["field", "raw"], "left").join(foreign, ["field", "raw"], "left").join(exact, ["field", "raw"], "left").join(undone, ["field", "raw"], "left")
     good = (F.col("b.score") >= MIN_SCORE) & (F.col("exact").isNotNull() | (F.col("foreign").isNull() & F.col("undone").isNull() & ~denied))
-    return out.select("field", "raw", F.when(good, -F.col("b.neg")).otherwise(0).cast("bigint").alias("value_id"), F.coalesce("b.score", F.lit(0.0)).alias("score"))
+    out = out.select("field", "raw", F.when(good, -F.col("b.neg")).otherwise(0).cast("bigint").alias("value_id"), F.coalesce("b.score", F.lit(0.0)).alias("score"))
+    return stored(out, "mapped")
 
 
 def typed_values(df: DataFrame, key: str, fields: list[str], reference: DataFrame) -> DataFrame:
@@ -187,5 +192,5 @@ def typed_values(df: DataFrame, key: str, fields: list[str], reference: DataFram
 
 def canonical_values(df: DataFrame, key: str, fields: list[str], reference: DataFrame, lexicon: dict[str, dict[str, str]] = LEXICON) -> DataFrame:
     """``key, field, raw, value_id, score``; ``value_id`` 0 where nothing matches."""
-    rows = typed_values(df, key, fields, reference)
+    rows = stored(typed_values(df, key, fields, reference), "rows")
     return lookup_join(rows, map_values(rows, reference, lexicon), ["field", "raw"], "left").select(key, "field", "raw", "value_id", "score")
