@@ -14,8 +14,8 @@ of the pair, k up to a). The operator
    *every* order a candidate pair needs its k meetings;
 4. verifies candidates on their whole run sets.
 
-The sketch only decides the order, never what is found: the result is exact. Texts with
-equal run sets share one key, so copies meet once, however many there are.
+The sketch only decides the order, never what is found: the result is exact. Copies
+share one key, so they meet others once, however many there are.
 
 Size of what moves: about half of each text's runs, once. Nothing but the sketch
 (``2 * 2**SKETCH_BITS`` 16-bit cells) is broadcast.
@@ -35,34 +35,35 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillgraph.llm.words import mix64, shingles, word_hashes
-from quillgraph.session import discard, stored
+from quillgraph.llm.words import mix64, ordered, shingles, word_hashes
+from quillgraph.session import discard, release, stored
 
 SKETCH_BITS = 22
 BLOCK_BITS = 16
 MARK_BITS = 24
+CAP = (1 << 20) - 1
 SHARED = 4
 
 
 def _runs(batch: pa.RecordBatch, size: int, min_words: int) -> tuple[np.ndarray, np.ndarray]:
-    """``run, row`` of a batch with columns title and body, for rows with enough words."""
+    """``run, row``: distinct runs of each row with enough words, sorted by row, then by value."""
     titles, bodies = batch.column("title").to_pylist(), batch.column("body").to_pylist()
     n = batch.num_rows
-    body_h, body_of, _ = word_hashes(bodies)
-    count = np.bincount(body_of, minlength=n)
-    title_h, title_of, _ = word_hashes(titles)
-    order = np.argsort(np.concatenate([title_of * 2, body_of * 2 + 1]), kind="stable")
-    words, owner = np.concatenate([title_h, body_h])[order], np.concatenate([title_of, body_of])[order]
-    keep = (count >= min_words)[owner]
-    return shingles(words[keep], owner[keep], size)
-
-
-def _distinct(runs: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct runs of each row, sorted by row, then by value."""
-    order = np.lexsort((runs, owner))
-    runs, owner = runs[order], owner[order]
-    first = np.ones(len(runs), bool)
-    first[1:] = (runs[1:] != runs[:-1]) | (owner[1:] != owner[:-1])
+    words, owner, _ = word_hashes([f"{t or ''}\n{b or ''}" for t, b in zip(titles, bodies)])
+    _, title_of, _ = word_hashes(titles)
+    enough = np.bincount(owner, minlength=n) - np.bincount(title_of, minlength=n) >= min_words
+    if not enough.all():
+        words, owner = words[enough[owner]], owner[enough[owner]]
+    runs, owner = shingles(words, owner, size)
+    key = owner.astype(np.uint64) << np.uint64(44) | runs >> np.uint64(20)
+    order = np.argsort(key)
+    runs, owner, key = runs[order], owner[order], key[order]
+    same = key[1:] == key[:-1]
+    if (same & (runs[1:] != runs[:-1])).any() or n >= 1 << 20:  # equal up to the bits that fit: settle it in full
+        order = np.lexsort((runs, owner))
+        runs, owner = runs[order], owner[order]
+        same = (runs[1:] == runs[:-1]) & (owner[1:] == owner[:-1])
+    first = np.append(True, ~same) if len(runs) else np.zeros(0, bool)
     return runs[first], owner[first]
 
 
@@ -77,7 +78,7 @@ def _sketch(texts: DataFrame, size: int, min_words: int) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros((2, 1 << SKETCH_BITS), np.uint32)
         for b in batches:
-            runs, _ = _distinct(*_runs(b, size, min_words))
+            runs, _ = _runs(b, size, min_words)
             for row, cell in enumerate(_cells(runs)):
                 sums[row] += np.bincount(cell, minlength=1 << SKETCH_BITS).astype(np.uint32)
         if sums.any():
@@ -101,64 +102,78 @@ def _sketch(texts: DataFrame, size: int, min_words: int) -> np.ndarray:
     return out.reshape(2, -1)
 
 
-def _need(na, nb, t: float):
-    """Overlap that similarity t demands of two sets."""
-    return F.ceil((na + nb) * F.lit(t / (1 + t)) - F.lit(1e-9))
+def _keyed(texts: DataFrame) -> DataFrame:
+    """Texts with ``whole``, a key of title and body; copies have the same."""
+    text = [F.coalesce("title", F.lit("")), F.lit("\n"), F.coalesce("body", F.lit(""))]
+    return texts.filter(F.col("id").isNotNull()).select("id", "title", "body", F.xxhash64(*text).alias("whole"))
+
+
+def _doc_key(whole: np.ndarray) -> np.ndarray:
+    """The 32 bits of ``whole`` by which candidates are named."""
+    return (whole.view(np.uint64) >> np.uint64(32)).astype(np.int64)
 
 
 def _postings(texts: DataFrame, size: int, min_words: int, t: float, sketch: np.ndarray) -> DataFrame:
-    """``run, doc, n, p1, p2``: a text's key, its number of runs, the run's place in both orders (-1: beyond the prefix)."""
+    """``run, doc, at, short``: a run (40 bits) of a text's prefixes.
+
+    ``at`` packs the number of runs of the text and, for both orders, how many of them are
+    not before this one (0: the run is beyond that prefix), 20 bits each; larger numbers
+    are kept at the limit, which only weakens the filter. ``short``: whether the run
+    lies in the prefix that partners of at least the same size need.
+    """
     held = texts.sparkSession.sparkContext.broadcast(sketch)
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = held.value
         for b in batches:
-            runs, owner = _distinct(*_runs(b, size, min_words))
+            runs, owner = _runs(b, size, min_words)
             if not len(runs):
                 continue
             begin = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
             n = np.diff(np.append(begin, len(runs)))
-            with np.errstate(over="ignore"):
-                doc = mix64(np.add.reduceat(mix64(runs), begin) + n.astype(np.uint64))
+            doc = _doc_key(b.column("whole").to_numpy())[owner]
             c0, c1 = _cells(runs)
             seen = np.minimum(counts[0][c0], counts[1][c1]).astype(np.int64)
             size_of = np.repeat(n, n)
-            limit = size_of - np.ceil(size_of * t - 1e-9).astype(np.int64) + SHARED
-            places = []
-            for key in (seen << 32 | (runs >> np.uint64(32)).astype(np.int64) & 0x7FFFFFFF, np.ceil(np.log2(seen + 1)).astype(np.int64) << 32 | (runs & np.uint64(0xFFFFFFFF)).astype(np.int64)):
-                order = np.lexsort((key, owner))
+            long = size_of - np.ceil(size_of * t - 1e-9).astype(np.int64) + SHARED
+            short = size_of - np.ceil(2 * size_of * t / (1 + t) - 1e-9).astype(np.int64) + SHARED
+            left, near = [], np.zeros(len(runs), bool)
+            with np.errstate(over="ignore"):
+                other = mix64(runs + np.uint64(1))
+            for high, bits, low in ((seen, 16, runs), (np.frexp(seen)[1], 5, other)):
+                order = ordered(owner, high, bits, low)
                 place = np.empty(len(runs), np.int64)
                 place[order] = np.arange(len(runs)) - np.repeat(begin, n)
-                places.append(np.where(place < limit, place, -1))
+                left.append(np.where(place < long, size_of - place, 0))
+                near |= place < short
             # a count of one is exact: nobody else has that run
-            keep = (seen > 1) & ((places[0] >= 0) | (places[1] >= 0))
-            yield pa.record_batch(
-                [pa.array(runs[keep].view(np.int64)), pa.array((np.repeat(doc, n)[keep] >> np.uint64(32)).astype(np.int64)), pa.array(size_of[keep].astype(np.int32)), pa.array((places[0][keep] + 1 << 32 | places[1][keep] + 1).astype(np.int64))],
-                ["run", "doc", "n", "at"],
-            )
+            keep = (seen > 1) & ((left[0] > 0) | (left[1] > 0))
+            at = np.minimum(size_of, CAP) << 40 | np.minimum(left[0], CAP) << 20 | np.minimum(left[1], CAP)
+            yield pa.record_batch([pa.array((runs[keep] >> np.uint64(24)).view(np.int64)), pa.array(doc[keep]), pa.array(at[keep]), pa.array(near[keep])], ["run", "doc", "at", "short"])
 
-    return texts.select("title", "body").mapInArrow(post, "run long, doc long, n int, at long")
+    return texts.select("title", "body", "whole").mapInArrow(post, "run long, doc long, at long, short boolean")
 
 
 def candidate_keys(texts: DataFrame, size: int, min_words: int, t: float) -> DataFrame:
-    """``a, b``: 32-bit text keys of pairs that pass the filters of every order, a < b."""
+    """``a, b``: keys of pairs that pass the filters of every order, from the texts of ``_keyed``."""
     # one exchange by run serves the removal of copies and both sides of the join
-    post = _postings(texts, size, min_words, t, _sketch(texts, size, min_words)).repartition("run").dropDuplicates(["run", "doc", "n", "at"])
-    p1, p2 = F.shiftright("at", 32).cast("int") - 1, F.col("at").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int") - 1
-    x = post.select("run", F.col("doc").alias("a"), F.col("n").alias("na"), p1.alias("a1"), p2.alias("a2"))
-    y = post.select("run", F.col("doc").alias("b"), F.col("n").alias("nb"), p1.alias("b1"), p2.alias("b2"))
-    na, nb = F.col("na"), F.col("nb")
-    need = _need(na, nb, t)
-    k = F.least(F.lit(SHARED).cast("bigint"), need)
-
-    def meets(pa_: str, pb_: str):
-        return (F.col(pa_) >= 0) & (F.col(pb_) >= 0) & (F.col(pa_) < na - need + k) & (F.col(pb_) < nb - need + k)
-
-    met = x.join(y, (x["run"] == y["run"]) & (F.col("a") < F.col("b")) & (na <= nb / F.lit(t) + 1e-9) & (nb <= na / F.lit(t) + 1e-9) & (meets("a1", "b1") | meets("a2", "b2")))
-    one = F.struct((meets("a1", "b1")).cast("int").alias("m1"), meets("a2", "b2").cast("int").alias("m2"))
-    pairs = met.select(F.shiftleft("a", 32).bitwiseOR(F.col("b")).alias("pair"), one["m1"].alias("m1"), one["m2"].alias("m2"), k.cast("int").alias("k"))
-    counted = pairs.groupBy("pair").agg(F.sum("m1").alias("s1"), F.sum("m2").alias("s2"), F.min("k").alias("k"))
-    passed = counted.filter((F.col("s1") >= F.col("k")) & (F.col("s2") >= F.col("k")))
+    post = _postings(texts, size, min_words, t, _sketch(texts, size, min_words)).repartition("run").dropDuplicates(["run", "doc"])
+    part = lambda k: F.shiftright("at", k).bitwiseAND(F.lit(CAP)).cast("int")
+    x = post.filter("short").select("run", F.col("doc").alias("a"), part(40).alias("na"), part(20).alias("a1"), part(0).alias("a2"))
+    y = post.select("run", F.col("doc").alias("b"), part(40).alias("nb"), part(20).alias("b1"), part(0).alias("b2"))
+    # the smaller text is on the left, so that its shorter prefix does
+    smaller = (F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))
+    need = F.ceil((F.col("na") + F.col("nb")) * F.lit(t / (1 + t)) - F.lit(1e-9)).cast("int")
+    slack = F.least(F.lit(SHARED), need) - need
+    first, second = F.least("a1", "b1") + slack > 0, F.least("a2", "b2") + slack > 0
+    # at the limit of 20 bits sizes are unknown: such texts only meet one another, unfiltered
+    met = x.join(y, (x["run"] == y["run"]) & smaller & (F.col("nb") * F.lit(t) <= F.col("na") + F.lit(1e-9)) & (first | second))
+    # a meeting counts once; where the pair demands fewer than SHARED, one is enough
+    unit = F.when(need < SHARED, F.lit(SHARED)).otherwise(F.lit(1)).cast("bigint")
+    pair = F.shiftleft("a", 32).bitwiseOR(F.col("b"))
+    votes = F.when(first, F.shiftleft(unit, 32)).otherwise(F.lit(0).cast("bigint")) + F.when(second, unit).otherwise(F.lit(0).cast("bigint"))
+    counted = met.select(pair.alias("pair"), votes.alias("votes")).groupBy("pair").agg(F.sum("votes").alias("votes"))
+    passed = counted.filter((F.shiftright("votes", 32) >= SHARED) & (F.col("votes").bitwiseAND(F.lit(0xFFFFFFFF)) >= SHARED))
     return passed.select(F.shiftrightunsigned("pair", 32).alias("a"), F.col("pair").bitwiseAND(F.lit(0xFFFFFFFF)).alias("b"))
 
 
@@ -179,28 +194,23 @@ def _marked(keys: DataFrame) -> np.ndarray:
 
 
 def run_sets(texts: DataFrame, size: int, min_words: int, marked: np.ndarray) -> DataFrame:
-    """``id, doc, whole, runs``: 32-bit key, 64-bit key of the run set, and the sorted set itself for marked keys."""
+    """``doc, whole, runs`` of the texts whose key is marked: their sorted run sets (binary)."""
     held = texts.sparkSession.sparkContext.broadcast(marked)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids = b.column("id").to_pylist()
-            runs, owner = _distinct(*_runs(b, size, min_words))
+            doc = _doc_key(b.column("whole").to_numpy())
+            cell = doc >> (32 - MARK_BITS)
+            b = b.filter(pa.array((held.value[cell >> 3] >> (7 - (cell & 7)).astype(np.uint8) & 1).astype(bool)))
+            runs, owner = _runs(b, size, min_words)
             if not len(runs):
                 continue
             begin = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
-            n = np.diff(np.append(begin, len(runs)))
-            with np.errstate(over="ignore"):
-                whole = mix64(np.add.reduceat(mix64(runs), begin) + n.astype(np.uint64))
-            doc = (whole >> np.uint64(32)).astype(np.uint32)
-            cell = doc >> np.uint32(32 - MARK_BITS)
-            hit = held.value[cell >> np.uint32(3)] >> (7 - (cell & 7)).astype(np.uint8) & 1
-            yield pa.record_batch(
-                [pa.array([ids[owner[s]] for s in begin], pa.string()), pa.array(doc.astype(np.int64)), pa.array(whole.view(np.int64)), pa.array([runs[s : s + m].tobytes() if h else None for s, m, h in zip(begin, n, hit)], pa.binary())],
-                ["id", "doc", "whole", "runs"],
-            )
+            end = np.append(begin[1:], len(runs))
+            whole = b.column("whole").to_numpy()[owner[begin]]
+            yield pa.record_batch([pa.array(_doc_key(whole)), pa.array(whole), pa.array([runs[s:e].tobytes() for s, e in zip(begin, end)], pa.binary())], ["doc", "whole", "runs"])
 
-    return texts.select("id", "title", "body").mapInArrow(sets, "id string, doc long, whole long, runs binary")
+    return texts.select("title", "body", "whole").mapInArrow(sets, "doc long, whole long, runs binary")
 
 
 def _verify(pairs: DataFrame, t: float) -> DataFrame:
@@ -221,21 +231,24 @@ def _verify(pairs: DataFrame, t: float) -> DataFrame:
 
 
 class NearDuplicates:
-    """Links between different run sets, and the members of each set.
+    """Links between different texts, and the ids of each text.
 
-    ``members``: ``whole, id``; ``links``: ``wa, wb, similarity`` between distinct sets, wa < wb.
+    ``members``: ``whole, id``; ``links``: ``wa, wb, similarity`` between distinct texts, wa < wb.
     """
 
     def __init__(self, texts: DataFrame, size: int = 5, min_words: int = 20, threshold: float = 0.8):
-        texts = texts.filter(F.col("id").isNotNull()).select("id", "title", "body")
+        texts = _keyed(texts)
         candidates = stored(candidate_keys(texts, size, min_words, threshold), "pairs")
-        keys = candidates.select(F.explode(F.array("a", "b")).alias("doc")).distinct()
-        sets = stored(run_sets(texts, size, min_words, _marked(keys)), "sets")
-        self.members = sets.select("whole", "id").distinct()
-        one = sets.filter("runs IS NOT NULL").groupBy("doc", "whole").agg(F.first("runs").alias("runs"))
-        # keys of 32 bits may be shared by different sets: all of them take part, and so do such sets among themselves
-        shared = sets.groupBy("doc").agg(F.min("whole").alias("lo"), F.max("whole").alias("hi")).filter("lo < hi").select("doc")
-        both = candidates.unionByName(one.join(shared, "doc", "left_semi").select(F.col("doc").alias("a"), F.col("doc").alias("b")).distinct())
+        release(texts.sparkSession)
+        self.members = texts.select("whole", "id").distinct()
+        # 32-bit keys may be shared by different texts, which then take part under that key, also with one another;
+        # texts under several ids are looked at again only to see whether they have enough words
+        by_key = self.members.groupBy("whole").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).select(F.shiftrightunsigned("whole", 32).alias("doc"), "whole", (F.col("lo") < F.col("hi")).alias("copied"))
+        extra = stored(by_key.groupBy("doc").agg(F.max("copied").alias("copied"), (F.count(F.lit(1)) > 1).alias("shared")).filter("copied OR shared"), "extra")
+        keys = candidates.select(F.explode(F.array("a", "b")).alias("doc")).unionByName(extra.select("doc"))
+        one = stored(run_sets(texts, size, min_words, _marked(keys)).dropDuplicates(["whole"]), "sets")
+        self.long_enough = one.select("whole")
+        both = candidates.unionByName(extra.filter("shared").select(F.col("doc").alias("a"), F.col("doc").alias("b")))
         left = one.select(F.col("doc").alias("a"), F.col("whole").alias("w1"), F.col("runs").alias("x"))
         right = one.select(F.col("doc").alias("b"), F.col("whole").alias("w2"), F.col("runs").alias("y"))
         pairs = both.join(left, "a").join(right, "b").filter("w1 <> w2").select(F.least("w1", "w2").alias("wa"), F.greatest("w1", "w2").alias("wb"), "x", "y")
@@ -246,7 +259,8 @@ class NearDuplicates:
         m = self.members
         ma, mb = m.select(F.col("whole").alias("wa"), F.col("id").alias("x")), m.select(F.col("whole").alias("wb"), F.col("id").alias("y"))
         linked = self.links.join(ma, "wa").join(mb, "wb").select("x", "y", "similarity")
-        copies = ma.join(mb, F.col("wa") == F.col("wb")).filter("x < y").select("x", "y", F.lit(1.0).alias("similarity"))
+        long_enough = self.long_enough.select(F.col("whole").alias("wa"))
+        copies = ma.join(long_enough, "wa", "left_semi").join(mb, F.col("wa") == F.col("wb")).filter("x < y").select("x", "y", F.lit(1.0).alias("similarity"))
         return linked.unionByName(copies).filter("x <> y").groupBy(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")).agg(F.max("similarity").alias("similarity"))
 
     def groups(self) -> DataFrame:

@@ -10,6 +10,7 @@ from quillgraph.llm.chunking import pieces, split_documents
 from quillgraph.llm.contamination import leaked, without_leaks
 from quillgraph.llm.near_duplicates import NearDuplicates
 from quillgraph.llm.packing import pack, token_counts, unused
+from quillgraph.llm.subjects import assign, train
 from quillgraph.llm.survivors import canonical_records, record_instant, survivors
 from quillgraph.session import table
 
@@ -84,4 +85,22 @@ def p9_clean(spark: SparkSession, sf: str) -> DataFrame:
     return without_leaks(table(spark, sf, "documents"), table(spark, sf, "eval_items")).groupBy("source").agg(F.count(F.lit(1)).alias("documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_groups, p3_found, p3_unmatched, p6_found, p6_records, p8_containers, p8_unused, p9_found, p9_matches, p9_clean)}
+def _subjects(spark: SparkSession, sf: str) -> DataFrame:
+    documents = table(spark, sf, "documents")
+    return assign(documents, train(documents, table(spark, sf, "subject_labels"), table(spark, sf, "subjects")))
+
+
+def p10_found(spark: SparkSession, sf: str) -> DataFrame:
+    return _subjects(spark, sf).select("doc_id", "subject_id").distinct()
+
+
+def p10_shares(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents of each subject, and their share of the collection."""
+    names = table(spark, sf, "subjects").select("subject_id", "name")
+    total = table(spark, sf, "documents").agg(F.countDistinct("doc_id").alias("total"))
+    per = _subjects(spark, sf).groupBy("subject_id").agg(F.countDistinct("doc_id").alias("documents"))
+    whole = F.broadcast(total.withColumn("one", F.lit(1)))
+    return per.join(names, "subject_id").withColumn("one", F.lit(1)).join(whole, "one").select("subject_id", "name", "documents", F.round(F.col("documents") / F.col("total"), 4).alias("share"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_groups, p3_found, p3_unmatched, p6_found, p6_records, p8_containers, p8_unused, p9_found, p9_matches, p9_clean, p10_found, p10_shares)}
