@@ -26,7 +26,7 @@ def word_count(c: Column) -> Column:
 def wikilinks(c: Column) -> Column:
     """Targets of ``[[target]]`` and ``[[target|alias]]``."""
     found = F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(r"\[\[([^\]|#\n]+)"), 1)
-    return F.filter(F.transform(found, F.trim), lambda x: x != "")
+    return F.filter(F.transform(found, lambda x: F.trim(x)), lambda x: x != "")
 
 
 def markdown_links(c: Column) -> Column:

@@ -62,7 +62,7 @@ def documents(notes: DataFrame) -> DataFrame:
     """Document rows of notes: id, title, type, status, tags, hashes; tags also from the text."""
     j = lambda k: F.nullif(F.trim(F.get_json_object("frontmatter", f"$.{k}")), F.lit(""))
     stem = F.regexp_replace(F.regexp_replace("path", r"^.*/", ""), r"\.md$", "")
-    listed = F.coalesce(F.from_json(F.get_json_object("frontmatter", "$.tags"), "array<string>"), F.filter(F.transform(F.split(F.coalesce(j("tags"), F.lit("")), ","), F.trim), lambda t: t != ""))
+    listed = F.coalesce(F.from_json(F.get_json_object("frontmatter", "$.tags"), "array<string>"), F.filter(F.transform(F.split(F.coalesce(j("tags"), F.lit("")), ","), lambda x: F.trim(x)), lambda t: t != ""))
     return notes.select(
         F.coalesce(j("id"), stem).alias("id"),
         "path",
