@@ -18,7 +18,7 @@ The sketch only decides the order, never what is found: the result is exact. Cop
 share one key, so they meet others once, however many there are.
 
 Size of what moves: about half of each text's runs, once. Nothing but the sketch
-(``2 * 2**SKETCH_BITS`` 16-bit cells) is broadcast.
+(``2 * 2**SKETCH_BITS`` cells) is broadcast.
 
 Defined results: null titles and bodies count as empty; texts whose body has fewer than
 ``min_words`` words are left out; null ids are ignored; repeated rows count once; an empty
@@ -27,12 +27,13 @@ table gives an empty result; other columns are not looked at.
 
 from __future__ import annotations
 
+import io
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillgraph.llm.words import mix64, ordered, shingles, word_hashes
@@ -41,8 +42,12 @@ from quillgraph.session import discard, release, stored
 SKETCH_BITS = 22
 BLOCK_BITS = 16
 MARK_BITS = 24
-CAP = (1 << 20) - 1
-SHARED = 4
+SHARED = 8
+#: A run of more texts than this is dealt to several tasks.
+HOT = 20_000
+#: Pairs looked at in one go.
+SLAB = 1 << 21
+LOT_SCHEMA = "lot int, data binary"
 
 
 def _runs(batch: pa.RecordBatch, size: int, min_words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -73,7 +78,7 @@ def _cells(runs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _sketch(texts: DataFrame, size: int, min_words: int) -> np.ndarray:
-    """Two rows of 16-bit counts that never fall short of the true count (65535: that or more)."""
+    """Two rows of counts that never fall short of the true ones."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros((2, 1 << SKETCH_BITS), np.uint32)
@@ -82,23 +87,23 @@ def _sketch(texts: DataFrame, size: int, min_words: int) -> np.ndarray:
             for row, cell in enumerate(_cells(runs)):
                 sums[row] += np.bincount(cell, minlength=1 << SKETCH_BITS).astype(np.uint32)
         if sums.any():
-            blocks = np.minimum(sums, 65535).astype(np.uint16).reshape(-1, 1 << BLOCK_BITS)
+            blocks = sums.reshape(-1, 1 << BLOCK_BITS)
             yield pa.record_batch([pa.array(range(len(blocks)), pa.int32()), pa.array([zlib.compress(x.tobytes(), 1) for x in blocks], pa.binary())], ["block", "counts"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for b in batches:
             for k, raw in zip(b.column("block").to_pylist(), b.column("counts").to_pylist()):
-                part = np.frombuffer(zlib.decompress(raw), np.uint16).astype(np.uint32)
-                sums[k] = np.minimum(sums[k] + part, 65535) if k in sums else part
+                part = np.frombuffer(zlib.decompress(raw), np.uint32)
+                sums[k] = sums[k] + part if k in sums else part
         if sums:
-            yield pa.record_batch([pa.array(list(sums), pa.int32()), pa.array([zlib.compress(x.astype(np.uint16).tobytes(), 1) for x in sums.values()], pa.binary())], ["block", "counts"])
+            yield pa.record_batch([pa.array(list(sums), pa.int32()), pa.array([zlib.compress(x.tobytes(), 1) for x in sums.values()], pa.binary())], ["block", "counts"])
 
     schema = "block int, counts binary"
     parts = texts.select("title", "body").mapInArrow(count, schema).repartition(8, "block").mapInArrow(add, schema).collect()
-    out = np.zeros((2 << SKETCH_BITS) >> BLOCK_BITS << BLOCK_BITS, np.uint16).reshape(-1, 1 << BLOCK_BITS)
+    out = np.zeros((2 << SKETCH_BITS) >> BLOCK_BITS << BLOCK_BITS, np.uint32).reshape(-1, 1 << BLOCK_BITS)
     for r in parts:
-        out[r["block"]] = np.frombuffer(zlib.decompress(r["counts"]), np.uint16)
+        out[r["block"]] = np.frombuffer(zlib.decompress(r["counts"]), np.uint32)
     return out.reshape(2, -1)
 
 
@@ -113,13 +118,51 @@ def _doc_key(whole: np.ndarray) -> np.ndarray:
     return (whole.view(np.uint64) >> np.uint64(32)).astype(np.int64)
 
 
-def _postings(texts: DataFrame, size: int, min_words: int, t: float, sketch: np.ndarray) -> DataFrame:
-    """``run, doc, at, short``: a run (40 bits) of a text's prefixes.
+def _labels(spark: SparkSession) -> list[int]:
+    """One number per shuffle partition that hash partitioning sends there, so that lots are spread evenly."""
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = spark.range(64 * parts, numPartitions=1).select(F.col("id").cast("int").alias("k")).groupBy(F.pmod(F.hash("k"), F.lit(parts)).alias("p")).agg(F.min("k").alias("k")).collect()
+    return [r["k"] for r in rows]
 
-    ``at`` packs the number of runs of the text and, for both orders, how many of them are
-    not before this one (0: the run is beyond that prefix), 20 bits each; larger numbers
-    are kept at the limit, which only weakens the filter. ``short``: whether the run
-    lies in the prefix that partners of at least the same size need.
+
+def _lots(place: np.ndarray, labels: list[int], **columns: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Rows cut by ``place`` into one compressed lot per label; ``place`` is the index of the label."""
+    order = np.argsort(place, kind="stable")
+    ends = np.searchsorted(place[order], np.arange(len(labels) + 1))
+    names, raws = [], []
+    for k, label in enumerate(labels):
+        mine = order[ends[k] : ends[k + 1]]
+        if len(mine):
+            out = io.BytesIO()
+            np.savez(out, **{n: _shrunk(c[mine]) for n, c in columns.items()})
+            names.append(label)
+            raws.append(zlib.compress(out.getvalue(), 1))
+    yield pa.record_batch([pa.array(names, pa.int32()), pa.array(raws, pa.binary())], ["lot", "data"])
+
+
+def _shrunk(c: np.ndarray) -> np.ndarray:
+    """The same numbers in the narrowest unsigned type, byte by byte, which compresses better."""
+    top = int(c.max(initial=0))
+    kind = next(t for t in (np.uint8, np.uint16, np.uint32, np.uint64) if top <= np.iinfo(t).max)
+    return np.ascontiguousarray(c.astype(kind).view(np.uint8).reshape(len(c), -1).T)
+
+
+def _grown(c: np.ndarray) -> np.ndarray:
+    wide = np.ascontiguousarray(c.T)
+    return wide.view(f"<u{wide.shape[1]}").ravel().astype(np.uint64)
+
+
+def _opened(raw: bytes) -> dict[str, np.ndarray]:
+    with np.load(io.BytesIO(zlib.decompress(raw))) as z:
+        return {n: _grown(z[n]) for n in z.files}
+
+
+def _postings(texts: DataFrame, size: int, min_words: int, t: float, sketch: np.ndarray, labels: list[int], most: int) -> DataFrame:
+    """Lots of postings: ``group`` (gaps of sorted 40-bit run keys), ``doc``, ``n``, ``left1``, ``left2``, ``side``.
+
+    ``left``: how many runs of the text are not before this one in that order, 0 if it is
+    beyond the prefix. A run of many texts is dealt to cells of pairs of blocks, each with at
+    most two blocks of ``most`` texts; ``side`` tells which of two different blocks a text is in.
     """
     held = texts.sparkSession.sparkContext.broadcast(sketch)
 
@@ -131,50 +174,144 @@ def _postings(texts: DataFrame, size: int, min_words: int, t: float, sketch: np.
                 continue
             begin = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
             n = np.diff(np.append(begin, len(runs)))
-            doc = _doc_key(b.column("whole").to_numpy())[owner]
+            doc = _doc_key(b.column("whole").to_numpy())[owner].astype(np.uint64)
             c0, c1 = _cells(runs)
             seen = np.minimum(counts[0][c0], counts[1][c1]).astype(np.int64)
             size_of = np.repeat(n, n)
             long = size_of - np.ceil(size_of * t - 1e-9).astype(np.int64) + SHARED
-            short = size_of - np.ceil(2 * size_of * t / (1 + t) - 1e-9).astype(np.int64) + SHARED
-            left, near = [], np.zeros(len(runs), bool)
+            left = []
             with np.errstate(over="ignore"):
                 other = mix64(runs + np.uint64(1))
-            for high, bits, low in ((seen, 16, runs), (np.frexp(seen)[1], 5, other)):
+            for high, bits, low in ((np.minimum(seen, 65535), 16, runs), (np.frexp(seen)[1], 6, other)):
                 order = ordered(owner, high, bits, low)
                 place = np.empty(len(runs), np.int64)
                 place[order] = np.arange(len(runs)) - np.repeat(begin, n)
                 left.append(np.where(place < long, size_of - place, 0))
-                near |= place < short
             # a count of one is exact: nobody else has that run
             keep = (seen > 1) & ((left[0] > 0) | (left[1] > 0))
-            at = np.minimum(size_of, CAP) << 40 | np.minimum(left[0], CAP) << 20 | np.minimum(left[1], CAP)
-            yield pa.record_batch([pa.array((runs[keep] >> np.uint64(24)).view(np.int64)), pa.array(doc[keep]), pa.array(at[keep]), pa.array(near[keep])], ["run", "doc", "at", "short"])
-
-    return texts.select("title", "body", "whole").mapInArrow(post, "run long, doc long, at long, short boolean")
+            group, side = runs[keep], np.zeros(int(keep.sum()), np.int64)
+            cols = [c[keep] for c in (doc, size_of, left[0], left[1])]
+            hot = np.flatnonzero(seen[keep] > most)
+            if len(hot):
+                blocks = -(-seen[keep][hot] // most)
+                mine = (mix64(cols[0][hot]) % blocks.astype(np.uint64)).astype(np.int64)
+                again = np.repeat(np.arange(len(hot)), blocks)
+                other_block = np.arange(len(again)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+                low, high = np.minimum(mine[again], other_block), np.maximum(mine[again], other_block)
+                with np.errstate(over="ignore"):
+                    cell = mix64(group[hot][again] ^ mix64((low << 32 | high).astype(np.uint64) + np.uint64(1)))
+                cold = np.ones(len(group), bool)
+                cold[hot] = False
+                side = np.concatenate([side[cold], np.where(low == high, 0, np.where(mine[again] == low, 1, 2))])
+                group = np.concatenate([group[cold], cell])
+                cols = [np.concatenate([c[cold], c[hot][again]]) for c in cols]
+            key = group >> np.uint64(24)
+            place = (mix64(key) % np.uint64(len(labels))).astype(np.int64)
+            order = np.argsort(key)
+            place, key = place[order], key[order]
+            # within a lot keys are sorted, so their gaps are small
+            seq = np.argsort(place, kind="stable")
+            gap = np.empty(len(key), np.uint64)
+            sorted_key, sorted_place = key[seq], place[seq]
+            step = np.append(sorted_key[:1], sorted_key[1:] - np.where(sorted_place[1:] == sorted_place[:-1], sorted_key[:-1], 0))
+            gap[seq] = step
+            yield from _lots(place, labels, group=gap, side=side[order], **dict(zip(("doc", "n", "left1", "left2"), (c[order] for c in cols))))
+
+    return texts.select("title", "body", "whole").mapInArrow(post, LOT_SCHEMA)
+
+
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict[str, np.ndarray]]]:
+    """All lots of each label, one label after another."""
+    by: dict[int, list[bytes]] = {}
+    for b in batches:
+        for k, raw in zip(b.column("lot").to_pylist(), b.column("data").to_pylist()):
+            by.setdefault(k, []).append(raw)
+    for k in sorted(by):
+        yield [_opened(raw) for raw in by.pop(k)]
+
+
+def _meetings(lots: list[dict[str, np.ndarray]], t: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """``pair, first, second``: pairs that meet within a prefix, with their votes under both orders, in slabs."""
+    group = np.concatenate([np.cumsum(x["group"]) for x in lots]) if lots else np.zeros(0, np.uint64)
+    doc, n, left1, left2, side = (np.concatenate([x[c] for x in lots]) for c in ("doc", "n", "left1", "left2", "side"))
+    order = np.lexsort((doc, n, group))
+    group, doc, n, left1, left2, side = group[order], doc[order], n[order].astype(np.int64), left1[order].astype(np.int64), left2[order].astype(np.int64), side[order]
+    # copies post the same: one of them is enough
+    fresh = np.append(True, (group[1:] != group[:-1]) | (doc[1:] != doc[:-1]))[: len(group)]
+    group, doc, n, left1, left2, side = (c[fresh] for c in (group, doc, n, left1, left2, side))
+    if not len(group):
+        return
+    number = np.cumsum(np.append(0, group[1:] != group[:-1]))
+    wide = int(n.max()) + 1
+    far = np.minimum(np.floor(n / t + 1e-9).astype(np.int64), wide - 1)
+    end = np.searchsorted(number * wide + n, number * wide + far, "right")
+    # the smaller text needs only the prefix for partners of at least its size
+    short = np.maximum(left1, left2) > np.ceil(2 * n * t / (1 + t) - 1e-9).astype(np.int64) - SHARED
+    count = np.where(short, end - np.arange(len(n)) - 1, 0)
+    upto = np.cumsum(count)
+    at = 0
+    while at < len(n):
+        base = upto[at - 1] if at else 0
+        stop = max(at + 1, int(np.searchsorted(upto, base + SLAB, "right")))
+        i = np.repeat(np.arange(at, stop), count[at:stop])
+        j = np.arange(len(i)) - np.repeat(upto[at:stop] - count[at:stop] - base, count[at:stop]) + i + 1
+        at = stop
+        if not len(i):
+            continue
+        need = np.ceil((n[i] + n[j]) * (t / (1 + t)) - 1e-9).astype(np.int64)
+        slack = np.minimum(SHARED, need) - need
+        first, second = np.minimum(left1[i], left1[j]) + slack > 0, np.minimum(left2[i], left2[j]) + slack > 0
+        keep = (first | second) & ((side[i] == 0) | (side[i] != side[j])) & (doc[i] != doc[j])
+        i, j, need, first, second = i[keep], j[keep], need[keep], first[keep], second[keep]
+        # where the pair demands fewer than SHARED meetings, one is enough
+        unit = np.where(need < SHARED, SHARED, 1)
+        yield doc[i] << np.uint64(32) | doc[j], first * unit, second * unit
+
+
+def _added(pair: np.ndarray, first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Votes per pair, sorted by pair, kept at SHARED."""
+    order = np.argsort(pair)
+    pair, first, second = pair[order], first[order], second[order]
+    at = np.flatnonzero(np.append(True, pair[1:] != pair[:-1])[: len(pair)])
+    if not len(at):
+        return pair, first, second
+    return pair[at], np.minimum(np.add.reduceat(first, at), SHARED), np.minimum(np.add.reduceat(second, at), SHARED)
+
+
+def candidate_keys(texts: DataFrame, size: int, min_words: int, t: float, most: int = HOT) -> DataFrame:
+    """``a, b``: keys of pairs that pass the filters of every order, from the texts of ``_keyed``."""
+    spark = texts.sparkSession
+    labels = _labels(spark)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for lots in _gathered(batches):
+            sums, pending = [], 0
+            for x in _meetings(lots, t):
+                sums.append(x)
+                pending += len(x[0])
+                if pending > 4 * SLAB:
+                    sums = [_added(*map(np.concatenate, zip(*sums)))]
+                    pending = len(sums[0][0])
+            if sums:
+                pair, first, second = _added(*map(np.concatenate, zip(*sums)))
+                place = (mix64(pair) % np.uint64(len(labels))).astype(np.int64)
+                seq = np.argsort(place, kind="stable")
+                sorted_pair, sorted_place = pair[seq], place[seq]
+                gap = np.empty(len(pair), np.uint64)
+                gap[seq] = np.append(sorted_pair[:1], sorted_pair[1:] - np.where(sorted_place[1:] == sorted_place[:-1], sorted_pair[:-1], 0))
+                yield from _lots(place, labels, pair=gap, votes=(first << 8 | second).astype(np.uint64))
 
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for lots in _gathered(batches):
+            pair = np.concatenate([np.cumsum(x["pair"]) for x in lots])
+            votes = np.concatenate([x["votes"] for x in lots]).astype(np.int64)
+            pair, first, second = _added(pair, votes >> 8, votes & 255)
+            pair = pair[(first >= SHARED) & (second >= SHARED)]
+            yield pa.record_batch([pa.array((pair >> np.uint64(32)).astype(np.int64)), pa.array((pair & np.uint64(0xFFFFFFFF)).astype(np.int64))], ["a", "b"])
 
-def candidate_keys(texts: DataFrame, size: int, min_words: int, t: float) -> DataFrame:
-    """``a, b``: keys of pairs that pass the filters of every order, from the texts of ``_keyed``."""
-    # one exchange by run serves the removal of copies and both sides of the join
-    post = _postings(texts, size, min_words, t, _sketch(texts, size, min_words)).repartition("run").dropDuplicates(["run", "doc"])
-    part = lambda k: F.shiftright("at", k).bitwiseAND(F.lit(CAP)).cast("int")
-    x = post.filter("short").select("run", F.col("doc").alias("a"), part(40).alias("na"), part(20).alias("a1"), part(0).alias("a2"))
-    y = post.select("run", F.col("doc").alias("b"), part(40).alias("nb"), part(20).alias("b1"), part(0).alias("b2"))
-    # the smaller text is on the left, so that its shorter prefix does
-    smaller = (F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))
-    need = F.ceil((F.col("na") + F.col("nb")) * F.lit(t / (1 + t)) - F.lit(1e-9)).cast("int")
-    slack = F.least(F.lit(SHARED), need) - need
-    first, second = F.least("a1", "b1") + slack > 0, F.least("a2", "b2") + slack > 0
-    # at the limit of 20 bits sizes are unknown: such texts only meet one another, unfiltered
-    met = x.join(y, (x["run"] == y["run"]) & smaller & (F.col("nb") * F.lit(t) <= F.col("na") + F.lit(1e-9)) & (first | second))
-    # a meeting counts once; where the pair demands fewer than SHARED, one is enough
-    unit = F.when(need < SHARED, F.lit(SHARED)).otherwise(F.lit(1)).cast("bigint")
-    pair = F.shiftleft("a", 32).bitwiseOR(F.col("b"))
-    votes = F.when(first, F.shiftleft(unit, 32)).otherwise(F.lit(0).cast("bigint")) + F.when(second, unit).otherwise(F.lit(0).cast("bigint"))
-    counted = met.select(pair.alias("pair"), votes.alias("votes")).groupBy("pair").agg(F.sum("votes").alias("votes"))
-    passed = counted.filter((F.shiftright("votes", 32) >= SHARED) & (F.col("votes").bitwiseAND(F.lit(0xFFFFFFFF)) >= SHARED))
-    return passed.select(F.shiftrightunsigned("pair", 32).alias("a"), F.col("pair").bitwiseAND(F.lit(0xFFFFFFFF)).alias("b"))
+    lots = _postings(texts, size, min_words, t, _sketch(texts, size, min_words), labels, most)
+    return lots.repartition(parts, "lot").mapInArrow(meet, LOT_SCHEMA).repartition(parts, "lot").mapInArrow(count, "a long, b long")
 
 
 def _marked(keys: DataFrame) -> np.ndarray:
@@ -236,9 +373,9 @@ class NearDuplicates:
     ``members``: ``whole, id``; ``links``: ``wa, wb, similarity`` between distinct texts, wa < wb.
     """
 
-    def __init__(self, texts: DataFrame, size: int = 5, min_words: int = 20, threshold: float = 0.8):
+    def __init__(self, texts: DataFrame, size: int = 5, min_words: int = 20, threshold: float = 0.8, most: int = HOT):
         texts = _keyed(texts)
-        candidates = stored(candidate_keys(texts, size, min_words, threshold), "pairs")
+        candidates = stored(candidate_keys(texts, size, min_words, threshold, most), "pairs")
         release(texts.sparkSession)
         self.members = texts.select("whole", "id").distinct()
         # 32-bit keys may be shared by different texts, which then take part under that key, also with one another;
@@ -246,8 +383,10 @@ class NearDuplicates:
         by_key = self.members.groupBy("whole").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).select(F.shiftrightunsigned("whole", 32).alias("doc"), "whole", (F.col("lo") < F.col("hi")).alias("copied"))
         extra = stored(by_key.groupBy("doc").agg(F.max("copied").alias("copied"), (F.count(F.lit(1)) > 1).alias("shared")).filter("copied OR shared"), "extra")
         keys = candidates.select(F.explode(F.array("a", "b")).alias("doc")).unionByName(extra.select("doc"))
-        one = stored(run_sets(texts, size, min_words, _marked(keys)).dropDuplicates(["whole"]), "sets")
-        self.long_enough = one.select("whole")
+        sets = stored(run_sets(texts, size, min_words, _marked(keys)), "sets")
+        self.long_enough = sets.select("whole").distinct()
+        # one exchange by key removes copies and serves both joins
+        one = sets.repartition("doc").dropDuplicates(["doc", "whole"])
         both = candidates.unionByName(extra.filter("shared").select(F.col("doc").alias("a"), F.col("doc").alias("b")))
         left = one.select(F.col("doc").alias("a"), F.col("whole").alias("w1"), F.col("runs").alias("x"))
         right = one.select(F.col("doc").alias("b"), F.col("whole").alias("w2"), F.col("runs").alias("y"))
