@@ -19,6 +19,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
 from quillgraph.plans.skew import lookup_join
 from quillgraph.session import stored
@@ -100,7 +101,7 @@ def _variants(c: Column) -> Column:
     return F.array_distinct(F.concat(F.array(c), once, F.when(F.length(c) > 5, twice).otherwise(F.array().cast("array<string>"))))
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(IntegerType())
 def edits(a: pd.Series, b: pd.Series) -> pd.Series:
     """Edit distance with swaps of neighbours; more than MAX_EDITS is reported as such."""
 

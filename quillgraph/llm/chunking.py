@@ -108,8 +108,8 @@ def cut_places(data: bytes, limit: int, overlap: int, least: int, landmarks: np.
     places, ranks = _boundaries(data, heads, gaps)
     ends, begin, n = [], 0, len(data)
     while n - begin > most:
-        # the first piece must hold the overlap of the second
-        low, high = begin + (least if begin else min(most, max(least, overlap))), begin + most
+        # the first piece has no overlap of its own and must hold that of the second
+        low, high = (begin + least, begin + most) if begin else (max(least, overlap), most + overlap)
         k = np.searchsorted(landmarks, low)
         aim = int(landmarks[k]) if k < len(landmarks) and landmarks[k] <= high else high
         i, j = np.searchsorted(places, low), np.searchsorted(places, high, "right")

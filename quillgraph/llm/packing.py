@@ -143,7 +143,7 @@ def pack(counts: DataFrame, limits: DataFrame, key: str = "doc_id", shard: int =
         raise ValueError(f"more than {MAX_LIMITS} capacities")
     capacities = [(r[0], r[1]) for r in rows]
     kind = dict(counts.dtypes)[key]
-    items = counts.filter("tokens > 0").groupBy(key).agg(F.max("tokens").alias("tokens"))
+    items = counts.filter(F.col(key).isNotNull() & (F.col("tokens") > 0)).groupBy(key).agg(F.max("tokens").alias("tokens"))
     shards = max(1, -(-items.count() // shard))
     spread = items.withColumn("shard", F.pmod(F.xxhash64(key), F.lit(shards)).cast("int"))
     # several shards may share a task; they are worked on one after another
