@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Keys handled apart. A key holding more than 1/HOT_KEYS of the rows is always among them,
@@ -35,3 +35,16 @@ def lookup_join(facts: DataFrame, dim: DataFrame, on: list[str], how: str = "inn
     warm = facts.join(F.broadcast(hot_dim.drop("__hot") if how == "left" else hot.join(dim, on)), on, "inner")
     cols = [*facts.columns, *extra]
     return cold.select(*cols).unionByName(warm.select(*cols))
+
+
+def even_labels(spark: SparkSession, parts: int) -> list[int]:
+    """``parts`` integers of which hash partitioning into ``parts`` puts exactly one into each partition.
+
+    Work dealt to these labels is spread evenly, where consecutive numbers would collide.
+    """
+    wide = 8
+    while True:
+        rows = spark.range(wide * parts, numPartitions=1).select(F.col("id").cast("int").alias("k")).groupBy(F.pmod(F.hash("k"), F.lit(parts)).alias("p")).agg(F.min("k").alias("k")).collect()
+        if len(rows) == parts:
+            return [r["k"] for r in sorted(rows)]
+        wide *= 4
