@@ -33,10 +33,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillgraph.llm.words import mix64, ordered, shingles, word_hashes
+from quillgraph.plans.skew import even_labels
 from quillgraph.session import discard, release, stored
 
 SKETCH_BITS = 22
@@ -118,13 +119,6 @@ def _doc_key(whole: np.ndarray) -> np.ndarray:
     return (whole.view(np.uint64) >> np.uint64(32)).astype(np.int64)
 
 
-def _labels(spark: SparkSession) -> list[int]:
-    """One number per shuffle partition that hash partitioning sends there, so that lots are spread evenly."""
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = spark.range(64 * parts, numPartitions=1).select(F.col("id").cast("int").alias("k")).groupBy(F.pmod(F.hash("k"), F.lit(parts)).alias("p")).agg(F.min("k").alias("k")).collect()
-    return [r["k"] for r in rows]
-
-
 def _lots(place: np.ndarray, labels: list[int], **columns: np.ndarray) -> Iterator[pa.RecordBatch]:
     """Rows cut by ``place`` into one compressed lot per label; ``place`` is the index of the label."""
     order = np.argsort(place, kind="stable")
@@ -281,8 +275,8 @@ def _added(pair: np.ndarray, first: np.ndarray, second: np.ndarray) -> tuple[np.
 def candidate_keys(texts: DataFrame, size: int, min_words: int, t: float, most: int = HOT) -> DataFrame:
     """``a, b``: keys of pairs that pass the filters of every order, from the texts of ``_keyed``."""
     spark = texts.sparkSession
-    labels = _labels(spark)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    labels = even_labels(spark, parts)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lots in _gathered(batches):

@@ -28,11 +28,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SHARD = 20_000
+from quillgraph.plans.skew import even_labels
+from quillgraph.session import stored
+
+SHARD = 10_000
 PASSES = 8
 #: Containers looked at per pass for partners of one underfull container.
 PARTNERS = 64
 MAX_LIMITS = 1_000
+TASKS = 4_096
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: how the byte-level vocabulary splits a text before merging.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -144,10 +148,14 @@ def pack(counts: DataFrame, limits: DataFrame, key: str = "doc_id", shard: int =
     capacities = [(r[0], r[1]) for r in rows]
     kind = dict(counts.dtypes)[key]
     items = counts.filter(F.col(key).isNotNull() & (F.col("tokens") > 0)).groupBy(key).agg(F.max("tokens").alias("tokens"))
+    items = stored(items, "items")
     shards = max(1, -(-items.count() // shard))
-    spread = items.withColumn("shard", F.pmod(F.xxhash64(key), F.lit(shards)).cast("int"))
-    # several shards may share a task; they are worked on one after another
-    ordered = spread.repartition(max(1, min(shards, 10_000)), "shard").sortWithinPartitions("shard", key)
+    number = F.pmod(F.xxhash64(key), F.lit(shards)).cast("int")
+    # one shard per task; beyond TASKS shards several share one and are worked on one after another
+    parts = min(shards, TASKS)
+    labels = F.array(*[F.lit(k) for k in even_labels(items.sparkSession, parts)])
+    spread = items.withColumn("shard", number).withColumn("task", F.get(labels, F.pmod("shard", F.lit(parts))))
+    ordered = spread.repartition(parts, "task").drop("task").sortWithinPartitions("shard", key)
 
     def fill(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[pd.DataFrame] = []
