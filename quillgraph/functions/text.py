@@ -14,7 +14,15 @@ def slugify(c: Column, most: int = 80) -> Column:
 
 def cut_bytes(c: Column, most: int) -> Column:
     """The longest prefix of at most ``most`` UTF-8 bytes that ends between characters."""
-    return F.when(F.octet_length(c) <= most, c).otherwise(F.regexp_replace(F.decode(F.substring(F.encode(c, "utf-8"), 1, most), "utf-8"), "�+$", ""))
+    raw = c.cast("binary")
+
+    def prefix(n: int) -> Column:
+        return F.substring(raw, 1, n).cast("string")
+
+    out = prefix(max(0, most - 3))
+    for n in range(max(0, most - 2), most + 1):
+        out = F.when(F.hex(F.substring(raw, n + 1, 1)).between("80", "BF"), out).otherwise(prefix(n))
+    return F.when(F.octet_length(c) <= most, c).otherwise(out)
 
 
 def word_count(c: Column) -> Column:

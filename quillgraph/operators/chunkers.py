@@ -79,9 +79,10 @@ def fixed_chunks(text: str | None, limit: int = 2000, overlap: int = 500, least:
         out.append(data[at:end].decode("utf-8", "surrogatepass"))
         if end == len(data):
             break
-        at = max(at + 1, end - overlap)
-        while data[at] & 0xC0 == 0x80:
-            at -= 1
+        back = end - overlap
+        while back > at and data[back] & 0xC0 == 0x80:
+            back -= 1
+        at = back if back > at else end
     return out
 
 

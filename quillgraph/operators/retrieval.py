@@ -23,7 +23,7 @@ def chunks(entries: DataFrame, key: str = "entry_id") -> DataFrame:
     )
 
 
-def search(entries: DataFrame, query: list[float], k: int = 5, since: str | None = None, before: str | None = None, where: Column | None = None, key: str = "entry_id") -> DataFrame:
+def search(entries: DataFrame, query: list[float], k: int = 5, since: str | None = None, before: str | None = None, where: Column | None = None, key: str = "entry_id", digits: int = 6) -> DataFrame:
     """The ``k`` entries whose best chunk is nearest to the query; ties by key.
 
     Bounds on the day drop entries without one; filters come before scoring, the best chunk
@@ -35,10 +35,10 @@ def search(entries: DataFrame, query: list[float], k: int = 5, since: str | None
         df = df.filter(day >= since)
     if before is not None:
         df = df.filter(day <= before)
-    q = F.array(*[F.lit(float(x)).cast("float") for x in query])
+    q = F.array(*[F.lit(float(x)) for x in query])
     scored = F.transform("chunk_embeddings", lambda v, i: F.struct(cosine(v, q).alias("score"), (-i).alias("neg")))
     best = F.array_max(scored)
-    out = df.filter(F.size("chunk_embeddings") > 0).withColumn("__b", best).withColumn("score", F.round("__b.score", 6)).withColumn("chunk_idx", -F.col("__b.neg"))
+    out = df.filter(F.size("chunk_embeddings") > 0).withColumn("__b", best).withColumn("score", F.round("__b.score", digits)).withColumn("chunk_idx", -F.col("__b.neg"))
     snippet = F.coalesce(F.get("body_chunks", F.col("chunk_idx")), F.get("body_chunks", F.lit(0)), F.get("chunk_texts", F.col("chunk_idx")))
     return out.orderBy(F.desc("score"), key).limit(k).select(key, "id", "title", "score", "chunk_idx", cut_bytes(snippet, 300).alias("snippet"))
 

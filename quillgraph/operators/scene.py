@@ -98,7 +98,8 @@ def crossings(lines: DataFrame, boxes: DataFrame, size: float = 512.0) -> DataFr
     low = lambda p, q: F.floor(F.least(p, q) / size)
     high = lambda p, q: F.floor(F.greatest(p, q) / size)
     at = lines.withColumn("cx", F.explode(F.sequence(low("ax", "bx"), high("ax", "bx")))).withColumn("cy", F.explode(F.sequence(low("ay", "by"), high("ay", "by")))).withColumnRenamed("id", "line")
-    met = at.join(_cells(boxes, size).withColumnRenamed("id", "box"), ["cx", "cy"]).filter("NOT (box <=> start_id) AND NOT (box <=> end_id)")
+    at = at.select("line", "ax", "ay", "bx", "by", "start_id", "end_id", "cx", "cy")
+    met = at.join(_cells(boxes.select(F.col("id").alias("box"), "x", "y", "width", "height"), size), ["cx", "cy"]).filter("NOT (box <=> start_id) AND NOT (box <=> end_id)")
     hit = g.segment_hits_box(F.col("ax"), F.col("ay"), F.col("bx"), F.col("by"), F.col("x") + 1, F.col("y") + 1, F.col("width") - 2, F.col("height") - 2)
     return met.filter(hit).select("line", "box").distinct()
 

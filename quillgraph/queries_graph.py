@@ -327,8 +327,7 @@ def j6_similarity_join(spark, sf):
 def v1_search(spark, sf):
     e = table(spark, sf, "document_entries")
     e = e.dropDuplicates(["entry_id"])
-    s = retrieval.search(e, [0.6, 0.0, 0.8], 500, since="2024-01-01").withColumn("score", F.round("score", 4))
-    return s.orderBy(F.desc("score"), "entry_id").limit(50).select("entry_id", "score")
+    return retrieval.search(e, [0.6, 0.0, 0.8], 50, since="2024-01-01", digits=4).select("entry_id", "score")
 
 
 @query(f"WITH {_N}, w AS (SELECT id, list_sort(list_distinct(list_filter(regexp_split_to_array(lower(coalesce(label, '')), '\\s+'), lambda x: x <> ''))) AS s FROM n) SELECT a.id AS a, b.id AS b, round(len(list_intersect(a.s, b.s)) / len(list_distinct(list_concat(a.s, b.s))), 6) AS score FROM w a JOIN w b ON a.id < b.id WHERE len(a.s) > 0 AND len(b.s) > 0 AND len(list_intersect(a.s, b.s)) / len(list_distinct(list_concat(a.s, b.s))) >= 0.7")
