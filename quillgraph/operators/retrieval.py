@@ -61,7 +61,7 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 10, key: str = "vec_id
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ids, q = held.value
             for b in batches:
-                mine = b.column(0).to_numpy()
+                mine = b.column(0).to_numpy(zero_copy_only=False)
                 v = _unit(np.array(b.column(1).to_pylist(), np.float64))
                 if not len(v):
                     continue
@@ -108,7 +108,7 @@ def within(rows: DataFrame, queries: DataFrame, threshold: float, key: str = "ve
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ids, q = held.value
             for b in batches:
-                mine = b.column(0).to_numpy()
+                mine = b.column(0).to_numpy(zero_copy_only=False)
                 if len(mine):
                     score = q @ _unit(np.array(b.column(1).to_pylist(), np.float64)).T
                     row, col = np.nonzero((score >= threshold) & (ids[:, None] != mine[None, :]))
@@ -142,7 +142,7 @@ def similarity_join(rows: DataFrame, threshold: float = 0.85, key: str = "vec_id
                 continue
             planes = np.random.default_rng(s).normal(size=(v.shape[1], t * w))
             marks = (v @ planes > 0).reshape(len(v), t, w) @ (1 << np.arange(w))
-            yield pa.record_batch([pa.array(np.repeat(b.column("name").to_numpy(), t)), pa.array(np.repeat(v, t, axis=0).tolist(), pa.list_(pa.float64())), pa.array((np.tile(np.arange(t), len(v)) << 32) | marks.ravel())], ["name", "v", "mark"])
+            yield pa.record_batch([pa.array(np.repeat(b.column("name").to_numpy(zero_copy_only=False), t)), pa.array(np.repeat(v, t, axis=0).tolist(), pa.list_(pa.float64())), pa.array((np.tile(np.arange(t), len(v)) << 32) | marks.ravel())], ["name", "v", "mark"])
 
     at = classes.select("name", "v").mapInArrow(sign, f"name {kind}, v array<double>, mark long")
     x, y = at.select(F.col("name").alias("a"), F.col("v").alias("va"), "mark"), at.select(F.col("name").alias("b"), F.col("v").alias("vb"), "mark")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quillgraph.functions import text as t
 from quillgraph.functions.refs import reference_key
 from quillgraph.functions.vectors import normalised
-from quillgraph.operators import changes, filters, graph, model, quality, retrieval, stats
+from quillgraph.operators import changes, context, filters, graph, model, quality, retrieval, stats
 from quillgraph.operators.chunkers import chunked
 from quillgraph.operators.filters import FilterSet
 from quillgraph.session import stored, table
@@ -458,3 +458,114 @@ def g36_decay(spark, sf):
     day = t.day_prefix(F.col("created"))
     n = table(spark, sf, "graph_nodes").select("id", day.alias("d")).filter("d IS NOT NULL")
     return n.select("id", F.round(changes.decayed(F.lit(0.9), F.col("d"), F.lit("2025-06-01").cast("date")), 6).alias("weight")).distinct()
+
+
+# ---- context
+
+
+@query(f"WITH RECURSIVE {BASE}, c AS (SELECT DISTINCT target AS src, source AS dst FROM e WHERE type = 'parent'), r AS (SELECT src AS seed, dst AS id FROM c UNION SELECT r.seed, c.dst FROM r JOIN c ON c.src = r.id) SELECT seed, r.id FROM r JOIN n ON n.id = r.id WHERE seed <> r.id AND n.deleted_at IS NULL")
+def g6_live_descendants(spark, sf):
+    n = stored(_nodes(spark, sf), "nodes")
+    e = model.resolved_edges(table(spark, sf, "edges"), n).filter("type = 'parent'")
+    return context.descendants_where(e.select(F.col("target").alias("src"), F.col("source").alias("dst")), n, F.col("deleted_at").isNull()).select("seed", "id")
+
+
+@query(f"WITH {BASE}, x AS (SELECT source AS id, target AS other, type AS kind FROM e UNION ALL SELECT target, source, '<' || type FROM e), s AS (SELECT DISTINCT a.source AS id, b.source AS other FROM e a JOIN e b ON a.target = b.target AND a.source <> b.source WHERE a.type = 'parent' AND b.type = 'parent'), c AS (SELECT id, count(*) FILTER (kind = 'parent') AS p, count(*) FILTER (kind = '<parent') AS k, count(*) FILTER (kind = 'depends_on') AS d, count(*) FILTER (kind = '<depends_on') AS w, array_to_string(list_sort(list(other) FILTER (kind = 'parent'))[1:5], ',') AS ps FROM x GROUP BY id) SELECT n.id, c.p AS n_parents, c.k AS n_children, c.d AS n_needs, c.w AS n_waiting, (SELECT count(*) FROM s WHERE s.id = n.id) AS n_siblings, nullif(c.ps, '') AS parents FROM n JOIN c ON c.id = n.id WHERE c.p + c.k + c.d + c.w > 0")
+def g42_local_context(spark, sf):
+    n = stored(_nodes(spark, sf), "nodes")
+    c = context.local_context(model.resolved_edges(table(spark, sf, "edges"), n), n)
+    some = c.filter("n_parents + n_children + n_needs + n_waiting > 0")
+    return some.select("id", "n_parents", "n_children", "n_needs", "n_waiting", "n_siblings", F.array_join("parents", ",").alias("parents"))
+
+
+@query(f"WITH RECURSIVE {BASE}, c AS (SELECT DISTINCT target AS src, source AS dst FROM e WHERE type = 'parent'), t AS (SELECT id FROM n WHERE node_type = 'epic'), r AS (SELECT id AS seed, id FROM t UNION SELECT r.seed, c.dst FROM r JOIN c ON c.src = r.id), h AS (SELECT DISTINCT e.source AS id FROM e JOIN n ON n.id = e.target WHERE e.type = 'contributes_to' AND n.node_type IN ('target', 'goal')) SELECT id FROM t WHERE id NOT IN (SELECT seed FROM r WHERE id IN (SELECT id FROM h))")
+def g40_disconnected_epics(spark, sf):
+    n = stored(_nodes(spark, sf), "nodes")
+    e = stored(model.resolved_edges(table(spark, sf, "edges"), n), "edges")
+    kids = e.filter("type = 'parent'").select(F.col("target").alias("src"), F.col("source").alias("dst"))
+    aims = n.filter("node_type IN ('target', 'goal')").select(F.col("id").alias("target"))
+    hit = e.filter("type = 'contributes_to'").join(aims, "target", "left_semi").select(F.col("source").alias("id"))
+    return context.without_reach(n.filter("node_type = 'epic'").select("id"), kids, hit)
+
+
+@query(f"WITH RECURSIVE {BASE}, d AS (SELECT DISTINCT target AS src, source AS dst FROM e WHERE type = 'depends_on'), r AS (SELECT id FROM n WHERE status = 'blocked' UNION SELECT d.dst FROM r JOIN d ON d.src = r.id) SELECT DISTINCT id FROM r")
+def g17_held_up(spark, sf):
+    """Blocked nodes and all that wait for them, directly or not."""
+    n = stored(_nodes(spark, sf), "nodes")
+    e = model.resolved_edges(table(spark, sf, "edges"), n).filter("type = 'depends_on'")
+    return context.spread_from(e.select(F.col("target").alias("src"), F.col("source").alias("dst")), n.filter("status = 'blocked'").select("id"))
+
+
+@query()
+def g38_duplicate_groups(spark, sf):
+    """Nodes joined by similar titles, with the one to keep."""
+    n = stored(_nodes(spark, sf), "nodes")
+    groups = stored(context.duplicate_groups(n), "groups")
+    best = context.canonical_members(groups, n, F.col("created"), F.lit(0), F.col("word_count"))
+    return groups.join(best.select("group", F.col("id").alias("canonical")), "group").select("id", "group", "size", "canonical")
+
+
+@query()
+def g43_reading_order(spark, sf):
+    """What hangs from the roots that have children, depth first, four levels deep."""
+    n = stored(_nodes(spark, sf), "nodes")
+    e = stored(model.resolved_edges(table(spark, sf, "edges"), n), "edges")
+    kinds = F.when(F.col("type") == "depends_on", 0).when(F.col("type") == "soft_depends_on", 1).when(F.col("type") == "parent", 2)
+    tree = e.withColumn("rank", kinds).filter("rank IS NOT NULL").select(F.col("target").alias("src"), F.col("source").alias("dst"), "rank")
+    tops = model.roots(n, e).join(tree.select(F.col("src").alias("id")).distinct(), "id", "left_semi").join(tree.select(F.col("dst").alias("id")).distinct(), "id", "left_anti")
+    return context.reading_order(tree, tops, 4)
+
+
+@query()
+def g51_closing_links(spark, sf):
+    """Soft dependencies that would close a circle if they were hard ones."""
+    e = stored(_edges(spark, sf), "edges")
+    hard = e.filter("type = 'depends_on'").select(F.col("source").alias("src"), F.col("target").alias("dst"))
+    soft = e.filter("type = 'soft_depends_on'").select(F.col("source").alias("src"), F.col("target").alias("dst"))
+    return context.closing_links(hard, soft).select("src", "dst", F.array_join("path", ">").alias("path"))
+
+
+@query("SELECT DISTINCT entry_id, best, chunks FROM (SELECT entry_id, len(chunk_embeddings) AS chunks, list_position(s, list_max(s)) - 1 AS best FROM (SELECT *, list_transform(chunk_embeddings, lambda v: list_cosine_similarity(CAST(v AS DOUBLE[]), [0.0, 1.0, 0.0])) AS s FROM document_entries WHERE len(chunk_embeddings) > 0))")
+def a6_best_chunk(spark, sf):
+    """The chunk of every entry that is nearest to a direction, the first of equals."""
+    from quillgraph.functions.vectors import cosine
+
+    q = F.array(F.lit(0.0), F.lit(1.0), F.lit(0.0))
+    e = table(spark, sf, "document_entries").filter(F.size("chunk_embeddings") > 0)
+    best = F.array_max(F.transform("chunk_embeddings", lambda v, i: F.struct(cosine(v, q).alias("s"), (-i).alias("i"))))
+    return e.select("entry_id", (-best["i"]).cast("bigint").alias("best"), F.size("chunk_embeddings").cast("bigint").alias("chunks")).distinct()
+
+
+@query("SELECT f.req_id, f.id, CASE WHEN d.status IS NULL AND f.status IS NOT NULL THEN 'added' WHEN f.status IS NULL AND d.status IS NOT NULL THEN 'cleared' WHEN f.status IS DISTINCT FROM d.status THEN 'changed' ELSE 'same' END AS change FROM (SELECT DISTINCT req_id, id, status FROM doc_fields WHERE id IS NOT NULL) f JOIN (SELECT DISTINCT id, status FROM pkb_documents) d ON d.id = f.id")
+def u6_status_requests(spark, sf):
+    """What each request to write would do to the status of the document it names."""
+    f = table(spark, sf, "doc_fields").filter("id IS NOT NULL").select("req_id", "id", F.col("status").alias("new")).distinct()
+    d = table(spark, sf, "pkb_documents").select("id", F.col("status").alias("old")).distinct()
+    kind = F.when(F.col("old").isNull() & F.col("new").isNotNull(), "added").when(F.col("new").isNull() & F.col("old").isNotNull(), "cleared").when(~F.col("new").eqNullSafe(F.col("old")), "changed").otherwise("same")
+    return f.join(d, "id").select("req_id", "id", kind.alias("change"))
+
+
+@query("SELECT DISTINCT cluster_id, coalesce(array_to_string(list_sort(list(DISTINCT status) FILTER (status IS NOT NULL)), ','), '') AS statuses FROM duplicate_entries GROUP BY cluster_id")
+def u1_merged_lists(spark, sf):
+    """Union of the values of each cluster, in order."""
+    e = table(spark, sf, "duplicate_entries")
+    return e.groupBy("cluster_id").agg(F.array_join(F.array_sort(F.collect_set("status")), ",").alias("statuses"))
+
+
+@query()
+def r7_recall(spark, sf):
+    e = table(spark, sf, "document_entries").dropDuplicates(["entry_id"])
+    return context.recall(e, [0.6, 0.0, 0.8], ["memory", "note"], [], 10)
+
+
+@query()
+def v13_hybrid(spark, sf):
+    """Entries near a direction or near, in the graph, to the nodes that superseded others."""
+    n = stored(_nodes(spark, sf), "nodes")
+    e = stored(model.resolved_edges(table(spark, sf, "edges"), n), "edges")
+    links = e.select(F.col("source").alias("src"), F.col("target").alias("dst"))
+    centre = e.filter("type = 'supersedes'").agg(F.min("source").alias("id"))
+    near = graph.ego(links, centre, 2).select(F.col("seed").alias("query"), "id", "depth")
+    entries = table(spark, sf, "document_entries").dropDuplicates(["entry_id"])
+    hits = retrieval.search(entries, [0.6, 0.0, 0.8], 100).withColumn("one", F.lit(1)).join(F.broadcast(centre.select(F.col("id").alias("query"), F.lit(1).alias("one"))), "one").groupBy("query", "id").agg(F.max("score").alias("score"))
+    return retrieval.hybrid(hits, near)
