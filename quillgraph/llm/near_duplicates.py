@@ -18,7 +18,7 @@ The sketch only decides the order, never what is found: the result is exact. Cop
 share one key, so they meet others once, however many there are.
 
 Size of what moves: about half of each text's runs, once. Nothing but the sketch
-(``2 * 2**SKETCH_BITS`` cells) is broadcast.
+(``2 * 2**SKETCH_BITS`` bytes) is broadcast.
 
 Defined results: null titles and bodies count as empty; texts whose body has fewer than
 ``min_words`` words are left out; null ids are ignored; repeated rows count once; an empty
@@ -33,6 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -78,8 +79,17 @@ def _cells(runs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (runs & mask).astype(np.int64), ((runs >> np.uint64(SKETCH_BITS)) & mask).astype(np.int64)
 
 
+#: What the 256 codes of a sketch cell stand for: exact up to 63, then steps of about a tenth.
+LEVELS = np.concatenate([np.arange(64), np.unique(np.ceil(64 * 1.1 ** np.arange(192)).astype(np.int64))[:192]])
+
+
+def _coded(counts: np.ndarray) -> np.ndarray:
+    """The smallest code whose level is not below the count."""
+    return np.minimum(np.searchsorted(LEVELS, counts, "left"), len(LEVELS) - 1).astype(np.uint8)
+
+
 def _sketch(texts: DataFrame, size: int, min_words: int) -> np.ndarray:
-    """Two rows of counts that never fall short of the true ones."""
+    """Two rows of codes (see ``LEVELS``) of counts that never fall short of the true ones."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros((2, 1 << SKETCH_BITS), np.uint32)
@@ -102,9 +112,9 @@ def _sketch(texts: DataFrame, size: int, min_words: int) -> np.ndarray:
 
     schema = "block int, counts binary"
     parts = texts.select("title", "body").mapInArrow(count, schema).repartition(8, "block").mapInArrow(add, schema).collect()
-    out = np.zeros((2 << SKETCH_BITS) >> BLOCK_BITS << BLOCK_BITS, np.uint32).reshape(-1, 1 << BLOCK_BITS)
+    out = np.zeros((2 << SKETCH_BITS) >> BLOCK_BITS << BLOCK_BITS, np.uint8).reshape(-1, 1 << BLOCK_BITS)
     for r in parts:
-        out[r["block"]] = np.frombuffer(zlib.decompress(r["counts"]), np.uint32)
+        out[r["block"]] = _coded(np.frombuffer(zlib.decompress(r["counts"]), np.uint32))
     return out.reshape(2, -1)
 
 
@@ -119,16 +129,23 @@ def _doc_key(whole: np.ndarray) -> np.ndarray:
     return (whole.view(np.uint64) >> np.uint64(32)).astype(np.int64)
 
 
-def _lots(place: np.ndarray, labels: list[int], **columns: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Rows cut by ``place`` into one compressed lot per label; ``place`` is the index of the label."""
+def _lots(place: np.ndarray, labels: list[int], tables: dict[str, np.ndarray], **columns: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Rows cut by ``place``, the index of a label, into one compressed lot per label.
+
+    ``tables`` are what the column ``at`` points into; each lot gets the part that it uses.
+    """
     order = np.argsort(place, kind="stable")
     ends = np.searchsorted(place[order], np.arange(len(labels) + 1))
     names, raws = [], []
     for k, label in enumerate(labels):
         mine = order[ends[k] : ends[k + 1]]
         if len(mine):
+            part = {n: c[mine] for n, c in columns.items()}
+            if tables:
+                used, part["at"] = np.unique(part["at"], return_inverse=True)
+                part |= {n: c[used] for n, c in tables.items()}
             out = io.BytesIO()
-            np.savez(out, **{n: _shrunk(c[mine]) for n, c in columns.items()})
+            np.savez(out, **{n: _shrunk(c) for n, c in part.items()})
             names.append(label)
             raws.append(zlib.compress(out.getvalue(), 1))
     yield pa.record_batch([pa.array(names, pa.int32()), pa.array(raws, pa.binary())], ["lot", "data"])
@@ -151,15 +168,15 @@ def _opened(raw: bytes) -> dict[str, np.ndarray]:
         return {n: _grown(z[n]) for n in z.files}
 
 
-def _postings(texts: DataFrame, size: int, min_words: int, t: float, sketch: np.ndarray, labels: list[int], most: int) -> DataFrame:
-    """Lots of postings: ``group`` (gaps of sorted 40-bit run keys), ``doc``, ``n``, ``left1``, ``left2``, ``side``.
+def _postings(texts: DataFrame, size: int, min_words: int, t: float, held: Broadcast, labels: list[int], most: int) -> DataFrame:
+    """Lots of postings: ``group`` (gaps of sorted 40-bit run keys), ``at``, ``left1``, ``left2``, ``side``.
+
+    ``at`` is a place in the tables ``docs`` and ``sizes``: keys of texts and their numbers of runs.
 
     ``left``: how many runs of the text are not before this one in that order, 0 if it is
     beyond the prefix. A run of many texts is dealt to cells of pairs of blocks, each with at
     most two blocks of ``most`` texts; ``side`` tells which of two different blocks a text is in.
     """
-    held = texts.sparkSession.sparkContext.broadcast(sketch)
-
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = held.value
         for b in batches:
@@ -168,15 +185,16 @@ def _postings(texts: DataFrame, size: int, min_words: int, t: float, sketch: np.
                 continue
             begin = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
             n = np.diff(np.append(begin, len(runs)))
-            doc = _doc_key(b.column("whole").to_numpy())[owner].astype(np.uint64)
+            docs = _doc_key(b.column("whole").to_numpy())[owner[begin]].astype(np.uint64)
+            at = np.repeat(np.arange(len(begin)), n)
             c0, c1 = _cells(runs)
-            seen = np.minimum(counts[0][c0], counts[1][c1]).astype(np.int64)
+            seen = LEVELS[np.minimum(counts[0][c0], counts[1][c1])]
             size_of = np.repeat(n, n)
             long = size_of - np.ceil(size_of * t - 1e-9).astype(np.int64) + SHARED
             left = []
             with np.errstate(over="ignore"):
                 other = mix64(runs + np.uint64(1))
-            for high, bits, low in ((np.minimum(seen, 65535), 16, runs), (np.frexp(seen)[1], 6, other)):
+            for high, bits, low in ((np.minimum(counts[0][c0], counts[1][c1]), 8, runs), (np.frexp(seen)[1], 6, other)):
                 order = ordered(owner, high, bits, low)
                 place = np.empty(len(runs), np.int64)
                 place[order] = np.arange(len(runs)) - np.repeat(begin, n)
@@ -184,11 +202,11 @@ def _postings(texts: DataFrame, size: int, min_words: int, t: float, sketch: np.
             # a count of one is exact: nobody else has that run
             keep = (seen > 1) & ((left[0] > 0) | (left[1] > 0))
             group, side = runs[keep], np.zeros(int(keep.sum()), np.int64)
-            cols = [c[keep] for c in (doc, size_of, left[0], left[1])]
+            cols = [c[keep] for c in (at, left[0], left[1])]
             hot = np.flatnonzero(seen[keep] > most)
             if len(hot):
                 blocks = -(-seen[keep][hot] // most)
-                mine = (mix64(cols[0][hot]) % blocks.astype(np.uint64)).astype(np.int64)
+                mine = (mix64(docs[cols[0][hot]]) % blocks.astype(np.uint64)).astype(np.int64)
                 again = np.repeat(np.arange(len(hot)), blocks)
                 other_block = np.arange(len(again)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
                 low, high = np.minimum(mine[again], other_block), np.maximum(mine[again], other_block)
@@ -209,7 +227,7 @@ def _postings(texts: DataFrame, size: int, min_words: int, t: float, sketch: np.
             sorted_key, sorted_place = key[seq], place[seq]
             step = np.append(sorted_key[:1], sorted_key[1:] - np.where(sorted_place[1:] == sorted_place[:-1], sorted_key[:-1], 0))
             gap[seq] = step
-            yield from _lots(place, labels, group=gap, side=side[order], **dict(zip(("doc", "n", "left1", "left2"), (c[order] for c in cols))))
+            yield from _lots(place, labels, {"docs": docs, "sizes": n}, group=gap, side=side[order], **dict(zip(("at", "left1", "left2"), (c[order] for c in cols))))
 
     return texts.select("title", "body", "whole").mapInArrow(post, LOT_SCHEMA)
 
@@ -227,7 +245,8 @@ def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict[str, np.n
 def _meetings(lots: list[dict[str, np.ndarray]], t: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """``pair, first, second``: pairs that meet within a prefix, with their votes under both orders, in slabs."""
     group = np.concatenate([np.cumsum(x["group"]) for x in lots]) if lots else np.zeros(0, np.uint64)
-    doc, n, left1, left2, side = (np.concatenate([x[c] for x in lots]) for c in ("doc", "n", "left1", "left2", "side"))
+    doc, n = (np.concatenate([x[c][x["at"].astype(np.int64)] for x in lots]) for c in ("docs", "sizes"))
+    left1, left2, side = (np.concatenate([x[c] for x in lots]) for c in ("left1", "left2", "side"))
     order = np.lexsort((doc, n, group))
     group, doc, n, left1, left2, side = group[order], doc[order], n[order].astype(np.int64), left1[order].astype(np.int64), left2[order].astype(np.int64), side[order]
     # copies post the same: one of them is enough
@@ -294,7 +313,7 @@ def candidate_keys(texts: DataFrame, size: int, min_words: int, t: float, most:
                 sorted_pair, sorted_place = pair[seq], place[seq]
                 gap = np.empty(len(pair), np.uint64)
                 gap[seq] = np.append(sorted_pair[:1], sorted_pair[1:] - np.where(sorted_place[1:] == sorted_place[:-1], sorted_pair[:-1], 0))
-                yield from _lots(place, labels, pair=gap, votes=(first << 8 | second).astype(np.uint64))
+                yield from _lots(place, labels, {}, pair=gap, votes=(first << 8 | second).astype(np.uint64))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lots in _gathered(batches):
@@ -304,8 +323,11 @@ def candidate_keys(texts: DataFrame, size: int, min_words: int, t: float, most:
             pair = pair[(first >= SHARED) & (second >= SHARED)]
             yield pa.record_batch([pa.array((pair >> np.uint64(32)).astype(np.int64)), pa.array((pair & np.uint64(0xFFFFFFFF)).astype(np.int64))], ["a", "b"])
 
-    lots = _postings(texts, size, min_words, t, _sketch(texts, size, min_words), labels, most)
-    return lots.repartition(parts, "lot").mapInArrow(meet, LOT_SCHEMA).repartition(parts, "lot").mapInArrow(count, "a long, b long")
+    held = spark.sparkContext.broadcast(_sketch(texts, size, min_words))
+    lots = _postings(texts, size, min_words, t, held, labels, most)
+    out = stored(lots.repartition(parts, "lot").mapInArrow(meet, LOT_SCHEMA).repartition(parts, "lot").mapInArrow(count, "a long, b long"), "pairs")
+    held.destroy()
+    return out
 
 
 def _marked(keys: DataFrame) -> np.ndarray:
@@ -369,7 +391,7 @@ class NearDuplicates:
 
     def __init__(self, texts: DataFrame, size: int = 5, min_words: int = 20, threshold: float = 0.8, most: int = HOT):
         texts = _keyed(texts)
-        candidates = stored(candidate_keys(texts, size, min_words, threshold, most), "pairs")
+        candidates = candidate_keys(texts, size, min_words, threshold, most)
         release(texts.sparkSession)
         self.members = texts.select("whole", "id").distinct()
         # 32-bit keys may be shared by different texts, which then take part under that key, also with one another;
