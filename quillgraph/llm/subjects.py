@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from quillgraph.llm.words import LOT, code_points, hash_runs, letter_table
 from quillgraph.session import stored
 
-MAX_DOCS = 3_000
+MAX_DOCS = 5_000
 MAX_SUBJECTS = 1_000
 PARTS = 4
 DIM = 16
@@ -134,6 +134,8 @@ def _features(texts: list[str | None], marks: np.ndarray) -> bytes:
         unit=np.array([u for us in per for u in us], np.int64),
         unit_word=np.repeat(np.arange(len(per)), [len(u) for u in per]),
         words=np.array(len(per)),
+        by_word=np.argsort(word[keep], kind="stable").astype(np.int32),
+        by_unit=np.argsort([u for us in per for u in us], kind="stable").astype(np.int32),
         targets=np.zeros((0, 0), np.float32),
     )
 
@@ -156,10 +158,10 @@ def _gradient(f: dict[str, np.ndarray], table: np.ndarray, model: tuple, whole:
     goal = f["marks"] if whole else f["targets"]
     dz = (1 / (1 + np.exp(-z)) - goal).astype(np.float32) * np.float32(scale)
     back = (dz @ out.T) / size[:, None]
-    order = np.argsort(f["word"], kind="stable")
+    order = f["by_word"]
     dvec = _sums(back[owner[order]], f["word"][order], len(vec)) / per[:, None]
-    slot = table[f["unit"]]
-    order = np.argsort(slot, kind="stable")
+    # rows of units that are seen rise with the unit, so the order by unit is that by row
+    slot, order = table[f["unit"]], f["by_unit"]
     return [_sums(dvec[f["unit_word"][order]], slot[order], len(emb)), mean.T @ dz, dz.sum(0)]
 
 
