@@ -93,3 +93,27 @@ def xml_escape(c: Column) -> Column:
 def known_path(c: Column, root: str) -> Column:
     """Path below ``root``."""
     return F.when(c.startswith(root.rstrip("/") + "/"), c.substr(F.lit(len(root.rstrip("/")) + 2), F.length(c))).otherwise(c)
+
+
+def stem(path: Column) -> Column:
+    """File name without folder and ``.md``."""
+    return F.regexp_replace(F.regexp_replace(path, r"^.*/", ""), r"\.md$", "")
+
+
+def id_prefix(c: Column) -> Column:
+    """The kind that an id begins with: ``task`` of ``task-1a2b``; null without one."""
+    return F.nullif(F.regexp_extract(c, r"^([a-z]+)-[0-9a-z]", 1), F.lit(""))
+
+
+def seeded_id(prefix: str, *seed: Column) -> Column:
+    """An id made from its seed, so the same row always gets the same one."""
+    return F.concat(F.lit(prefix + "-"), F.substring(F.sha2(F.concat_ws("\x1f", *seed), 256), 1, 8))
+
+
+def readable_bytes(c: Column) -> Column:
+    """``512 B``, ``1.5 KB``, ``2.0 MB``."""
+    steps = [(1 << 30, "GB"), (1 << 20, "MB"), (1 << 10, "KB")]
+    out = F.concat(c.cast("string"), F.lit(" B"))
+    for size, unit in reversed(steps):
+        out = F.when(c >= size, F.concat(F.format_number(c / size, 1), F.lit(f" {unit}"))).otherwise(out)
+    return out

@@ -6,7 +6,7 @@ start_id, end_id, deleted, node_id, node_type, status, edge_type``.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillgraph.functions import geometry as g
@@ -157,3 +157,20 @@ def ranks(edges: DataFrame, max_rank: int = 1_000) -> DataFrame:
         if not more:
             break
     return state
+
+# Digits of element order.
+DIGITS = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+
+
+def minted_index(base: Column, k: Column) -> Column:
+    """Order keys after ``base``: two more digits for the k-th new element (from 0); null beyond 62 * 62."""
+    digits = F.lit(DIGITS)
+    high, low = (k / len(DIGITS)).cast("int"), (k % len(DIGITS)).cast("int")
+    return F.when(k.between(0, len(DIGITS) ** 2 - 1), F.concat(base, digits.substr(high + 1, F.lit(1)), digits.substr(low + 1, F.lit(1))))
+
+
+def logical_edges(elements: DataFrame) -> DataFrame:
+    """``scene, id, source, target, label``: arrows as edges between shapes; an end that is not bound is ``-``."""
+    live = elements.filter("NOT deleted")
+    label = live.filter("type = 'text'").groupBy("scene", F.col("container_id").alias("id")).agg(F.min("text").alias("label"))
+    return live.filter("type = 'arrow'").join(label, ["scene", "id"], "left").select("scene", "id", F.coalesce("start_id", F.lit("-")).alias("source"), F.coalesce("end_id", F.lit("-")).alias("target"), "label")

@@ -569,3 +569,18 @@ def v13_hybrid(spark, sf):
     entries = table(spark, sf, "document_entries").dropDuplicates(["entry_id"])
     hits = retrieval.search(entries, [0.6, 0.0, 0.8], 100).withColumn("one", F.lit(1)).join(F.broadcast(centre.select(F.col("id").alias("query"), F.lit(1).alias("one"))), "one").groupBy("query", "id").agg(F.max("score").alias("score"))
     return retrieval.hybrid(hits, near)
+
+
+@query(f"WITH {_N} SELECT id, nullif(regexp_extract(id, '^([a-z]+)-[0-9a-z]', 1), '') AS prefix, regexp_replace(regexp_replace(path, '^.*/', ''), '\\.md$', '') AS stem FROM n")
+def x_id_parts(spark, sf):
+    return _nodes(spark, sf).select("id", t.id_prefix(F.col("id")).alias("prefix"), t.stem(F.col("path")).alias("stem"))
+
+
+@query("SELECT DISTINCT id, 'doc-' || substr(sha256(id || chr(31) || path), 1, 8) AS minted FROM pkb_documents")
+def x_seeded_ids(spark, sf):
+    return table(spark, sf, "pkb_documents").select("id", t.seeded_id("doc", F.col("id"), F.col("path")).alias("minted")).distinct()
+
+
+@query("SELECT doc_id, CASE WHEN b >= 1048576 THEN printf('%.1f MB', b / 1048576) WHEN b >= 1024 THEN printf('%.1f KB', b / 1024) ELSE b || ' B' END AS size FROM (SELECT DISTINCT doc_id, strlen(text) AS b FROM documents)")
+def x_readable_sizes(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", t.readable_bytes(F.octet_length("text")).alias("size")).distinct()
