@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillgraph.functions.duck import KEYS, NODES, key
 from quillgraph.operators.hierarchy import descendants, full_paths, hierarchy, resolved_parents
 from quillgraph.operators.references import broken_references, orphan_counts, parent_keys, written_references
 from quillgraph.operators.timestamps import InstantDictionary, normalise_instants
@@ -63,3 +64,27 @@ def p7_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p4_found, p4_circles, p4_paths, p4_beneath, p5_found, p5_unreadable, p7_found, p7_counts)}
+
+_PARENTS = f"p AS (SELECT n.id, k.id AS parent FROM n LEFT JOIN k ON {key('n.parent')} = k.key AND {key('n.parent')} <> '')"
+_REACH = "r AS (SELECT id, parent AS up FROM p WHERE parent IS NOT NULL UNION SELECT r.id, p.parent FROM r JOIN p ON p.id = r.up WHERE p.parent IS NOT NULL), c AS (SELECT id FROM r WHERE id = up)"
+_LOW = "(SELECT id, min(up) AS low FROM r WHERE up IN (SELECT id FROM c) GROUP BY 1)"
+_FOREST = f"WITH RECURSIVE {NODES}, {KEYS}, {_PARENTS}, {_REACH}"
+
+_WRITTEN = (
+    "w AS (SELECT 'doc_fields' AS tab, req_id AS row_id, 'parent' AS field, parent AS ref, recorded_at FROM doc_fields"
+    " UNION ALL SELECT 'doc_fields', req_id, 'depends_on', unnest(depends_on), recorded_at FROM doc_fields"
+    " UNION ALL SELECT 'edges', edge_id, 'target', target, recorded_at FROM edges)"
+)
+_BROKEN = (
+    f"WITH {NODES}, {KEYS}, {_WRITTEN}, f AS (SELECT id, min(recorded_at) AS first_at FROM graph_nodes GROUP BY id),"
+    f" x AS (SELECT DISTINCT w.tab, w.row_id, w.field, w.ref, CASE WHEN k.id IS NULL THEN 'missing' WHEN f.first_at > w.recorded_at THEN 'late' WHEN n.deleted_at <= w.recorded_at THEN 'deleted' END AS kind, strftime(w.recorded_at, '%Y-%m') AS period"
+    f" FROM w LEFT JOIN k ON k.key = {key('w.ref')} LEFT JOIN n ON n.id = k.id LEFT JOIN f ON f.id = k.id WHERE {key('w.ref')} <> '' AND {key('w.ref')} NOT IN (SELECT lower(slug) FROM projects))"
+)
+
+ORACLES = {
+    "p4_found": f"{_FOREST} SELECT p.id, coalesce(l.low, t.top, p.id) AS root, CAST(CASE WHEN p.id IN (SELECT id FROM c) THEN -1 WHEN l.low IS NOT NULL THEN -2 ELSE coalesce(a.n, 0) END AS INTEGER) AS depth, CAST(coalesce(b.n, 0) AS INTEGER) AS below FROM p LEFT JOIN {_LOW} l ON l.id = p.id LEFT JOIN (SELECT id, max(up) AS top FROM r WHERE up IN (SELECT id FROM p WHERE parent IS NULL) GROUP BY 1) t ON t.id = p.id LEFT JOIN (SELECT id, count(*) AS n FROM r GROUP BY 1) a ON a.id = p.id LEFT JOIN (SELECT up, count(*) AS n FROM r WHERE id <> up GROUP BY 1) b ON b.up = p.id",
+    "p4_circles": f"{_FOREST} SELECT low AS root, count(*) FILTER (id IN (SELECT id FROM c)) AS members, count(*) FILTER (id NOT IN (SELECT id FROM c)) AS hanging FROM {_LOW} GROUP BY 1",
+    "p4_beneath": f"{_FOREST}, d AS (SELECT id, count(*) AS depth FROM r WHERE id NOT IN (SELECT id FROM {_LOW}) GROUP BY 1) SELECT r.up AS ancestor, r.id, CAST(d.depth - coalesce(u.depth, 0) AS INTEGER) AS steps FROM r JOIN d ON d.id = r.id LEFT JOIN d u ON u.id = r.up",
+    "p7_found": f"{_BROKEN} SELECT * FROM x WHERE kind IS NOT NULL",
+    "p7_counts": f"{_BROKEN} SELECT tab, field, kind, period, count(*) AS n FROM x WHERE kind IS NOT NULL GROUP BY ALL",
+}

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillgraph.functions import text as t
+from quillgraph.functions.duck import EDGES, KEYS, NODES, key
 from quillgraph.functions.refs import reference_key
 from quillgraph.functions.vectors import normalised
 from quillgraph.operators import changes, context, filters, graph, model, quality, retrieval, stats
@@ -28,16 +29,7 @@ def query(sql: str | None = None):
     return add
 
 
-def _key(c: str) -> str:
-    blank = lambda x: f"regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
-    s = blank(f"regexp_replace(coalesce({c}, ''), '[|#].*$', '', 's')")
-    s = f"regexp_replace(regexp_replace({s}, '^\\[\\[|\\]\\]$', '', 'g'), '^.*/', '', 's')"
-    return blank(f"regexp_replace(lower({blank(s)}), '\\.md$', '')")
-
-
-_N = "n AS (SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY recorded_at DESC, deleted_at IS NULL DESC) AS rn FROM graph_nodes WHERE id IS NOT NULL) WHERE rn = 1)"
-_K = f"k AS (SELECT key, min(id) AS id FROM (SELECT lower(id) AS key, id FROM n UNION ALL SELECT lower(permalink), id FROM n WHERE permalink IS NOT NULL) GROUP BY key)"
-_E = f"e AS (SELECT DISTINCT x.source, k.id AS target, x.type FROM edges x JOIN k ON {_key('x.target')} = k.key WHERE x.source <> k.id)"
+_N, _K, _E = NODES, KEYS, EDGES
 BASE = f"{_N}, {_K}, {_E}"
 
 
@@ -62,7 +54,7 @@ def g1_edges(spark, sf):
     return _edges(spark, sf)
 
 
-@query(f"WITH {_N}, {_K} SELECT r.key AS id, CASE WHEN r.key LIKE 'epic-%' OR r.key LIKE 'proj%-%' THEN 'epic' WHEN r.key LIKE 'goal-%' OR r.key LIKE 'targ%-%' THEN 'goal' WHEN r.key LIKE 'task-%' THEN 'task' WHEN r.key LIKE 'pr-%' THEN 'pr' END AS node_type, r.n AS references FROM (SELECT {_key('target')} AS key, count(*) AS n FROM edges GROUP BY 1) r WHERE r.key <> '' AND r.key NOT IN (SELECT key FROM k)")
+@query(f"WITH {_N}, {_K} SELECT r.key AS id, CASE WHEN r.key LIKE 'epic-%' OR r.key LIKE 'proj%-%' THEN 'epic' WHEN r.key LIKE 'goal-%' OR r.key LIKE 'targ%-%' THEN 'goal' WHEN r.key LIKE 'task-%' THEN 'task' WHEN r.key LIKE 'pr-%' THEN 'pr' END AS node_type, r.n AS references FROM (SELECT {key('target')} AS key, count(*) AS n FROM edges GROUP BY 1) r WHERE r.key <> '' AND r.key NOT IN (SELECT key FROM k)")
 def g2_ghosts(spark, sf):
     return model.ghosts(table(spark, sf, "edges"), _nodes(spark, sf))
 
@@ -90,7 +82,7 @@ def f10_neighbours(spark, sf):
     return model.neighbours(_edges(spark, sf))
 
 
-@query(f"WITH {_N}, {_K} SELECT f.req_id, d.ref, k.id FROM (SELECT DISTINCT req_id, unnest(depends_on) AS ref FROM doc_fields) d JOIN k ON {_key('d.ref')} = k.key JOIN (SELECT DISTINCT req_id FROM doc_fields) f ON f.req_id = d.req_id")
+@query(f"WITH {_N}, {_K} SELECT f.req_id, d.ref, k.id FROM (SELECT DISTINCT req_id, unnest(depends_on) AS ref FROM doc_fields) d JOIN k ON {key('d.ref')} = k.key JOIN (SELECT DISTINCT req_id FROM doc_fields) f ON f.req_id = d.req_id")
 def j1_resolved_references(spark, sf):
     refs = table(spark, sf, "doc_fields").select("req_id", F.explode("depends_on").alias("ref")).distinct()
     return model.resolve(refs, "ref", model.resolution(_nodes(spark, sf)), out="id").select("req_id", "ref", "id")
@@ -178,7 +170,7 @@ def g28_least_priority(spark, sf):
     return graph.least_over_reach(n, e.select(F.col("target").alias("src"), F.col("source").alias("dst")), "priority")
 
 
-@query(f"WITH RECURSIVE {_N}, {_K}, p AS (SELECT n.id, k.id AS parent, n.project FROM n LEFT JOIN k ON {_key('n.parent')} = k.key AND {_key('n.parent')} <> ''), c AS (SELECT id, id AS at, project, parent, 0 AS depth FROM p UNION ALL SELECT c.id, p.id, p.project, p.parent, c.depth + 1 FROM c JOIN p ON p.id = c.parent WHERE c.project IS NULL AND c.depth < 3000) SELECT id, max(project) AS inherited FROM c GROUP BY id")
+@query(f"WITH RECURSIVE {_N}, {_K}, p AS (SELECT n.id, k.id AS parent, n.project FROM n LEFT JOIN k ON {key('n.parent')} = k.key AND {key('n.parent')} <> ''), c AS (SELECT id, id AS at, project, parent, 0 AS depth FROM p UNION ALL SELECT c.id, p.id, p.project, p.parent, c.depth + 1 FROM c JOIN p ON p.id = c.parent WHERE c.project IS NULL AND c.depth < 3000) SELECT id, max(project) AS inherited FROM c GROUP BY id")
 def g21_inherited_project(spark, sf):
     from quillgraph.operators.hierarchy import resolved_parents
 
@@ -424,7 +416,7 @@ def l_unregistered_projects(spark, sf):
     return quality.unregistered_projects(_nodes(spark, sf), table(spark, sf, "projects"))
 
 
-@query(f"WITH {_N} SELECT id FROM n WHERE {_key('parent')} = lower(id)")
+@query(f"WITH {_N} SELECT id FROM n WHERE {key('parent')} = lower(id)")
 def l_self_parents(spark, sf):
     return quality.self_parents(_nodes(spark, sf), reference_key)
 
