@@ -104,3 +104,23 @@ def p10_shares(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_groups, p3_found, p3_unmatched, p6_found, p6_records, p8_containers, p8_unused, p9_found, p9_matches, p9_clean, p10_found, p10_shares)}
+
+
+def _instant(c: str) -> str:
+    return f"CASE WHEN regexp_matches({c}, '([Zz]|[+-][0-9]{{2}}:?[0-9]{{2}})$') AND regexp_matches({c}, ':') THEN epoch_us(try_cast({c} AS TIMESTAMPTZ)) ELSE epoch_us(try_cast({c} AS TIMESTAMP)) END"
+
+
+_SAYS = "NOT coalesce(lower(trim(v)), '') IN ('', '?', '-', 'n/a', 'na', 'none', 'null', 'nil', 'tbd', 'unknown')"
+_ENTRIES = f"t AS (SELECT *, {_instant('created')} AS c, {_instant('modified')} AS m FROM (SELECT DISTINCT * FROM duplicate_entries))"
+_WORDS = "w AS (SELECT id, list_filter(regexp_split_to_array(lower(coalesce(title, '') || chr(10) || coalesce(body, '')), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') AS w, len(list_filter(regexp_split_to_array(lower(coalesce(body, '')), '[^\\p{L}\\p{N}]+'), lambda x: x <> '')) AS n FROM (SELECT DISTINCT id, title, body FROM pkb_documents))"
+_RUNS = "s AS (SELECT DISTINCT id, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM (SELECT id, w, unnest(range(1, len(w) - 1)) AS i FROM w WHERE n >= 20)), z AS (SELECT id, count(*) AS n FROM s GROUP BY id)"
+
+_STRIP = "regexp_replace({}, '^\\s+|\\s+$', '', 'g')"
+_BODIES = f"d AS (SELECT DISTINCT p.id, c.config_id, c.chunk_size, {_STRIP.format("replace(coalesce(p.body, ''), chr(13), '')")} AS t FROM pkb_documents p JOIN chunk_configs c ON c.config_id = coalesce(p.config_id, (SELECT config_id FROM chunk_configs WHERE is_default)))"
+_LINES = "l AS (SELECT id, config_id, chunk_size, unnest(string_split(t, chr(10))) AS line, generate_subscripts(string_split(t, chr(10)), 1) AS i FROM d WHERE strlen(t) > chunk_size), f AS (SELECT *, regexp_matches(line, '^\\s*```') AS fence, count(*) FILTER (regexp_matches(line, '^\\s*```')) OVER (PARTITION BY id ORDER BY i) AS k FROM l), b AS (SELECT *, NOT fence AND k % 2 = 0 AND trim(line) = '' AS gap FROM f), g AS (SELECT *, count(*) FILTER (gap) OVER (PARTITION BY id ORDER BY i) AS block FROM b)"
+
+ORACLES = {
+    "p1_found": f"WITH {_BODIES}, {_LINES} SELECT id, config_id, CASE WHEN max(strlen(t)) > any_value(chunk_size) THEN 'inside' ELSE 'between' END AS cut FROM (SELECT id, config_id, chunk_size, block, {_STRIP.format("string_agg(line, chr(10) ORDER BY i) FILTER (NOT gap)")} AS t FROM g GROUP BY ALL) GROUP BY id, config_id",
+    "p2_found": f"WITH {_WORDS}, {_RUNS} SELECT x.a AS id_a, x.b AS id_b FROM (SELECT a.id AS a, b.id AS b, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.id < b.id GROUP BY 1, 2) x JOIN z za ON za.id = x.a JOIN z zb ON zb.id = x.b WHERE x.k >= 0.5 * (za.n + zb.n - x.k)",
+    "p6_found": f"WITH {_ENTRIES} SELECT cluster_id, 'canonical' AS field, id FROM (SELECT cluster_id, id, row_number() OVER (PARTITION BY cluster_id ORDER BY c NULLS LAST, n_children DESC, word_count DESC, id) AS r FROM t) WHERE r = 1 UNION ALL SELECT cluster_id, field, id FROM (SELECT cluster_id, field, id, row_number() OVER (PARTITION BY cluster_id, field ORDER BY m DESC NULLS LAST, id) AS r FROM (SELECT cluster_id, id, m, 'status' AS field, status AS v FROM t UNION ALL SELECT cluster_id, id, m, 'assignee', assignee FROM t UNION ALL SELECT cluster_id, id, m, 'due', due FROM t) WHERE {_SAYS}) WHERE r = 1",
+}
