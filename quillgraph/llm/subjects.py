@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from quillgraph.llm.words import LOT, code_points, hash_runs, letter_table
 from quillgraph.session import stored
 
-MAX_DOCS = 5_000
+MAX_DOCS = 4_000
 MAX_SUBJECTS = 1_000
 PARTS = 4
 DIM = 16
