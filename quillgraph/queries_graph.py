@@ -142,6 +142,14 @@ def g14_components(spark, sf):
     return graph.connected_components(n, e.select(F.col("source").alias("src"), F.col("target").alias("dst")))
 
 
+@query()
+def g14_all_components(spark, sf):
+    """Over edges of every kind, where ``g14_components`` follows only the two kinds of its SQL."""
+    n = stored(_nodes(spark, sf), "nodes")
+    e = model.resolved_edges(table(spark, sf, "edges"), n)
+    return graph.connected_components(n, e.select(F.col("source").alias("src"), F.col("target").alias("dst")))
+
+
 @query(f"WITH RECURSIVE {BASE}, d AS (SELECT DISTINCT source AS src, target AS dst FROM e WHERE type IN ('depends_on', 'parent')), c AS (SELECT src, dst FROM d UNION SELECT c.src, d.dst FROM c JOIN d ON d.src = c.dst), m AS (SELECT a.src AS id, a.dst AS other FROM c a JOIN c b ON a.src = b.dst AND a.dst = b.src), g AS (SELECT id, min(other) AS component FROM m GROUP BY id) SELECT id, component, count(*) OVER (PARTITION BY component) AS size FROM g WHERE id IN (SELECT id FROM m WHERE other <> id)")
 def g15_hard_cycles(spark, sf):
     return graph.strongly_connected(_links(spark, sf, "depends_on", "parent"))
