@@ -5,15 +5,20 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillgraph.functions.text import cut_bytes, jaccard, word_set
-from quillgraph.functions.vectors import cosine, dot, norm
+from quillgraph.functions.vectors import cosine, norm
+from quillgraph.session import stored
 
 #: Queries are handed to tasks in blocks of so many.
 QUERY_BLOCK = 4_096
+#: Classes of a block of the similarity join, and how many of them are multiplied at once.
+JOIN_BLOCK = 4_096
+JOIN_SLICE = 64
 
 
 def chunks(entries: DataFrame, key: str = "entry_id") -> DataFrame:
@@ -123,31 +128,53 @@ def within(rows: DataFrame, queries: DataFrame, threshold: float, key: str = "ve
     return (out.unionByName(scan(block)) if block else out).distinct()
 
 
-def similarity_join(rows: DataFrame, threshold: float = 0.85, key: str = "vec_id", vector: str = "embedding", tables: int = 24, bits: int = 10, seed: int = 11) -> DataFrame:
+def equal_classes(rows: DataFrame, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """``name, member``: every key with the smallest key that has an equal vector."""
+    held = rows.filter(F.col(vector).isNotNull()).select(key, vector)
+    names = held.groupBy(vector).agg(F.min(key).alias("name"))
+    return held.join(names, vector).select("name", F.col(key).alias("member")).distinct()
+
+
+def similarity_join(rows: DataFrame, threshold: float = 0.85, key: str = "vec_id", vector: str = "embedding", explicit: DataFrame | None = None) -> DataFrame:
     """``a, b, score`` between classes of equal vectors, named by their smallest key, and ``a = b`` rows for the classes of several.
 
-    Random hyperplanes cut every vector to ``bits`` signs in each of ``tables`` tables; vectors that
-    agree in one table are compared exactly. At a cosine of 0.85 a pair is found with
-    probability ``1 - (1 - 0.823**bits)**tables``, 0.975 with the defaults; fewer bits or more tables find more.
+    Exact: classes are dealt to blocks, and every two blocks meet once in a task, which
+    multiplies them slice by slice. ``equal_classes`` has the members of the classes. With
+    ``explicit`` (``a, b``, either way round) the pairs are of members, without those given.
     """
-    classes = rows.filter(F.col(vector).isNotNull()).groupBy(F.col(vector).alias("v")).agg(F.min(key).alias("name"), F.count(F.lit(1)).alias("n"))
-    held = rows.sparkSession.sparkContext.broadcast((tables, bits, seed))
+    classes = stored(rows.filter(F.col(vector).isNotNull()).groupBy(F.col(vector).alias("v")).agg(F.min(key).alias("name"), F.countDistinct(key).alias("n")), "classes")
     kind = dict(rows.dtypes)[key]
-
-    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t, w, s = held.value
-        for b in batches:
-            v = _unit(np.array(b.column("v").to_pylist(), np.float64))
-            if not len(v):
-                continue
-            planes = np.random.default_rng(s).normal(size=(v.shape[1], t * w))
-            marks = (v @ planes > 0).reshape(len(v), t, w) @ (1 << np.arange(w))
-            yield pa.record_batch([pa.array(np.repeat(b.column("name").to_numpy(zero_copy_only=False), t)), pa.array(np.repeat(v, t, axis=0).tolist(), pa.list_(pa.float64())), pa.array((np.tile(np.arange(t), len(v)) << 32) | marks.ravel())], ["name", "v", "mark"])
-
-    at = classes.select("name", "v").mapInArrow(sign, f"name {kind}, v array<double>, mark long")
-    x, y = at.select(F.col("name").alias("a"), F.col("v").alias("va"), "mark"), at.select(F.col("name").alias("b"), F.col("v").alias("vb"), "mark")
-    far = x.join(y, "mark").filter("a < b").withColumn("score", dot(F.col("va"), F.col("vb"))).filter(F.col("score") >= threshold).select("a", "b", "score").distinct()
-    return far.unionByName(classes.filter("n > 1").select(F.col("name").alias("a"), F.col("name").alias("b"), F.lit(1.0).alias("score")))
+    blocks = max(1, -(-classes.count() // JOIN_BLOCK))
+
+    def meet(f: pd.DataFrame) -> pd.DataFrame:
+        p, q = f["p"].iloc[0], f["q"].iloc[0]
+        x = f[f["block"] == p]
+        y = x if p == q else f[f["block"] == q]
+        out = [pd.DataFrame({"a": x["name"].iloc[:0], "b": x["name"].iloc[:0], "score": np.zeros(0)})]
+        if len(x) and len(y):
+            vx = _unit(np.array(x["v"].tolist(), np.float64))
+            vy = vx if p == q else _unit(np.array(y["v"].tolist(), np.float64))
+            for at in range(0, len(x), JOIN_SLICE):
+                row, col = np.nonzero(vx[at : at + JOIN_SLICE] @ vy.T >= threshold - 1e-9)
+                row += at
+                if p == q:
+                    row, col = row[row < col], col[row < col]
+                score = (vx[row] * vy[col]).sum(axis=1)  # the same whatever the block
+                keep = score >= threshold
+                out.append(pd.DataFrame({"a": x["name"].to_numpy()[row[keep]], "b": y["name"].to_numpy()[col[keep]], "score": score[keep]}))
+        return pd.concat(out)
+
+    dealt = classes.select("name", "v", F.pmod(F.xxhash64("name"), F.lit(blocks)).alias("block")).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    groups = dealt.select("name", "v", "block", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"))
+    met = groups.groupBy("p", "q").applyInPandas(meet, f"a {kind}, b {kind}, score double")
+    far = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "score")
+    if explicit is None:
+        return far.unionByName(classes.filter("n > 1").select(F.col("name").alias("a"), F.col("name").alias("b"), F.lit(1.0).alias("score")))
+    members = stored(equal_classes(rows, key, vector), "members")
+    x, y = members.select(F.col("name").alias("a"), F.col("member").alias("x")), members.select(F.col("name").alias("b"), F.col("member").alias("y"))
+    same = x.join(y, F.col("a") == F.col("b")).filter("x < y").select("x", "y", F.lit(1.0).alias("score"))
+    every = far.join(x, "a").join(y, "b").select("x", "y", "score").unionByName(same).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "score")
+    return every.join(explicit.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), ["a", "b"], "left_anti")
 
 
 def title_pairs(rows: DataFrame, threshold: float = 0.7, key: str = "id", title: str = "label") -> DataFrame:

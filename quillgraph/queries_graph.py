@@ -323,6 +323,12 @@ def j6_similarity_join(spark, sf):
     return retrieval.similarity_join(table(spark, sf, "embeddings"), 0.85).withColumn("score", F.round("score", 6))
 
 
+@query()
+def j6_members(spark, sf):
+    """Rows of equal vectors, under the name that ``j6_similarity_join`` has for them."""
+    return retrieval.equal_classes(table(spark, sf, "embeddings"))
+
+
 @query("SELECT entry_id, score FROM (SELECT entry_id, round(max(list_cosine_similarity(CAST(v AS DOUBLE[]), [0.6, 0.0, 0.8])), 4) AS score FROM (SELECT entry_id, unnest(chunk_embeddings) AS v FROM (SELECT DISTINCT entry_id, chunk_embeddings, modified FROM document_entries WHERE substr(modified, 1, 10) >= '2024-01-01')) GROUP BY 1) ORDER BY score DESC, entry_id LIMIT 50")
 def v1_search(spark, sf):
     e = table(spark, sf, "document_entries")
