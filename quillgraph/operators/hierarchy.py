@@ -20,7 +20,7 @@ costs one round, and a round's table is deleted once the next one is written.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillgraph.functions.refs import reference_key
@@ -155,24 +155,57 @@ def hierarchy(links: DataFrame, spacing: int = SPACING) -> DataFrame:
     return out.unionByName(rings).unionByName(hanging)
 
 
-def full_paths(solved: DataFrame) -> DataFrame:
-    """``id, root, depth, path``: the exact path from the root down to each node of a tree.
+def _paths(solved: DataFrame) -> DataFrame:
+    """``solved`` with ``path``: from where the climb ends, a root or a node of a circle, down to each node.
 
     Stops put their segments together by doubling, so the rounds are the logarithm of the
     stops on the longest path; one last join adds every node's own segment. The output
     itself has as many ids as the depths sum to.
     """
-    tree = solved.filter("kind = 'tree'").select("id", "root", "depth", "trail", "stop")
-    used = tree.select(F.col("stop").alias("id")).filter("id IS NOT NULL").distinct()
-    state = stored(tree.join(used, "id", "left_semi").select("id", F.col("stop").alias("ptr"), "trail", F.col("stop").isNull().alias("done")))
+    used = solved.select(F.col("stop").alias("id")).filter("id IS NOT NULL").distinct()
+    state = stored(solved.join(used, "id", "left_semi").select("id", F.col("stop").alias("ptr"), "trail", F.col("stop").isNull().alias("done")))
     while state.filter("NOT done").take(1):
         step = _double(state, "done").select("id", F.col("n_ptr").alias("ptr"), F.concat("trail", "n_trail").alias("trail"), F.col("n_ptr").isNull().alias("done"))
         state = _next(state, state.filter("done").unionByName(step))
     above = state.select(F.col("id").alias("stop"), F.col("trail").alias("rest"))
-    return tree.join(above, "stop", "left").select("id", "root", "depth", F.reverse(F.concat("trail", F.coalesce("rest", F.array().cast("array<string>")))).alias("path"))
+    return solved.join(above, "stop", "left").select("id", "root", "depth", F.reverse(F.concat("trail", F.coalesce("rest", F.array().cast("array<string>")))).alias("path"))
+
+
+def full_paths(solved: DataFrame) -> DataFrame:
+    """``id, root, depth, path``: the exact path from the root down to each node of a tree."""
+    return _paths(solved.filter("kind = 'tree'").select("id", "root", "depth", "trail", "stop"))
+
+
+def all_paths(solved: DataFrame) -> DataFrame:
+    """``full_paths`` of every node: what hangs from a circle has the path from its node of the circle, which alone is its own."""
+    return _paths(solved.select("id", "root", "depth", "trail", "stop"))
+
+
+def _beneath(paths: DataFrame) -> DataFrame:
+    steps = F.size("path") - 1
+    return paths.filter(steps > 0).select("id", steps.alias("deep"), F.posexplode(F.slice("path", F.lit(1), steps)).alias("at", "ancestor")).select("ancestor", "id", (F.col("deep") - F.col("at")).cast("int").alias("steps"))
 
 
 def descendants(solved: DataFrame) -> DataFrame:
     """``ancestor, id, steps``: every node beneath every node of a tree, as rows."""
-    paths = full_paths(solved).filter("depth > 0")
-    return paths.select("id", "depth", F.posexplode(F.slice("path", F.lit(1), F.col("depth"))).alias("at", "ancestor")).select("ancestor", "id", (F.col("depth") - F.col("at")).cast("int").alias("steps"))
+    return _beneath(full_paths(solved))
+
+
+def all_descendants(solved: DataFrame, links: DataFrame) -> DataFrame:
+    """``descendants`` of every node, at the least steps: circles and what hangs from them count as in ``below``.
+
+    A circle is cut at its smallest id and solved as a chain, which gives the steps from each
+    of its nodes to every other. The output has as many rows as ``below`` sums to.
+    """
+    paths = stored(all_paths(solved), "paths")
+    ring = solved.filter("kind = 'circle'").select("id", "root")
+    if not ring.take(1):
+        return _beneath(paths)
+    chain = links.join(ring, "id").select("id", F.when(F.col("id") != F.col("root"), F.col("parent")).alias("parent"))
+    size = F.count(F.lit(1)).over(Window.partitionBy("root"))
+    placed = stored(solve_forest(stored(chain, "chain")).select("id", "root", F.col("depth").alias("place"), size.alias("members")), "ring")
+    held = paths.filter("depth < 0").select("id", F.get("path", F.lit(0)).alias("own"), (F.size("path") - 1).alias("deep"))
+    at = held.join(placed.select(F.col("id").alias("own"), "root", "place"), "own")
+    over = placed.select(F.col("id").alias("ancestor"), "root", F.col("place").alias("top"), "members")
+    around = at.join(over, "root").filter("ancestor <> own").select("ancestor", "id", (F.pmod(F.col("place") - F.col("top"), F.col("members")) + F.col("deep")).cast("int").alias("steps"))
+    return _beneath(paths).unionByName(around)

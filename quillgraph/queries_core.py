@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillgraph.functions.duck import KEYS, NODES, key
-from quillgraph.operators.hierarchy import descendants, full_paths, hierarchy, resolved_parents
+from quillgraph.operators.hierarchy import all_descendants, all_paths, descendants, hierarchy, resolved_parents
 from quillgraph.operators.references import broken_references, orphan_counts, parent_keys, written_references
 from quillgraph.operators.timestamps import InstantDictionary, normalise_instants
-from quillgraph.session import scratch_path, table
+from quillgraph.session import scratch_path, stored, table
 
 TIMES = ["date", "modified", "consolidated_at"]
 
@@ -29,13 +29,19 @@ def p4_circles(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p4_paths(spark: SparkSession, sf: str) -> DataFrame:
-    return full_paths(_solved(spark, sf)).select("id", "root", "depth", F.array_join("path", "/").alias("path"))
+    return all_paths(_solved(spark, sf)).select("id", "root", "depth", F.array_join("path", "/").alias("path"))
 
 
 def p4_beneath(spark: SparkSession, sf: str) -> DataFrame:
     return descendants(_solved(spark, sf))
 
 
+def p4_all_beneath(spark: SparkSession, sf: str) -> DataFrame:
+    """Circles and what hangs from them too, which the SQL of ``p4_beneath`` leaves out."""
+    links = stored(resolved_parents(table(spark, sf, "graph_nodes")), "links")
+    return all_descendants(stored(hierarchy(links), "solved"), links)
+
+
 def _instants(spark: SparkSession, sf: str) -> DataFrame:
     book = InstantDictionary(spark, scratch_path(spark, "instants"))
     return normalise_instants(table(spark, sf, "document_entries"), "entry_id", TIMES, "tz", "locale", book)
@@ -63,7 +69,7 @@ def p7_counts(spark: SparkSession, sf: str) -> DataFrame:
     return orphan_counts(_broken(spark, sf))
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_circles, p4_paths, p4_beneath, p5_found, p5_unreadable, p7_found, p7_counts)}
+QUERIES = {f.__name__: f for f in (p4_found, p4_circles, p4_paths, p4_beneath, p4_all_beneath, p5_found, p5_unreadable, p7_found, p7_counts)}
 
 _PARENTS = f"p AS (SELECT n.id, k.id AS parent FROM n LEFT JOIN k ON {key('n.parent')} = k.key AND {key('n.parent')} <> '')"
 _REACH = "r AS (SELECT id, parent AS up FROM p WHERE parent IS NOT NULL UNION SELECT r.id, p.parent FROM r JOIN p ON p.id = r.up WHERE p.parent IS NOT NULL), c AS (SELECT id FROM r WHERE id = up)"
