@@ -200,7 +200,7 @@ def g9_shortest_paths(spark, sf):
     """From every superseded node to all within four steps, over edges of any kind."""
     e = stored(_edges(spark, sf), "edges")
     links = graph.symmetric(e.select(F.col("source").alias("src"), F.col("target").alias("dst")))
-    top = e.filter("type = 'supersedes'").agg(F.min("target").alias("id"))
+    top = e.filter("type = 'supersedes'").select(F.col("target").alias("id")).distinct()
     return graph.shortest_paths(links, top, 4).select("seed", "id", "depth", F.array_join("path", ">").alias("path"))
 
 
@@ -570,10 +570,10 @@ def v13_hybrid(spark, sf):
     n = stored(_nodes(spark, sf), "nodes")
     e = stored(model.resolved_edges(table(spark, sf, "edges"), n), "edges")
     links = e.select(F.col("source").alias("src"), F.col("target").alias("dst"))
-    centre = e.filter("type = 'supersedes'").agg(F.min("source").alias("id"))
+    centre = stored(e.filter("type = 'supersedes'").select(F.col("source").alias("id")).distinct(), "centres")
     near = graph.ego(links, centre, 2).select(F.col("seed").alias("query"), "id", "depth")
     entries = table(spark, sf, "document_entries").dropDuplicates(["entry_id"])
-    hits = retrieval.search(entries, [0.6, 0.0, 0.8], 100).withColumn("one", F.lit(1)).join(F.broadcast(centre.select(F.col("id").alias("query"), F.lit(1).alias("one"))), "one").groupBy("query", "id").agg(F.max("score").alias("score"))
+    hits = retrieval.search(entries, [0.6, 0.0, 0.8], 100).crossJoin(centre.select(F.col("id").alias("query"))).groupBy("query", "id").agg(F.max("score").alias("score"))
     return retrieval.hybrid(hits, near)
 
 
