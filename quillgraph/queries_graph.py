@@ -164,9 +164,9 @@ def g23_pagerank(spark, sf):
 
 @query()
 def g24_betweenness(spark, sf):
-    """Over the dependencies."""
+    """Over edges of every kind; edges of several kinds between two nodes are parallel paths."""
     n = stored(_nodes(spark, sf), "nodes")
-    e = model.resolved_edges(table(spark, sf, "edges"), n).filter("type = 'depends_on'")
+    e = model.resolved_edges(table(spark, sf, "edges"), n)
     return graph.betweenness(n, e.select(F.col("source").alias("src"), F.col("target").alias("dst")))
 
 

@@ -64,3 +64,30 @@ def test_hybrid_scores_of_every_centre(spark, edges):
         assert beside <= {i for x, i in score if x == q}
     far = {i: {score[q, i] for q in centres if (q, i) in score and (q, i) not in two and q != i} for _, i in score}
     assert all(len(v) <= 1 for v in far.values())
+
+
+def test_betweenness_over_all_edges(spark, edges):
+    ahead = {}
+    for a, b, _ in edges:
+        if a != b:
+            ahead.setdefault(a, []).append(b)
+    got = {r["id"]: r["betweenness"] for r in entry.queries()["g24_betweenness"](spark, DATA).collect()}
+    depth, ways = {}, {}
+    for s in got:
+        d, w, order = depth.setdefault(s, {s: 0}), ways.setdefault(s, {s: 1}), [s]
+        for i in order:
+            for x in ahead.get(i, ()):
+                if x not in d:
+                    d[x], w[x] = d[i] + 1, 0
+                    order.append(x)
+                if d[x] == d[i] + 1:
+                    w[x] += w[i]
+    want = dict.fromkeys(got, 0.0)
+    for s in got:
+        for t in depth[s].keys() - {s}:
+            for v in depth[s].keys() - {s, t}:
+                if depth[s][v] + depth[v].get(t, 1e9) == depth[s][t]:
+                    want[v] += ways[s][v] * ways[v][t] / ways[s][t]
+    n = len(got)
+    assert any(len(set(x)) < len(x) for x in ahead.values()) and max(want.values()) > 0
+    assert got == pytest.approx({v: x / ((n - 1) * (n - 2)) for v, x in want.items()}, abs=1e-6)
