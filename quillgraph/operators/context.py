@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quillgraph.operators import graph, retrieval, stats
 
 
-def descendants_where(children: DataFrame, current: DataFrame, keep: Column, max_depth: int = 10_000) -> DataFrame:
+def descendants_where(children: DataFrame, current: DataFrame, keep: Column, max_depth: int | None = None) -> DataFrame:
     """``seed, id, depth``: nodes beneath each node that satisfy ``keep``; those that do not are passed through.
 
     ``children``: ``src`` parent, ``dst`` child.
@@ -17,7 +17,7 @@ def descendants_where(children: DataFrame, current: DataFrame, keep: Column, max
     return below.join(current.filter(keep).select("id"), "id", "left_semi").select("seed", "id", "depth")
 
 
-def closing_links(edges: DataFrame, proposed: DataFrame, max_depth: int = 256) -> DataFrame:
+def closing_links(edges: DataFrame, proposed: DataFrame, max_depth: int | None = None) -> DataFrame:
     """``src, dst, path`` of proposed links that would close a circle: the way from ``dst`` back to ``src``.
 
     A link from a node to itself closes one with the path of that node.
@@ -80,12 +80,12 @@ def canonical_members(groups: DataFrame, rows: DataFrame, created: Column, child
 
 def without_reach(tops: DataFrame, children: DataFrame, hit: DataFrame) -> DataFrame:
     """Tops (column id) for which neither they nor anything beneath is among ``hit`` (column id)."""
-    inside = graph.closure(children, tops, 10_000).select("seed", "id").unionByName(tops.select(F.col("id").alias("seed"), "id"))
+    inside = graph.closure(children, tops).select("seed", "id").unionByName(tops.select(F.col("id").alias("seed"), "id"))
     good = inside.join(hit.select("id").distinct(), "id", "left_semi").select(F.col("seed").alias("id")).distinct()
     return tops.select("id").distinct().join(good, "id", "left_anti")
 
 
-def spread_from(edges: DataFrame, seeds: DataFrame, max_depth: int = 10_000) -> DataFrame:
+def spread_from(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None) -> DataFrame:
     """``id``: seeds and everything they reach along ``src, dst``: a mark that is handed on."""
     reached = graph.closure(edges, seeds, max_depth).select("id")
     return reached.unionByName(seeds.select("id")).distinct()

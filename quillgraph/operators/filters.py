@@ -92,7 +92,7 @@ class FilterSet:
             if children is None:
                 raise ValueError("subtree needs the children")
             top = nodes.filter(F.col("id") == self.subtree).select("id")
-            inside = closure(children, top, 10_000).select("id").unionByName(top)
+            inside = closure(children, top).select("id").unionByName(top)
             df = df.join(inside, "id", "left_semi")
         return df
 

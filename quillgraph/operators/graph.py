@@ -9,9 +9,10 @@ not depend on the order of rows.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import count
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillgraph.session import discard, stored
@@ -24,16 +25,21 @@ def symmetric(edges: DataFrame) -> DataFrame:
     return edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
 
 
-def closure(edges: DataFrame, seeds: DataFrame | None = None, max_depth: int = 20) -> DataFrame:
-    """``seed, id, depth``: what each seed reaches in 1 to ``max_depth`` steps, at the least depth; without itself.
+def _steps(first: int, most: int | None) -> Iterator[int]:
+    """``first, first + 1, ...`` up to ``most``, without end where that is None."""
+    return iter(range(first, most + 1)) if most is not None else count(first)
 
-    ``seeds`` (column id): all sources where None.
+
+def closure(edges: DataFrame, seeds: DataFrame | None = None, max_depth: int | None = None) -> DataFrame:
+    """``seed, id, depth``: what each seed reaches, at the least depth, without itself.
+
+    ``seeds`` (column id): all sources where None. ``max_depth``: a limit on the steps, where one is wanted.
     """
     edges = stored(edges.select("src", "dst").distinct(), "edges")
     first = edges if seeds is None else edges.join(seeds.select(F.col("id").alias("src")).distinct(), "src", "left_semi")
     front = stored(first.select(F.col("src").alias("seed"), F.col("dst").alias("id"), F.lit(1).alias("depth")).filter("seed <> id"), "front")
     levels = [front]
-    for depth in range(2, max_depth + 1):
+    for depth in _steps(2, max_depth):
         seen = levels[0]
         for x in levels[1:]:
             seen = seen.unionByName(x)
@@ -53,12 +59,12 @@ def closure(edges: DataFrame, seeds: DataFrame | None = None, max_depth: int = 2
     return out
 
 
-def shortest_paths(edges: DataFrame, seeds: DataFrame, max_depth: int = 20) -> DataFrame:
+def shortest_paths(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None) -> DataFrame:
     """``seed, id, depth, path``: of the shortest paths from a seed the first in dictionary order."""
     edges = stored(edges.select("src", "dst").distinct(), "edges")
     front = stored(seeds.select(F.col("id").alias("seed"), "id", F.lit(0).alias("depth"), F.array("id").alias("path")).distinct(), "front")
     seen = front
-    for depth in range(1, max_depth + 1):
+    for depth in _steps(1, max_depth):
         step = front.join(edges, F.col("id") == F.col("src")).select("seed", F.col("dst").alias("id"), F.lit(depth).alias("depth"), F.concat("path", F.array("dst")).alias("path"))
         best = step.groupBy("seed", "id", "depth").agg(F.min("path").alias("path"))
         front = stored(best.join(seen.select("seed", "id"), ["seed", "id"], "left_anti"), "front")
@@ -68,27 +74,28 @@ def shortest_paths(edges: DataFrame, seeds: DataFrame, max_depth: int = 20) -> D
     return seen
 
 
-def all_shortest_paths(edges: DataFrame, pairs: DataFrame, max_paths: int = 3, max_depth: int = 20) -> DataFrame:
-    """``src, dst, rank, path``: up to ``max_paths`` shortest paths per pair, in dictionary order (a top-k report)."""
+def all_shortest_paths(edges: DataFrame, pairs: DataFrame, max_paths: int = 3, max_depth: int | None = None) -> DataFrame:
+    """``src, dst, rank, path``: up to ``max_paths`` shortest paths per pair, in dictionary order (a top-k report).
+
+    The first paths of a pair go through first paths of every node on the way, so no more
+    than ``max_paths`` are kept per node; a seed is given up once all its pairs are found.
+    """
     edges = stored(edges.select("src", "dst").distinct(), "edges")
     wanted = stored(pairs.select("src", "dst").distinct(), "pairs")
+    order = F.row_number().over(Window.partitionBy("seed", "id").orderBy("path"))
     front = stored(wanted.select(F.col("src").alias("seed"), F.col("src").alias("id"), F.array("src").alias("path")).distinct(), "front")
     seen = front.select("seed", "id")
-    found = None
-    for _ in range(max_depth):
-        step = front.join(edges, F.col("id") == F.col("src")).select("seed", F.col("dst").alias("id"), F.concat("path", F.array("dst")).alias("path"))
-        front = stored(step.join(seen, ["seed", "id"], "left_anti"), "front")
+    found = stored(wanted.limit(0).withColumn("path", F.array("src")), "found")
+    for _ in _steps(1, max_depth):
+        open_ = wanted.join(found.select("src", "dst"), ["src", "dst"], "left_anti").select(F.col("src").alias("seed")).distinct()
+        step = front.join(open_, "seed", "left_semi").join(edges, F.col("id") == F.col("src")).select("seed", F.col("dst").alias("id"), F.concat("path", F.array("dst")).alias("path"))
+        front = stored(step.join(seen, ["seed", "id"], "left_anti").withColumn("r", order).filter(F.col("r") <= max_paths).drop("r"), "front")
         if not front.take(1):
             break
         seen = stored(seen.unionByName(front.select("seed", "id").distinct()), "seen")
-        hit = front.join(wanted, (F.col("seed") == wanted["src"]) & (F.col("id") == wanted["dst"])).select(wanted["src"], wanted["dst"], "path")
-        found = hit if found is None else found.unionByName(hit)
-    if found is None:
-        return edges.sparkSession.createDataFrame([], "src string, dst string, rank int, path array<string>")
-    from pyspark.sql import Window
-
-    order = F.row_number().over(Window.partitionBy("src", "dst").orderBy("path"))
-    return found.withColumn("rank", order).filter(F.col("rank") <= max_paths).select("src", "dst", "rank", "path")
+        found = stored(found.unionByName(front.select(F.col("seed").alias("src"), F.col("id").alias("dst"), "path").join(wanted, ["src", "dst"], "left_semi")), "found")
+    rank = F.row_number().over(Window.partitionBy("src", "dst").orderBy("path"))
+    return found.withColumn("rank", rank).select("src", "dst", "rank", "path")
 
 
 def ego(edges: DataFrame, centres: DataFrame, hops: int = 2) -> DataFrame:
@@ -268,23 +275,22 @@ def least_over_reach(nodes: DataFrame, edges: DataFrame, value: str) -> DataFram
 def inherit(nodes: DataFrame, links: DataFrame, value: str) -> DataFrame:
     """``id, inherited``: the nearest value upwards, own first, along ``links`` (``id, parent``); null on circles without one.
 
-    Pointer jumping: the rounds are the logarithm of the deepest climb.
+    Pointer jumping: the rounds are the logarithm of the deepest climb. Climbs of all lengths
+    up to the deepest occur, so a round in which none ends leaves only circles.
     """
     state = stored(nodes.select("id", F.col(value).alias("v")).join(links.select("id", "parent"), "id", "left").select("id", "v", F.when(F.col("v").isNull(), F.col("parent")).alias("ptr")), "state")
-    left = state.filter("ptr IS NOT NULL").count()
-    for _ in range(64):
-        if not left:
-            break
+    left, before = state.filter("ptr IS NOT NULL").count(), 0
+    while left and left != before:
         up = state.select(F.col("id").alias("ptr"), F.col("v").alias("v2"), F.col("ptr").alias("p2"))
         moved = state.filter("ptr IS NOT NULL").join(up, "ptr", "left").select("id", F.col("v2").alias("v"), F.when(F.col("v2").isNull() & (F.col("p2") != F.col("id")), F.col("p2")).alias("ptr"))
         after = stored(state.filter("ptr IS NULL").unionByName(moved), "state")
         discard(state)
-        state, now = after, after.filter("ptr IS NOT NULL").count()
-        left = now
+        state, before = after, left
+        left = after.filter("ptr IS NOT NULL").count()
     return state.select("id", F.col("v").alias("inherited"))
 
 
-def damped_sum(edges: DataFrame, base: DataFrame, max_depth: int = 20) -> DataFrame:
+def damped_sum(edges: DataFrame, base: DataFrame, max_depth: int | None = None) -> DataFrame:
     """``id, total``: sum over what a node reaches of base x path factor / depth.
 
     ``edges``: ``src, dst, factor``; ``base``: ``id, base``. Among shortest paths the one
@@ -293,7 +299,7 @@ def damped_sum(edges: DataFrame, base: DataFrame, max_depth: int = 20) -> DataFr
     edges = stored(edges.groupBy("src", "dst").agg(F.max("factor").alias("factor")).filter("src <> dst"), "edges")
     front = stored(edges.select(F.col("src").alias("seed"), F.col("dst").alias("id"), "factor", F.lit(1).alias("depth")), "front")
     seen = front
-    for depth in range(2, max_depth + 1):
+    for depth in _steps(2, max_depth):
         step = front.join(edges.withColumnRenamed("factor", "f"), F.col("id") == F.col("src")).filter("seed <> dst").groupBy("seed", F.col("dst").alias("id")).agg(F.max(F.col("factor") * F.col("f")).alias("factor"))
         front = stored(step.join(seen.select("seed", "id"), ["seed", "id"], "left_anti").withColumn("depth", F.lit(depth)), "front")
         if not front.take(1):

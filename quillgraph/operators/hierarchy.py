@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 
 from quillgraph.functions.refs import reference_key
 from quillgraph.operators.references import holding_state, node_keys
-from quillgraph.plans.skew import lookup_join
-from quillgraph.session import discard, stored
+from quillgraph.plans.skew import LIGHT, lookup_join
+from quillgraph.session import discard, observed, stored
 
 SPACING = 8
 
@@ -40,10 +40,22 @@ def resolved_parents(nodes: DataFrame) -> DataFrame:
     return found.unionByName(wanted.filter("key = ''").select("id", F.lit(None).cast("string").alias("parent")))
 
 
-def _double(state: DataFrame, stop: str) -> DataFrame:
-    """Join the unfinished rows of ``state`` with the rows they point at."""
-    ahead = state.select(*[F.col(c).alias(f"n_{c}") for c in state.columns])
-    return state.filter(f"NOT {stop}").join(ahead, F.col("ptr") == F.col("n_id"), "inner")
+def _double(state: DataFrame, left: int) -> DataFrame:
+    """The ``left`` unfinished rows of ``state`` with the rows they point at (``n_...``).
+
+    Very wide nodes make hot pointers, so from ``LIGHT`` rows on the join is salted.
+    """
+    far = state.filter("NOT done")
+    ahead = state.select(F.col("id").alias("ptr"), *[F.col(c).alias(f"n_{c}") for c in state.columns if c != "id"])
+    return lookup_join(far, ahead, ["ptr"]) if left > LIGHT else far.join(ahead, "ptr")
+
+
+def _round(df: DataFrame, before: DataFrame | None = None) -> tuple[DataFrame, int]:
+    """The table of a round and how many of its rows are not ``done``; the table before it is deleted."""
+    out, seen = observed(df, "round", left=F.count_if(~F.col("done")))
+    if before is not None:
+        discard(before)
+    return out, seen["left"]
 
 
 def _next(before: DataFrame, after: DataFrame) -> DataFrame:
@@ -60,17 +72,15 @@ def walk_to_stops(links: DataFrame, spacing: int = SPACING) -> DataFrame:
     ``ptr`` and is done with 0 hops. Rows still not done lead into a splitterless circle.
     """
     is_stop = F.pmod(F.xxhash64("id"), F.lit(spacing)) == 0
-    stops = links.select("id", (is_stop | F.col("parent").isNull()).alias("stop"))
-    at = links.alias("l").join(stops.select(F.col("id").alias("parent"), F.col("stop").alias("pstop")), "parent", "left")
-    state = stored(at.select("id", F.col("parent").alias("ptr"), F.when(F.col("parent").isNull(), 0).otherwise(1).alias("hops"), F.array("id").alias("trail"), F.coalesce("pstop", F.lit(True)).alias("done")))
-    left = state.filter("NOT done").count()
+    stops = links.select(F.col("id").alias("parent"), (is_stop | F.col("parent").isNull()).alias("pstop"))
+    at = lookup_join(links.select("id", "parent"), stops, ["parent"], "left")
+    state, left = _round(at.select("id", F.col("parent").alias("ptr"), F.when(F.col("parent").isNull(), 0).otherwise(1).alias("hops"), F.array("id").alias("trail"), F.coalesce("pstop", F.lit(True)).alias("done")))
     while left:
-        step = _double(state, "done").select("id", F.col("n_ptr").alias("ptr"), (F.col("hops") + F.col("n_hops")).alias("hops"), F.concat("trail", "n_trail").alias("trail"), F.col("n_done").alias("done"))
-        state = _next(state, state.filter("done").unionByName(step))
-        now = state.filter("NOT done").count()
-        if now == left:  # distances to a stop have no gaps: nothing more will finish
+        step = _double(state, left).select("id", F.col("n_ptr").alias("ptr"), (F.col("hops") + F.col("n_hops")).alias("hops"), F.concat("trail", "n_trail").alias("trail"), F.col("n_done").alias("done"))
+        before = left
+        state, left = _round(state.filter("done").unionByName(step), state)
+        if left == before:  # distances to a stop have no gaps: nothing more will finish
             break
-        left = now
     return state
 
 
@@ -79,17 +89,15 @@ def _solve_reduced(reduced: DataFrame) -> DataFrame:
 
     ``reduced``: ``id, ptr, hops, weight``; ``size`` sums the weights of a stop and all stops beneath.
     """
-    state = stored(reduced.select("id", "ptr", "hops", F.col("weight").alias("size"), F.col("ptr").isNull().alias("done"), F.col("id").alias("root")))
-    left = state.filter("NOT done").count()
+    state, left = _round(reduced.select("id", "ptr", "hops", F.col("weight").alias("size"), F.col("ptr").isNull().alias("done"), F.col("id").alias("root")))
     while left:
         beneath = state.filter("NOT done").groupBy("ptr").agg(F.sum("size").alias("more")).withColumnRenamed("ptr", "id")
-        moved = _double(state, "done").select("id", F.col("n_ptr").alias("ptr"), (F.col("hops") + F.col("n_hops")).alias("hops"), "size", F.col("n_ptr").isNull().alias("done"), F.when(F.col("n_ptr").isNull(), F.col("n_root")).alias("root"))
+        moved = _double(state, left).select("id", F.col("n_ptr").alias("ptr"), (F.col("hops") + F.col("n_hops")).alias("hops"), "size", F.col("n_ptr").isNull().alias("done"), F.when(F.col("n_ptr").isNull(), F.col("n_root")).alias("root"))
         both = state.filter("done").unionByName(moved)
-        state = _next(state, both.join(beneath, "id", "left").withColumn("size", F.col("size") + F.coalesce("more", F.lit(0))).drop("more"))
-        now = state.filter("NOT done").count()
-        if now == left:
+        before = left
+        state, left = _round(both.join(beneath, "id", "left").withColumn("size", F.col("size") + F.coalesce("more", F.lit(0))).drop("more"), state)
+        if left == before:
             break
-        left = now
     return state.filter("done").select("id", "root", F.col("hops").alias("dist"), "size")
 
 
@@ -103,7 +111,7 @@ def solve_forest(links: DataFrame, spacing: int = SPACING) -> DataFrame:
     solved = _solve_reduced(reduced)
     tops = solved.select(F.col("id").alias("stop"), "root", "dist")
     stops = ended.filter(is_stop)
-    low = ended.filter(~is_stop).withColumn("stop", F.col("ptr")).join(tops, "stop").select("id", "root", (F.col("hops") + F.col("dist")).alias("depth"), "trail", "stop", F.lit(1).cast("bigint").alias("weight"))
+    low = lookup_join(ended.filter(~is_stop).withColumn("stop", F.col("ptr")), tops, ["stop"]).select("id", "root", (F.col("hops") + F.col("dist")).alias("depth"), "trail", "stop", F.lit(1).cast("bigint").alias("weight"))
     high = stops.join(solved, "id").select("id", "root", F.col("dist").alias("depth"), "trail", F.col("ptr").alias("stop"), F.col("size").alias("weight"))
     placed = stored(low.unionByName(high))
     sizes = placed.select(F.explode("trail").alias("id"), "weight").groupBy("id").agg(F.sum("weight").alias("size"))
@@ -111,21 +119,20 @@ def solve_forest(links: DataFrame, spacing: int = SPACING) -> DataFrame:
 
 
 def circles(links: DataFrame) -> DataFrame:
-    """``id, root, size`` of every node on a circle, for links none of which leads to a root."""
-    state = stored(links.select("id", F.col("parent").alias("ptr")))
-    left, stride = state.count(), 1
-    if not left:
+    """``id, root, size`` of every node on a circle, for links none of which leads to a root.
+
+    Doubling carries the smallest id passed. Once the stride is no less than the number of
+    nodes, every pointer ends on a circle, and what a node of a circle has passed is all of it.
+    """
+    state, seen = observed(links.select("id", F.col("parent").alias("ptr"), F.least("id", "parent").alias("low")), "ring", n=F.count(F.lit(1)))
+    n, stride = seen["n"], 1
+    if not n:
         return links.sparkSession.createDataFrame([], "id string, root string, size bigint")
-    while stride < left:
-        ahead = state.select(F.col("id").alias("ptr"), F.col("ptr").alias("next"))
-        state, stride = _next(state, state.join(ahead, "ptr").select("id", F.col("next").alias("ptr"))), stride * 2
-    on = state.select(F.col("ptr").alias("id")).distinct()
-    ring = stored(links.join(on, "id", "left_semi").select("id", F.col("parent").alias("ptr"), F.least("id", "parent").alias("low")))
-    size, stride = ring.count(), 1
-    while stride < size:
-        ahead = ring.select(F.col("id").alias("ptr"), F.col("ptr").alias("next"), F.col("low").alias("far"))
-        step = ring.join(ahead, "ptr").select("id", F.col("next").alias("ptr"), F.least("low", "far").alias("low"))
-        ring, stride = _next(ring, step), stride * 2
+    while stride < n:
+        ahead = state.select(F.col("id").alias("ptr"), F.col("ptr").alias("next"), F.col("low").alias("far"))
+        step = lookup_join(state, ahead, ["ptr"]) if n > LIGHT else state.join(ahead, "ptr")
+        state, stride = _next(state, step.select("id", F.col("next").alias("ptr"), F.least("low", "far").alias("low"))), stride * 2
+    ring = state.join(state.select(F.col("ptr").alias("id")).distinct(), "id", "left_semi").select("id", "low")
     members = ring.groupBy("low").agg(F.count(F.lit(1)).alias("size"))
     return ring.join(members, "low").select("id", F.col("low").alias("root"), "size")
 
@@ -163,12 +170,12 @@ def _paths(solved: DataFrame) -> DataFrame:
     itself has as many ids as the depths sum to.
     """
     used = solved.select(F.col("stop").alias("id")).filter("id IS NOT NULL").distinct()
-    state = stored(solved.join(used, "id", "left_semi").select("id", F.col("stop").alias("ptr"), "trail", F.col("stop").isNull().alias("done")))
-    while state.filter("NOT done").take(1):
-        step = _double(state, "done").select("id", F.col("n_ptr").alias("ptr"), F.concat("trail", "n_trail").alias("trail"), F.col("n_ptr").isNull().alias("done"))
-        state = _next(state, state.filter("done").unionByName(step))
+    state, left = _round(solved.join(used, "id", "left_semi").select("id", F.col("stop").alias("ptr"), "trail", F.col("stop").isNull().alias("done")))
+    while left:
+        step = _double(state, left).select("id", F.col("n_ptr").alias("ptr"), F.concat("trail", "n_trail").alias("trail"), F.col("n_ptr").isNull().alias("done"))
+        state, left = _round(state.filter("done").unionByName(step), state)
     above = state.select(F.col("id").alias("stop"), F.col("trail").alias("rest"))
-    return solved.join(above, "stop", "left").select("id", "root", "depth", F.reverse(F.concat("trail", F.coalesce("rest", F.array().cast("array<string>")))).alias("path"))
+    return lookup_join(solved, above, ["stop"], "left").select("id", "root", "depth", F.reverse(F.concat("trail", F.coalesce("rest", F.array().cast("array<string>")))).alias("path"))
 
 
 def full_paths(solved: DataFrame) -> DataFrame:

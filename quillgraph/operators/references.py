@@ -1,10 +1,11 @@
 """Orphan references: rows that name keys which never existed, were deleted, or came later.
 
-Parent and child keys are tagged and brought into one long form; one aggregation by key
-(partial before the shuffle, so a key that a third of all rows name costs no more than
-any other) says of each key whether it has a parent, from when and until when, and which
-span of times it is referred to. Only keys that cannot be clean for the whole span are
-looked up again by the rows, the hottest of them by a bounded broadcast.
+Parent and child keys are tagged and brought into one long form; one aggregation by parent
+table and key (partial before the shuffle, so a key that a third of all rows name costs no
+more than any other) says of each key whether it has a parent, from when and until when,
+and which span of times it is referred to. Only keys that cannot be clean for the whole
+span are looked up again by the rows, in a salted join. The references are read and their
+keys made once, then kept as a table in the shared folder.
 
 Defined results: null and blank references name nothing and are never reported; a
 repeated element of a list or a repeated row is reported once; an empty table gives an
@@ -18,6 +19,10 @@ from pyspark.sql import functions as F
 
 from quillgraph.functions.refs import reference_key, strip_blanks
 from quillgraph.plans.skew import lookup_join
+from quillgraph.session import stored
+
+#: The tables that references may name share one space of keys; this is its name.
+NOTES = "notes"
 
 
 def holding_state(nodes: DataFrame) -> DataFrame:
@@ -47,8 +52,8 @@ def node_keys(states: DataFrame) -> DataFrame:
     )
 
 
-def written_references(df: DataFrame, tab: str, row_id: str, fields: list[str], when: str = "recorded_at") -> DataFrame:
-    """``tab, row_id, field, ref, at``: one row per reference written; list fields are exploded."""
+def written_references(df: DataFrame, tab: str, row_id: str, fields: list[str], when: str = "recorded_at", to: str = NOTES) -> DataFrame:
+    """``tab, row_id, field, ref, at, to, key``: one row per reference written, ``to`` the parent table; list fields are exploded."""
     kinds = dict(df.dtypes)
 
     def tagged(field: str) -> Column:
@@ -59,22 +64,23 @@ def written_references(df: DataFrame, tab: str, row_id: str, fields: list[str],
     return (
         df.select(F.col(row_id).alias("row_id"), F.col(when).alias("at"), F.explode(F.concat(*one)).alias("r"))
         .select(F.lit(tab).alias("tab"), "row_id", "r.field", "r.ref", "at")
+        .withColumn("to", F.lit(to))
         .withColumn("key", reference_key(F.col("ref")))
         .filter(F.col("key") != "")
     )
 
 
 def broken_references(parents: DataFrame, children: DataFrame) -> DataFrame:
-    """Rows of ``children`` (``tab, row_id, field, ref, at, key``) that are broken.
+    """Rows of ``children`` (``tab, row_id, field, ref, at, to, key``) that are broken.
 
-    ``parents``: ``key, first_at, deleted_at``; a null ``first_at`` means "always there".
+    ``parents``: ``to, key, first_at, deleted_at``; a null ``first_at`` means "always there".
     """
-    tagged = parents.select("key", F.lit(True).alias("is_parent"), "first_at", "deleted_at", F.lit(None).cast("timestamp").alias("lo"), F.lit(None).cast("timestamp").alias("hi")).unionByName(
-        children.groupBy("key")
-        .agg(F.min("at").alias("lo"), F.max("at").alias("hi"))
-        .select("key", F.lit(False).alias("is_parent"), F.lit(None).cast("timestamp").alias("first_at"), F.lit(None).cast("timestamp").alias("deleted_at"), "lo", "hi")
+    children = stored(children, "references")
+    never = F.lit(None).cast("timestamp")
+    tagged = parents.select("to", "key", F.lit(True).alias("is_parent"), "first_at", "deleted_at", never.alias("lo"), never.alias("hi")).unionByName(
+        children.select("to", "key", F.lit(False).alias("is_parent"), never.alias("first_at"), never.alias("deleted_at"), F.col("at").alias("lo"), F.col("at").alias("hi"))
     )
-    verdict = tagged.groupBy("key").agg(
+    verdict = tagged.groupBy("to", "key").agg(
         F.max("is_parent").alias("has_parent"),
         F.min("first_at").alias("first_at"),
         F.max("deleted_at").alias("deleted_at"),
@@ -82,8 +88,8 @@ def broken_references(parents: DataFrame, children: DataFrame) -> DataFrame:
         F.max("hi").alias("hi"),
         F.max(~F.col("is_parent")).alias("referred"),
     )
-    suspect = verdict.filter(F.col("referred") & (~F.col("has_parent") | (F.col("first_at") > F.col("lo")) | (F.col("deleted_at") <= F.col("hi")))).select("key", "has_parent", "first_at", "deleted_at")
-    rows = lookup_join(children, suspect, ["key"])
+    suspect = verdict.filter(F.col("referred") & (~F.col("has_parent") | (F.col("first_at") > F.col("lo")) | (F.col("deleted_at") <= F.col("hi")))).select("to", "key", "has_parent", "first_at", "deleted_at")
+    rows = lookup_join(children, suspect, ["to", "key"])
     kind = F.when(~F.col("has_parent"), "missing").when(F.col("first_at") > F.col("at"), "late").when(F.col("deleted_at") <= F.col("at"), "deleted")
     return rows.withColumn("kind", kind).filter(F.col("kind").isNotNull()).select("tab", "row_id", "field", "ref", "kind", F.date_format("at", "yyyy-MM").alias("period")).distinct()
 
@@ -93,7 +99,7 @@ def parent_keys(nodes: DataFrame, projects: DataFrame) -> DataFrame:
     own = node_keys(holding_state(nodes)).select("key", F.lit(False).alias("project"), "first_at", "deleted_at")
     slugs = projects.select(F.lower(strip_blanks(F.col("slug"))).alias("key"), F.lit(True).alias("project"), F.lit(None).cast("timestamp").alias("first_at"), F.lit(None).cast("timestamp").alias("deleted_at")).filter("key != ''")
     # a slug that is also a node's key always exists
-    return own.unionByName(slugs).groupBy("key").agg(F.max(F.struct("project", "first_at", "deleted_at")).alias("b")).select("key", "b.first_at", "b.deleted_at")
+    return own.unionByName(slugs).groupBy("key").agg(F.max(F.struct("project", "first_at", "deleted_at")).alias("b")).select(F.lit(NOTES).alias("to"), "key", "b.first_at", "b.deleted_at")
 
 
 def orphan_counts(broken: DataFrame) -> DataFrame:

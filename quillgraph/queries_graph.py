@@ -109,7 +109,7 @@ def j10_induced_edges(spark, sf):
 # ---- graph
 
 
-@query(f"WITH RECURSIVE {BASE}, d AS (SELECT DISTINCT source AS src, target AS dst FROM e WHERE type = 'depends_on'), c AS (SELECT src AS seed, dst AS id, 1 AS depth FROM d UNION SELECT c.seed, d.dst, c.depth + 1 FROM c JOIN d ON d.src = c.id WHERE c.depth < 20) SELECT seed, id, CAST(min(depth) AS INTEGER) AS depth FROM c WHERE seed <> id GROUP BY 1, 2")
+@query(f"WITH RECURSIVE {BASE}, d AS (SELECT DISTINCT source AS src, target AS dst FROM e WHERE type = 'depends_on'), c AS (SELECT src AS seed, dst AS id, 1 AS depth FROM d UNION SELECT c.seed, d.dst, c.depth + 1 FROM c JOIN d ON d.src = c.id) SELECT seed, id, CAST(min(depth) AS INTEGER) AS depth FROM c WHERE seed <> id GROUP BY 1, 2")
 def g4_dependency_closure(spark, sf):
     return graph.closure(_links(spark, sf, "depends_on"))
 
@@ -123,7 +123,7 @@ def g5_blocks_closure(spark, sf):
 
 @query(f"WITH RECURSIVE {BASE}, d AS (SELECT DISTINCT source AS src, target AS dst FROM e WHERE type IN ('parent', 'contributes_to', 'closes')), c AS (SELECT src AS seed, dst AS id FROM d UNION SELECT c.seed, d.dst FROM c JOIN d ON d.src = c.id) SELECT seed AS id, array_to_string(list_sort(list(DISTINCT id)), ',') AS ancestors FROM c WHERE seed <> id GROUP BY 1")
 def g19_target_ancestors(spark, sf):
-    c = graph.closure(_links(spark, sf, "parent", "contributes_to", "closes"), max_depth=10_000)
+    c = graph.closure(_links(spark, sf, "parent", "contributes_to", "closes"))
     return c.groupBy(F.col("seed").alias("id")).agg(F.array_join(F.array_sort(F.collect_set(c["id"])), ",").alias("ancestors"))
 
 
