@@ -6,19 +6,21 @@ of the first ``n - a + k`` runs of each (n: its number of runs, a: the overlap t
 of the pair, k up to a). The operator
 
 1. counts runs over all texts in a count sketch of fixed size, merged block by block;
-2. sorts each text's runs by several global orders - all rare first by the sketch, ties
-   and coarse classes broken by different hashes - and posts the union of the prefixes
-   with the position in each order;
+2. sorts each text's runs by three global orders - rare first by the sketch in classes that
+   are fine, of powers of two and of powers of four, each broken by another hash - and posts
+   the union of the prefixes with the position in each order;
 3. joins postings by run, keeps a meeting only where it lies in a prefix of the pair under
    some order, counts meetings per pair and order, and intersects the filters: under
    *every* order a candidate pair needs its k meetings;
 4. verifies candidates on their whole run sets.
 
-The sketch only decides the order, never what is found: the result is exact. Copies
-share one key, so they meet others once, however many there are.
+The sketch only decides the order, never what is found: the result is exact, but for texts
+or runs that share a 64-bit hash. Copies share one key, so they meet others once, however
+many there are.
 
-Size of what moves: about half of each text's runs, once. Nothing but the sketch
-(``2 * 2**SKETCH_BITS`` bytes) is broadcast.
+Size of what moves: about half of each text's runs, once. Broadcast are the sketch
+(``2 * 2**SKETCH_BITS`` bytes) and a Bloom filter of the candidates of at most
+``2**FILTER_BITS`` bits; where that would be too small, a join does its work.
 
 Defined results: null titles and bodies count as empty; texts whose body has fewer than
 ``min_words`` words are left out; null ids are ignored; repeated rows count once; an empty
@@ -38,13 +40,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillgraph.llm.words import mix64, ordered, shingles, word_hashes
-from quillgraph.plans.skew import even_labels
+from quillgraph.plans.skew import even_labels, lookup_join
 from quillgraph.session import discard, release, stored
 
 SKETCH_BITS = 22
 BLOCK_BITS = 16
-MARK_BITS = 24
+FILTER_BITS = 28
 SHARED = 8
+ORDERS = 3
+#: Postings of a lot, which one task holds at once.
+LOT_POSTINGS = 8_000_000
 #: A run of more texts than this is dealt to several tasks.
 HOT = 20_000
 #: Pairs looked at in one go.
@@ -89,7 +94,13 @@ def _coded(counts: np.ndarray) -> np.ndarray:
 
 
 def _sketch(texts: DataFrame, size: int, min_words: int) -> np.ndarray:
-    """Two rows of codes (see ``LEVELS``) of counts that never fall short of the true ones."""
+    """Two rows of codes (see ``LEVELS``) of counts that never fall short of the true ones.
+
+    A task counts all it reads into one array, so there are no more tasks than keep the
+    cluster busy; blocks are summed and coded to one byte on the executors.
+    """
+    spark = texts.sparkSession
+    tasks = max(256, 4 * spark.sparkContext.defaultParallelism)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros((2, 1 << SKETCH_BITS), np.uint32)
@@ -108,13 +119,13 @@ def _sketch(texts: DataFrame, size: int, min_words: int) -> np.ndarray:
                 part = np.frombuffer(zlib.decompress(raw), np.uint32)
                 sums[k] = sums[k] + part if k in sums else part
         if sums:
-            yield pa.record_batch([pa.array(list(sums), pa.int32()), pa.array([zlib.compress(x.tobytes(), 1) for x in sums.values()], pa.binary())], ["block", "counts"])
+            yield pa.record_batch([pa.array(list(sums), pa.int32()), pa.array([zlib.compress(_coded(x).tobytes(), 1) for x in sums.values()], pa.binary())], ["block", "counts"])
 
     schema = "block int, counts binary"
-    parts = texts.select("title", "body").mapInArrow(count, schema).repartition(8, "block").mapInArrow(add, schema).collect()
+    parts = texts.select("title", "body").coalesce(tasks).mapInArrow(count, schema).repartition("block").mapInArrow(add, schema).collect()
     out = np.zeros((2 << SKETCH_BITS) >> BLOCK_BITS << BLOCK_BITS, np.uint8).reshape(-1, 1 << BLOCK_BITS)
     for r in parts:
-        out[r["block"]] = _coded(np.frombuffer(zlib.decompress(r["counts"]), np.uint32))
+        out[r["block"]] = np.frombuffer(zlib.decompress(r["counts"]), np.uint8)
     return out.reshape(2, -1)
 
 
@@ -124,15 +135,10 @@ def _keyed(texts: DataFrame) -> DataFrame:
     return texts.filter(F.col("id").isNotNull()).select("id", "title", "body", F.xxhash64(*text).alias("whole"))
 
 
-def _doc_key(whole: np.ndarray) -> np.ndarray:
-    """The 32 bits of ``whole`` by which candidates are named."""
-    return (whole.view(np.uint64) >> np.uint64(32)).astype(np.int64)
-
-
-def _lots(place: np.ndarray, labels: list[int], tables: dict[str, np.ndarray], **columns: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _lots(place: np.ndarray, labels: list[int], docs: dict[str, np.ndarray], refs: tuple[str, ...], **columns: np.ndarray) -> Iterator[pa.RecordBatch]:
     """Rows cut by ``place``, the index of a label, into one compressed lot per label.
 
-    ``tables`` are what the column ``at`` points into; each lot gets the part that it uses.
+    ``docs`` are tables that the columns ``refs`` point into; each lot gets the part that it uses.
     """
     order = np.argsort(place, kind="stable")
     ends = np.searchsorted(place[order], np.arange(len(labels) + 1))
@@ -141,9 +147,8 @@ def _lots(place: np.ndarray, labels: list[int], tables: dict[str, np.ndarray], *
         mine = order[ends[k] : ends[k + 1]]
         if len(mine):
             part = {n: c[mine] for n, c in columns.items()}
-            if tables:
-                used, part["at"] = np.unique(part["at"], return_inverse=True)
-                part |= {n: c[used] for n, c in tables.items()}
+            used, at = np.unique(np.concatenate([part[r] for r in refs]), return_inverse=True)
+            part |= dict(zip(refs, np.split(at, len(refs)))) | {n: c[used] for n, c in docs.items()}
             out = io.BytesIO()
             np.savez(out, **{n: _shrunk(c) for n, c in part.items()})
             names.append(label)
@@ -169,7 +174,7 @@ def _opened(raw: bytes) -> dict[str, np.ndarray]:
 
 
 def _postings(texts: DataFrame, size: int, min_words: int, t: float, held: Broadcast, labels: list[int], most: int) -> DataFrame:
-    """Lots of postings: ``group`` (gaps of sorted 40-bit run keys), ``at``, ``left1``, ``left2``, ``side``.
+    """Lots of postings: ``group`` (gaps of sorted 40-bit run keys), ``at``, ``left0`` and so on, ``side``.
 
     ``at`` is a place in the tables ``docs`` and ``sizes``: keys of texts and their numbers of runs.
 
@@ -185,7 +190,7 @@ def _postings(texts: DataFrame, size: int, min_words: int, t: float, held: Broad
                 continue
             begin = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
             n = np.diff(np.append(begin, len(runs)))
-            docs = _doc_key(b.column("whole").to_numpy())[owner[begin]].astype(np.uint64)
+            docs = b.column("whole").to_numpy().view(np.uint64)[owner[begin]]
             at = np.repeat(np.arange(len(begin)), n)
             c0, c1 = _cells(runs)
             seen = LEVELS[np.minimum(counts[0][c0], counts[1][c1])]
@@ -193,16 +198,17 @@ def _postings(texts: DataFrame, size: int, min_words: int, t: float, held: Broad
             long = size_of - np.ceil(size_of * t - 1e-9).astype(np.int64) + SHARED
             left = []
             with np.errstate(over="ignore"):
-                other = mix64(runs + np.uint64(1))
-            for high, bits, low in ((np.minimum(counts[0][c0], counts[1][c1]), 8, runs), (np.frexp(seen)[1], 6, other)):
+                others = [mix64(runs + np.uint64(k)) for k in (1, 2)]
+            power = np.frexp(seen)[1]
+            for high, bits, low in ((np.minimum(counts[0][c0], counts[1][c1]), 8, runs), (power, 6, others[0]), (power // 2, 5, others[1])):
                 order = ordered(owner, high, bits, low)
                 place = np.empty(len(runs), np.int64)
                 place[order] = np.arange(len(runs)) - np.repeat(begin, n)
                 left.append(np.where(place < long, size_of - place, 0))
             # a count of one is exact: nobody else has that run
-            keep = (seen > 1) & ((left[0] > 0) | (left[1] > 0))
+            keep = (seen > 1) & (np.maximum.reduce(left) > 0)
             group, side = runs[keep], np.zeros(int(keep.sum()), np.int64)
-            cols = [c[keep] for c in (at, left[0], left[1])]
+            cols = [c[keep] for c in (at, *left)]
             hot = np.flatnonzero(seen[keep] > most)
             if len(hot):
                 blocks = -(-seen[keep][hot] // most)
@@ -227,7 +233,8 @@ def _postings(texts: DataFrame, size: int, min_words: int, t: float, held: Broad
             sorted_key, sorted_place = key[seq], place[seq]
             step = np.append(sorted_key[:1], sorted_key[1:] - np.where(sorted_place[1:] == sorted_place[:-1], sorted_key[:-1], 0))
             gap[seq] = step
-            yield from _lots(place, labels, {"docs": docs, "sizes": n}, group=gap, side=side[order], **dict(zip(("at", "left1", "left2"), (c[order] for c in cols))))
+            names = ("at", *(f"left{k}" for k in range(ORDERS)))
+            yield from _lots(place, labels, {"docs": docs, "sizes": n}, ("at",), group=gap, side=side[order], **dict(zip(names, (c[order] for c in cols))))
 
     return texts.select("title", "body", "whole").mapInArrow(post, LOT_SCHEMA)
 
@@ -242,16 +249,25 @@ def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict[str, np.n
         yield [_opened(raw) for raw in by.pop(k)]
 
 
-def _meetings(lots: list[dict[str, np.ndarray]], t: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """``pair, first, second``: pairs that meet within a prefix, with their votes under both orders, in slabs."""
-    group = np.concatenate([np.cumsum(x["group"]) for x in lots]) if lots else np.zeros(0, np.uint64)
-    doc, n = (np.concatenate([x[c][x["at"].astype(np.int64)] for x in lots]) for c in ("docs", "sizes"))
-    left1, left2, side = (np.concatenate([x[c] for x in lots]) for c in ("left1", "left2", "side"))
+def _joined(lots: list[dict[str, np.ndarray]], refs: tuple[str, ...]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The texts of all lots, each once, and what ``refs`` of all lots point at among them."""
+    docs = np.concatenate([x["docs"] for x in lots])
+    docs, number = np.unique(docs, return_inverse=True)
+    begin = np.cumsum([0, *(len(x["docs"]) for x in lots)])
+    return docs, [np.concatenate([number[x[r].astype(np.int64) + b] for x, b in zip(lots, begin)]) for r in refs]
+
+
+def _meetings(lots: list[dict[str, np.ndarray]], doc: np.ndarray, t: float) -> Iterator[tuple[np.ndarray, ...]]:
+    """``pair, votes...``: pairs of texts (numbers) that meet within a prefix, with their votes under every order, in slabs."""
+    group = np.concatenate([np.cumsum(x["group"]) for x in lots])
+    n = np.concatenate([x["sizes"][x["at"].astype(np.int64)] for x in lots])
+    side, *left = (np.concatenate([x[c] for x in lots]) for c in ("side", *(f"left{k}" for k in range(ORDERS))))
     order = np.lexsort((doc, n, group))
-    group, doc, n, left1, left2, side = group[order], doc[order], n[order].astype(np.int64), left1[order].astype(np.int64), left2[order].astype(np.int64), side[order]
+    group, doc, n, side = group[order], doc[order], n[order].astype(np.int64), side[order]
+    left = [x[order].astype(np.int64) for x in left]
     # copies post the same: one of them is enough
     fresh = np.append(True, (group[1:] != group[:-1]) | (doc[1:] != doc[:-1]))[: len(group)]
-    group, doc, n, left1, left2, side = (c[fresh] for c in (group, doc, n, left1, left2, side))
+    group, doc, n, side, *left = (c[fresh] for c in (group, doc, n, side, *left))
     if not len(group):
         return
     number = np.cumsum(np.append(0, group[1:] != group[:-1]))
@@ -259,7 +275,7 @@ def _meetings(lots: list[dict[str, np.ndarray]], t: float) -> Iterator[tuple[np.
     far = np.minimum(np.floor(n / t + 1e-9).astype(np.int64), wide - 1)
     end = np.searchsorted(number * wide + n, number * wide + far, "right")
     # the smaller text needs only the prefix for partners of at least its size
-    short = np.maximum(left1, left2) > np.ceil(2 * n * t / (1 + t) - 1e-9).astype(np.int64) - SHARED
+    short = np.maximum.reduce(left) > np.ceil(2 * n * t / (1 + t) - 1e-9).astype(np.int64) - SHARED
     count = np.where(short, end - np.arange(len(n)) - 1, 0)
     upto = np.cumsum(count)
     at = 0
@@ -273,97 +289,130 @@ def _meetings(lots: list[dict[str, np.ndarray]], t: float) -> Iterator[tuple[np.
             continue
         need = np.ceil((n[i] + n[j]) * (t / (1 + t)) - 1e-9).astype(np.int64)
         slack = np.minimum(SHARED, need) - need
-        first, second = np.minimum(left1[i], left1[j]) + slack > 0, np.minimum(left2[i], left2[j]) + slack > 0
-        keep = (first | second) & ((side[i] == 0) | (side[i] != side[j])) & (doc[i] != doc[j])
-        i, j, need, first, second = i[keep], j[keep], need[keep], first[keep], second[keep]
+        votes = [np.minimum(x[i], x[j]) + slack > 0 for x in left]
+        keep = np.logical_or.reduce(votes) & ((side[i] == 0) | (side[i] != side[j])) & (doc[i] != doc[j])
         # where the pair demands fewer than SHARED meetings, one is enough
-        unit = np.where(need < SHARED, SHARED, 1)
-        yield doc[i] << np.uint64(32) | doc[j], first * unit, second * unit
+        unit = np.where(need[keep] < SHARED, SHARED, 1)
+        low, high = np.minimum(doc[i[keep]], doc[j[keep]]), np.maximum(doc[i[keep]], doc[j[keep]])
+        yield low << 32 | high, *(v[keep] * unit for v in votes)
 
 
-def _added(pair: np.ndarray, first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _added(pair: np.ndarray, *votes: np.ndarray) -> tuple[np.ndarray, ...]:
     """Votes per pair, sorted by pair, kept at SHARED."""
     order = np.argsort(pair)
-    pair, first, second = pair[order], first[order], second[order]
+    pair = pair[order]
     at = np.flatnonzero(np.append(True, pair[1:] != pair[:-1])[: len(pair)])
     if not len(at):
-        return pair, first, second
-    return pair[at], np.minimum(np.add.reduceat(first, at), SHARED), np.minimum(np.add.reduceat(second, at), SHARED)
+        return pair, *votes
+    return pair[at], *(np.minimum(np.add.reduceat(v[order], at), SHARED) for v in votes)
 
 
 def candidate_keys(texts: DataFrame, size: int, min_words: int, t: float, most: int = HOT) -> DataFrame:
     """``a, b``: keys of pairs that pass the filters of every order, from the texts of ``_keyed``."""
     spark = texts.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    sketch = _sketch(texts, size, min_words)
+    # as many lots as the runs counted ask for
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(LEVELS[sketch[0]].sum()) // LOT_POSTINGS + 1)
     labels = even_labels(spark, parts)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lots in _gathered(batches):
+            docs, (doc,) = _joined(lots, ("at",))
             sums, pending = [], 0
-            for x in _meetings(lots, t):
+            for x in _meetings(lots, doc, t):
                 sums.append(x)
                 pending += len(x[0])
                 if pending > 4 * SLAB:
                     sums = [_added(*map(np.concatenate, zip(*sums)))]
                     pending = len(sums[0][0])
             if sums:
-                pair, first, second = _added(*map(np.concatenate, zip(*sums)))
-                place = (mix64(pair) % np.uint64(len(labels))).astype(np.int64)
-                seq = np.argsort(place, kind="stable")
-                sorted_pair, sorted_place = pair[seq], place[seq]
-                gap = np.empty(len(pair), np.uint64)
-                gap[seq] = np.append(sorted_pair[:1], sorted_pair[1:] - np.where(sorted_place[1:] == sorted_place[:-1], sorted_pair[:-1], 0))
-                yield from _lots(place, labels, {}, pair=gap, votes=(first << 8 | second).astype(np.uint64))
+                pair, *votes = _added(*map(np.concatenate, zip(*sums)))
+                a, b = pair >> 32, pair & 0xFFFFFFFF
+                with np.errstate(over="ignore"):
+                    place = (mix64(docs[a] ^ mix64(docs[b])) % np.uint64(len(labels))).astype(np.int64)
+                packed = sum(v << 4 * k for k, v in enumerate(votes))
+                yield from _lots(place, labels, {"docs": docs}, ("a", "b"), a=a, b=b, votes=packed)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lots in _gathered(batches):
-            pair = np.concatenate([np.cumsum(x["pair"]) for x in lots])
-            votes = np.concatenate([x["votes"] for x in lots]).astype(np.int64)
-            pair, first, second = _added(pair, votes >> 8, votes & 255)
-            pair = pair[(first >= SHARED) & (second >= SHARED)]
-            yield pa.record_batch([pa.array((pair >> np.uint64(32)).astype(np.int64)), pa.array((pair & np.uint64(0xFFFFFFFF)).astype(np.int64))], ["a", "b"])
+            docs, (a, b) = _joined(lots, ("a", "b"))
+            packed = np.concatenate([x["votes"] for x in lots]).astype(np.int64)
+            pair, *votes = _added(a << 32 | b, *(packed >> 4 * k & 15 for k in range(ORDERS)))
+            pair = pair[np.minimum.reduce(votes) >= SHARED]
+            yield pa.record_batch([pa.array(docs[pair >> 32].view(np.int64)), pa.array(docs[pair & 0xFFFFFFFF].view(np.int64))], ["a", "b"])
 
-    held = spark.sparkContext.broadcast(_sketch(texts, size, min_words))
+    held = spark.sparkContext.broadcast(sketch)
     lots = _postings(texts, size, min_words, t, held, labels, most)
     out = stored(lots.repartition(parts, "lot").mapInArrow(meet, LOT_SCHEMA).repartition(parts, "lot").mapInArrow(count, "a long, b long"), "pairs")
     held.destroy()
     return out
 
 
-def _marked(keys: DataFrame) -> np.ndarray:
-    """A bit map of fixed size with the column ``doc`` of ``keys`` set."""
+def _bits(keys: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The two places of a key in a filter of ``size`` bits (a power of two)."""
+    keys, mask = keys.view(np.uint64), np.uint64(size - 1)
+    return mix64(keys) & mask, mix64(keys ^ np.uint64(0x5BD1E995)) & mask
+
+
+def _filter(keys: DataFrame, size: int) -> np.ndarray:
+    """A Bloom filter of ``size`` bits with the column ``whole`` of ``keys``, merged block by block on the executors."""
+    block = min(size, 1 << 19)
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells = np.zeros(1 << MARK_BITS, bool)
+        places = [at for b in batches for at in _bits(b.column("whole").to_numpy(), size)]
+        if not places:
+            return
+        places = np.unique(np.concatenate(places)).astype(np.int64)
+        used, first = np.unique(places // block, return_index=True)
+        raws = []
+        for mine in np.split(places % block, first[1:]):
+            cells = np.zeros(block, bool)
+            cells[mine] = True
+            raws.append(zlib.compress(np.packbits(cells).tobytes(), 1))
+        yield pa.record_batch([pa.array(used, pa.int32()), pa.array(raws, pa.binary())], ["block", "bits"])
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
         for b in batches:
-            cells[b.column("doc").to_numpy() >> (32 - MARK_BITS)] = True
-        if cells.any():
-            yield pa.record_batch([pa.array([zlib.compress(np.packbits(cells).tobytes(), 1)], pa.binary())], ["bits"])
+            for k, raw in zip(b.column("block").to_pylist(), b.column("bits").to_pylist()):
+                part = np.frombuffer(zlib.decompress(raw), np.uint8)
+                sums[k] = sums[k] | part if k in sums else part
+        yield pa.record_batch([pa.array(list(sums), pa.int32()), pa.array([zlib.compress(x.tobytes(), 1) for x in sums.values()], pa.binary())], ["block", "bits"])
+
+    out = np.zeros((size // block, block >> 3), np.uint8)
+    for r in keys.coalesce(64).mapInArrow(mark, "block int, bits binary").repartition("block").mapInArrow(merge, "block int, bits binary").collect():
+        out[r["block"]] = np.frombuffer(zlib.decompress(r["bits"]), np.uint8)
+    return out.ravel()
 
-    out = np.zeros(1 << MARK_BITS >> 3, np.uint8)
-    for r in keys.coalesce(8).mapInArrow(mark, "bits binary").collect():
-        out |= np.frombuffer(zlib.decompress(r["bits"]), np.uint8)
-    return out
 
+def run_sets(texts: DataFrame, size: int, min_words: int, keys: DataFrame, filter_bits: int = FILTER_BITS) -> DataFrame:
+    """``whole, runs`` of the texts among ``keys`` (column whole): their sorted run sets (binary).
 
-def run_sets(texts: DataFrame, size: int, min_words: int, marked: np.ndarray) -> DataFrame:
-    """``doc, whole, runs`` of the texts whose key is marked: their sorted run sets (binary)."""
-    held = texts.sparkSession.sparkContext.broadcast(marked)
+    A Bloom filter of ten bits a key and more lets through a few others too, which meet
+    nobody later. Keys too many for ``2**filter_bits`` bits are joined instead.
+    """
+    spark = texts.sparkSession
+    want = 1 << max(16, (10 * keys.count()).bit_length())
+    held = spark.sparkContext.broadcast(_filter(keys, want)) if want <= 1 << filter_bits else None
+    if held is None:
+        texts = texts.join(keys.select("whole").distinct(), "whole", "left_semi")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            doc = _doc_key(b.column("whole").to_numpy())
-            cell = doc >> (32 - MARK_BITS)
-            b = b.filter(pa.array((held.value[cell >> 3] >> (7 - (cell & 7)).astype(np.uint8) & 1).astype(bool)))
+            if held is not None:
+                hit = np.ones(b.num_rows, bool)
+                for at in _bits(b.column("whole").to_numpy(), want):
+                    hit &= (held.value[at >> np.uint64(3)] >> (7 - (at & np.uint64(7))).astype(np.uint8) & 1).astype(bool)
+                b = b.filter(pa.array(hit))
             runs, owner = _runs(b, size, min_words)
             if not len(runs):
                 continue
             begin = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
             end = np.append(begin[1:], len(runs))
             whole = b.column("whole").to_numpy()[owner[begin]]
-            yield pa.record_batch([pa.array(_doc_key(whole)), pa.array(whole), pa.array([runs[s:e].tobytes() for s, e in zip(begin, end)], pa.binary())], ["doc", "whole", "runs"])
+            yield pa.record_batch([pa.array(whole), pa.array([runs[s:e].tobytes() for s, e in zip(begin, end)], pa.binary())], ["whole", "runs"])
 
-    return texts.select("title", "body", "whole").mapInArrow(sets, "doc long, whole long, runs binary")
+    return texts.select("title", "body", "whole").mapInArrow(sets, "whole long, runs binary")
 
 
 def _verify(pairs: DataFrame, t: float) -> DataFrame:
@@ -389,33 +438,34 @@ class NearDuplicates:
     ``members``: ``whole, id``; ``links``: ``wa, wb, similarity`` between distinct texts, wa < wb.
     """
 
-    def __init__(self, texts: DataFrame, size: int = 5, min_words: int = 20, threshold: float = 0.8, most: int = HOT):
+    def __init__(self, texts: DataFrame, size: int = 5, min_words: int = 20, threshold: float = 0.8, most: int = HOT, filter_bits: int = FILTER_BITS):
         texts = _keyed(texts)
         candidates = candidate_keys(texts, size, min_words, threshold, most)
         release(texts.sparkSession)
         self.members = texts.select("whole", "id").distinct()
-        # 32-bit keys may be shared by different texts, which then take part under that key, also with one another;
         # texts under several ids are looked at again only to see whether they have enough words
-        by_key = self.members.groupBy("whole").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).select(F.shiftrightunsigned("whole", 32).alias("doc"), "whole", (F.col("lo") < F.col("hi")).alias("copied"))
-        extra = stored(by_key.groupBy("doc").agg(F.max("copied").alias("copied"), (F.count(F.lit(1)) > 1).alias("shared")).filter("copied OR shared"), "extra")
-        keys = candidates.select(F.explode(F.array("a", "b")).alias("doc")).unionByName(extra.select("doc"))
-        sets = stored(run_sets(texts, size, min_words, _marked(keys)), "sets")
+        copied = self.members.groupBy("whole").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo < hi").select("whole")
+        keys = stored(candidates.select(F.explode(F.array("a", "b")).alias("whole")).unionByName(copied), "keys")
+        sets = stored(run_sets(texts, size, min_words, keys, filter_bits), "sets")
         self.long_enough = sets.select("whole").distinct()
         # one exchange by key removes copies and serves both joins
-        one = sets.repartition("doc").dropDuplicates(["doc", "whole"])
-        both = candidates.unionByName(extra.filter("shared").select(F.col("doc").alias("a"), F.col("doc").alias("b")))
-        left = one.select(F.col("doc").alias("a"), F.col("whole").alias("w1"), F.col("runs").alias("x"))
-        right = one.select(F.col("doc").alias("b"), F.col("whole").alias("w2"), F.col("runs").alias("y"))
-        pairs = both.join(left, "a").join(right, "b").filter("w1 <> w2").select(F.least("w1", "w2").alias("wa"), F.greatest("w1", "w2").alias("wb"), "x", "y")
+        one = sets.repartition("whole").dropDuplicates(["whole"])
+        left = one.select(F.col("whole").alias("a"), F.col("runs").alias("x"))
+        right = one.select(F.col("whole").alias("b"), F.col("runs").alias("y"))
+        pairs = candidates.join(left, "a").join(right, "b").select(F.least("a", "b").alias("wa"), F.greatest("a", "b").alias("wb"), "x", "y")
         self.links = stored(_verify(pairs, threshold).distinct(), "links")
 
     def pairs(self) -> DataFrame:
-        """``id_a, id_b, similarity``, id_a < id_b: every pair of ids, copies among themselves included."""
-        m = self.members
-        ma, mb = m.select(F.col("whole").alias("wa"), F.col("id").alias("x")), m.select(F.col("whole").alias("wb"), F.col("id").alias("y"))
-        linked = self.links.join(ma, "wa").join(mb, "wb").select("x", "y", "similarity")
-        long_enough = self.long_enough.select(F.col("whole").alias("wa"))
-        copies = ma.join(long_enough, "wa", "left_semi").join(mb, F.col("wa") == F.col("wb")).filter("x < y").select("x", "y", F.lit(1.0).alias("similarity"))
+        """``id_a, id_b, similarity``, id_a < id_b: every pair of ids, copies among themselves included.
+
+        As many rows as there are such pairs; ``groups`` says the same in one row per id. A
+        text of many ids is spread over tasks.
+        """
+        members = stored(self.members, "members")
+        ma, mb = members.select(F.col("whole").alias("wa"), F.col("id").alias("x")), members.select(F.col("whole").alias("wb"), F.col("id").alias("y"))
+        linked = lookup_join(mb, lookup_join(ma, self.links, ["wa"]), ["wb"]).select("x", "y", "similarity")
+        same = ma.join(self.long_enough.select(F.col("whole").alias("wa")), "wa", "left_semi")
+        copies = lookup_join(same, mb.withColumnRenamed("wb", "wa"), ["wa"]).filter("x < y").select("x", "y", F.lit(1.0).alias("similarity"))
         return linked.unionByName(copies).filter("x <> y").groupBy(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")).agg(F.max("similarity").alias("similarity"))
 
     def groups(self) -> DataFrame:

@@ -46,11 +46,11 @@ def corpus(seed, n=60):
     return [(*x, "clash", 1) for x in rows]
 
 
-@pytest.mark.parametrize("seed,size,t,most", [(1, 3, 0.5, 20_000), (2, 5, 0.8, 20_000), (3, 3, 0.5, 3)])
-def test_against_brute_force(spark, seed, size, t, most):
+@pytest.mark.parametrize("seed,size,t,most,filter_bits", [(1, 3, 0.5, 20_000, 28), (2, 5, 0.8, 20_000, 28), (3, 3, 0.5, 3, 28), (4, 3, 0.5, 20_000, 0)])
+def test_against_brute_force(spark, seed, size, t, most, filter_bits):
     rows = corpus(seed)
     rows += [rows[0], (None, "x", "y " * 30, "c", 1), ("e1", None, None, "c", 1), ("e2", "", "", "c", 1), ("r1", None, "same " * 40, "c", 1), ("r2", None, "same " * 50, "c", 1)]
-    found = NearDuplicates(spark.createDataFrame(rows, SCHEMA), size, 20, t, most)
+    found = NearDuplicates(spark.createDataFrame(rows, SCHEMA), size, 20, t, most, filter_bits)
     got = [(r["id_a"], r["id_b"]) for r in found.pairs().collect()]
     assert len(got) == len(set(got))
     assert set(got) == brute(rows, size, 20, t)

@@ -80,6 +80,8 @@ def test_canonical_values(spark):
         ("status", "Done "): 1, ("status", "dnoe"): 1, ("status", "cоmplete"): 1, ("status", "[conplete]"): 1, ("status", "status: closed"): 1, ("status", "done - Kestra"): 1,
         ("status", "INPROGRESS"): 2, ("status", "in vprogress"): 2, ("status", "in Arbeit"): 2, ("status", "not done"): 0, ("status", "unblocked"): 0, ("status", "undone"): 0,
         ("status", "task"): 0, ("status", "banana"): 0, ("status", "d​o​ne"): 1, ("doc_type", "todo itme"): 4, ("doc_type", "tâche"): 4, ("doc_type", "none"): 0, ("doc_type", "x" * 3000): 0, ("doc_type", "42"): 0,
+        ("status", "done, then blocked"): 0, ("status", "done - blocked"): 0, ("status", "blocked (was done)"): 0, ("status", "done; checked"): 1, ("status", "wip 3/7"): 2,
+        ("status", "blocked (auto)"): 3, ("status", "done, not"): 0, ("status", "closed, " + "y" * 3000): 1, ("doc_type", "todo, item"): 4, ("doc_type", "kind = note"): 5,
     }
     rows = [(k, v if f == "status" else None, v if f == "doc_type" else " ", "clash") for k, (f, v) in enumerate(cases)]
     rows += [rows[0], (99, "done", "note", "clash"), (98, None, "", "clash")]
