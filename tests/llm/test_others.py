@@ -189,13 +189,48 @@ def test_leaks(spark):
     ]
     d_ = spark.createDataFrame([(*x, "clash") for x in docs], "doc_id bigint, text string, passage string")
     i_ = spark.createDataFrame(items, "item_id bigint, passage string")
-    got = {(x["doc_id"], x["item_id"]): (x["words"], x["covered"]) for x in contamination.leaks(d_, i_).collect()}
+    got = {(x["doc_id"], x["item_id"]): (x["words"], x["covered"]) for x in contamination.leaked(d_, i_, share=0).collect()}
     assert got == leaks_by_hand(docs, items, 8)
     assert {(10, 1), (11, 1), (14, 1), (17, 1), (18, 1)} <= set(got)
-    full = next(x for x in contamination.leaks(d_, i_).collect() if x["doc_id"] == 17)
+    full = next(x for x in contamination.leaked(d_, i_, share=0).collect() if x["doc_id"] == 17)
     assert (full["longest"], full["at_word"]) == (16, 0)
     assert {x["doc_id"] for x in contamination.without_leaks(d_, i_.filter("item_id = 1")).collect()} == {12, 13, 15, 16}
-    assert contamination.leaks(d_.limit(0), i_).count() == 0 and contamination.leaks(d_, i_.limit(0)).count() == 0
+    assert contamination.leaked(d_.limit(0), i_).count() == 0 and contamination.leaked(d_, i_.limit(0)).count() == 0
+
+
+def test_leaks_in_blocks(spark, monkeypatch):
+    r = random.Random(9)
+    draw = lambda n: " ".join(f"w{r.randrange(4)}" for _ in range(n))
+    items = [(k, draw(r.randrange(5, 40))) for k in range(60)] + [(60, "same " * 300), (61, "same " * 9)]
+    docs = [(k, draw(r.randrange(0, 200))) for k in range(40)] + [(40, "same " * 5000), (41, None)]
+    d_, i_ = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, passage string")
+    want = leaks_by_hand(docs, items, 8)
+    tests = list(contamination._passes(i_, 8))
+    assert len(tests) == 1
+    for slab in (1, 50, 1 << 21):  # the same whatever the size of the blocks
+        monkeypatch.setattr(contamination, "SLAB", slab)
+        held = [(d, t) for d, t in docs if t]
+        found = {}
+        for x in contamination._shard([d for d, _ in held], [contamination.plain(t) for _, t in held], tests[0], 0.0):
+            for d, i, w, c, longest, at in zip(*x):
+                assert (d, i) not in found and longest >= 8
+                found[int(d), int(i)] = (int(w), int(c))
+        assert found == want
+    monkeypatch.setattr(contamination, "PASS_WORDS", 100)
+    assert len(list(contamination._passes(i_, 8))) > 3
+    got = {(x["doc_id"], x["item_id"]): (x["words"], x["covered"]) for x in contamination.leaked(d_, i_, share=0).collect()}
+    assert got == want
+
+
+def test_longest_match():
+    import numpy as np
+
+    r = random.Random(4)
+    for _ in range(200):
+        text, passage = ([r.randrange(0 if k else 1, 4) for _ in range(r.randrange(1, 30))] for k in (1, 0))
+        best = max(((n, -at) for n in range(1, len(passage) + 1) for at in range(len(text) - n + 1) for k in range(len(passage) - n + 1) if text[at : at + n] == passage[k : k + n]), default=None)
+        if best:
+            assert contamination.longest_match(np.array(text), np.array(passage), 1) == (best[0], -best[1])
 
 
 def test_suffix_array_order():
