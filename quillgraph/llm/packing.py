@@ -9,8 +9,10 @@ per shard and capacity is lost to that.
 
 A shard starts from best fit by falling size and is then improved: texts are exchanged one
 for one and two for one between underfull containers, or moved, whenever the sum of
-squared fills grows; a container that empties is gone. The search ends when a pass over
-the underfull containers finds nothing more, or after ``PASSES`` passes.
+squared fills grows; a container that empties is gone. Every underfull container of the
+shard is a partner of every other: the texts, and the pairs of texts, of those less full
+are kept in order of size, so the one that fills best is found by bisection. The search
+ends when a pass over the underfull containers finds nothing more.
 
 Defined results: null and empty texts have no tokens and are put nowhere; a null id is
 ignored; repeated ids count once (the longest text); a capacity below 1 or null is left out.
@@ -32,9 +34,6 @@ from quillgraph.plans.skew import even_labels
 from quillgraph.session import stored
 
 SHARD = 10_000
-PASSES = 8
-#: Containers looked at per pass for partners of one underfull container.
-PARTNERS = 64
 MAX_LIMITS = 1_000
 TASKS = 4_096
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -80,67 +79,86 @@ def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
-def improve(bins: list[list[int]], sizes: list[int], capacity: int, passes: int = PASSES) -> list[list[int]]:
+def improve(bins: list[list[int]], sizes: list[int], capacity: int, passes: int | None = None) -> list[list[int]]:
     """Exchanges between underfull containers while they raise the sum of squared fills.
 
     Moving d tokens from a container filled y to one filled x changes it by 2d(x - y + d):
-    any gain for x >= y. For each container the exchange that fills it best is taken.
+    any gain for x >= y. Containers are filled from the fullest down, each from those less
+    full, by whatever leaves the least room: a text, a text for a smaller one, two texts for
+    one. ``passes``: stop after so many; None: when a pass finds nothing, which it must,
+    since the sum grows by whole numbers and is bounded.
     """
     bins = [list(b) for b in bins]
     fill = [sum(sizes[i] for i in b) for b in bins]
-    for _ in range(passes):
-        open_bins = sorted((k for k in range(len(bins)) if bins[k] and fill[k] < capacity), key=lambda k: (-fill[k], k))
-        changed = False
-        for at, x in enumerate(open_bins):
-            donors = open_bins[: at : -1][:PARTNERS]  # the emptiest ones first
-            for y in donors:
-                free = capacity - fill[x]
-                if not free or not bins[x]:
-                    break
-                if not bins[y] or fill[y] > fill[x]:
-                    continue
-                best = None  # gain, out of x, out of y
-                mine = sorted((sizes[i], i) for i in bins[x])
-                theirs = sorted((sizes[i], i) for i in bins[y])
-                # move
-                k = bisect_left(theirs, (free + 1, -1)) - 1
-                if k >= 0:
-                    best = (theirs[k][0], (), (theirs[k][1],))
-                # one for one: a larger text of theirs for a smaller one of mine
-                for s, i in mine:
-                    k = bisect_left(theirs, (s + free + 1, -1)) - 1
-                    if k >= 0 and theirs[k][0] > s and (best is None or theirs[k][0] - s > best[0]):
-                        best = (theirs[k][0] - s, (i,), (theirs[k][1],))
-                # two of theirs for one of mine, by two pointers
-                if best is None or best[0] < free:
-                    for s, i in mine:
-                        lo, hi = 0, len(theirs) - 1
-                        while lo < hi:
-                            d = theirs[lo][0] + theirs[hi][0] - s
-                            if d > free:
-                                hi -= 1
-                            else:
-                                if d > 0 and (best is None or d > best[0]):
-                                    best = (d, (i,), (theirs[lo][1], theirs[hi][1]))
-                                lo += 1
-                if best is None or best[0] <= 0:
-                    continue
-                gain, out, into = best
-                bins[x] = [i for i in bins[x] if i not in out] + list(into)
-                bins[y] = [i for i in bins[y] if i not in into] + list(out)
-                fill[x] += gain
-                fill[y] -= gain
-                changed = True
-        if not changed:
+    done = 0
+    while passes is None or done < passes:
+        done += 1
+        order = sorted((k for k in range(len(bins)) if bins[k] and fill[k] < capacity), key=lambda k: (-fill[k], k))
+        if not _pass(order, bins, fill, sizes, capacity):
             break
     return [b for b in bins if b]
 
 
-def pack(counts: DataFrame, limits: DataFrame, key: str = "doc_id", shard: int = SHARD) -> DataFrame:
+def _pass(order: list[int], bins: list[list[int]], fill: list[int], sizes: list[int], capacity: int) -> bool:
+    """One pass over the containers in ``order``; whether anything changed."""
+    home = {i: k for k in order for i in bins[k]}
+    single = sorted((sizes[i], i) for i in home)
+    # pairs of texts of one container; those of a container that has changed since are passed over
+    pairs = sorted((sizes[i] + sizes[j], i, j) for k in order for at, i in enumerate(bins[k]) for j in bins[k][:at])
+    stale, changed = set(), False
+
+    def forget(i: int) -> None:
+        single.pop(bisect_left(single, (sizes[i], i)))
+
+    for x in order:
+        for i in bins[x]:
+            forget(i)
+        stale.add(x)
+        while (free := capacity - fill[x]) and bins[x]:
+            best = (0, (), ())  # gain, out of x, out of another
+            k = bisect_left(single, (free + 1, -1)) - 1
+            if k >= 0:
+                best = (single[k][0], (), (single[k][1],))
+            own = {sizes[i]: i for i in bins[x]}
+            for s, i in own.items():
+                if best[0] == free:
+                    break
+                k = bisect_left(single, (s + free + 1, -1)) - 1
+                if k >= 0 and single[k][0] - s > best[0]:
+                    best = (single[k][0] - s, (i,), (single[k][1],))
+            for s, i in own.items():
+                if best[0] == free:
+                    break
+                k = bisect_left(pairs, (s + free + 1, -1, -1)) - 1
+                while k >= 0 and pairs[k][0] - s > best[0]:
+                    if home[pairs[k][1]] not in stale:
+                        best = (pairs[k][0] - s, (i,), pairs[k][1:])
+                        break
+                    k -= 1
+            gain, out, into = best
+            if not gain:
+                break
+            y = home[into[0]]
+            stale.add(y)
+            for i in into:
+                forget(i)
+                home[i] = x
+            for i in out:
+                insort(single, (sizes[i], i))
+                home[i] = y
+            bins[x] = [i for i in bins[x] if i not in out] + list(into)
+            bins[y] = [i for i in bins[y] if i not in into] + list(out)
+            fill[x] += gain
+            fill[y] -= gain
+            changed = True
+    return changed
+
+
+def pack(counts: DataFrame, limits: DataFrame, key: str = "doc_id", shard: int = SHARD, passes: int | None = None) -> DataFrame:
     """``limit_id, capacity, container, key, part, tokens``: which container holds what.
 
     ``part`` is 0 for a whole text; a text over the capacity has parts 1, 2, ... whose
-    tokens add up to it. ``container`` is unique within its limit.
+    tokens add up to it. ``container`` is unique within its limit. ``passes``: see ``improve``.
     """
     rows = limits.filter("capacity_tokens >= 1").select("limit_id", "capacity_tokens").distinct().orderBy("limit_id").limit(MAX_LIMITS + 1).collect()
     if len(rows) > MAX_LIMITS:
@@ -175,7 +193,7 @@ def pack(counts: DataFrame, limits: DataFrame, key: str = "doc_id", shard: int =
                     if n:
                         small.append(n)
                         owner.append((i, part + 1 if part else 0))
-                for b in improve(best_fit(small, capacity), small, capacity):
+                for b in improve(best_fit(small, capacity), small, capacity, passes):
                     out.extend((limit, capacity, used, *owner[k], small[k]) for k in b)
                     used += 1
                 d = pd.DataFrame(out, columns=["limit_id", "capacity", "container", key, "part", "tokens"])
