@@ -44,6 +44,8 @@ ROUNDS = 2
 RATE = 0.1
 BAR = 0.4
 FIRST_BAR = 2.0
+#: A sentence is an example of every subject that scores within this of its best.
+MARGIN = 1.0
 
 _FRONT = re.compile(r"\A---\n.*?\n---(?:\n|\Z)", re.S)
 _SPLIT = re.compile(r"(?<=[.!?])[\"')*_]*\s+(?=[\"'(*_“]*[\w¿¡])|\n\s*\n|\n(?=\s*(?:[-*+>#|]|\d+\.\s))")
@@ -67,7 +69,7 @@ def units(word: str) -> tuple[int, ...]:
     """Buckets of a word and its runs of four and five letters, ends marked; none for digits."""
     if word[0].isdigit():
         return ()
-    x = f"<{word[:64]}>"
+    x = f"<{word}>"
     return tuple(_unit_hash(u) for u in [word, *(x[i : i + n] for n in (4, 5) for i in range(len(x) - n + 1))])
 
 
@@ -80,11 +82,9 @@ def lots(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, list[str],
             codes, begins = code_points([x.lower() for x in texts[begin : k + 1]])
             hashes, owner, start = hash_runs(codes, begins)
             _, at, number = np.unique(hashes, return_index=True, return_inverse=True)
-            table, words = letter_table(), []
-            for s in start[at]:
-                piece = codes[s : s + 80]
-                stop = np.flatnonzero(~table[piece])
-                words.append((piece[: stop[0]] if len(stop) else piece).tobytes().decode("utf-32-le", "surrogatepass"))
+            outside = np.flatnonzero(~letter_table()[codes])
+            ends = outside[np.searchsorted(outside, start[at])]  # a line end follows every text
+            words = [codes[a:b].tobytes().decode("utf-32-le", "surrogatepass") for a, b in zip(start[at], ends)]
             yield number, owner, words, k + 1 - begin
             begin, chars = k + 1, 0
 
@@ -201,8 +201,9 @@ def train(documents: DataFrame, labels: DataFrame, subjects: DataFrame, max_docs
         raise ValueError(f"more than {MAX_SUBJECTS} subjects")
     place = {s: k for k, s in enumerate(names)}
     marked = labels.filter(F.col("doc_id").isNotNull() & F.col("subject_id").isin(names or [None])).groupBy("doc_id").agg(F.sort_array(F.collect_set("subject_id")).alias("subjects"))
-    # bounded: never more rows than max_docs
-    sample = marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs)
+    # bounded: never more rows than max_docs, all of documents that are there and have a text
+    there = documents.filter(F.col("text").isNotNull() & (F.length("text") > 0)).select("doc_id").distinct()
+    sample = marked.join(there, "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs)
     texts = documents.filter(F.col("text").isNotNull()).select("doc_id", "text").join(F.broadcast(sample), "doc_id").dropDuplicates(["doc_id"])
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -267,7 +268,7 @@ def train(documents: DataFrame, labels: DataFrame, subjects: DataFrame, max_docs
                 for part, raw in zip(b.column("part").to_pylist(), b.column("data").to_pylist()):
                     f = _opened(raw)
                     z = _forward(f, table, now, False)[-1]
-                    f["targets"] = ((z > bar) & (z == z.max(1, keepdims=True))).astype(np.float32)
+                    f["targets"] = ((z > bar) & (z > z.max(1, keepdims=True) - MARGIN)).astype(np.float32)
                     yield pa.record_batch([pa.array([part], pa.int64()), pa.array([_packed(**f)], pa.binary())], ["part", "data"])
 
         parts = stored(parts.mapInArrow(relabel, "part long, data binary"), "features")
