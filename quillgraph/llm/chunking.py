@@ -2,10 +2,10 @@
 
 A gear hash over the last 64 bytes marks landmarks: places that depend on nothing but the
 bytes just before them. A piece ends at the first landmark between its smallest and its
-largest size (else at the largest), moved to the best natural boundary near by - a
-heading, a blank line, a sentence or line end, a word - and inside a word only where
-nothing else is in reach. So an edit changes the pieces around it; later landmarks, and
-the pieces they end, stay as they were.
+largest size (else at the largest), moved to the nearest natural boundary of the strongest
+kind in reach - a heading or blank line, a sentence or line end, a word - and inside a word
+only where there is nothing else. So an edit changes the pieces around it; later landmarks,
+and the pieces they end, stay as they were.
 
 Sizes are UTF-8 bytes of the body without carriage returns and outer blanks. Every piece
 begins with the last ``overlap`` bytes of the piece before it (up to three more, so as not
@@ -22,6 +22,7 @@ same pieces once; other columns are not looked at.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -58,10 +59,10 @@ def normal_body(body: str | None) -> bytes:
     return (body or "").replace("\r", "").strip().encode("utf-8", "surrogatepass")
 
 
-def outline(data: bytes) -> tuple[list[int], list[int], int]:
-    """Where headings and blank-line gaps end (a next block begins), and the largest block in bytes, stripped."""
-    heads, gaps, largest = [], [], 0
-    at, block, fenced, blank = 0, 0, False, False
+def outline(data: bytes) -> tuple[list[int], list[int], list[int]]:
+    """Where headings and blank-line gaps end (a next block begins), and where the text of each block ends."""
+    heads, gaps, ends = [], [], []
+    at, fenced, blank = 0, False, False
     for line in data.split(b"\n"):
         if _FENCE.match(line):
             fenced = not fenced
@@ -70,18 +71,28 @@ def outline(data: bytes) -> tuple[list[int], list[int], int]:
             empty = not fenced and not line.strip()
         if empty:
             if not blank:
-                largest = max(largest, len(data[block:at].decode("utf-8", "surrogatepass").strip().encode("utf-8", "surrogatepass")))
+                ends.append(at)
             blank = True
         else:
             if blank:
                 gaps.append(at)
-                block, blank = at, False
+                blank = False
             if not fenced and at and _HEAD.match(line):
                 heads.append(at)
         at += len(line) + 1
     if not blank:
-        largest = max(largest, len(data[block:].decode("utf-8", "surrogatepass").strip().encode("utf-8", "surrogatepass")))
-    return heads, gaps, largest
+        ends.append(len(data))
+    return heads, gaps, ends
+
+
+def oversized_block_cut(data: bytes, cuts: list[int], gaps: list[int], ends: list[int], limit: int) -> bool:
+    """Whether a cut lies in a block that alone, stripped, is over the limit: no piece can hold such a block, so every one is cut."""
+    begins = [0, *gaps]
+    for place in cuts:
+        k = bisect_right(begins, place) - 1
+        if begins[k] < place < ends[k] and len(data[begins[k] : ends[k]].decode("utf-8", "surrogatepass").strip().encode("utf-8", "surrogatepass")) > limit:
+            return True
+    return False
 
 
 def _boundaries(data: bytes, heads: list[int], gaps: list[int]) -> tuple[np.ndarray, np.ndarray]:
@@ -115,13 +126,14 @@ def cut_places(data: bytes, limit: int, overlap: int, least: int, landmarks: np.
         i, j = np.searchsorted(places, low), np.searchsorted(places, high, "right")
         end, rank = 0, ANY
         if i < j:
-            near, good = places[i:j], ranks[i:j]
+            near, good = places[i:j], np.minimum(ranks[i:j], BLANK)
             far = np.abs(near - aim)
             inside = far <= reach
             if inside.any():
                 near, good, far = near[inside], good[inside], far[inside]
             best = np.lexsort((near, far, -good))[0]
-            end, rank = int(near[best]), int(good[best])
+            end = int(near[best])
+            rank = int(ranks[np.searchsorted(places, end)])
         else:
             end = aim
             while end > begin + 1 and data[end] & 0xC0 == 0x80:
@@ -147,7 +159,7 @@ def _settings(configs: DataFrame) -> tuple[dict[int, tuple[int, int, int]], int]
 def split_documents(documents: DataFrame, configs: DataFrame, texts: bool = True) -> DataFrame:
     """``id, config_id, bytes, cut, pieces`` of every document with a body.
 
-    ``cut``: null for one piece, ``inside`` if some block alone is over the limit, else ``between``.
+    ``cut``: null for one piece, ``inside`` if a piece ends within a block that alone is over the limit, else ``between``.
     ``boundary``: how a piece ends (4 heading or end, 3 blank line, 2 sentence or line, 1 word, 0 inside a word).
     Without ``texts`` the pieces have only their places.
     """
@@ -178,9 +190,9 @@ def split_documents(documents: DataFrame, configs: DataFrame, texts: bool = True
                 if k not in marks:
                     ends, cut = [(len(data), HEADING)], None
                 else:
-                    heads, gaps, largest = outline(data)
-                    cut = "inside" if largest > size else "between"
+                    heads, gaps, blocks = outline(data)
                     ends = cut_places(data, size, overlap, least, marks[k], heads, gaps)
+                    cut = "inside" if oversized_block_cut(data, [e for e, _ in ends[:-1]], gaps, blocks, size) else "between"
                 back = max(0, min(overlap, max(size, 16) // 2))
                 pieces, new = [], 0
                 for no, (end, rank) in enumerate(ends):
@@ -202,5 +214,26 @@ def split_documents(documents: DataFrame, configs: DataFrame, texts: bool = True
 
 
 def pieces(documents: DataFrame, configs: DataFrame) -> DataFrame:
-    """One row per piece."""
-    return split_documents(documents, configs).select("id", "config_id", F.explode("pieces").alias("p")).select("id", "config_id", "p.*").distinct()
+    """One row per piece; repeated documents are dropped before they are split."""
+    once = documents.groupBy("id", "config_id", F.xxhash64("body").alias("__h")).agg(F.first("body").alias("body"))
+    return split_documents(once, configs).select("id", "config_id", F.explode("pieces").alias("p")).select("id", "config_id", "p.*")
+
+
+def rebuilt(documents: DataFrame, configs: DataFrame) -> DataFrame:
+    """What pieces put together again are: ``id, config_id, bytes, body_hash, over, lacking``.
+
+    ``body_hash`` is of the new parts of the pieces, in order; ``over`` counts pieces above
+    the limit, ``lacking`` pieces that share less than the overlap with the one before.
+    """
+    settings, default = _settings(configs)
+    limits = configs.sparkSession.createDataFrame([(c, max(size, 16), max(0, min(overlap, max(size, 16) // 2))) for c, (size, overlap, _) in settings.items()], "config_id int, size int, back int")
+    p = pieces(documents, configs).join(F.broadcast(limits), "config_id")
+    # the text of a piece without what it shares
+    new = F.substring(F.col("text").cast("binary"), F.col("new_byte") - F.col("start_byte") + 1, F.col("end_byte") - F.col("new_byte"))
+    rows = p.groupBy("id", "config_id").agg(
+        F.array_sort(F.collect_list(F.struct("piece_no", new.alias("new")))).alias("parts"),
+        F.count_if(F.octet_length("text") > F.col("size")).alias("over"),
+        F.count_if((F.col("piece_no") > 0) & (F.col("new_byte") - F.col("start_byte") < F.col("back"))).alias("lacking"),
+    )
+    whole = F.aggregate("parts", F.lit(b""), lambda s, x: F.concat(s, x["new"]))
+    return rows.select("id", "config_id", F.octet_length(whole).cast("bigint").alias("bytes"), F.sha2(whole, 256).alias("body_hash"), "over", "lacking")

@@ -6,12 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillgraph.llm.canonical import canonical_values
-from quillgraph.llm.chunking import pieces, split_documents
+from quillgraph.llm.chunking import pieces, rebuilt, split_documents
 from quillgraph.llm.contamination import leaked, without_leaks
 from quillgraph.llm.near_duplicates import NearDuplicates
 from quillgraph.llm.packing import pack, token_counts, unused
 from quillgraph.llm.subjects import assign, train
-from quillgraph.llm.survivors import canonical_records, record_instant, survivors
+from quillgraph.llm.survivors import record_instant, seniority, survivors
 from quillgraph.session import table
 
 
@@ -25,6 +25,11 @@ def p1_pieces(spark: SparkSession, sf: str) -> DataFrame:
     return pieces(table(spark, sf, "pkb_documents"), table(spark, sf, "chunk_configs"))
 
 
+def p1_rebuilt(spark: SparkSession, sf: str) -> DataFrame:
+    """Bodies put together again from their pieces, with pieces over the limit or without their overlap counted."""
+    return rebuilt(table(spark, sf, "pkb_documents"), table(spark, sf, "chunk_configs"))
+
+
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:
     return NearDuplicates(table(spark, sf, "pkb_documents"), size=3, min_words=20, threshold=0.5).pairs().select("id_a", "id_b")
 
@@ -48,11 +53,11 @@ def p3_unmatched(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, sf: str) -> DataFrame:
-    entries = table(spark, sf, "duplicate_entries")
-    alone = {f: [f] for f in ("status", "assignee", "due")}
-    kept = survivors(entries, alone, record_instant(F.col("modified")))
-    top = canonical_records(entries).select("cluster_id", F.lit("canonical").alias("field"), "id")
-    return top.unionByName(kept.select("cluster_id", F.col("bundle").alias("field"), "id"))
+    """The id and the three fields are bundles of their own: the id goes by seniority, the fields by the time modified."""
+    fields = ["status", "assignee", "due"]
+    late = [record_instant(F.col("modified"))]
+    kept = survivors(table(spark, sf, "duplicate_entries"), {"canonical": ["id"]} | {f: [f] for f in fields}, {"canonical": seniority()} | dict.fromkeys(fields, late))
+    return kept.select("cluster_id", F.col("bundle").alias("field"), "id")
 
 
 def p6_records(spark: SparkSession, sf: str) -> DataFrame:
@@ -103,7 +108,7 @@ def p10_shares(spark: SparkSession, sf: str) -> DataFrame:
     return per.join(names, "subject_id").withColumn("one", F.lit(1)).join(whole, "one").select("subject_id", "name", "documents", F.round(F.col("documents") / F.col("total"), 4).alias("share"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_groups, p3_found, p3_unmatched, p6_found, p6_records, p8_containers, p8_unused, p9_found, p9_matches, p9_clean, p10_found, p10_shares)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p1_rebuilt, p2_found, p2_groups, p3_found, p3_unmatched, p6_found, p6_records, p8_containers, p8_unused, p9_found, p9_matches, p9_clean, p10_found, p10_shares)}
 
 
 def _instant(c: str) -> str:
@@ -120,6 +125,7 @@ _BODIES = f"d AS (SELECT DISTINCT p.id, c.config_id, c.chunk_size, {_STRIP.forma
 _LINES = "l AS (SELECT id, config_id, chunk_size, unnest(string_split(t, chr(10))) AS line, generate_subscripts(string_split(t, chr(10)), 1) AS i FROM d WHERE strlen(t) > chunk_size), f AS (SELECT *, regexp_matches(line, '^\\s*```') AS fence, count(*) FILTER (regexp_matches(line, '^\\s*```')) OVER (PARTITION BY id ORDER BY i) AS k FROM l), b AS (SELECT *, NOT fence AND k % 2 = 0 AND trim(line) = '' AS gap FROM f), g AS (SELECT *, count(*) FILTER (gap) OVER (PARTITION BY id ORDER BY i) AS block FROM b)"
 
 ORACLES = {
+    "p1_rebuilt": f"WITH {_BODIES} SELECT DISTINCT id, config_id, strlen(t) AS bytes, sha256(t) AS body_hash, 0 AS over, 0 AS lacking FROM d WHERE t <> ''",
     "p1_found": f"WITH {_BODIES}, {_LINES} SELECT id, config_id, CASE WHEN max(strlen(t)) > any_value(chunk_size) THEN 'inside' ELSE 'between' END AS cut FROM (SELECT id, config_id, chunk_size, block, {_STRIP.format("string_agg(line, chr(10) ORDER BY i) FILTER (NOT gap)")} AS t FROM g GROUP BY ALL) GROUP BY id, config_id",
     "p2_found": f"WITH {_WORDS}, {_RUNS} SELECT x.a AS id_a, x.b AS id_b FROM (SELECT a.id AS a, b.id AS b, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.id < b.id GROUP BY 1, 2) x JOIN z za ON za.id = x.a JOIN z zb ON zb.id = x.b WHERE x.k >= 0.5 * (za.n + zb.n - x.k)",
     "p6_found": f"WITH {_ENTRIES} SELECT cluster_id, 'canonical' AS field, id FROM (SELECT cluster_id, id, row_number() OVER (PARTITION BY cluster_id ORDER BY c NULLS LAST, n_children DESC, word_count DESC, id) AS r FROM t) WHERE r = 1 UNION ALL SELECT cluster_id, field, id FROM (SELECT cluster_id, field, id, row_number() OVER (PARTITION BY cluster_id, field ORDER BY m DESC NULLS LAST, id) AS r FROM (SELECT cluster_id, id, m, 'status' AS field, status AS v FROM t UNION ALL SELECT cluster_id, id, m, 'assignee', assignee FROM t UNION ALL SELECT cluster_id, id, m, 'due', due FROM t) WHERE {_SAYS}) WHERE r = 1",

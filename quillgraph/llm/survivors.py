@@ -6,11 +6,15 @@ trust that respects the given dependencies between bundles, found by branch-and-
 
 A group may hold any share of the rows: it is first reduced, with partial aggregation, to
 its distinct bundle values, each with the best trust any record lends it and that
-record's id. A bundle that no dependency touches needs only its best value, so what
-reaches one task is bounded by the distinct values of the bundles tied by dependencies.
+record's id. In a bundle that no dependency touches every value but the best is dominated
+and left out, so what reaches one task is bounded by the distinct values of the bundles
+tied by dependencies. The search visits those in order of trust and gives up a branch as
+soon as the best that is left cannot beat what it has; at worst, where dependencies forbid
+nearly everything, it visits all combinations of the tied bundles of a group.
 
 A dependency ``(x, y)`` between bundles means: where the group pairs the chosen value of x
-with values of y at all, the chosen value of y must be one of those.
+with values of y at all, the chosen value of y must be one of those. Where no combination
+respects all of them the survivor is marked as not ``consistent``.
 
 Defined results: values that are null, blank or a stand-in for "nothing known" say
 nothing, and a bundle says something if one of its fields does; a bundle for which no
@@ -47,11 +51,9 @@ def record_instant(c: Column) -> Column:
     return F.when(s.rlike(day), F.unix_micros(text.try_cast("timestamp")))
 
 
-def canonical_records(entries: DataFrame, group: str = "cluster_id") -> DataFrame:
-    """``group, id``: created earliest, then more children, more words, the smallest id; unreadable times last."""
-    created = F.coalesce(record_instant(F.col("created")), F.lit((1 << 63) - 1))
-    best = F.struct(created.alias("t"), (-F.coalesce("n_children", F.lit(-1))).alias("c"), (-F.coalesce("word_count", F.lit(-1))).alias("w"), F.col("id"))
-    return entries.filter(F.col(group).isNotNull() & F.col("id").isNotNull()).groupBy(group).agg(F.min(best).alias("b")).select(group, "b.id")
+def seniority(created: str = "created", children: str = "n_children", words: str = "word_count") -> list[Column]:
+    """Trust in a record as the original: created earliest (unreadable times last), then more children, then more words."""
+    return [-F.coalesce(record_instant(F.col(created)), F.lit((1 << 63) - 1)), F.coalesce(children, F.lit(-1)), F.coalesce(words, F.lit(-1))]
 
 
 def _search(options: list[list[tuple]], allowed: dict[tuple[int, int], dict[str, set]]) -> list[tuple] | None:
@@ -85,31 +87,30 @@ def _search(options: list[list[tuple]], allowed: dict[tuple[int, int], dict[str,
     return best[1]
 
 
-def survivors(entries: DataFrame, bundles: dict[str, list[str]], trust: Column, dependencies: list[tuple[str, str]] = (), group: str = "cluster_id") -> DataFrame:
-    """``group, bundle, id, value``: which record each bundle is taken from; ``value`` joins its fields as JSON.
+def survivors(entries: DataFrame, bundles: dict[str, list[str]], trust: Column | dict[str, list[Column]], dependencies: list[tuple[str, str]] = (), group: str = "cluster_id") -> DataFrame:
+    """``group, bundle, id, value, consistent``: which record each bundle is taken from; ``value`` joins its fields as JSON.
 
-    ``trust``: a number, higher for records to be believed first, null counting least.
-    Where dependencies leave no full combination, each bundle keeps its best value.
+    ``trust``: a number, higher for records to be believed first, null counting least; or
+    for each bundle several, the first deciding first.
+    Where dependencies leave no full combination, each bundle keeps its best value and is not consistent.
     """
     tied = {b for d in dependencies for b in d}
-    rows = entries.filter(F.col(group).isNotNull() & F.col("id").isNotNull()).withColumn("__t", F.coalesce(trust.cast("bigint"), F.lit(-(1 << 62))))
-    kinds = []
-    for name, fields in bundles.items():
-        says = F.array(*[says_something(F.col(f)) for f in fields])
-        value = F.to_json(F.struct(*[F.when(says_something(F.col(f)), F.col(f)).alias(f) for f in fields]))
-        kinds.append(F.struct(F.lit(name).alias("bundle"), value.alias("value"), F.exists(says, lambda x: x).alias("says"), F.lit(name in tied).alias("tied")))
-    flat = rows.select(group, "id", "__t", F.explode(F.array(*kinds)).alias("k")).select(group, "id", "__t", "k.*").filter("says")
-    # the smallest id wins a tie: order by trust upwards and id downwards, through its negation in min
-    rank = F.struct((-F.col("__t")).alias("t"), F.col("id").alias("id"), F.col("value").alias("value"))
-    options = flat.groupBy(group, "bundle", F.when(F.col("tied"), F.col("value")).alias("key")).agg(F.min(rank).alias("b")).select(group, "bundle", "b.t", "b.id", "b.value")
+    own = trust if isinstance(trust, dict) else dict.fromkeys(bundles, [trust])
+    rows = entries.filter(F.col(group).isNotNull() & F.col("id").isNotNull())
+    # the id itself always says something, whatever it looks like
+    means = lambda f: F.lit(True) if f == "id" else says_something(F.col(f))
+    says = {n: F.array_max(F.array(*map(means, fields))) for n, fields in bundles.items()}
+    value = {n: F.to_json(F.struct(*[F.when(means(f), F.col(f)).alias(f) for f in fields])) for n, fields in bundles.items()}
+    # least first: trust is negated, so that the smallest id wins a tie
+    rank = {n: F.array(*[-F.coalesce(c.cast("bigint"), F.lit(-(1 << 62))) for c in own[n]]) for n in bundles}
+    kinds = [F.struct(F.lit(n).alias("bundle"), value[n].alias("value"), says[n].alias("says"), F.lit(n in tied).alias("tied"), rank[n].alias("t")) for n in bundles]
+    flat = rows.select(group, "id", F.explode(F.array(*kinds)).alias("k")).select(group, "id", "k.*").filter("says")
+    options = flat.groupBy(group, "bundle", F.when(F.col("tied"), F.col("value")).alias("key")).agg(F.min(F.struct("t", "id", "value")).alias("b")).select(group, "bundle", "b.t", "b.id", "b.value")
     if dependencies:
-        pairs = []
-        for x, y in dependencies:
-            a = flat.filter(F.col("bundle") == x).select(group, "id", F.col("value").alias("vx"))
-            b = flat.filter(F.col("bundle") == y).select(F.col(group).alias("__g"), F.col("id").alias("__i"), F.col("value").alias("vy"))
-            pairs.append(a.join(b, (a[group] == F.col("__g")) & (a["id"] == F.col("__i"))).select(group, F.lit(f"{x}\t{y}").alias("bundle"), F.lit(0).cast("bigint").alias("t"), F.col("vx").alias("id"), F.col("vy").alias("value")).distinct())
-        for p in pairs:
-            options = options.unionByName(p)
+        # both values of a pair stand in one row
+        pairs = [F.struct(F.lit(f"{x}\t{y}").alias("bundle"), value[x].alias("id"), value[y].alias("value"), (says[x] & says[y]).alias("says")) for x, y in dependencies]
+        seen = rows.select(group, F.explode(F.array(*pairs)).alias("k")).select(group, "k.*").filter("says").select(group, "bundle", "id", "value").distinct()
+        options = options.unionByName(seen.withColumn("t", F.array().cast("array<bigint>")))
     names = list(bundles)
 
     def solve(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -125,16 +126,15 @@ def survivors(entries: DataFrame, bundles: dict[str, list[str]], trust: Column,
                     x, y = (names.index(n) for n in bundle.split("\t"))
                     allowed.setdefault((x, y), {}).setdefault(i, set()).add(v)
                 else:
-                    by.setdefault(bundle, []).append((-t, i, v))
+                    by.setdefault(bundle, []).append((tuple(t), i, v))
             used = [n for n in names if n in by]
             # trust as a rank within the bundle, so that bundles weigh the same
             lists, place = [], {names.index(n): k for k, n in enumerate(used)}
             for n in used:
-                ordered = sorted(by[n], key=lambda o: (-o[0], o[1], o[2]))
-                lists.append([(-r, o[1], o[2]) for r, o in enumerate(ordered)])
+                lists.append([(-r, o[1], o[2]) for r, o in enumerate(sorted(by[n]))])
             ties = {(place[x], place[y]): m for (x, y), m in allowed.items() if x in place and y in place}
-            chosen = _search(lists, ties) or [o[0] for o in lists]
-            out.extend((held[0][0], n, c[1], c[2]) for n, c in zip(used, chosen))
+            chosen = _search(lists, ties)
+            out.extend((held[0][0], n, c[1], c[2], chosen is not None) for n, c in zip(used, chosen or [o[0] for o in lists]))
 
         for f in frames:
             for row in f.itertuples(index=False, name=None):
@@ -143,12 +143,12 @@ def survivors(entries: DataFrame, bundles: dict[str, list[str]], trust: Column,
                     held = []
                 held.append(row)
             if out:
-                yield pd.DataFrame(out, columns=[group, "bundle", "id", "value"])
+                yield pd.DataFrame(out, columns=[group, "bundle", "id", "value", "consistent"])
                 out = []
         if held:
             finish()
-            yield pd.DataFrame(out, columns=[group, "bundle", "id", "value"])
+            yield pd.DataFrame(out, columns=[group, "bundle", "id", "value", "consistent"])
 
     kind = dict(entries.dtypes)[group]
     ordered = options.repartition(group).sortWithinPartitions(group).select(group, "bundle", "t", "id", "value")
-    return ordered.mapInPandas(solve, f"{group} {kind}, bundle string, id string, value string")
+    return ordered.mapInPandas(solve, f"{group} {kind}, bundle string, id string, value string, consistent boolean")

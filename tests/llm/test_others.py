@@ -67,8 +67,8 @@ def test_edits_stay_local():
 
 def test_blocks_and_fences():
     data = chunking.normal_body("a\n\nbb\n```\nx\n\ny\n```\n\nccc\n```\nopen\n\nend")
-    _, gaps, largest = chunking.outline(data)
-    assert [data[g : g + 2] for g in gaps] == [b"bb", b"cc"] and largest == len("ccc\n```\nopen\n\nend")
+    _, gaps, ends = chunking.outline(data)
+    assert [data[g : g + 2] for g in gaps] == [b"bb", b"cc"] and [data[a:b].strip() for a, b in zip([0, *gaps], ends)] == [b"a", b"bb\n```\nx\n\ny\n```", b"ccc\n```\nopen\n\nend"]
 
 
 CANON = "value_id bigint, field string, value string, meaning string, also_known_as array<string>"
@@ -112,7 +112,8 @@ def test_survivors(spark):
         (None, "z", None, None, "done", None, None, 0, 0, "x"),
     ]
     e = spark.createDataFrame(rows, ENTRY)
-    assert {tuple(r) for r in survivors.canonical_records(e).collect()} == {(1, "a"), (2, "p")}
+    top = survivors.survivors(e, {"canonical": ["id"]}, {"canonical": survivors.seniority()})
+    assert {(r["cluster_id"], r["id"], r["consistent"]) for r in top.collect()} == {(1, "a", True), (2, "p", True)}
     alone = survivors.survivors(e, {f: [f] for f in ("status", "assignee", "due")}, survivors.record_instant(F.col("modified")))
     assert {(r["cluster_id"], r["bundle"], r["id"]) for r in alone.collect()} == {(1, "status", "b"), (1, "assignee", "b"), (1, "due", "c")}
     # due goes with the pair of status and assignee it was seen with: b has none, c's pair has one
@@ -121,6 +122,27 @@ def test_survivors(spark):
     assert survivors.survivors(e.limit(0), {"due": ["due"]}, survivors.record_instant(F.col("modified"))).count() == 0
 
 
+def test_no_combination_is_marked(spark):
+    # x asks for p, p for q, q for y, but y for r, r for s, s for x
+    seen = [("x", "p", None), ("y", "r", None), (None, "p", "q"), (None, "r", "s"), ("y", None, "q"), ("x", None, "s")]
+    rows = [(1, f"i{k}", *v, k) for k, v in enumerate(seen)] + [(2, "d", "x", "p", "q", 1)]
+    e = spark.createDataFrame(rows, "cluster_id int, id string, f string, g string, h string, t int")
+    got = survivors.survivors(e, {"f": ["f"], "g": ["g"], "h": ["h"]}, F.col("t"), [("f", "g"), ("g", "h"), ("h", "f")]).collect()
+    want = {(1, False), (2, True)}
+    assert {(r["cluster_id"], r["consistent"]) for r in got} == want and len(got) == 6
+
+
+def test_pieces_put_together(spark):
+    configs = spark.createDataFrame([(1, "s", 200, 40, 30, True), (2, "s", 90, 0, 10, False)], CONFIG)
+    docs = spark.createDataFrame([(f"d{k}", text(k, 20), 1 + k % 2) for k in range(6)] + [("d1", text(1, 20), 2), ("n", None, 1)], "id string, body string, config_id int")
+    got = chunking.rebuilt(docs, configs).collect()
+    assert len(got) == 6 and {(r["over"], r["lacking"]) for r in got} == {(0, 0)}
+    import hashlib
+
+    by = {r["id"]: chunking.normal_body(r["body"]) for r in docs.collect()}
+    assert all(r["bytes"] == len(by[r["id"]]) and r["body_hash"] == hashlib.sha256(by[r["id"]]).hexdigest() for r in got)
+
+
 def test_branch_and_bound_is_best():
     import itertools
 
