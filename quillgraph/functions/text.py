@@ -57,10 +57,61 @@ def content_hash(c: Column) -> Column:
 
 
 def effort_days(c: Column) -> Column:
-    """Days in ``2d``, ``1w`` (7), ``3h`` (eighths of a day, rounded up), ``5``; null otherwise."""
+    """Days, rounded up, in ``2d``, ``1.5w`` (7 each), ``3h`` (eighths of a day), ``5``; null otherwise."""
     s = F.lower(F.trim(c))
-    n = F.regexp_extract(s, r"^(\d+)[hdw]?$", 1).try_cast("bigint")
-    return F.when(s.rlike(r"^\d+h$"), F.ceil(n / 8)).when(s.rlike(r"^\d+w$"), n * 7).when(s.rlike(r"^\d+d?$"), n)
+    number = r"^[+-]?(?:\d+\.?\d*|\.\d+)"
+    n = F.regexp_extract(s, f"({number})[hdw]?$", 1).try_cast("double")
+    days = F.when(s.endswith("w"), n * 7).when(s.endswith("h"), n / 8).otherwise(n)
+    return F.when(s.rlike(f"{number}[hdw]?$"), F.ceil(days))
+
+
+def status_alias(c: Column) -> Column:
+    """The status that a spelling stands for; itself where it is none of the other spellings."""
+    from quillgraph.functions.vocabulary import STATUS_ALIASES
+
+    return F.coalesce(F.try_element_at(_map({w: k for k, ws in STATUS_ALIASES.items() for w in ws.split()}), c), c)
+
+
+def type_alias(c: Column) -> Column:
+    """The type that a name stands for; ``document`` for unknown ones."""
+    from quillgraph.functions.vocabulary import NODE_TYPES, TYPE_ALIASES
+
+    known = {k: k for k in NODE_TYPES} | {w: k for k, ws in TYPE_ALIASES.items() for w in ws.split()}
+    return F.when(c.isNotNull(), F.coalesce(F.try_element_at(_map(known), c), F.lit("document")))
+
+
+def status_rank(c: Column) -> Column:
+    from quillgraph.functions.vocabulary import STATUS_RANK
+
+    return F.coalesce(F.try_element_at(_map(STATUS_RANK), c), F.lit(0))
+
+
+def stated_weight(c: Column) -> Column:
+    """A number for a weight in words."""
+    from quillgraph.functions.vocabulary import OTHER_WEIGHT, STATED_WEIGHTS
+
+    return F.coalesce(F.try_element_at(_map(STATED_WEIGHTS), F.lower(c)), F.lit(OTHER_WEIGHT))
+
+
+def has_criteria(body: Column) -> Column:
+    from quillgraph.functions.vocabulary import CRITERIA
+
+    return F.coalesce(body.rlike(CRITERIA), F.lit(False))
+
+
+def yaml_escape(c: Column) -> Column:
+    """Between double quotes in YAML."""
+    return F.replace(F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit("\n"), F.lit("\\n"))
+
+
+def list_or_commas(c: Column) -> Column:
+    """Items of a JSON list or of a text with commas, trimmed, without empty ones."""
+    items = F.when(F.ltrim(c).startswith("["), F.from_json(c, "array<string>")).otherwise(F.split(c, ","))
+    return F.filter(F.transform(F.coalesce(items, F.array().cast("array<string>")), lambda x: F.trim(x)), lambda x: x != "")
+
+
+def _map(pairs: dict) -> Column:
+    return F.create_map(*[F.lit(x) for kv in pairs.items() for x in kv])
 
 
 def day_prefix(c: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillgraph.operators import graph, retrieval, stats
+from quillgraph.plans.skew import lookup_join
 
 
 def descendants_where(children: DataFrame, current: DataFrame, keep: Column, max_depth: int | None = None) -> DataFrame:
@@ -27,20 +28,39 @@ def closing_links(edges: DataFrame, proposed: DataFrame, max_depth: int | None =
     return proposed.select("src", "dst").distinct().join(back, ["src", "dst"])
 
 
+#: Kinds of neighbours, and the edge that makes them: from the node, or to it.
+_AHEAD = {"parent": "parents", "depends_on": "needs", "contributes_to": "serves", "similar_to": "similar"}
+_BEHIND = {"parent": "children", "depends_on": "waiting", "contributes_to": "served_by"}
+
+
+def context_rows(edges: DataFrame, most: int = 5) -> DataFrame:
+    """``id, kind, other, total``: what is around each node, all of it but for siblings and children, of which ``most``.
+
+    Siblings are the other children of a node's parent, of several the first. They are read
+    off the first children of each parent, so no two children ever meet.
+    """
+    out = edges.filter(F.col("type").isin(*_AHEAD)).select(F.col("source").alias("id"), F.coalesce(*[F.when(F.col("type") == t, n) for t, n in _AHEAD.items()]).alias("kind"), F.col("target").alias("other"))
+    into = edges.filter(F.col("type").isin(*_BEHIND)).select(F.col("target").alias("id"), F.coalesce(*[F.when(F.col("type") == t, n) for t, n in _BEHIND.items()]).alias("kind"), F.col("source").alias("other"))
+    every = out.unionByName(into)
+    totals = every.groupBy("id", "kind").agg(F.count(F.lit(1)).alias("total"))
+    kids = into.filter("kind = 'children'")
+    # one more than is shown, since a node is not its own sibling
+    first = stats.first_per_group(kids, "id", [F.col("other")], most + 1)
+    some = stats.first_per_group(kids, "id", [F.col("other")], most)
+    up = edges.filter("type = 'parent'").groupBy(F.col("source").alias("id")).agg(F.min("target").alias("p"))
+    heads = first.groupBy(F.col("id").alias("p")).agg(F.array_sort(F.collect_list("other")).alias("heads")).join(totals.filter("kind = 'children'").select(F.col("id").alias("p"), "total"), "p")
+    beside = lookup_join(up, heads, ["p"]).select("id", F.lit("siblings").alias("kind"), F.explode(F.slice(F.filter("heads", lambda x: x != F.col("id")), 1, most)).alias("other"), (F.col("total") - 1).alias("total"))
+    rest = every.filter("kind <> 'children'").unionByName(some.select("id", "kind", "other"))
+    return lookup_join(rest, totals, ["id", "kind"]).select("id", "kind", "other", "total").unionByName(beside)
+
+
 def local_context(edges: DataFrame, current: DataFrame, most: int = 5) -> DataFrame:
-    """One row per node: parents, the first siblings and children with their totals, what it needs, what waits for it, what it serves and what serves it."""
-    kinds = {"parent": "parents", "depends_on": "needs", "contributes_to": "serves", "similar_to": "similar"}
-    back = {"parent": "children", "depends_on": "waiting", "contributes_to": "served_by"}
-    out = edges.filter(F.col("type").isin(*kinds)).select(F.col("source").alias("id"), F.col("type").alias("kind"), F.col("target").alias("other"))
-    into = edges.filter(F.col("type").isin(*back)).select(F.col("target").alias("id"), F.concat(F.lit("<"), F.col("type")).alias("kind"), F.col("source").alias("other"))
-    up = edges.filter("type = 'parent'").select(F.col("source").alias("id"), F.col("target").alias("p"))
-    beside = up.join(up.select(F.col("id").alias("other"), "p"), "p").filter("id <> other").select("id", F.lit("siblings").alias("kind"), "other").distinct()
-    every = out.unionByName(into).unionByName(beside)
-    place = F.row_number().over(Window.partitionBy("id", "kind").orderBy("other"))
-    near = every.withColumn("r", place).groupBy("id", "kind").agg(F.array_sort(F.collect_list(F.when(F.col("r") <= most, F.col("other")))).alias("some"), F.count(F.lit(1)).alias("n"))
+    """One row per node for display: the first ``most`` of each kind of neighbour, and how many there are."""
+    some = stats.first_per_group(context_rows(edges, most).withColumn("g", F.concat_ws("\x1f", "kind", "id")), "g", [F.col("other")], most)
+    near = some.groupBy("id", "kind").agg(F.array_sort(F.collect_list("other")).alias("some"), F.max("total").alias("n"))
     columns = []
-    for kind, name in [*kinds.items(), *((f"<{k}", v) for k, v in back.items()), ("siblings", "siblings")]:
-        columns += [F.first(F.when(F.col("kind") == kind, F.col("some")), True).alias(name), F.coalesce(F.max(F.when(F.col("kind") == kind, F.col("n"))), F.lit(0)).alias(f"n_{name}")]
+    for name in [*_AHEAD.values(), *_BEHIND.values(), "siblings"]:
+        columns += [F.first(F.when(F.col("kind") == name, F.col("some")), True).alias(name), F.coalesce(F.max(F.when(F.col("kind") == name, F.col("n"))), F.lit(0)).alias(f"n_{name}")]
     return current.select("id").join(near.groupBy("id").agg(*columns), "id", "left")
 
 
@@ -71,6 +91,12 @@ def duplicate_groups(rows: DataFrame, title: float = 0.7, semantic: float | None
     return parts.join(size, "component").select("id", F.col("component").alias("group"), "size")
 
 
+def cluster_scores(groups: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``group, size, best, pairs``: the largest score between members of each group, and how many pairs scored. ``pairs``: ``a, b, score``."""
+    of = groups.select(F.col("id").alias("a"), "group", "size")
+    return pairs.join(of, "a").groupBy("group", "size").agg(F.max("score").alias("best"), F.count(F.lit(1)).alias("pairs"))
+
+
 def canonical_members(groups: DataFrame, rows: DataFrame, created: Column, children: Column, words: Column) -> DataFrame:
     """``group, id``: the oldest (unknown counts as oldest), then more children, more words, the smallest id."""
     r = rows.select("id", created.alias("c"), children.alias("n"), words.alias("w"))
@@ -80,15 +106,13 @@ def canonical_members(groups: DataFrame, rows: DataFrame, created: Column, child
 
 def without_reach(tops: DataFrame, children: DataFrame, hit: DataFrame) -> DataFrame:
     """Tops (column id) for which neither they nor anything beneath is among ``hit`` (column id)."""
-    inside = graph.closure(children, tops).select("seed", "id").unionByName(tops.select(F.col("id").alias("seed"), "id"))
-    good = inside.join(hit.select("id").distinct(), "id", "left_semi").select(F.col("seed").alias("id")).distinct()
-    return tops.select("id").distinct().join(good, "id", "left_anti")
+    above = graph.spread(children.select(F.col("dst").alias("src"), F.col("src").alias("dst")), hit)
+    return tops.select("id").distinct().join(above, "id", "left_anti")
 
 
-def spread_from(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None) -> DataFrame:
+def spread_from(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """``id``: seeds and everything they reach along ``src, dst``: a mark that is handed on."""
-    reached = graph.closure(edges, seeds, max_depth).select("id")
-    return reached.unionByName(seeds.select("id")).distinct()
+    return graph.spread(edges, seeds)
 
 
 def recall(entries: DataFrame, query: list[float], types: list[str], tags: list[str], k: int = 10, over: int = 3) -> DataFrame:

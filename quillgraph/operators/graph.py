@@ -15,12 +15,45 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillgraph.session import discard, stored
+from quillgraph.operators.stats import first_per_group
+from quillgraph.plans.skew import lookup_join
+from quillgraph.session import discard, observed, stored
 
 #: Adjacency lists up to this many edges are handed to tasks whole; beyond, joins do the work.
 BROADCAST_EDGES = 2_000_000
 
 
+def _counted(df: DataFrame, label: str) -> tuple[DataFrame, int]:
+    """``df`` as a table, and its rows, counted while they are written."""
+    out, seen = observed(df, label, n=F.count(F.lit(1)))
+    return out, seen["n"]
+
+
+def _until_still(state: DataFrame, change, label: str) -> DataFrame:
+    """Rounds of ``change`` (which adds ``moved``) until no row of a table moves."""
+    while True:
+        after, seen = observed(change(state), label, moved=F.count_if("moved"))
+        discard(state)
+        path, state = after._quillgraph_path, after.drop("moved")
+        state._quillgraph_path = path
+        if not seen["moved"]:
+            return state
+
+
+def spread(edges: DataFrame, seeds: DataFrame) -> DataFrame:
+    """``id``: seeds (column id) and all that they reach along ``src, dst``; each node is visited once."""
+    edges = stored(edges.select("src", "dst").distinct(), "edges")
+    front, n = _counted(seeds.select("id").distinct(), "front")
+    seen = front
+    while n:
+        step = front.join(edges, F.col("id") == F.col("src")).select(F.col("dst").alias("id")).distinct()
+        front, n = _counted(step.join(seen, "id", "left_anti"), "front")
+        if n:
+            before, seen = seen, stored(seen.unionByName(front), "seen")
+            discard(before)
+    return seen
+
+
 def symmetric(edges: DataFrame) -> DataFrame:
     return edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
 
@@ -44,8 +77,8 @@ def closure(edges: DataFrame, seeds: DataFrame | None = None, max_depth: int | N
         for x in levels[1:]:
             seen = seen.unionByName(x)
         step = front.join(edges, F.col("id") == F.col("src")).select("seed", F.col("dst").alias("id")).filter("seed <> id").distinct()
-        front = stored(step.join(seen.select("seed", "id"), ["seed", "id"], "left_anti").withColumn("depth", F.lit(depth)), "front")
-        if not front.take(1):
+        front, n = _counted(step.join(seen.select("seed", "id"), ["seed", "id"], "left_anti").withColumn("depth", F.lit(depth)), "front")
+        if not n:
             break
         levels.append(front)
         if len(levels) > 6:  # few tables, however deep
@@ -67,10 +100,12 @@ def shortest_paths(edges: DataFrame, seeds: DataFrame, max_depth: int | None = N
     for depth in _steps(1, max_depth):
         step = front.join(edges, F.col("id") == F.col("src")).select("seed", F.col("dst").alias("id"), F.lit(depth).alias("depth"), F.concat("path", F.array("dst")).alias("path"))
         best = step.groupBy("seed", "id", "depth").agg(F.min("path").alias("path"))
-        front = stored(best.join(seen.select("seed", "id"), ["seed", "id"], "left_anti"), "front")
-        if not front.take(1):
+        front, n = _counted(best.join(seen.select("seed", "id"), ["seed", "id"], "left_anti"), "front")
+        if not n:
             break
-        seen = stored(seen.unionByName(front), "seen")
+        before, seen = seen, stored(seen.unionByName(front), "seen")
+        if depth > 1:
+            discard(before)
     return seen
 
 
@@ -89,8 +124,8 @@ def all_shortest_paths(edges: DataFrame, pairs: DataFrame, max_paths: int = 3, m
     for _ in _steps(1, max_depth):
         open_ = wanted.join(found.select("src", "dst"), ["src", "dst"], "left_anti").select(F.col("src").alias("seed")).distinct()
         step = front.join(open_, "seed", "left_semi").join(edges, F.col("id") == F.col("src")).select("seed", F.col("dst").alias("id"), F.concat("path", F.array("dst")).alias("path"))
-        front = stored(step.join(seen, ["seed", "id"], "left_anti").withColumn("r", order).filter(F.col("r") <= max_paths).drop("r"), "front")
-        if not front.take(1):
+        front, n = _counted(step.join(seen, ["seed", "id"], "left_anti").withColumn("r", order).filter(F.col("r") <= max_paths).drop("r"), "front")
+        if not n:
             break
         seen = stored(seen.unionByName(front.select("seed", "id").distinct()), "seen")
         found = stored(found.unionByName(front.select(F.col("seed").alias("src"), F.col("id").alias("dst"), "path").join(wanted, ["src", "dst"], "left_semi")), "found")
@@ -103,76 +138,127 @@ def ego(edges: DataFrame, centres: DataFrame, hops: int = 2) -> DataFrame:
     return closure(symmetric(edges), centres, hops)
 
 
+#: Kinds of edges that are drawn; links and similarity are not followed.
+STRUCTURAL = ("parent", "depends_on", "soft_depends_on", "contributes_to", "closes", "supersedes")
+
+
+def ego_extract(edges: DataFrame, centres: DataFrame, hops: int = 2, most: int = 100) -> tuple[DataFrame, DataFrame]:
+    """``seed, id, depth`` and ``seed, source, target, type``: what is near each centre, itself at 0, and all edges within.
+
+    ``edges``: ``source, target, type``. Only structural kinds are followed, for 1 to 5 hops; the
+    ``most`` nearest nodes are drawn, ties by id (a drawing has room for so many).
+    """
+    drawn = edges.filter(F.col("type").isin(*STRUCTURAL)).select(F.col("source").alias("src"), F.col("target").alias("dst"))
+    near = ego(drawn, centres, min(max(hops, 1), 5)).unionByName(centres.select(F.col("id").alias("seed"), "id", F.lit(0).alias("depth")).distinct())
+    nodes = stored(first_per_group(near, "seed", [F.col("depth"), F.col("id")], most), "ego")
+    ends = nodes.select("seed", "id")
+    within = edges.join(ends.select("seed", F.col("id").alias("source")), "source").join(ends.select("seed", F.col("id").alias("target")), ["seed", "target"], "left_semi")
+    return nodes, within.select("seed", "source", "target", "type")
+
+
 def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """``id, component``: the smallest id of the component; isolated nodes are their own.
 
     Alternating large-star and small-star: rounds grow with the logarithm of the nodes, and
     what is kept is never more than the edges.
     """
-    links = stored(edges.select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).filter("u <> v").distinct(), "links")
+    # a checksum of the links tells whether a round changed any of them
+    sums = {"n": F.count(F.lit(1)), "h": F.bit_xor(F.xxhash64("u", "v"))}
+    links, seen = observed(edges.select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).filter("u <> v").distinct(), "links", **sums)
     while True:
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        large = lookup_join(both, low, ["u"]).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         # a node smaller than all its neighbours keeps them
         large = stored(large, "large")
         own = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(own, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").filter("u <> v").distinct()
-        after = stored(small, "links")
-        same = after.count() == links.count() and not after.exceptAll(links).take(1)
-        discard(links)
-        links = after
-        if same:
+        small = lookup_join(large, own, ["u"]).select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").filter("u <> v").distinct()
+        before, old = seen, links
+        links, seen = observed(small, "links", **sums)
+        discard(large)
+        discard(old)
+        if seen == before:
             break
     return nodes.select("id").distinct().join(links.select(F.col("u").alias("id"), F.col("v").alias("component")), "id", "left").select("id", F.coalesce("component", "id").alias("component"))
 
 
+def _contracted(left: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """Edges that circles may use, and the nodes taken out of chains in each round (``id, u, w``).
+
+    Nodes without a way in or out go; of nodes with one way in, from u, and one out, to w,
+    those with the smallest hash among their neighbours of that kind are bridged by u to w.
+    Trees and chains vanish in a number of rounds that is the logarithm of their size.
+    """
+    left, n = _counted(left, "left")
+    taken, before = [], 0
+    while n and n != before:
+        ends = left.select(F.col("src").alias("id"), F.lit(0).alias("i"), F.lit(1).alias("o"), F.lit(None).cast("string").alias("u"), F.col("dst").alias("w"))
+        ends = ends.unionByName(left.select(F.col("dst").alias("id"), F.lit(1).alias("i"), F.lit(0).alias("o"), F.col("src").alias("u"), F.lit(None).cast("string").alias("w")))
+        nodes = stored(ends.groupBy("id").agg(F.sum("i").alias("i"), F.sum("o").alias("o"), F.min("u").alias("u"), F.min("w").alias("w")), "degrees")
+        thin = nodes.filter("i = 1 AND o = 1").select("id", "u", "w", F.xxhash64("id").alias("h"))
+        beside = thin.select("id", "h")
+        near = thin.join(beside.select(F.col("id").alias("u"), F.col("h").alias("hu")), "u", "left").join(beside.select(F.col("id").alias("w"), F.col("h").alias("hw")), "w", "left")
+        gone, k = _counted(near.filter("(hu IS NULL OR h < hu) AND (hw IS NULL OR h < hw)").select("id", "u", "w"), "gone")
+        dead = nodes.filter("i = 0 OR o = 0").select("id").unionByName(gone.select("id"))
+        kept = left.join(dead.select(F.col("id").alias("src")), "src", "left_anti").join(dead.select(F.col("id").alias("dst")), "dst", "left_anti").select("src", "dst")
+        old, before = left, n
+        left, n = _counted(kept.unionByName(gone.filter("u <> w").select(F.col("u").alias("src"), F.col("w").alias("dst"))).distinct(), "left")
+        discard(old)
+        if k:
+            taken.append(gone)
+    return left, taken
+
+
+def _largest_reaching(edges: DataFrame, start: DataFrame) -> DataFrame:
+    """``id, c``: the largest id that reaches each node of ``start``, itself included.
+
+    What is the largest for that id is so for all it is the largest of, so labels jump and
+    the rounds are far fewer than the steps of the longest way.
+    """
+
+    def push(state: DataFrame) -> DataFrame:
+        pushed = lookup_join(edges, state.select(F.col("id").alias("src"), "c"), ["src"]).groupBy(F.col("dst").alias("id")).agg(F.max("c").alias("p"))
+        step = state.join(pushed, "id", "left").select("id", F.col("c").alias("was"), F.greatest("c", F.coalesce("p", "c")).alias("c"))
+        jump = lookup_join(step, state.select(F.col("id").alias("c"), F.col("c").alias("far")), ["c"], "left")
+        best = F.greatest("c", F.coalesce("far", "c"))
+        return jump.select("id", best.alias("c"), (best > F.col("was")).alias("moved"))
+
+    return _until_still(stored(start.select("id", F.col("id").alias("c")), "colour"), push, "colour")
+
+
 def strongly_connected(edges: DataFrame) -> DataFrame:
     """``id, component, size`` of nodes on circles (components of two nodes and more; loops do not count).
 
-    Nodes without a way in or out are trimmed again and again; what is left takes the
-    largest id that reaches it as colour, and what the owner of a colour is reached by
-    within that colour is one component, taken out before the next round.
+    Trees and chains are contracted first. Each node left takes the largest id that reaches
+    it as colour; within a colour, the nodes that reach its owner are one component, taken
+    out before the next round. What was contracted follows the two ends of its bridge.
     """
     left = stored(edges.select("src", "dst").filter("src <> dst").distinct(), "left")
+    bridges: list[DataFrame] = []
     out = edges.sparkSession.createDataFrame([], "id string, component string")
     while True:
-        while True:
-            n = left.count()
-            core = left.select(F.col("src").alias("id")).distinct().join(left.select(F.col("dst").alias("id")).distinct(), "id", "left_semi")
-            kept = left.join(core.withColumnRenamed("id", "src"), "src", "left_semi").join(core.withColumnRenamed("id", "dst"), "dst", "left_semi").select("src", "dst")
-            after = stored(kept, "left")
-            discard(left)
-            left = after
-            if left.count() == n:
-                break
+        left, taken = _contracted(left)
+        bridges += taken
         if not left.take(1):
             break
-        colour = stored(left.select(F.explode(F.array("src", "dst")).alias("id")).distinct().withColumn("c", F.col("id")), "colour")
-        while True:
-            pushed = left.join(colour, F.col("src") == F.col("id")).groupBy(F.col("dst").alias("id")).agg(F.max("c").alias("p"))
-            after = stored(colour.join(pushed, "id", "left").select("id", F.greatest("c", F.coalesce("p", "c")).alias("c"), (F.coalesce("p", "c") > F.col("c")).alias("moved")), "colour")
-            moved = after.filter("moved").take(1)
-            discard(colour)
-            path = after._quillgraph_path
-            colour = after.drop("moved")
-            colour._quillgraph_path = path
-            if not moved:
-                break
+        colour = _largest_reaching(left, left.select(F.explode(F.array("src", "dst")).alias("id")).distinct())
         tint = colour.select(F.col("id").alias("src"), F.col("c").alias("c1")), colour.select(F.col("id").alias("dst"), F.col("c").alias("c2"))
-        inner = stored(left.join(tint[0], "src").join(tint[1], "dst").filter("c1 = c2").select("src", "dst", F.col("c1").alias("c")), "inner")
-        found = front = stored(colour.filter("id = c").select("id", "c"), "found")
-        while True:
-            step = inner.join(front.select(F.col("id").alias("dst")), "dst").select(F.col("src").alias("id"), "c").distinct().join(found.select("id"), "id", "left_anti")
-            front = stored(step, "front")
-            if not front.take(1):
-                break
-            found = stored(found.unionByName(front), "found")
-        out = out.unionByName(found.select("id", F.col("c").alias("component")))
+        # backwards within a colour: its owner is the largest of its nodes
+        back = stored(lookup_join(lookup_join(left, tint[0], ["src"]), tint[1], ["dst"]).filter("c1 = c2").select(F.col("dst").alias("src"), F.col("src").alias("dst")), "inner")
+        reached = _largest_reaching(back, colour.select("id"))
+        found = stored(reached.join(colour.withColumnRenamed("c", "owner"), "id").filter("c = owner").select("id", F.col("c").alias("component")), "found")
+        out = stored(out.unionByName(found), "components")
         gone = found.select("id")
         left = stored(left.join(gone.withColumnRenamed("id", "src"), "src", "left_anti").join(gone.withColumnRenamed("id", "dst"), "dst", "left_anti").select("src", "dst"), "left")
-    size = out.groupBy("component").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("low")).filter("size > 1")
-    return out.join(size, "component").select("id", F.col("low").alias("component"), "size")
+    # whoever was never placed is a component of its own
+    for taken in reversed(bridges):
+        cu, cw = out.select(F.col("id").alias("u"), F.col("component").alias("cu")), out.select(F.col("id").alias("w"), F.col("component").alias("cw"))
+        ends = taken.join(cu, "u", "left").join(cw, "w", "left").select("id", F.coalesce("cu", "u").alias("cu"), F.coalesce("cw", "w").alias("cw")).filter("cu = cw").select("id", F.col("cu").alias("component"))
+        out = stored(out.unionByName(ends), "components")
+    # an owner that was left over alone has its own id as component
+    named = out.unionByName(out.select(F.col("component").alias("id"), "component")).distinct()
+    size = named.groupBy("component").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("low")).filter("size > 1")
+    return lookup_join(named, size, ["component"]).select("id", F.col("low").alias("component"), "size")
 
 
 def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, rounds: int = 20) -> DataFrame:
@@ -261,15 +347,12 @@ def least_over_reach(nodes: DataFrame, edges: DataFrame, value: str) -> DataFram
     """``id, least``: the smallest value among a node and all it reaches, by rounds until nothing changes."""
     edges = stored(edges.select("src", "dst").distinct(), "edges")
     state = stored(nodes.select("id", F.col(value).alias("least")), "state")
-    while True:
-        seen = edges.join(state.select(F.col("id").alias("dst"), "least"), "dst").groupBy(F.col("src").alias("id")).agg(F.min("least").alias("m"))
-        after = stored(state.join(seen, "id", "left").select("id", F.least("least", "m").alias("least"), (~F.least("least", "m").eqNullSafe(F.col("least"))).alias("moved")), "state")
-        moved = after.filter("moved").take(1)
-        discard(state)
-        path, state = after._quillgraph_path, after.drop("moved")
-        state._quillgraph_path = path
-        if not moved:
-            return state
+
+    def step(state: DataFrame) -> DataFrame:
+        seen = lookup_join(edges, state.select(F.col("id").alias("dst"), "least"), ["dst"]).groupBy(F.col("src").alias("id")).agg(F.min("least").alias("m"))
+        return state.join(seen, "id", "left").select("id", F.least("least", "m").alias("least"), (~F.least("least", "m").eqNullSafe(F.col("least"))).alias("moved"))
+
+    return _until_still(state, step, "state")
 
 
 def inherit(nodes: DataFrame, links: DataFrame, value: str) -> DataFrame:
@@ -301,8 +384,8 @@ def damped_sum(edges: DataFrame, base: DataFrame, max_depth: int | None = None)
     seen = front
     for depth in _steps(2, max_depth):
         step = front.join(edges.withColumnRenamed("factor", "f"), F.col("id") == F.col("src")).filter("seed <> dst").groupBy("seed", F.col("dst").alias("id")).agg(F.max(F.col("factor") * F.col("f")).alias("factor"))
-        front = stored(step.join(seen.select("seed", "id"), ["seed", "id"], "left_anti").withColumn("depth", F.lit(depth)), "front")
-        if not front.take(1):
+        front, n = _counted(step.join(seen.select("seed", "id"), ["seed", "id"], "left_anti").withColumn("depth", F.lit(depth)), "front")
+        if not n:
             break
         seen = stored(seen.unionByName(front), "seen")
-    return seen.join(base, "id").groupBy(F.col("seed").alias("id")).agg(F.round(F.sum(F.col("base") * F.col("factor") / F.col("depth")), 2).alias("total"))
+    return seen.join(base, "id").groupBy(F.col("seed").alias("id")).agg(F.round(F.sum((F.col("base") * F.col("factor") / F.col("depth")).cast("decimal(30,12)")), 2).cast("double").alias("total"))

@@ -137,6 +137,14 @@ def circles(links: DataFrame) -> DataFrame:
     return ring.join(members, "low").select("id", F.col("low").alias("root"), "size")
 
 
+def on_circles(links: DataFrame) -> DataFrame:
+    """``id, root, size`` of nodes on circles of two and more, for any links (``id, parent``); trees are walked off first."""
+    walked = walk_to_stops(links)
+    reduced = walked.filter("done").select("id", "ptr", "hops", F.lit(1).cast("bigint").alias("weight"))
+    rest = links.join(_solve_reduced(reduced).select("id"), "id", "left_anti")
+    return circles(stored(rest, "rest")).filter("size > 1")
+
+
 def hierarchy(links: DataFrame, spacing: int = SPACING) -> DataFrame:
     """One row per id of ``links`` (``id, parent``; parents null or themselves ids).
 

@@ -11,8 +11,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillgraph.functions.refs import reference_key, strip_blanks
+from quillgraph.functions.text import list_or_commas, markdown_links, wikilinks
 from quillgraph.operators.references import node_keys
 from quillgraph.plans.skew import lookup_join
+from quillgraph.session import stored
 
 
 def current_nodes(nodes: DataFrame) -> DataFrame:
@@ -62,6 +64,46 @@ def inverses(edges: DataFrame) -> DataFrame:
     return edges.groupBy(F.col("target").alias("id")).agg(by("parent").alias("children"), by("depends_on").alias("blocks"), by("soft_depends_on").alias("soft_blocks"), by("contributes_to").alias("contributed_by"))
 
 
+def leaves(current: DataFrame, edges: DataFrame, subtask: str = r"^(.+)\.(\d+)$") -> DataFrame:
+    """``id, children, subtasks, leaf``: numbers of children apart from subtasks (``<id>.n``), of subtasks, and whether there are no children."""
+    kids = edges.filter("type = 'parent'").select(F.col("target").alias("id"), (F.regexp_extract("source", subtask, 1) == F.col("target")).alias("sub"))
+    per = kids.groupBy("id").agg(F.count_if(~F.col("sub")).alias("children"), F.count_if("sub").alias("subtasks"))
+    return current.select("id").join(per, "id", "left").na.fill(0, ["children", "subtasks"]).withColumn("leaf", F.col("children") == 0)
+
+
+#: Fields of frontmatter that name other notes, the edge they make, and whether it points back.
+FIELDS = {
+    "parent": ("parent", False), "depends_on": ("depends_on", False), "soft_depends_on": ("soft_depends_on", False), "contributes_to": ("contributes_to", False),
+    "closes": ("closes", False), "supersedes": ("supersedes", False), "children": ("parent", True), "blocks": ("depends_on", True), "soft_blocks": ("soft_depends_on", True),
+}
+
+
+def document_edges(documents: DataFrame, keys: DataFrame) -> DataFrame:
+    """``source, target, type``: edges that documents write into frontmatter (``FIELDS``) and, as links, into their bodies.
+
+    ``keys``: see ``resolution``. Loops and what names nothing are left out; each edge comes once.
+    """
+    named = F.array(*[F.struct(F.lit(t).alias("type"), F.lit(back).alias("back"), list_or_commas(F.get_json_object("frontmatter", f"$.{f}")).alias("refs")) for f, (t, back) in FIELDS.items()])
+    links = F.array(F.struct(F.lit("link").alias("type"), F.lit(False).alias("back"), F.concat(wikilinks(F.col("body")), markdown_links(F.col("body"))).alias("refs")))
+    refs = documents.select("id", F.explode(F.concat(named, links)).alias("f")).select("id", "f.type", "f.back", F.explode("f.refs").alias("ref")).distinct()
+    found = resolve(stored(refs, "refs"), "ref", keys, out="to")
+    ends = found.select(F.when(F.col("back"), F.col("to")).otherwise(F.col("id")).alias("source"), F.when(F.col("back"), F.col("id")).otherwise(F.col("to")).alias("target"), "type")
+    return ends.filter("source <> target").distinct()
+
+
+def task_index(current: DataFrame, edges: DataFrame, states: DataFrame) -> DataFrame:
+    """``id, parent, children, depends_on, blocks, similar, state``: relations seen from both ends, sorted.
+
+    ``similar`` holds either way round; ``states``: ``id, state``.
+    """
+    both = edges.filter("type = 'similar_to'")
+    ends = edges.select(F.col("source").alias("id"), F.concat(F.lit(">"), "type").alias("kind"), F.col("target").alias("other")).unionByName(edges.filter("type <> 'similar_to'").select(F.col("target").alias("id"), F.concat(F.lit("<"), "type").alias("kind"), F.col("source").alias("other")))
+    ends = ends.unionByName(both.select(F.col("target").alias("id"), F.lit(">similar_to").alias("kind"), F.col("source").alias("other")))
+    by = lambda k: F.array_sort(F.collect_set(F.when(F.col("kind") == k, F.col("other"))))
+    per = ends.groupBy("id").agg(F.min(F.when(F.col("kind") == ">parent", F.col("other"))).alias("parent"), by("<parent").alias("children"), by(">depends_on").alias("depends_on"), by("<depends_on").alias("blocks"), by(">similar_to").alias("similar"))
+    return current.select("id").join(per, "id", "left").join(states, "id", "left")
+
+
 def degrees(current: DataFrame, edges: DataFrame) -> DataFrame:
     """In- and out-degree; parallel edges of different types all count."""
     ends = edges.select(F.col("target").alias("id"), F.lit(1).alias("i"), F.lit(0).alias("o")).unionByName(edges.select(F.col("source").alias("id"), F.lit(0).alias("i"), F.lit(1).alias("o")))

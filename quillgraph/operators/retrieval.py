@@ -177,6 +177,29 @@ def similarity_join(rows: DataFrame, threshold: float = 0.85, key: str = "vec_id
     return every.join(explicit.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), ["a", "b"], "left_anti")
 
 
+def similarity_report(rows: DataFrame, threshold: float = 0.85, explicit: DataFrame | None = None, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """One row: pairs of rows checked, found alike, and of those known already (``explicit``: ``a, b``, either way round).
+
+    Pairs of equal vectors are counted by the size of their class, not made.
+    """
+    members = stored(equal_classes(rows, key, vector), "members")
+    size = stored(members.groupBy("name").agg(F.count(F.lit(1)).alias("n")), "sizes")
+    far = stored(similarity_join(rows, threshold, key, vector).filter("a <> b"), "pairs")
+    n = F.col("n").cast("bigint")
+    total = members.agg(F.count(F.lit(1)).cast("bigint").alias("n")).select((n * (n - 1) / 2).cast("bigint").alias("checked"))
+    equal = size.agg(F.coalesce(F.sum((n * (n - 1) / 2).cast("bigint")), F.lit(0)).alias("equal"))
+    apart = far.join(size.select(F.col("name").alias("a"), F.col("n").alias("na")), "a").join(size.select(F.col("name").alias("b"), F.col("n").alias("nb")), "b").agg(F.coalesce(F.sum(F.col("na") * F.col("nb")), F.lit(0)).alias("apart"))
+    known = rows.sparkSession.createDataFrame([(0,)], "known bigint")
+    if explicit is not None:
+        pairs = explicit.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).filter("x <> y").distinct()
+        named = pairs.join(members.select(F.col("member").alias("x"), F.col("name").alias("nx")), "x").join(members.select(F.col("member").alias("y"), F.col("name").alias("ny")), "y")
+        hit = named.select(F.least("nx", "ny").alias("a"), F.greatest("nx", "ny").alias("b")).join(far.select("a", "b", F.lit(True).alias("far")), ["a", "b"], "left")
+        known = hit.agg(F.count_if((F.col("a") == F.col("b")) | F.col("far")).alias("known"))
+    one = lambda df: F.broadcast(df.withColumn("__k", F.lit(1)))
+    all_ = total.withColumn("__k", F.lit(1)).join(one(equal), "__k").join(one(apart), "__k").join(one(known), "__k")
+    return all_.select("checked", (F.col("equal") + F.col("apart")).alias("found"), "known")
+
+
 def title_pairs(rows: DataFrame, threshold: float = 0.7, key: str = "id", title: str = "label") -> DataFrame:
     """``a, b, score``: titles whose word sets have at least this Jaccard similarity; titles must share a rare word.
 
@@ -211,7 +234,10 @@ def evaluate(results: DataFrame, golden: DataFrame, k: int = 10) -> DataFrame:
     want = golden.select("query", F.explode("expected").alias("id")).distinct()
     size = want.groupBy("query").agg(F.count(F.lit(1)).alias("wanted"))
     hits = results.filter(F.col("rank") <= k).join(want, ["query", "id"]).groupBy("query").agg(F.min("rank").alias("first"), F.countDistinct("id").alias("hits"))
-    per = size.join(hits, "query", "left")
+    return _averaged(size.join(hits, "query", "left"))
+
+
+def _averaged(per: DataFrame) -> DataFrame:
     return per.agg(
         F.count(F.lit(1)).alias("queries"),
         F.round(F.avg(F.coalesce(1.0 / F.col("first"), F.lit(0.0))), 6).alias("mrr"),
@@ -220,6 +246,17 @@ def evaluate(results: DataFrame, golden: DataFrame, k: int = 10) -> DataFrame:
     )
 
 
+def evaluate_labels(results: DataFrame, queries: DataFrame, rows: DataFrame, k: int = 10) -> DataFrame:
+    """``evaluate`` where every other row of the query's label is wanted: labels are counted, their rows never paired.
+
+    ``results``: ``query, id, rank``; ``queries``: ``query, label``; ``rows``: ``id, label``. Queries alone under their label do not count.
+    """
+    size = rows.groupBy("label").agg((F.count(F.lit(1)) - 1).alias("wanted")).filter("wanted > 0")
+    asked = queries.join(size, "label")
+    hits = results.filter(F.col("rank") <= k).join(queries, "query").join(rows.withColumnRenamed("label", "own"), "id").filter("label = own").groupBy("query").agg(F.min("rank").alias("first"), F.count(F.lit(1)).alias("hits"))
+    return _averaged(asked.select("query", "wanted").join(hits, "query", "left"))
+
+
 def hybrid(vector: DataFrame, near: DataFrame, tags: DataFrame | None = None, weights: tuple[float, float, float, float] = (0.5, 0.3, 0.15, 0.2)) -> DataFrame:
     """``query, id, score``: vector score, closeness in the graph (one hop, two hops) and shared tags, weighted and summed.
 
@@ -229,7 +266,8 @@ def hybrid(vector: DataFrame, near: DataFrame, tags: DataFrame | None = None, we
     parts = vector.select("query", "id", (F.col("score") * wv).alias("s")).unionByName(near.filter("depth <= 2").select("query", "id", F.when(F.col("depth") == 1, w1).otherwise(w2).alias("s")))
     if tags is not None:
         parts = parts.unionByName(tags.select("query", "id", F.lit(wt).alias("s")))
-    return parts.groupBy("query", "id").agg(F.round(F.sum("s"), 6).alias("score"))
+    # decimals add up to the same whatever the order
+    return parts.groupBy("query", "id").agg(F.round(F.sum(F.col("s").cast("decimal(20,9)")), 6).cast("double").alias("score"))
 
 
 def reconcile(documents: DataFrame, index: DataFrame) -> DataFrame:

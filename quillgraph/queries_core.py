@@ -9,7 +9,7 @@ from quillgraph.functions.duck import KEYS, NODES, key
 from quillgraph.operators.hierarchy import all_descendants, all_paths, descendants, hierarchy, resolved_parents
 from quillgraph.operators.references import broken_references, orphan_counts, parent_keys, written_references
 from quillgraph.operators.timestamps import InstantDictionary, normalise_instants
-from quillgraph.session import scratch_path, stored, table
+from quillgraph.session import shared_dir, stored, table
 
 TIMES = ["date", "modified", "consolidated_at"]
 
@@ -42,8 +42,13 @@ def p4_all_beneath(spark: SparkSession, sf: str) -> DataFrame:
     return all_descendants(stored(hierarchy(links), "solved"), links)
 
 
+#: The dictionary of instants is kept under this name; rules that change need a new one.
+INSTANTS = "instants-2"
+
+
 def _instants(spark: SparkSession, sf: str) -> DataFrame:
-    book = InstantDictionary(spark, scratch_path(spark, "instants"))
+    """The dictionary stays in the shared folder and is extended by what it lacks."""
+    book = InstantDictionary(spark, f"{shared_dir(spark)}/{INSTANTS}")
     return normalise_instants(table(spark, sf, "document_entries"), "entry_id", TIMES, "tz", "locale", book)
 
 
@@ -91,6 +96,9 @@ ORACLES = {
     "p4_found": f"{_FOREST} SELECT p.id, coalesce(l.low, t.top, p.id) AS root, CAST(CASE WHEN p.id IN (SELECT id FROM c) THEN -1 WHEN l.low IS NOT NULL THEN -2 ELSE coalesce(a.n, 0) END AS INTEGER) AS depth, CAST(coalesce(b.n, 0) AS INTEGER) AS below FROM p LEFT JOIN {_LOW} l ON l.id = p.id LEFT JOIN (SELECT id, max(up) AS top FROM r WHERE up IN (SELECT id FROM p WHERE parent IS NULL) GROUP BY 1) t ON t.id = p.id LEFT JOIN (SELECT id, count(*) AS n FROM r GROUP BY 1) a ON a.id = p.id LEFT JOIN (SELECT up, count(*) AS n FROM r WHERE id <> up GROUP BY 1) b ON b.up = p.id",
     "p4_circles": f"{_FOREST} SELECT low AS root, count(*) FILTER (id IN (SELECT id FROM c)) AS members, count(*) FILTER (id NOT IN (SELECT id FROM c)) AS hanging FROM {_LOW} GROUP BY 1",
     "p4_beneath": f"{_FOREST}, d AS (SELECT id, count(*) AS depth FROM r WHERE id NOT IN (SELECT id FROM {_LOW}) GROUP BY 1) SELECT r.up AS ancestor, r.id, CAST(d.depth - coalesce(u.depth, 0) AS INTEGER) AS steps FROM r JOIN d ON d.id = r.id LEFT JOIN d u ON u.id = r.up",
+    # paths run down from roots and from the nodes of circles; what is on a circle is its own path
+    "p4_paths": f"{_FOREST}, t AS (SELECT id, id AS path, id AS top, 0 AS deep FROM p WHERE parent IS NULL OR id IN (SELECT id FROM c) UNION ALL SELECT p.id, t.path || '/' || p.id, t.top, t.deep + 1 FROM t JOIN p ON p.parent = t.id WHERE p.id NOT IN (SELECT id FROM c)) SELECT t.id, coalesce(l.low, t.top) AS root, CAST(CASE WHEN t.id IN (SELECT id FROM c) THEN -1 WHEN l.low IS NOT NULL THEN -2 ELSE t.deep END AS INTEGER) AS depth, t.path FROM t LEFT JOIN {_LOW} l ON l.id = t.id",
+    "p4_all_beneath": f"{_FOREST}, x AS (SELECT id, parent AS up, 1 AS s FROM p WHERE parent IS NOT NULL UNION ALL SELECT x.id, p.parent, x.s + 1 FROM x JOIN p ON p.id = x.up WHERE p.parent IS NOT NULL AND x.s < 3000 AND NOT (x.up IN (SELECT id FROM c) AND x.s > 500)) SELECT up AS ancestor, id, CAST(min(s) AS INTEGER) AS steps FROM x WHERE id <> up GROUP BY 1, 2",
     "p7_found": f"{_BROKEN} SELECT * FROM x WHERE kind IS NOT NULL",
     "p7_counts": f"{_BROKEN} SELECT tab, field, kind, period, count(*) AS n FROM x WHERE kind IS NOT NULL GROUP BY ALL",
 }

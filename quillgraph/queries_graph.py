@@ -33,6 +33,15 @@ _N, _K, _E = NODES, KEYS, EDGES
 BASE = f"{_N}, {_K}, {_E}"
 
 
+def levels(n: int, first: str, step: str) -> str:
+    """``f0 AS (first), f1 AS (step), ...``: rounds of SQL written out, each over the one before (``{k}``, ``{j}`` = k - 1)."""
+    return ", ".join(f"f{k} AS MATERIALIZED ({(step if k else first).format(k=k, j=k - 1)})" for k in range(n + 1))
+
+
+def every(n: int, columns: str, first: int = 0) -> str:
+    return " UNION ALL ".join(f"SELECT {columns} FROM f{k}" for k in range(first, n + 1))
+
+
 def _nodes(spark: SparkSession, sf: str) -> DataFrame:
     return model.current_nodes(table(spark, sf, "graph_nodes"))
 
@@ -150,12 +159,14 @@ def g14_all_components(spark, sf):
     return graph.connected_components(n, e.select(F.col("source").alias("src"), F.col("target").alias("dst")))
 
 
-@query(f"WITH RECURSIVE {BASE}, d AS (SELECT DISTINCT source AS src, target AS dst FROM e WHERE type IN ('depends_on', 'parent')), c AS (SELECT src, dst FROM d UNION SELECT c.src, d.dst FROM c JOIN d ON d.src = c.dst), m AS (SELECT a.src AS id, a.dst AS other FROM c a JOIN c b ON a.src = b.dst AND a.dst = b.src), g AS (SELECT id, min(other) AS component FROM m GROUP BY id) SELECT id, component, count(*) OVER (PARTITION BY component) AS size FROM g WHERE id IN (SELECT id FROM m WHERE other <> id)")
-def g15_hard_cycles(spark, sf):
-    return graph.strongly_connected(_links(spark, sf, "depends_on", "parent"))
+_RANKS = levels(
+    20,
+    "SELECT id, 1.0::DOUBLE / (SELECT count(*) FROM n) AS r FROM n",
+    "SELECT n.id, (0.15 + 0.85 * (SELECT coalesce(sum(r), 0) FROM f{j} WHERE id NOT IN (SELECT src FROM o))) / (SELECT count(*) FROM n) + 0.85 * coalesce(g.g, 0) AS r FROM n LEFT JOIN (SELECT w.dst AS id, sum(w.w * f{j}.r) AS g FROM w JOIN f{j} ON f{j}.id = w.src GROUP BY 1) g ON g.id = n.id",
+)
 
 
-@query()
+@query(f"WITH {BASE}, o AS (SELECT source AS src, count(*) AS k FROM e GROUP BY 1), w AS (SELECT e.source AS src, e.target AS dst, count(*)::DOUBLE / any_value(o.k) AS w FROM e JOIN o ON o.src = e.source GROUP BY 1, 2), {_RANKS} SELECT id, round(r, 6) AS pagerank FROM f20")
 def g23_pagerank(spark, sf):
     n = stored(_nodes(spark, sf), "nodes")
     e = model.resolved_edges(table(spark, sf, "edges"), n)
@@ -185,7 +196,14 @@ def g21_inherited_project(spark, sf):
     return graph.inherit(stored(_nodes(spark, sf), "nodes"), resolved_parents(table(spark, sf, "graph_nodes")), "project")
 
 
-@query()
+_DOWN = levels(
+    40,
+    "SELECT src AS seed, dst AS id, factor FROM d",
+    "SELECT seed, id, max(factor) AS factor FROM (SELECT f{j}.seed, d.dst AS id, f{j}.factor * d.factor AS factor FROM f{j} JOIN d ON d.src = f{j}.id WHERE f{j}.seed <> d.dst) x WHERE NOT EXISTS (SELECT 1 FROM seen{j} s WHERE s.seed = x.seed AND s.id = x.id) GROUP BY 1, 2), seen{k} AS MATERIALIZED (SELECT seed, id FROM seen{j} UNION ALL SELECT seed, id FROM f{k}",
+).replace(", f1 AS", ", seen0 AS (SELECT seed, id FROM f0), f1 AS", 1)
+
+
+@query(f"WITH {BASE}, d AS (SELECT target AS src, source AS dst, max(CASE type WHEN 'depends_on' THEN 1.0 WHEN 'soft_depends_on' THEN 0.3 ELSE 0.5 END)::DOUBLE AS factor FROM e WHERE type IN ('depends_on', 'soft_depends_on', 'parent') GROUP BY 1, 2), {_DOWN} SELECT x.seed AS id, CAST(round(sum(CAST(greatest(0, 5 - coalesce(n.priority, 4)) * x.factor / x.depth AS DECIMAL(30,12))), 2) AS DOUBLE) AS total FROM ({' UNION ALL '.join(f'SELECT seed, id, factor, {k + 1} AS depth FROM f{k}' for k in range(41))}) x JOIN n ON n.id = x.id GROUP BY 1")
 def g27_downstream_weight(spark, sf):
     """What hangs on a node: priorities of what it leads to, damped by kind of edge and distance."""
     n = stored(_nodes(spark, sf), "nodes")
@@ -195,7 +213,14 @@ def g27_downstream_weight(spark, sf):
     return graph.damped_sum(down, n.select("id", F.greatest(F.lit(0), 5 - F.coalesce("priority", F.lit(4))).cast("double").alias("base")))
 
 
-@query()
+_NEAR4 = levels(
+    4,
+    "SELECT DISTINCT target AS seed, target AS id, [target] AS path FROM e WHERE type = 'supersedes'",
+    "SELECT seed, id, min(path) AS path FROM (SELECT f{j}.seed, u.dst AS id, list_append(f{j}.path, u.dst) AS path FROM f{j} JOIN u ON u.src = f{j}.id) x WHERE NOT EXISTS (SELECT 1 FROM seen{j} s WHERE s.seed = x.seed AND s.id = x.id) GROUP BY 1, 2), seen{k} AS MATERIALIZED (SELECT seed, id FROM seen{j} UNION ALL SELECT seed, id FROM f{k}",
+).replace(", f1 AS", ", seen0 AS (SELECT seed, id FROM f0), f1 AS", 1)
+
+
+@query(f"WITH {BASE}, u AS (SELECT source AS src, target AS dst FROM e UNION SELECT target, source FROM e), {_NEAR4} SELECT seed, id, CAST(len(path) - 1 AS INTEGER) AS depth, array_to_string(path, '>') AS path FROM ({every(4, 'seed, id, path')})")
 def g9_shortest_paths(spark, sf):
     """From every superseded node to all within four steps, over edges of any kind."""
     e = stored(_edges(spark, sf), "edges")
@@ -318,12 +343,16 @@ def j6_within(spark, sf):
     return retrieval.within(e, e.filter("vec_id % 20 = 0"), 0.35).withColumn("score", F.round("score", 5))
 
 
-@query()
+_CLASSES = "v AS (SELECT embedding, CAST(embedding AS DOUBLE[]) AS e, min(vec_id) AS name, count(DISTINCT vec_id) AS n FROM embeddings GROUP BY 1)"
+
+
+@query(f"WITH {_CLASSES} SELECT a.name AS a, b.name AS b, round(list_cosine_similarity(a.e, b.e), 5) AS score FROM v a JOIN v b ON a.name < b.name WHERE list_cosine_similarity(a.e, b.e) >= 0.35 UNION ALL SELECT name, name, 1.0 FROM v WHERE n > 1")
 def j6_similarity_join(spark, sf):
-    return retrieval.similarity_join(table(spark, sf, "embeddings"), 0.85).withColumn("score", F.round("score", 6))
+    """All pairs of classes of equal vectors from a threshold on; at 0.85, the default, these vectors have none."""
+    return retrieval.similarity_join(table(spark, sf, "embeddings"), 0.35).withColumn("score", F.round("score", 5))
 
 
-@query()
+@query("SELECT DISTINCT m.name, e.vec_id AS member FROM embeddings e JOIN (SELECT embedding, min(vec_id) AS name FROM embeddings GROUP BY 1) m ON m.embedding = e.embedding")
 def j6_members(spark, sf):
     """Rows of equal vectors, under the name that ``j6_similarity_join`` has for them."""
     return retrieval.equal_classes(table(spark, sf, "embeddings"))
@@ -341,14 +370,16 @@ def j9_title_pairs(spark, sf):
     return retrieval.title_pairs(_nodes(spark, sf))
 
 
-@query()
+_TOP10 = "t AS (SELECT query, vec_id, rank FROM (SELECT a.vec_id AS query, b.vec_id, row_number() OVER (PARTITION BY a.vec_id ORDER BY list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) DESC, b.vec_id) AS rank FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0) WHERE rank <= 10)"
+
+
+@query(f"WITH {_TOP10}, s AS (SELECT label, count(DISTINCT vec_id) AS n FROM embeddings GROUP BY 1), h AS (SELECT t.query, min(t.rank) AS first, count(*) AS hits FROM t JOIN embeddings a ON a.vec_id = t.query JOIN embeddings b ON b.vec_id = t.vec_id WHERE a.label = b.label GROUP BY 1), q AS (SELECT e.vec_id AS query, s.n - 1 AS wanted FROM embeddings e JOIN s ON s.label = e.label WHERE e.vec_id % 20 = 0 AND s.n > 1) SELECT count(*) AS queries, round(avg(coalesce(1.0 / h.first, 0)), 6) AS mrr, round(avg(coalesce(h.hits / q.wanted, 0)), 6) AS recall, round(avg(CASE WHEN h.hits > 0 THEN 1.0 ELSE 0.0 END), 6) AS hit_rate FROM q LEFT JOIN h ON h.query = q.query")
 def v14_evaluate(spark, sf):
-    """Nearest neighbours as results, rows of the same label as what was wanted."""
+    """Nearest neighbours as results; what was wanted are the other rows of the same label."""
     e = table(spark, sf, "embeddings")
-    q = e.filter("vec_id % 20 = 0")
-    got = retrieval.nearest(e, q, 10).select("query", F.col("vec_id").alias("id"), "rank")
-    want = q.select(F.col("vec_id").alias("query"), "label").join(e.select(F.col("vec_id").alias("id"), "label"), "label").filter("query <> id").groupBy("query").agg(F.collect_list("id").alias("expected"))
-    return retrieval.evaluate(got, want)
+    got = retrieval.nearest(e, e.filter("vec_id % 20 = 0"), 10).select("query", F.col("vec_id").alias("id"), "rank")
+    labels = e.select(F.col("vec_id").alias("id"), "label").distinct()
+    return retrieval.evaluate_labels(got, labels.filter("id % 20 = 0").withColumnRenamed("id", "query"), labels)
 
 
 @query("SELECT id, concat_ws(chr(10) || chr(10), title, 'type: ' || doc_type, CASE WHEN len(tags) > 0 THEN 'tags: ' || array_to_string(tags, ', ') END, nullif(body, '')) AS text FROM (SELECT DISTINCT id, title, doc_type, tags, body FROM pkb_documents)")
@@ -395,7 +426,7 @@ def x_slugs(spark, sf):
     return table(spark, sf, "pkb_documents").select("id", t.slugify(F.col("title"), 1_000_000).alias("slug")).distinct()
 
 
-@query(f"WITH {_N} SELECT id, effort, CASE WHEN regexp_matches(s, '^\\d+h$') THEN CAST(ceil(CAST(regexp_extract(s, '\\d+') AS DOUBLE) / 8) AS BIGINT) WHEN regexp_matches(s, '^\\d+w$') THEN CAST(regexp_extract(s, '\\d+') AS BIGINT) * 7 WHEN regexp_matches(s, '^\\d+d?$') THEN CAST(regexp_extract(s, '\\d+') AS BIGINT) END AS days FROM (SELECT *, lower(trim(effort)) AS s FROM n)")
+@query(f"WITH {_N} SELECT id, effort, CAST(ceil(CASE WHEN NOT regexp_matches(s, '^[+-]?([0-9]+\\.?[0-9]*|\\.[0-9]+)[hdw]?$') THEN NULL WHEN s LIKE '%w' THEN 7 * x WHEN s LIKE '%h' THEN x / 8 ELSE x END) AS BIGINT) AS days FROM (SELECT *, lower(trim(effort)) AS s, TRY_CAST(regexp_replace(lower(trim(effort)), '[hdw]$', '') AS DOUBLE) AS x FROM n)")
 def x_effort_days(spark, sf):
     return _nodes(spark, sf).select("id", "effort", t.effort_days(F.col("effort")).alias("days"))
 
@@ -414,22 +445,12 @@ def f1_frontmatter(spark, sf):
 # ---- quality
 
 
-@query()
-def l_lint(spark, sf):
-    return quality.lint(table(spark, sf, "pkb_documents"))
-
-
 @query("SELECT rule, count(*) AS n FROM (SELECT DISTINCT path, 'doc-no-type' AS rule FROM pkb_documents WHERE trim(coalesce(doc_type, '')) = '' UNION ALL SELECT DISTINCT path, 'task-no-status' FROM pkb_documents WHERE trim(coalesce(status, '')) = '' UNION ALL SELECT DISTINCT path, 'fm-missing-project' FROM pkb_documents WHERE trim(coalesce(project, '')) = '' UNION ALL SELECT DISTINCT path, 'md-no-final-newline' FROM pkb_documents WHERE length(body) > 0 AND NOT ends_with(body, chr(10))) GROUP BY 1")
 def l_lint_counts(spark, sf):
     report = quality.lint(table(spark, sf, "pkb_documents"), ["no_type", "no_status", "no_project", "no_final_newline"])
     return report.groupBy("rule").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"WITH {_N} SELECT id, project FROM n WHERE project IS NOT NULL AND lower(project) NOT IN (SELECT lower(slug) FROM projects UNION SELECT lower(a) FROM (SELECT unnest(aliases) AS a FROM projects) WHERE a IS NOT NULL)")
-def l_unregistered_projects(spark, sf):
-    return quality.unregistered_projects(_nodes(spark, sf), table(spark, sf, "projects"))
-
-
 @query(f"WITH {_N} SELECT id FROM n WHERE {key('parent')} = lower(id)")
 def l_self_parents(spark, sf):
     return quality.self_parents(_nodes(spark, sf), reference_key)
@@ -476,7 +497,7 @@ def g6_live_descendants(spark, sf):
     return context.descendants_where(e.select(F.col("target").alias("src"), F.col("source").alias("dst")), n, F.col("deleted_at").isNull()).select("seed", "id")
 
 
-@query(f"WITH {BASE}, x AS (SELECT source AS id, target AS other, type AS kind FROM e UNION ALL SELECT target, source, '<' || type FROM e), s AS (SELECT DISTINCT a.source AS id, b.source AS other FROM e a JOIN e b ON a.target = b.target AND a.source <> b.source WHERE a.type = 'parent' AND b.type = 'parent'), c AS (SELECT id, count(*) FILTER (kind = 'parent') AS p, count(*) FILTER (kind = '<parent') AS k, count(*) FILTER (kind = 'depends_on') AS d, count(*) FILTER (kind = '<depends_on') AS w, array_to_string(list_sort(list(other) FILTER (kind = 'parent'))[1:5], ',') AS ps FROM x GROUP BY id) SELECT n.id, c.p AS n_parents, c.k AS n_children, c.d AS n_needs, c.w AS n_waiting, (SELECT count(*) FROM s WHERE s.id = n.id) AS n_siblings, nullif(c.ps, '') AS parents FROM n JOIN c ON c.id = n.id WHERE c.p + c.k + c.d + c.w > 0")
+@query(f"WITH {BASE}, x AS (SELECT source AS id, target AS other, type AS kind FROM e UNION ALL SELECT target, source, '<' || type FROM e), s AS (SELECT a.source AS id, b.source AS other FROM (SELECT source, min(target) AS target FROM e WHERE type = 'parent' GROUP BY 1) a JOIN e b ON b.target = a.target AND b.source <> a.source WHERE b.type = 'parent'), c AS (SELECT id, count(*) FILTER (kind = 'parent') AS p, count(*) FILTER (kind = '<parent') AS k, count(*) FILTER (kind = 'depends_on') AS d, count(*) FILTER (kind = '<depends_on') AS w, array_to_string(list_sort(list(other) FILTER (kind = 'parent'))[1:5], ',') AS ps FROM x GROUP BY id) SELECT n.id, c.p AS n_parents, c.k AS n_children, c.d AS n_needs, c.w AS n_waiting, (SELECT count(*) FROM s WHERE s.id = n.id) AS n_siblings, nullif(c.ps, '') AS parents FROM n JOIN c ON c.id = n.id WHERE c.p + c.k + c.d + c.w > 0")
 def g42_local_context(spark, sf):
     n = stored(_nodes(spark, sf), "nodes")
     c = context.local_context(model.resolved_edges(table(spark, sf, "edges"), n), n)
@@ -502,7 +523,7 @@ def g17_held_up(spark, sf):
     return context.spread_from(e.select(F.col("target").alias("src"), F.col("source").alias("dst")), n.filter("status = 'blocked'").select("id"))
 
 
-@query()
+@query(f"WITH RECURSIVE {_N}, w AS (SELECT id, list_sort(list_distinct(list_filter(regexp_split_to_array(lower(coalesce(label, '')), '\\s+'), lambda x: x <> ''))) AS s FROM n), j AS (SELECT a.id AS a, b.id AS b FROM w a JOIN w b ON a.id < b.id WHERE len(a.s) > 0 AND len(b.s) > 0 AND len(list_intersect(a.s, b.s)) / len(list_distinct(list_concat(a.s, b.s))) >= 0.7), u AS (SELECT a, b FROM j UNION SELECT b, a FROM j), c AS (SELECT DISTINCT a AS id, a AS r FROM u UNION SELECT c.id, u.b FROM c JOIN u ON u.a = c.r), m AS (SELECT id, min(r) AS g FROM c GROUP BY id), z AS (SELECT m.id, m.g, count(*) OVER (PARTITION BY m.g) AS size, row_number() OVER (PARTITION BY m.g ORDER BY coalesce(n.created, ''), -coalesce(n.word_count, 0), m.id) AS r FROM m JOIN n ON n.id = m.id) SELECT z.id, z.g AS \"group\", z.size, y.id AS canonical FROM z JOIN z y ON y.g = z.g AND y.r = 1")
 def g38_duplicate_groups(spark, sf):
     """Nodes joined by similar titles, with the one to keep."""
     n = stored(_nodes(spark, sf), "nodes")
@@ -522,15 +543,6 @@ def g43_reading_order(spark, sf):
     return context.reading_order(tree, tops, 4)
 
 
-@query()
-def g51_closing_links(spark, sf):
-    """Soft dependencies that would close a circle if they were hard ones."""
-    e = stored(_edges(spark, sf), "edges")
-    hard = e.filter("type = 'depends_on'").select(F.col("source").alias("src"), F.col("target").alias("dst"))
-    soft = e.filter("type = 'soft_depends_on'").select(F.col("source").alias("src"), F.col("target").alias("dst"))
-    return context.closing_links(hard, soft).select("src", "dst", F.array_join("path", ">").alias("path"))
-
-
 @query("SELECT DISTINCT entry_id, best, chunks FROM (SELECT entry_id, len(chunk_embeddings) AS chunks, list_position(s, list_max(s)) - 1 AS best FROM (SELECT *, list_transform(chunk_embeddings, lambda v: list_cosine_similarity(CAST(v AS DOUBLE[]), [0.0, 1.0, 0.0])) AS s FROM document_entries WHERE len(chunk_embeddings) > 0))")
 def a6_best_chunk(spark, sf):
     """The chunk of every entry that is nearest to a direction, the first of equals."""
@@ -558,13 +570,13 @@ def u1_merged_lists(spark, sf):
     return e.groupBy("cluster_id").agg(F.array_join(F.array_sort(F.collect_set("status")), ",").alias("statuses"))
 
 
-@query()
+@query("WITH s AS (SELECT entry_id, round(max(list_cosine_similarity(CAST(v AS DOUBLE[]), [0.6, 0.0, 0.8])), 6) AS score FROM (SELECT entry_id, unnest(chunk_embeddings) AS v FROM (SELECT DISTINCT entry_id, chunk_embeddings FROM document_entries)) GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 30) SELECT s.entry_id, s.score, d.title, d.doc_type FROM s JOIN (SELECT DISTINCT entry_id, title, doc_type FROM document_entries) d ON d.entry_id = s.entry_id WHERE d.doc_type IN ('memory', 'note') ORDER BY s.score DESC, s.entry_id LIMIT 10")
 def r7_recall(spark, sf):
     e = table(spark, sf, "document_entries").dropDuplicates(["entry_id"])
     return context.recall(e, [0.6, 0.0, 0.8], ["memory", "note"], [], 10)
 
 
-@query()
+@query(f"WITH {BASE}, u AS (SELECT source AS src, target AS dst FROM e UNION SELECT target, source FROM e), c AS (SELECT DISTINCT source AS id FROM e WHERE type = 'supersedes'), o AS (SELECT c.id AS query, u.dst AS id FROM c JOIN u ON u.src = c.id), q AS (SELECT query, id, min(depth) AS depth FROM (SELECT query, id, 1 AS depth FROM o UNION ALL SELECT o.query, u.dst, 2 FROM o JOIN u ON u.src = o.id) WHERE query <> id GROUP BY 1, 2), s AS (SELECT entry_id, any_value(id) AS id, round(max(list_cosine_similarity(CAST(v AS DOUBLE[]), [0.6, 0.0, 0.8])), 6) AS score FROM (SELECT entry_id, id, unnest(chunk_embeddings) AS v FROM (SELECT DISTINCT entry_id, id, chunk_embeddings FROM document_entries)) GROUP BY 1 ORDER BY 3 DESC, 1 LIMIT 100), h AS (SELECT id, max(score) AS score FROM s GROUP BY 1) SELECT query, id, CAST(round(sum(CAST(p AS DECIMAL(20,9))), 6) AS DOUBLE) AS score FROM (SELECT c.id AS query, h.id, 0.5 * h.score AS p FROM h, c UNION ALL SELECT query, id, CASE depth WHEN 1 THEN 0.3 ELSE 0.15 END FROM q) GROUP BY 1, 2")
 def v13_hybrid(spark, sf):
     """Entries near a direction or near, in the graph, to the nodes that superseded others."""
     n = stored(_nodes(spark, sf), "nodes")

@@ -26,20 +26,36 @@ def windowed(events: DataFrame, time: str = "ts", late: str = "1 day", width: st
     return events.withWatermark(time, late).groupBy(F.window(time, width), by).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(value), 4).alias("total")).select(F.col("window.start").alias("start"), by, "n", "total")
 
 
-def upsert_stream(changes: DataFrame, path: str, key: str, order: str, checkpoint: str, **trigger) -> StreamingQuery:
-    """Keep a table at ``path`` with the latest row of every key; a batch seen twice changes nothing."""
+def upsert_stream(changes: DataFrame, path: str, key: str, order: str, checkpoint: str, buckets: int = 64, **trigger) -> StreamingQuery:
+    """Keep a table at ``path`` with the latest row of every key; a batch seen twice changes nothing.
+
+    The table is cut by a hash of the key into ``buckets`` folders ``bucket=...``; a batch
+    rewrites those that it touches and leaves the others alone.
+    """
 
     def merge(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
-        fresh = latest(batch, key, order)
+        cut = F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
+        fresh = latest(batch, key, order).withColumn("bucket", cut)
+        touched = [r[0] for r in fresh.select("bucket").distinct().collect()]  # at most ``buckets`` numbers
         at = spark._jvm.org.apache.hadoop.fs.Path(path)
-        if at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
-            fresh = latest(fresh.unionByName(spark.read.parquet(path)), key, order)
-        swap(fresh, path)
+        fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        for b in touched:
+            folder = f"{path}/bucket={b}"
+            rows = fresh.filter(F.col("bucket") == b).drop("bucket")
+            if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(folder)):
+                rows = latest(rows.unionByName(spark.read.schema(rows.schema).parquet(folder)), key, order)
+            fs.mkdirs(at)
+            swap(rows, folder)
 
     return changes.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
-def changed_files(files: DataFrame) -> DataFrame:
-    """Each state of a file once: ``id, file_hash`` pairs not seen before."""
-    return files.dropDuplicates(["id", "file_hash"])
+def changed_files(files: DataFrame, time: str | None = None, late: str = "7 days") -> DataFrame:
+    """Each state of a file once: ``id, file_hash`` pairs not seen before.
+
+    With ``time`` the pairs of rows older than ``late`` are forgotten, so the state is bounded.
+    """
+    if time is None:
+        return files.dropDuplicates(["id", "file_hash"])
+    return files.withWatermark(time, late).dropDuplicatesWithinWatermark(["id", "file_hash"])
