@@ -208,7 +208,7 @@ def test_scene(spark):
     assert moved["r1"] == 10.0 and moved["t1"] == 15.0 and moved["r2"] == 50.0
     left = {r["id"]: r for r in scene.without(e, spark.createDataFrame([("s", "r1")], "scene string, id string")).collect()}
     assert not {"r1", "t1"} & set(left) and left["a1"]["start_id"] is None
-    assert {(r["id"], r["source"], r["target"], r["label"]) for r in scene.logical_edges(e).collect()} == {("a1", "r1", "r2", "depends on"), ("a2", "gone", "-", None)}
+    assert {(r["id"], r["source"], r["target"], r["label"]) for r in scene.logical_edges(e).collect()} == {("a1", "r1", "r2", "Depends: on it"), ("a2", "gone", "-", None)}
     keys = spark.range(3).select(scene.minted_index(F.lit("a0"), F.col("id") * 62).alias("k")).collect()
     assert [r["k"] for r in keys] == ["a000", "a010", "a020"]
     side = lambda rows: spark.createDataFrame(rows, "id string, v int")
