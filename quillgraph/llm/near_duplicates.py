@@ -30,11 +30,11 @@ table gives an empty result; other columns are not looked at.
 from __future__ import annotations
 
 import io
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -57,6 +57,14 @@ SLAB = 1 << 21
 LOT_SCHEMA = "lot int, data binary"
 
 
+def _packed(raw: bytes) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(raw)
+
+
+def _unpacked(raw: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(raw)
+
+
 def _runs(batch: pa.RecordBatch, size: int, min_words: int) -> tuple[np.ndarray, np.ndarray]:
     """``run, row``: distinct runs of each row with enough words, sorted by row, then by value."""
     titles, bodies = batch.column("title").to_pylist(), batch.column("body").to_pylist()
@@ -110,22 +118,22 @@ def _sketch(texts: DataFrame, size: int, min_words: int) -> np.ndarray:
                 sums[row] += np.bincount(cell, minlength=1 << SKETCH_BITS).astype(np.uint32)
         if sums.any():
             blocks = sums.reshape(-1, 1 << BLOCK_BITS)
-            yield pa.record_batch([pa.array(range(len(blocks)), pa.int32()), pa.array([zlib.compress(x.tobytes(), 1) for x in blocks], pa.binary())], ["block", "counts"])
+            yield pa.record_batch([pa.array(range(len(blocks)), pa.int32()), pa.array([_packed(x.tobytes()) for x in blocks], pa.binary())], ["block", "counts"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for b in batches:
             for k, raw in zip(b.column("block").to_pylist(), b.column("counts").to_pylist()):
-                part = np.frombuffer(zlib.decompress(raw), np.uint32)
+                part = np.frombuffer(_unpacked(raw), np.uint32)
                 sums[k] = sums[k] + part if k in sums else part
         if sums:
-            yield pa.record_batch([pa.array(list(sums), pa.int32()), pa.array([zlib.compress(_coded(x).tobytes(), 1) for x in sums.values()], pa.binary())], ["block", "counts"])
+            yield pa.record_batch([pa.array(list(sums), pa.int32()), pa.array([_packed(_coded(x).tobytes()) for x in sums.values()], pa.binary())], ["block", "counts"])
 
     schema = "block int, counts binary"
     parts = texts.select("title", "body").coalesce(tasks).mapInArrow(count, schema).repartition("block").mapInArrow(add, schema).collect()
     out = np.zeros((2 << SKETCH_BITS) >> BLOCK_BITS << BLOCK_BITS, np.uint8).reshape(-1, 1 << BLOCK_BITS)
     for r in parts:
-        out[r["block"]] = np.frombuffer(zlib.decompress(r["counts"]), np.uint8)
+        out[r["block"]] = np.frombuffer(_unpacked(r["counts"]), np.uint8)
     return out.reshape(2, -1)
 
 
@@ -152,7 +160,7 @@ def _lots(place: np.ndarray, labels: list[int], docs: dict[str, np.ndarray], ref
             out = io.BytesIO()
             np.savez(out, **{n: _shrunk(c) for n, c in part.items()})
             names.append(label)
-            raws.append(zlib.compress(out.getvalue(), 1))
+            raws.append(_packed(out.getvalue()))
     yield pa.record_batch([pa.array(names, pa.int32()), pa.array(raws, pa.binary())], ["lot", "data"])
 
 
@@ -169,21 +177,21 @@ def _grown(c: np.ndarray) -> np.ndarray:
 
 
 def _opened(raw: bytes) -> dict[str, np.ndarray]:
-    with np.load(io.BytesIO(zlib.decompress(raw))) as z:
+    with np.load(io.BytesIO(_unpacked(raw))) as z:
         return {n: _grown(z[n]) for n in z.files}
 
 
-def _postings(texts: DataFrame, size: int, min_words: int, t: float, held: Broadcast, labels: list[int], most: int) -> DataFrame:
+def _postings(texts: DataFrame, size: int, min_words: int, t: float, held: Broadcast, labels: list[int]) -> DataFrame:
     """Lots of postings: ``group`` (gaps of sorted 40-bit run keys), ``at``, ``left0`` and so on, ``side``.
 
     ``at`` is a place in the tables ``docs`` and ``sizes``: keys of texts and their numbers of runs.
 
     ``left``: how many runs of the text are not before this one in that order, 0 if it is
     beyond the prefix. A run of many texts is dealt to cells of pairs of blocks, each with at
-    most two blocks of ``most`` texts; ``side`` tells which of two different blocks a text is in.
+    most two blocks of as many texts as the limit held with the sketch; ``side`` tells which of two different blocks a text is in.
     """
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = held.value
+        counts, limit = held.value
         for b in batches:
             runs, owner = _runs(b, size, min_words)
             if not len(runs):
@@ -198,7 +206,8 @@ def _postings(texts: DataFrame, size: int, min_words: int, t: float, held: Broad
             long = size_of - np.ceil(size_of * t - 1e-9).astype(np.int64) + SHARED
             left = []
             with np.errstate(over="ignore"):
-                others = [mix64(runs + np.uint64(k)) for k in (1, 2)]
+                # runs are mixed already: an odd factor gives another order
+                others = [runs * np.uint64(k) for k in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)]
             power = np.frexp(seen)[1]
             for high, bits, low in ((np.minimum(counts[0][c0], counts[1][c1]), 8, runs), (power, 6, others[0]), (power // 2, 5, others[1])):
                 order = ordered(owner, high, bits, low)
@@ -209,9 +218,9 @@ def _postings(texts: DataFrame, size: int, min_words: int, t: float, held: Broad
             keep = (seen > 1) & (np.maximum.reduce(left) > 0)
             group, side = runs[keep], np.zeros(int(keep.sum()), np.int64)
             cols = [c[keep] for c in (at, *left)]
-            hot = np.flatnonzero(seen[keep] > most)
+            hot = np.flatnonzero(seen[keep] > limit)
             if len(hot):
-                blocks = -(-seen[keep][hot] // most)
+                blocks = -(-seen[keep][hot] // limit)
                 mine = (mix64(docs[cols[0][hot]]) % blocks.astype(np.uint64)).astype(np.int64)
                 again = np.repeat(np.arange(len(hot)), blocks)
                 other_block = np.arange(len(again)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
@@ -341,8 +350,10 @@ def candidate_keys(texts: DataFrame, size: int, min_words: int, t: float, most:
             pair = pair[np.minimum.reduce(votes) >= SHARED]
             yield pa.record_batch([pa.array(docs[pair >> 32].view(np.int64)), pa.array(docs[pair & 0xFFFFFFFF].view(np.int64))], ["a", "b"])
 
-    held = spark.sparkContext.broadcast(sketch)
-    lots = _postings(texts, size, min_words, t, held, labels, most)
+    # counts below twice what chance puts into a cell say nothing
+    chance = 2 * float(LEVELS[sketch].mean())
+    held = spark.sparkContext.broadcast((sketch, max(most, int(chance))))
+    lots = _postings(texts, size, min_words, t, held, labels)
     out = stored(lots.repartition(parts, "lot").mapInArrow(meet, LOT_SCHEMA).repartition(parts, "lot").mapInArrow(count, "a long, b long"), "pairs")
     held.destroy()
     return out
@@ -368,20 +379,20 @@ def _filter(keys: DataFrame, size: int) -> np.ndarray:
         for mine in np.split(places % block, first[1:]):
             cells = np.zeros(block, bool)
             cells[mine] = True
-            raws.append(zlib.compress(np.packbits(cells).tobytes(), 1))
+            raws.append(_packed(np.packbits(cells).tobytes()))
         yield pa.record_batch([pa.array(used, pa.int32()), pa.array(raws, pa.binary())], ["block", "bits"])
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for b in batches:
             for k, raw in zip(b.column("block").to_pylist(), b.column("bits").to_pylist()):
-                part = np.frombuffer(zlib.decompress(raw), np.uint8)
+                part = np.frombuffer(_unpacked(raw), np.uint8)
                 sums[k] = sums[k] | part if k in sums else part
-        yield pa.record_batch([pa.array(list(sums), pa.int32()), pa.array([zlib.compress(x.tobytes(), 1) for x in sums.values()], pa.binary())], ["block", "bits"])
+        yield pa.record_batch([pa.array(list(sums), pa.int32()), pa.array([_packed(x.tobytes()) for x in sums.values()], pa.binary())], ["block", "bits"])
 
     out = np.zeros((size // block, block >> 3), np.uint8)
     for r in keys.coalesce(64).mapInArrow(mark, "block int, bits binary").repartition("block").mapInArrow(merge, "block int, bits binary").collect():
-        out[r["block"]] = np.frombuffer(zlib.decompress(r["bits"]), np.uint8)
+        out[r["block"]] = np.frombuffer(_unpacked(r["bits"]), np.uint8)
     return out.ravel()
 
 
