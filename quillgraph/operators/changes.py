@@ -78,3 +78,69 @@ def inherit_template(rows: DataFrame, templates: DataFrame, fields: list[str], l
     """Values of the row where it has them, else those of its template."""
     t = templates.select(F.col("id").alias(link), *[F.col(f).alias(f"__{f}") for f in fields])
     return lookup_join(rows, t, [link], "left").select(*[F.coalesce(c, f"__{c}").alias(c) if c in fields else F.col(c) for c in rows.columns])
+
+
+#: Fields of frontmatter that name other notes.
+REFERENCE_FIELDS = ("parent", "depends_on", "soft_depends_on", "contributes_to", "supersedes", "superseded_by")
+
+
+def patched(frontmatter: Column, values: Column, removed: Column) -> Column:
+    """Frontmatter (JSON) with keys set and removed; ``values``: map of keys to JSON texts, ``removed``: list of keys.
+
+    Null or unreadable frontmatter counts as empty; null values and lists change nothing.
+    """
+    kind = "map<string,variant>"
+    old = F.coalesce(F.from_json(frontmatter, kind), F.expr(f"cast(map() AS {kind})"))
+    new = F.coalesce(F.transform_values(values, lambda k, v: F.try_parse_json(v)), F.expr(f"cast(map() AS {kind})"))
+    gone = F.coalesce(removed, F.array().cast("array<string>"))
+    kept = F.map_filter(old, lambda k, v: ~F.array_contains(F.map_keys(new), k) & ~F.array_contains(gone, k))
+    return F.to_json(F.map_concat(kept, new))
+
+
+def checked(updates: DataFrame) -> DataFrame:
+    """``updates`` (``id, field, value``: JSON text, null removes the key) with ``problem``: null where it may be made."""
+    from quillgraph.functions import vocabulary as voc
+    from quillgraph.functions.text import effort_days, status_alias
+
+    field, text = F.col("field"), F.expr("try_variant_get(try_parse_json(value), '$', 'string')")
+    bad = (
+        F.when(field == "blocked", "computed")
+        .when(F.col("value").isNotNull() & F.expr("try_parse_json(value) IS NULL"), "unreadable")
+        .when((field == "status") & ~status_alias(text).isin(voc.STATUSES), "unknown status")
+        .when((field == "type") & ~text.isin(voc.NODE_TYPES), "unknown type")
+        .when((field == "priority") & ~F.coalesce(text.try_cast("bigint").between(0, 4), F.lit(False)) & F.col("value").isNotNull(), "priority out of range")
+        .when((field == "effort") & F.col("value").isNotNull() & effort_days(text).isNull(), "unreadable effort")
+    )
+    return updates.withColumn("problem", bad)
+
+
+def updated(documents: DataFrame, updates: DataFrame) -> DataFrame:
+    """``documents`` (``id, frontmatter``, ...) with the sound rows of ``updates`` made; of several for one field the largest value."""
+    per = checked(updates).filter("problem IS NULL").groupBy("id", "field").agg(F.max("value").alias("value"))
+    pairs = F.collect_list(F.when(F.col("value").isNotNull(), F.struct("field", "value")))
+    of = per.groupBy("id").agg(F.map_from_entries(pairs).alias("__set"), F.collect_list(F.when(F.col("value").isNull(), F.col("field"))).alias("__gone"))
+    rows = lookup_join(documents, of, ["id"], "left")
+    return rows.withColumn("frontmatter", F.when(F.col("__set").isNotNull(), patched(F.col("frontmatter"), F.col("__set"), F.col("__gone"))).otherwise(F.col("frontmatter"))).select(*documents.columns)
+
+
+def rename_ids(documents: DataFrame, renames: DataFrame) -> DataFrame:
+    """``documents`` in which references to ``old`` name ``new`` (``renames``, one row per old): in the fields of
+    frontmatter that name notes, and in wikilinks of bodies, whose aliases and sections stay.
+    """
+    from quillgraph.functions.text import list_or_commas, wikilinks
+
+    fields = [F.coalesce(list_or_commas(F.get_json_object("frontmatter", f"$.{f}")), F.array().cast("array<string>")) for f in REFERENCE_FIELDS]
+    written = documents.select("id", F.explode(F.array_distinct(F.concat(*fields, wikilinks(F.col("body"))))).alias("ref")).distinct()
+    low = renames.select(F.lower("old").alias("k"), "new")
+    pairs = lookup_join(written.withColumn("k", reference_key(F.col("ref"))), low, ["k"])
+    # longer ones first, so that none is changed as part of another
+    per = pairs.groupBy("id").agg(F.sort_array(F.collect_set(F.struct(F.length("ref").alias("n"), "ref", "new")), asc=False).alias("__r"))
+    rows = lookup_join(documents, per, ["id"], "left")
+    quoted = lambda s: F.concat(F.lit("\\Q"), s, F.lit("\\E"))
+    body = F.aggregate("__r", F.col("body"), lambda s, r: F.regexp_replace(s, F.concat(F.lit(r"\[\[\s*"), quoted(r["ref"]), F.lit(r"\s*(?=[\]|#])")), F.concat(F.lit("[["), F.regexp_replace(r["new"], r"([\\$])", r"\\$1"))))
+    as_json = lambda s: F.concat(F.lit('"'), s, F.lit('"'))
+    fm = F.from_json("frontmatter", "map<string,variant>")
+    renamed = F.transform_values(fm, lambda k, v: F.when(k.isin(list(REFERENCE_FIELDS)), F.parse_json(F.aggregate("__r", F.to_json(F.struct(v.alias("v"))), lambda s, r: F.replace(s, as_json(r["ref"]), as_json(r["new"]))))).otherwise(F.parse_json(F.to_json(F.struct(v.alias("v"))))))
+    front = F.to_json(F.transform_values(renamed, lambda k, v: F.try_variant_get(v, "$.v", "variant")))
+    hit = F.col("__r").isNotNull()
+    return rows.withColumn("body", F.when(hit, body).otherwise(F.col("body"))).withColumn("frontmatter", F.when(hit & F.col("frontmatter").isNotNull(), front).otherwise(F.col("frontmatter"))).select(*documents.columns)

@@ -179,6 +179,30 @@ def g42_context_rows(spark, sf):
     return context.context_rows(_graph(spark, sf)[1])
 
 
+# ---- edits
+
+
+_RENAMED = "rn AS (SELECT target AS old, min(source) AS new FROM e WHERE type = 'supersedes' GROUP BY 1)"
+
+
+@query(f"WITH {BASE}, {_RENAMED}, {_REFS.replace(' UNION SELECT id, ' + chr(39) + 'link' + chr(39) + ', unnest(list_filter', ' UNION SELECT id, ' + chr(39) + 'md' + chr(39) + ', unnest(list_filter')} SELECT DISTINCT r.id AS source, coalesce(CASE WHEN r.type <> 'md' THEN m.id END, k.id) AS target, replace(r.type, 'md', 'link') AS type FROM r LEFT JOIN rn ON lower(rn.old) = {key('r.ref')} LEFT JOIN n m ON m.id = rn.new LEFT JOIN k ON k.key = {key('r.ref')} WHERE coalesce(CASE WHEN r.type <> 'md' THEN m.id END, k.id) <> r.id")
+def k13_renamed(spark, sf):
+    """Edges that documents write after every superseded note was renamed to the first that superseded it."""
+    n, e = _graph(spark, sf)
+    renames = e.filter("type = 'supersedes'").groupBy(F.col("target").alias("old")).agg(F.min("source").alias("new"))
+    docs = stored(changes.rename_ids(table(spark, sf, "pkb_documents").select("id", "frontmatter", "body"), renames), "renamed")
+    return model.document_edges(docs, model.resolution(n))
+
+
+@query("SELECT DISTINCT id, CASE WHEN json_type(frontmatter) = 'OBJECT' THEN len(json_keys(frontmatter)) - CASE WHEN json_extract_string(frontmatter, '$.due') IS NULL AND NOT list_contains(json_keys(frontmatter), 'due') THEN 0 ELSE 1 END + CASE WHEN list_contains(json_keys(frontmatter), 'status') THEN 0 ELSE 1 END ELSE 1 END AS keys, 'review' AS status FROM pkb_documents")
+def k9_updated(spark, sf):
+    """Documents whose due day was taken out and whose status was set."""
+    docs = table(spark, sf, "pkb_documents").select("id", "frontmatter").distinct()
+    pairs = F.explode(F.array(F.struct(F.lit("due").alias("field"), F.lit(None).cast("string").alias("value")), F.struct(F.lit("status").alias("field"), F.lit('"review"').alias("value")))).alias("p")
+    out = changes.updated(docs, docs.select("id", pairs).select("id", "p.*"))
+    return out.select("id", F.size(F.json_object_keys("frontmatter")).cast("bigint").alias("keys"), F.get_json_object("frontmatter", "$.status").alias("status")).distinct()
+
+
 # ---- reports
 
 

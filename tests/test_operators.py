@@ -398,3 +398,16 @@ def test_drawing_asks_for_changes(spark):
     )
     want = {("a", "conflict", "title"), ("b", "update", "status"), ("n", "create", "title"), ("b", "reject", "depends_on"), ("b", "add", "parent"), ("a", "remove", "depends_on")}
     assert {(r["id"], r["action"], r["field"]) for r in got.collect()} == want
+
+
+def test_frontmatter_updates(spark):
+    docs = spark.createDataFrame(
+        [("a", '{"id":"a","depends_on":["b","[[docs/B.md|x]]","c"],"n":1,"title":"b"}', "see [[b]] and [[B#sec|alias]] and [[bb]]", "x"), ("z", None, "[[b|q]]", "y"), ("n", "{no", None, "y")], "id string, frontmatter string, body string, new string"
+    )
+    got = {r["id"]: r for r in changes.rename_ids(docs, spark.createDataFrame([("b", "n$w")], "old string, new string")).collect()}
+    assert json.loads(got["a"]["frontmatter"]) == {"id": "a", "depends_on": ["n$w", "n$w", "c"], "n": 1, "title": "b"}
+    assert got["a"]["body"] == "see [[n$w]] and [[n$w#sec|alias]] and [[bb]]" and got["z"]["body"] == "[[n$w|q]]" and got["n"]["frontmatter"] == "{no"
+    u = spark.createDataFrame([("a", "n", None), ("a", "status", '"done"'), ("a", "priority", "9"), ("a", "effort", '"soon"'), ("a", "type", '"odd"'), ("z", "x", "[1]"), ("z", "blocked", "1"), ("z", "y", "{")], "id string, field string, value string")
+    assert {(r["id"], r["field"]) for r in changes.checked(u).filter("problem IS NULL").collect()} == {("a", "n"), ("a", "status"), ("z", "x")}
+    new = {r["id"]: r for r in changes.updated(docs, u).collect()}
+    assert json.loads(new["a"]["frontmatter"]) == {"id": "a", "depends_on": ["b", "[[docs/B.md|x]]", "c"], "title": "b", "status": "done"} and json.loads(new["z"]["frontmatter"]) == {"x": [1]}
