@@ -63,7 +63,7 @@ def p6_found(spark: SparkSession, sf: str) -> DataFrame:
 def p6_records(spark: SparkSession, sf: str) -> DataFrame:
     """Survivors built from bundles: status and assignee go together, and a due date must have been seen with them."""
     entries = table(spark, sf, "duplicate_entries")
-    return survivors(entries, {"work": ["status", "assignee"], "due": ["due"]}, record_instant(F.col("modified")), [("work", "due")])
+    return survivors(entries, {"work": ["status", "assignee"], "due": ["due"]}, record_instant(F.col("modified")), [("work", "due")]).select("cluster_id", "bundle", "id", "consistent")
 
 
 def p8_containers(spark: SparkSession, sf: str) -> DataFrame:
@@ -124,7 +124,18 @@ _STRIP = "regexp_replace({}, '^\\s+|\\s+$', '', 'g')"
 _BODIES = f"d AS (SELECT DISTINCT p.id, c.config_id, c.chunk_size, {_STRIP.format("replace(coalesce(p.body, ''), chr(13), '')")} AS t FROM pkb_documents p JOIN chunk_configs c ON c.config_id = coalesce(p.config_id, (SELECT config_id FROM chunk_configs WHERE is_default)))"
 _LINES = "l AS (SELECT id, config_id, chunk_size, unnest(string_split(t, chr(10))) AS line, generate_subscripts(string_split(t, chr(10)), 1) AS i FROM d WHERE strlen(t) > chunk_size), f AS (SELECT *, regexp_matches(line, '^\\s*```') AS fence, count(*) FILTER (regexp_matches(line, '^\\s*```')) OVER (PARTITION BY id ORDER BY i) AS k FROM l), b AS (SELECT *, NOT fence AND k % 2 = 0 AND trim(line) = '' AS gap FROM f), g AS (SELECT *, count(*) FILTER (gap) OVER (PARTITION BY id ORDER BY i) AS block FROM b)"
 
+# distinct texts, their runs of five words, links between texts, and what is joined over links and copies
+_TEXTS = "tx AS (SELECT row_number() OVER (ORDER BY k) AS t, k, b FROM (SELECT DISTINCT coalesce(title, '') || chr(10) || coalesce(body, '') AS k, coalesce(body, '') AS b FROM pkb_documents)), ids AS (SELECT DISTINCT d.id, tx.t FROM pkb_documents d JOIN tx ON tx.k = coalesce(d.title, '') || chr(10) || coalesce(d.body, '') AND tx.b = coalesce(d.body, ''))"
+_FIVES = "w5 AS (SELECT t, list_filter(regexp_split_to_array(lower(k), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') AS w, len(list_filter(regexp_split_to_array(lower(b), '[^\\p{L}\\p{N}]+'), lambda x: x <> '')) AS n FROM tx), s5 AS (SELECT DISTINCT t, array_to_string(w[i:i + 4], ' ') AS g FROM (SELECT t, w, unnest(range(1, len(w) - 3)) AS i FROM w5 WHERE n >= 20)), z5 AS (SELECT t, count(*) AS n FROM s5 GROUP BY t)"
+_LINKED = "l AS (SELECT x.a, x.b FROM (SELECT a.t AS a, b.t AS b, count(*) AS k FROM s5 a JOIN s5 b ON a.g = b.g AND a.t <> b.t GROUP BY 1, 2) x JOIN z5 za ON za.t = x.a JOIN z5 zb ON zb.t = x.b WHERE x.k >= 0.8 * (za.n + zb.n - x.k)), c AS (SELECT t, t AS r FROM tx UNION SELECT c.t, l.b FROM c JOIN l ON l.a = c.r), m AS (SELECT c.t, min(ids.id) AS low FROM c JOIN ids ON ids.t = c.r GROUP BY 1), g AS (SELECT a AS t, count(*) AS n FROM l GROUP BY 1)"
+
+# values of a group by trust, each with the record that lends it most, and every way to put work and due together
+_PARTS = f"v AS (SELECT cluster_id, id, m, CASE WHEN {_SAYS.replace('v)', 'status)')} THEN status END AS st, CASE WHEN {_SAYS.replace('v)', 'assignee)')} THEN assignee END AS asg, CASE WHEN {_SAYS.replace('v)', 'due)')} THEN due END AS du FROM t)"
+_RANKED = "(SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY m DESC NULLS LAST, id) AS r FROM (SELECT *, row_number() OVER (PARTITION BY {k} ORDER BY m DESC NULLS LAST, id) AS first FROM v WHERE {says}) WHERE first = 1)"
+
 ORACLES = {
+    "p2_groups": f"WITH RECURSIVE {_TEXTS}, {_FIVES}, {_LINKED} SELECT ids.id, min(m.low) AS class_id, max(coalesce(g.n, 0)) AS links FROM ids JOIN m ON m.t = ids.t LEFT JOIN g ON g.t = ids.t GROUP BY 1",
+    "p6_records": f"WITH {_ENTRIES}, {_PARTS}, wk AS {_RANKED.format(k='cluster_id, st, asg', says='st IS NOT NULL OR asg IS NOT NULL')}, du AS {_RANKED.format(k='cluster_id, du', says='du IS NOT NULL')}, pr AS (SELECT DISTINCT cluster_id, st, asg, du FROM v WHERE du IS NOT NULL AND (st IS NOT NULL OR asg IS NOT NULL)), cb AS (SELECT coalesce(wk.cluster_id, du.cluster_id) AS cluster_id, wk.id AS w, du.id AS d, row_number() OVER (PARTITION BY coalesce(wk.cluster_id, du.cluster_id) ORDER BY coalesce(wk.r, 0) + coalesce(du.r, 0), wk.r) AS k FROM wk FULL JOIN du ON du.cluster_id = wk.cluster_id WHERE wk.id IS NULL OR du.id IS NULL OR NOT EXISTS (SELECT 1 FROM pr WHERE pr.cluster_id = wk.cluster_id AND pr.st IS NOT DISTINCT FROM wk.st AND pr.asg IS NOT DISTINCT FROM wk.asg) OR EXISTS (SELECT 1 FROM pr WHERE pr.cluster_id = wk.cluster_id AND pr.st IS NOT DISTINCT FROM wk.st AND pr.asg IS NOT DISTINCT FROM wk.asg AND pr.du = du.du)) SELECT cluster_id, 'work' AS bundle, w AS id, true AS consistent FROM cb WHERE k = 1 AND w IS NOT NULL UNION ALL SELECT cluster_id, 'due', d, true FROM cb WHERE k = 1 AND d IS NOT NULL",
     "p1_rebuilt": f"WITH {_BODIES} SELECT DISTINCT id, config_id, strlen(t) AS bytes, sha256(t) AS body_hash, 0 AS over, 0 AS lacking FROM d WHERE t <> ''",
     "p1_found": f"WITH {_BODIES}, {_LINES} SELECT id, config_id, CASE WHEN max(strlen(t)) > any_value(chunk_size) THEN 'inside' ELSE 'between' END AS cut FROM (SELECT id, config_id, chunk_size, block, {_STRIP.format("string_agg(line, chr(10) ORDER BY i) FILTER (NOT gap)")} AS t FROM g GROUP BY ALL) GROUP BY id, config_id",
     "p2_found": f"WITH {_WORDS}, {_RUNS} SELECT x.a AS id_a, x.b AS id_b FROM (SELECT a.id AS a, b.id AS b, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.id < b.id GROUP BY 1, 2) x JOIN z za ON za.id = x.a JOIN z zb ON zb.id = x.b WHERE x.k >= 0.5 * (za.n + zb.n - x.k)",
