@@ -79,7 +79,9 @@ def reading_order(edges: DataFrame, tops: DataFrame, max_depth: int = 4) -> Data
 
 def duplicate_groups(rows: DataFrame, title: float = 0.7, semantic: float | None = None, key: str = "id", label: str = "label", vector: str = "embedding") -> DataFrame:
     """``id, group, size``: nodes joined by similar titles and, where ``semantic`` is set, similar vectors; groups of two and more."""
-    pairs = retrieval.title_pairs(rows, title, key, label).select(F.col("a").alias("src"), F.col("b").alias("dst"))
+    linked, members = retrieval.title_links(rows, title, key, label)
+    # a title is joined to its copies through one of them
+    pairs = linked.select(F.col("na").alias("src"), F.col("nb").alias("dst")).unionByName(members.select(F.col("name").alias("src"), F.col(key).alias("dst")).filter("src <> dst"))
     if semantic is not None:
         near = retrieval.similarity_join(rows.select(key, vector), semantic, key, vector).filter("a <> b")
         # classes of equal vectors stand for all their members

@@ -11,11 +11,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillgraph.functions.text import cut_bytes, jaccard, word_set
-from quillgraph.functions.vectors import cosine, norm
+from quillgraph.functions.vectors import cosine
+from quillgraph.plans.skew import lookup_join
 from quillgraph.session import stored
 
-#: Queries are handed to tasks in blocks of so many.
-QUERY_BLOCK = 4_096
+#: Numbers of query vectors that are broadcast at once (eight bytes each); more take another pass over the rows.
+PASS_NUMBERS = 8_000_000
+#: Scores that a task holds at once.
+SCORES = 2_000_000
 #: Classes of a block of the similarity join, and how many of them are multiplied at once.
 JOIN_BLOCK = 4_096
 JOIN_SLICE = 64
@@ -48,52 +51,60 @@ def search(entries: DataFrame, query: list[float], k: int = 5, since: str | None
     return out.orderBy(F.desc("score"), key).limit(k).select(key, "id", "title", "score", "chunk_idx", cut_bytes(snippet, 300).alias("snippet"))
 
 
+def _passes(queries: DataFrame, key: str, vector: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Keys and unit vectors of the queries, in lots that fit a broadcast."""
+    ids, vectors, held = [], [], 0
+    for r in queries.select(key, vector).filter(F.col(vector).isNotNull()).orderBy(key).toLocalIterator():
+        ids.append(r[0])
+        vectors.append(r[1])
+        held += len(r[1])
+        if held >= PASS_NUMBERS:
+            yield np.array(ids), _unit(np.array(vectors, np.float64))
+            ids, vectors, held = [], [], 0
+    if ids:
+        yield np.array(ids), _unit(np.array(vectors, np.float64))
+
+
+def _scored(rows: DataFrame, queries: DataFrame, key: str, vector: str, keep) -> DataFrame:
+    """``query, key, score`` of the places that ``keep(scores)`` finds in blocks of queries by rows; a row never meets itself."""
+    spark, kind = rows.sparkSession, dict(rows.dtypes)[key]
+    schema = f"query {kind}, {key} {kind}, score double"
+    out = spark.createDataFrame([], schema)
+    for lot in _passes(queries, key, vector):
+        held = spark.sparkContext.broadcast(lot)
+
+        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+            ids, q = held.value
+            for b in batches:
+                if not b.num_rows:
+                    continue
+                mine = b.column(0).to_numpy(zero_copy_only=False)
+                v = _unit(np.array(b.column(1).to_pylist(), np.float64))
+                step = max(1, SCORES // len(mine))
+                for at in range(0, len(ids), step):
+                    score = q[at : at + step] @ v.T
+                    score[ids[at : at + step, None] == mine[None, :]] = -np.inf
+                    row, col = keep(score)
+                    yield pa.record_batch([pa.array(ids[at + row]), pa.array(mine[col]), pa.array(score[row, col])], ["query", key, "score"])
+
+        out = out.unionByName(rows.filter(F.col(vector).isNotNull()).select(key, vector).mapInArrow(run, schema))
+    return out.distinct()
+
+
 def nearest(rows: DataFrame, queries: DataFrame, k: int = 10, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """``query, key, score, rank``: for every query row the ``k`` other rows of largest cosine, exactly.
 
-    Queries go to the tasks in blocks; each task multiplies its rows with a block and keeps
-    the best ``k`` per query, so only ``k`` rows per query and task are exchanged.
+    The rows are read once for all queries of a pass; each task multiplies its rows with
+    blocks of queries and keeps the best ``k`` per query with all that tie with the last, so
+    no more than those are exchanged.
     """
-    spark = rows.sparkSession
-    names = queries.select(key, vector).filter(F.col(vector).isNotNull()).orderBy(key).toLocalIterator()
-    kind = dict(rows.dtypes)[key]
-    parts: list[DataFrame] = []
-    block: list[tuple] = []
 
-    def scan(block: list[tuple]) -> DataFrame:
-        held = spark.sparkContext.broadcast((np.array([b[0] for b in block]), _unit(np.array([b[1] for b in block], np.float64))))
+    def keep(score: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        edge = np.partition(score, -min(k, score.shape[1]), axis=1)[:, -min(k, score.shape[1])]
+        return np.nonzero((score >= edge[:, None]) & (score > -np.inf))
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            ids, q = held.value
-            for b in batches:
-                mine = b.column(0).to_numpy(zero_copy_only=False)
-                v = _unit(np.array(b.column(1).to_pylist(), np.float64))
-                if not len(v):
-                    continue
-                score = q @ v.T
-                score[ids[:, None] == mine[None, :]] = -np.inf
-                keep = np.argsort(-score, axis=1, kind="stable")[:, : min(2 * k, len(mine))]
-                took = np.take_along_axis(score, keep, 1)
-                # equal scores at the edge may hide a smaller key: keep every row that ties with the k-th
-                edge = np.sort(score, axis=1)[:, -min(k, score.shape[1])]
-                row, col = np.nonzero(score >= edge[:, None]) if (took[:, -1] >= edge).any() else (np.repeat(np.arange(len(ids)), keep.shape[1]), keep.ravel())
-                fine = score[row, col] > -np.inf
-                yield pa.record_batch([pa.array(ids[row[fine]]), pa.array(mine[col[fine]]), pa.array(score[row, col][fine])], ["query", key, "score"])
-
-        return rows.filter(F.col(vector).isNotNull()).select(key, vector).mapInArrow(run, f"query {kind}, {key} {kind}, score double")
-
-    for r in names:
-        block.append((r[0], r[1]))
-        if len(block) == QUERY_BLOCK:
-            parts.append(scan(block))
-            block = []
-    if block or not parts:
-        parts.append(scan(block or [(-1, [0.0])]))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
     best = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), key))
-    return out.distinct().withColumn("rank", best).filter(F.col("rank") <= k)
+    return _scored(rows, queries, key, vector, keep).withColumn("rank", best).filter(F.col("rank") <= k)
 
 
 def _unit(v: np.ndarray) -> np.ndarray:
@@ -102,30 +113,8 @@ def _unit(v: np.ndarray) -> np.ndarray:
 
 
 def within(rows: DataFrame, queries: DataFrame, threshold: float, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """``query, key, score``: every other row whose cosine with a query row reaches the threshold, exactly, in blocks of queries."""
-    spark = rows.sparkSession
-    kind = dict(rows.dtypes)[key]
-    out, block = spark.createDataFrame([], f"query {kind}, {key} {kind}, score double"), []
-
-    def scan(block: list[tuple]) -> DataFrame:
-        held = spark.sparkContext.broadcast((np.array([b[0] for b in block]), _unit(np.array([b[1] for b in block], np.float64))))
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            ids, q = held.value
-            for b in batches:
-                mine = b.column(0).to_numpy(zero_copy_only=False)
-                if len(mine):
-                    score = q @ _unit(np.array(b.column(1).to_pylist(), np.float64)).T
-                    row, col = np.nonzero((score >= threshold) & (ids[:, None] != mine[None, :]))
-                    yield pa.record_batch([pa.array(ids[row]), pa.array(mine[col]), pa.array(score[row, col])], ["query", key, "score"])
-
-        return rows.filter(F.col(vector).isNotNull()).select(key, vector).mapInArrow(run, f"query {kind}, {key} {kind}, score double")
-
-    for r in queries.select(key, vector).filter(F.col(vector).isNotNull()).orderBy(key).toLocalIterator():
-        block.append((r[0], r[1]))
-        if len(block) == QUERY_BLOCK:
-            out, block = out.unionByName(scan(block)), []
-    return (out.unionByName(scan(block)) if block else out).distinct()
+    """``query, key, score``: every other row whose cosine with a query row reaches the threshold, exactly."""
+    return _scored(rows, queries, key, vector, lambda score: np.nonzero(score >= threshold))
 
 
 def equal_classes(rows: DataFrame, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -200,26 +189,33 @@ def similarity_report(rows: DataFrame, threshold: float = 0.85, explicit: DataFr
     return all_.select("checked", (F.col("equal") + F.col("apart")).alias("found"), "known")
 
 
-def title_pairs(rows: DataFrame, threshold: float = 0.7, key: str = "id", title: str = "label") -> DataFrame:
-    """``a, b, score``: titles whose word sets have at least this Jaccard similarity; titles must share a rare word.
+def title_links(rows: DataFrame, threshold: float = 0.7, key: str = "id", title: str = "label") -> tuple[DataFrame, DataFrame]:
+    """``na, nb, score`` between titles of different words whose word sets have at least this Jaccard similarity, and
+    ``key, name`` of the members of each: equal word sets are one class, named by its smallest key.
 
     Prefix filter: words are ordered rare first, and two such titles share a word among the
-    first ``n - ceil(t n) + 1``. Equal word sets meet once, as one class, and are expanded at the end.
+    first ``n - ceil(t n) + 1``.
     """
-    sets = rows.select(key, F.array_sort(word_set(F.col(title))).alias("words")).filter(F.size("words") > 0).distinct()
-    classes = sets.groupBy("words").agg(F.min(key).alias("name"))
+    sets = stored(rows.select(key, F.array_sort(word_set(F.col(title))).alias("words")).filter(F.size("words") > 0).distinct(), "titles")
+    classes = stored(sets.groupBy("words").agg(F.min(key).alias("name")), "classes")
     flat = classes.select("name", "words", F.explode("words").alias("word"))
     df = flat.groupBy("word").agg(F.count(F.lit(1)).alias("df"))
-    ranked = flat.join(df, "word").groupBy("name").agg(F.array_sort(F.collect_list(F.struct("df", "word"))).alias("w"))
+    ranked = lookup_join(flat.select("name", "word"), df, ["word"]).groupBy("name").agg(F.array_sort(F.collect_list(F.struct("df", "word"))).alias("w"))
     n = F.size("w")
     prefix = ranked.select("name", F.transform("w", lambda x: x["word"]).alias("words"), F.explode(F.slice("w", F.lit(1), n - F.ceil(n * F.lit(threshold) - 1e-9).cast("int") + 1)).alias("p")).select("name", "words", "p.word")
+    prefix = stored(prefix, "prefix")
     x, y = prefix.select(F.col("name").alias("na"), F.col("words").alias("wa"), "word"), prefix.select(F.col("name").alias("nb"), F.col("words").alias("wb"), "word")
-    met = x.join(y, "word").filter((F.col("na") < F.col("nb")) & (F.size("wa") * threshold <= F.size("wb") + 1e-9) & (F.size("wb") * threshold <= F.size("wa") + 1e-9))
+    met = lookup_join(x, y, ["word"]).filter((F.col("na") < F.col("nb")) & (F.size("wa") * threshold <= F.size("wb") + 1e-9) & (F.size("wb") * threshold <= F.size("wa") + 1e-9))
     linked = met.select("na", "nb", jaccard(F.col("wa"), F.col("wb")).alias("score")).filter(F.col("score") >= threshold).distinct()
-    names = sets.join(classes, "words").select(key, "name")
+    return stored(linked, "links"), stored(lookup_join(sets, classes, ["words"]).select(key, "name"), "members")
+
+
+def title_pairs(rows: DataFrame, threshold: float = 0.7, key: str = "id", title: str = "label") -> DataFrame:
+    """``a, b, score``: ``title_links`` as pairs of rows; copies of a title are paired too, so there may be many."""
+    linked, names = title_links(rows, threshold, key, title)
     ma, mb = names.select(F.col(key).alias("x"), F.col("name").alias("na")), names.select(F.col(key).alias("y"), F.col("name").alias("nb"))
-    far = linked.join(ma, "na").join(mb, "nb").select("x", "y", "score")
-    same = ma.join(mb, F.col("na") == F.col("nb")).filter("x < y").select("x", "y", F.lit(1.0).alias("score"))
+    far = lookup_join(mb, lookup_join(ma, linked, ["na"]), ["nb"]).select("x", "y", "score")
+    same = lookup_join(ma, mb.withColumnRenamed("nb", "na"), ["na"]).filter("x < y").select("x", "y", F.lit(1.0).alias("score"))
     return far.unionByName(same).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.round("score", 6).alias("score")).distinct()
 
 
@@ -290,24 +286,28 @@ def reconcile(documents: DataFrame, index: DataFrame) -> DataFrame:
     return both.select("id", action.alias("action"))
 
 
-def hashed_embedding(text: str | None, dim: int = 64) -> list[float]:
-    """A deterministic vector of words, for tests and offline use in place of a model."""
+def hashed_embeddings(texts: list[str | None], dim: int = 64) -> np.ndarray:
+    """Deterministic vectors of word counts, for tests and offline use in place of a model."""
     import re
     import zlib
 
-    v = np.zeros(dim)
-    for w in re.findall(r"[^\W_]+", (text or "").lower()):
-        h = zlib.crc32(w.encode())
-        v[h % dim] += 1 if h >> 31 else -1
-    n = np.linalg.norm(v)
-    return (v / n if n else v).astype(np.float32).tolist()
+    out, place = np.zeros((len(texts), dim)), {}
+    for k, t in enumerate(texts):
+        for w in re.findall(r"[^\W_]+", (t or "").lower()):
+            if w not in place:
+                h = zlib.crc32(w.encode())
+                place[w] = h % dim, 1 if h >> 31 else -1
+            at, sign = place[w]
+            out[k, at] += sign
+    return _unit(out).astype(np.float32)
 
 
-def embed(df: DataFrame, text: str, embedder=hashed_embedding) -> DataFrame:
-    """``df`` with ``embedding``; the embedder maps one text to numbers and is created once per worker by import."""
+def embed(df: DataFrame, text: str, embedder=hashed_embeddings) -> DataFrame:
+    """``df`` with ``embedding``; the embedder maps a list of texts to rows of numbers, a batch at a time."""
 
     @F.pandas_udf("array<float>")
-    def run(s):
-        return s.map(embedder)
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in batches:
+            yield pd.Series(list(np.nan_to_num(np.asarray(embedder(s.tolist()), np.float32))), dtype=object)
 
     return df.withColumn("embedding", run(F.col(text)))

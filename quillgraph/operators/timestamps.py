@@ -144,6 +144,8 @@ class InstantDictionary:
         if known.take(1):
             same = [fresh[k].eqNullSafe(known[k]) for k in KEY]
             fresh = fresh.join(known, same, "left_anti")
+            if not fresh.take(1):
+                return known
         parse_keys(fresh).write.mode("append").parquet(self.path)
         return self.read()
 

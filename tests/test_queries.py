@@ -59,8 +59,9 @@ def test_against_sql(spark, duck, name):
 
 @pytest.mark.parametrize("name", sorted(set(ENTRY.queries()) - set(ENTRY.oracle_sql())))
 def test_runs(spark, name):
+    """What has no SQL finds something in these tables; its results are tested by hand elsewhere."""
     df = ENTRY.queries()[name](spark, DATA)
-    assert df.columns and df.count() >= 0
+    assert df.columns and df.count() > 0
 
 
 def test_entry(spark):

@@ -89,3 +89,19 @@ def test_rows_dictionary_and_edges(spark):
     normalise_instants(more, "k", ["a", "b"], "tz", "loc", book).collect()
     assert book.read().count() == 4  # only what was new was parsed
     assert normalise_instants(df.limit(0), "k", ["a"], "tz", "loc", InstantDictionary(spark, scratch_path(spark, "book"))).count() == 0
+
+
+def test_a_second_run_parses_nothing(spark, tmp_path, monkeypatch):
+    from quillgraph.operators import timestamps
+
+    seen = []
+    parse = timestamps.parse_keys
+    monkeypatch.setattr(timestamps, "parse_keys", lambda keys: seen.append(keys.count()) or parse(keys))
+    rows = [(1, "2024-01-02", None, None), (2, "2024-01-02", "Asia/Tokyo", None), (3, "odd", None, None), (4, "2024-01-02", None, None)]
+    df = spark.createDataFrame(rows, "k int, t string, tz string, locale string")
+    book = timestamps.InstantDictionary(spark, str(tmp_path / "book"))
+    first = timestamps.normalise_instants(df, "k", ["t"], "tz", "locale", book).collect()
+    again = timestamps.normalise_instants(df, "k", ["t"], "tz", "locale", book).collect()
+    assert seen == [3] and sorted(first) == sorted(again)
+    more = df.unionByName(spark.createDataFrame([(5, "2024-01-03", None, None)], df.schema))
+    assert timestamps.normalise_instants(more, "k", ["t"], "tz", "locale", book).count() == 5 and seen == [3, 1]
