@@ -76,6 +76,16 @@ def p8_unused(spark: SparkSession, sf: str) -> DataFrame:
     return unused(p8_containers(spark, sf))
 
 
+def p8_complete(spark: SparkSession, sf: str) -> DataFrame:
+    """For every capacity: texts put somewhere, containers over it, and texts that are neither whole nor cut only because they must be."""
+    packed = p8_containers(spark, sf)
+    per = packed.groupBy("limit_id", "capacity", "container").agg(F.sum("tokens").alias("held"))
+    over = per.groupBy("limit_id", "capacity").agg(F.count_if(F.col("held") > F.col("capacity")).alias("overfull"))
+    texts = packed.groupBy("limit_id", "doc_id", "capacity").agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("parts"), F.min("part").alias("first"))
+    sound = F.when(F.col("tokens") > F.col("capacity"), F.col("parts") == F.ceil(F.col("tokens") / F.col("capacity"))).otherwise((F.col("parts") == 1) & (F.col("first") == 0))
+    return texts.groupBy("limit_id").agg(F.count(F.lit(1)).alias("texts"), F.count_if(~sound).alias("misplaced")).join(over, "limit_id").select("limit_id", "capacity", "texts", "misplaced", "overfull")
+
+
 def p9_found(spark: SparkSession, sf: str) -> DataFrame:
     return leaked(table(spark, sf, "documents"), table(spark, sf, "eval_items")).select("doc_id", "item_id").distinct()
 
@@ -108,7 +118,7 @@ def p10_shares(spark: SparkSession, sf: str) -> DataFrame:
     return per.join(names, "subject_id").withColumn("one", F.lit(1)).join(whole, "one").select("subject_id", "name", "documents", F.round(F.col("documents") / F.col("total"), 4).alias("share"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p1_rebuilt, p2_found, p2_groups, p3_found, p3_unmatched, p6_found, p6_records, p8_containers, p8_unused, p9_found, p9_matches, p9_clean, p10_found, p10_shares)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p1_rebuilt, p2_found, p2_groups, p3_found, p3_unmatched, p6_found, p6_records, p8_containers, p8_unused, p8_complete, p9_found, p9_matches, p9_clean, p10_found, p10_shares)}
 
 
 def _instant(c: str) -> str:
@@ -139,5 +149,6 @@ ORACLES = {
     "p1_rebuilt": f"WITH {_BODIES} SELECT DISTINCT id, config_id, strlen(t) AS bytes, sha256(t) AS body_hash, 0 AS over, 0 AS lacking FROM d WHERE t <> ''",
     "p1_found": f"WITH {_BODIES}, {_LINES} SELECT id, config_id, CASE WHEN max(strlen(t)) > any_value(chunk_size) THEN 'inside' ELSE 'between' END AS cut FROM (SELECT id, config_id, chunk_size, block, {_STRIP.format("string_agg(line, chr(10) ORDER BY i) FILTER (NOT gap)")} AS t FROM g GROUP BY ALL) GROUP BY id, config_id",
     "p2_found": f"WITH {_WORDS}, {_RUNS} SELECT x.a AS id_a, x.b AS id_b FROM (SELECT a.id AS a, b.id AS b, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.id < b.id GROUP BY 1, 2) x JOIN z za ON za.id = x.a JOIN z zb ON zb.id = x.b WHERE x.k >= 0.5 * (za.n + zb.n - x.k)",
+    "p8_complete": "SELECT limit_id, capacity_tokens AS capacity, (SELECT count(DISTINCT doc_id) FROM documents WHERE text <> '') AS texts, 0 AS misplaced, 0 AS overfull FROM pack_limits",
     "p6_found": f"WITH {_ENTRIES} SELECT cluster_id, 'canonical' AS field, id FROM (SELECT cluster_id, id, row_number() OVER (PARTITION BY cluster_id ORDER BY c NULLS LAST, n_children DESC, word_count DESC, id) AS r FROM t) WHERE r = 1 UNION ALL SELECT cluster_id, field, id FROM (SELECT cluster_id, field, id, row_number() OVER (PARTITION BY cluster_id, field ORDER BY m DESC NULLS LAST, id) AS r FROM (SELECT cluster_id, id, m, 'status' AS field, status AS v FROM t UNION ALL SELECT cluster_id, id, m, 'assignee', assignee FROM t UNION ALL SELECT cluster_id, id, m, 'due', due FROM t) WHERE {_SAYS}) WHERE r = 1",
 }
