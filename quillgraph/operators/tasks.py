@@ -12,9 +12,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillgraph.functions import vocabulary as voc
-from quillgraph.functions.text import day_prefix, status_alias
+from quillgraph.functions.refs import reference_key
+from quillgraph.functions.text import day_prefix, slugify, status_alias
 from quillgraph.operators import graph
 from quillgraph.operators.context import spread_from
+from quillgraph.operators.model import roots
+from quillgraph.operators.stats import first_per_group
 from quillgraph.plans.skew import lookup_join
 from quillgraph.session import observed, discard
 
@@ -144,3 +147,73 @@ def strategic_parents(nodes: DataFrame, parents: DataFrame, types: list[str] = v
     none = F.lit(None).cast("string")
     pairs = F.array(F.struct(F.lit("parent").alias("field"), F.col("parent").alias("old"), none.alias("new")), F.struct(F.lit("contributes_to").alias("field"), none.alias("old"), F.col("parent").alias("new")))
     return rows.select("id", F.lit("migrate").alias("action"), F.explode(pairs).alias("c")).select("id", "action", "c.*")
+
+
+def with_blockers(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """``id, blocked_by``: unfinished nodes that each needs, sorted; nodes that need none have no row."""
+    open_ = nodes.filter(~is_completed(F.col("status"))).select(F.col("id").alias("target"))
+    needs = edges.filter("type = 'depends_on'").join(open_, "target", "left_semi")
+    return needs.groupBy(F.col("source").alias("id")).agg(F.array_sort(F.collect_set("target")).alias("blocked_by"))
+
+
+def around_change(changed: DataFrame, nodes: DataFrame, edges: DataFrame, siblings: int = 3, unblocked: int = 5) -> DataFrame:
+    """``id, kind, other``: what to look at after nodes (column id) were finished: the parent, the first open siblings,
+    the children, and the first of those that waited for nothing else.
+    """
+    open_ = nodes.filter(~is_completed(F.col("status"))).select("id")
+    ids = changed.select("id").distinct()
+    live = edges.join(open_.select(F.col("id").alias("source")), "source", "left_semi")
+    up = edges.filter("type = 'parent'").join(ids.select(F.col("id").alias("source")), "source", "left_semi")
+    out = up.select(F.col("source").alias("id"), F.lit("parent").alias("kind"), F.col("target").alias("other"))
+    out = out.unionByName(edges.filter("type = 'parent'").join(ids.select(F.col("id").alias("target")), "target", "left_semi").select(F.col("target").alias("id"), F.lit("child").alias("kind"), F.col("source").alias("other")))
+    # one more than is shown, since a node is not its own sibling; the changed ones count as finished
+    beside = live.filter("type = 'parent'").join(ids.select(F.col("id").alias("source")), "source", "left_anti")
+    first = first_per_group(beside.select("target", "source"), "target", [F.col("source")], siblings)
+    home = up.groupBy(F.col("source").alias("id")).agg(F.min("target").alias("target"))
+    out = out.unionByName(lookup_join(home, first.groupBy("target").agg(F.array_sort(F.collect_list("source")).alias("s")), ["target"]).select("id", F.lit("sibling").alias("kind"), F.explode("s").alias("other")))
+    needs = edges.filter("type = 'depends_on'")
+    unmet = needs.join(open_.select(F.col("id").alias("target")), "target", "left_semi").join(ids.select(F.col("id").alias("target")), "target", "left_anti").select("source").distinct()
+    free = needs.join(ids.select(F.col("id").alias("target")), "target", "left_semi").join(unmet, "source", "left_anti").select(F.col("target").alias("id"), F.col("source").alias("other"))
+    return out.unionByName(first_per_group(free, "id", [F.col("other")], unblocked).select("id", F.lit("unblocked").alias("kind"), "other"))
+
+
+def created(requests: DataFrame, keys: DataFrame, needs_parent: list[str] = ("task", "pr")) -> DataFrame:
+    """Requests to write a document (``req_id, id, title, doc_type, status, parent``) as rows to add, and what is wrong with them.
+
+    ``req_id, id, doc_type, permalink, parent, problem``: the id given or one made from the request, the
+    parent's id, and the first problem, null where the document may be written. ``keys``: see ``model.resolution``.
+    """
+    refs = requests.select("req_id", "id", "title", "doc_type", "status", "parent").distinct()
+    found = lookup_join(refs.withColumn("key", reference_key(F.col("parent"))), keys.withColumnRenamed("id", "up"), ["key"], "left")
+    blank = F.trim(F.coalesce("title", F.lit(""))) == ""
+    problem = (
+        F.when(blank, "no title")
+        .when(~F.coalesce(F.col("doc_type").isin(voc.NODE_TYPES), F.lit(True)), "unknown type")
+        .when(~F.coalesce(status_alias(F.col("status")).isin(voc.STATUSES), F.lit(True)), "unknown status")
+        .when((F.col("key") != "") & F.col("up").isNull(), "unknown parent")
+        .when((F.col("key") == "") & F.col("doc_type").isin(list(needs_parent)), "no parent")
+    )
+    kind = F.coalesce("doc_type", F.lit("document"))
+    own = F.coalesce(F.nullif(F.trim("id"), F.lit("")), F.concat(kind, F.lit("-"), F.substring(F.sha2(F.concat_ws("\x1f", F.col("req_id").cast("string"), "title"), 256), 1, 8)))
+    return found.select("req_id", own.alias("id"), kind.alias("doc_type"), slugify(F.col("title")).alias("permalink"), F.col("up").alias("parent"), problem.alias("problem"))
+
+
+def status_report(documents: DataFrame, nodes: DataFrame, edges: DataFrame, state: DataFrame, as_of: date, stale_days: int = 60) -> DataFrame:
+    """One row: documents, those untouched for ``stale_days``, nodes, edges, open tasks, ready and blocked ones, roots, and nodes that hang on nothing.
+
+    ``documents``: ``id, modified``; ``state``: see ``states``.
+    """
+    day = day_prefix(F.col("modified"))
+    tied = edges.filter("type = 'parent'").select(F.explode(F.array("source", "target")).alias("id")).distinct()
+    parts = [
+        documents.select("id", "modified").distinct().agg(F.countDistinct("id").alias("documents"), F.count_if(F.datediff(F.lit(as_of), day) > stale_days).alias("stale")),
+        nodes.agg(F.count(F.lit(1)).alias("nodes"), F.count_if(F.col("node_type").isin(voc.TASK_TYPES) & ~is_completed(F.col("status"))).alias("open_tasks")),
+        edges.agg(F.count(F.lit(1)).alias("edges")),
+        state.agg(F.count_if(F.col("state") == "ready").alias("ready"), F.count_if(F.col("state") == "blocked").alias("blocked")),
+        roots(nodes, edges).agg(F.count(F.lit(1)).alias("roots")),
+        nodes.select("id").join(tied, "id", "left_anti").agg(F.count(F.lit(1)).alias("flat")),
+    ]
+    out = parts[0].withColumn("__k", F.lit(1))
+    for p in parts[1:]:
+        out = out.join(F.broadcast(p.withColumn("__k", F.lit(1))), "__k")
+    return out.drop("__k")

@@ -151,9 +151,9 @@ def g14_components(spark, sf):
     return graph.connected_components(n, e.select(F.col("source").alias("src"), F.col("target").alias("dst")))
 
 
-@query()
+@query(f"WITH RECURSIVE {BASE}, u AS (SELECT source AS a, target AS b FROM e UNION SELECT target, source FROM e), c AS (SELECT id, id AS r FROM n UNION SELECT c.id, u.b FROM c JOIN u ON u.a = c.r) SELECT id, min(r) AS component FROM c GROUP BY id")
 def g14_all_components(spark, sf):
-    """Over edges of every kind, where ``g14_components`` follows only the two kinds of its SQL."""
+    """Over edges of every kind, where ``g14_components`` follows two."""
     n = stored(_nodes(spark, sf), "nodes")
     e = model.resolved_edges(table(spark, sf, "edges"), n)
     return graph.connected_components(n, e.select(F.col("source").alias("src"), F.col("target").alias("dst")))

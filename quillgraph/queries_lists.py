@@ -203,6 +203,32 @@ def k9_updated(spark, sf):
     return out.select("id", F.size(F.json_object_keys("frontmatter")).cast("bigint").alias("keys"), F.get_json_object("frontmatter", "$.status").alias("status")).distinct()
 
 
+@query(f"WITH {NODES}, {KEYS}, r AS (SELECT DISTINCT req_id, id, title, doc_type, status, parent, {key('parent')} AS key FROM doc_fields) SELECT r.req_id, coalesce(nullif(trim(r.id), ''), coalesce(r.doc_type, 'document') || '-' || substr(sha256(concat_ws(chr(31), CAST(r.req_id AS VARCHAR), r.title)), 1, 8)) AS id, coalesce(r.doc_type, 'document') AS doc_type, k.id AS parent, CASE WHEN trim(coalesce(r.title, '')) = '' THEN 'no title' WHEN r.doc_type NOT IN {words(voc.NODE_TYPES)} THEN 'unknown type' WHEN r.status NOT IN {words([*voc.STATUSES, *(w for ws in voc.STATUS_ALIASES.values() for w in ws.split())])} THEN 'unknown status' WHEN r.key <> '' AND k.id IS NULL THEN 'unknown parent' WHEN r.key = '' AND r.doc_type IN ('task', 'pr') THEN 'no parent' END AS problem FROM r LEFT JOIN k ON k.key = r.key AND r.key <> ''")
+def k8_created(spark, sf):
+    """What each request to write a document would add, or why it may not."""
+    return tasks.created(table(spark, sf, "doc_fields"), model.resolution(_nodes(spark, sf))).drop("permalink")
+
+
+@query(f"WITH {BASE}, o AS (SELECT id FROM n WHERE NOT {_DONE}), x AS (SELECT id FROM n WHERE status = 'review'), h AS (SELECT source AS id, min(target) AS p FROM e WHERE type = 'parent' AND source IN (SELECT id FROM x) GROUP BY 1), b AS (SELECT h.id, e.source AS other, row_number() OVER (PARTITION BY h.id ORDER BY e.source) AS r FROM h JOIN e ON e.target = h.p AND e.type = 'parent' WHERE e.source IN (SELECT id FROM o) AND e.source NOT IN (SELECT id FROM x)), f AS (SELECT target AS id, source AS other, row_number() OVER (PARTITION BY target ORDER BY source) AS r FROM e WHERE type = 'depends_on' AND target IN (SELECT id FROM x) AND source NOT IN (SELECT source FROM e WHERE type = 'depends_on' AND target IN (SELECT id FROM o) AND target NOT IN (SELECT id FROM x))) SELECT source AS id, 'parent' AS kind, target AS other FROM e WHERE type = 'parent' AND source IN (SELECT id FROM x) UNION ALL SELECT target, 'child', source FROM e WHERE type = 'parent' AND target IN (SELECT id FROM x) UNION ALL SELECT id, 'sibling', other FROM b WHERE r <= 3 UNION ALL SELECT id, 'unblocked', other FROM f WHERE r <= 5")
+def g49_around_change(spark, sf):
+    """What to look at once all that is under review is finished."""
+    n, e = _graph(spark, sf)
+    return tasks.around_change(n.filter("status = 'review'"), n, e)
+
+
+@query(f"WITH {BASE} SELECT n.id, n.status, n.priority, b.blocked_by FROM n JOIN (SELECT e.source AS id, array_to_string(list_sort(list(DISTINCT e.target)), ',') AS blocked_by FROM e JOIN n ON n.id = e.target WHERE e.type = 'depends_on' AND NOT {_DONE} GROUP BY 1) b ON b.id = n.id WHERE n.node_type IN {words(voc.TASK_TYPES)} AND NOT {_DONE.replace('status', 'n.status', 1)}")
+def t3_blocked_tasks(spark, sf):
+    """Open tasks that wait, with what they wait for."""
+    n, e = _graph(spark, sf)
+    return tasks.listed(n).select("id", "status", "priority").join(tasks.with_blockers(n, e), "id").withColumn("blocked_by", F.array_join("blocked_by", ","))
+
+
+@query("SELECT entry_id, score FROM (SELECT entry_id, round(max(list_cosine_similarity(CAST(v AS DOUBLE[]), [0.0, 0.6, 0.8])), 4) AS score FROM (SELECT entry_id, unnest(chunk_embeddings) AS v FROM (SELECT DISTINCT entry_id, chunk_embeddings, doc_type FROM document_entries WHERE doc_type IN ('task', 'epic', 'learn', 'pr'))) GROUP BY 1) ORDER BY score DESC, entry_id LIMIT 20")
+def t2_task_search(spark, sf):
+    e = table(spark, sf, "document_entries").dropDuplicates(["entry_id"])
+    return retrieval.search(e, [0.0, 0.6, 0.8], 20, where=F.col("doc_type").isin(voc.TASK_TYPES), digits=4).select("entry_id", "score")
+
+
 # ---- reports
 
 
@@ -224,6 +250,12 @@ def a18_dashboard(spark, sf):
     return tasks.dashboard(d.join(_nodes(spark, sf).select("id", "created"), "id"), AS_OF)
 
 
+@query(f"WITH RECURSIVE {BASE}, d AS (SELECT source, target FROM e WHERE type = 'depends_on'), h AS (SELECT d.source AS id FROM d JOIN n ON n.id = d.target WHERE NOT {_DONE} UNION SELECT id FROM n WHERE status = 'blocked' UNION SELECT d.source FROM h JOIN d ON d.target = h.id) SELECT (SELECT count(DISTINCT id) FROM pkb_documents) AS documents, (SELECT count(*) FROM (SELECT DISTINCT id, modified FROM pkb_documents) WHERE date_diff('day', try_cast(substr(modified, 1, 10) AS DATE), DATE '2025-06-01') > 60) AS stale, (SELECT count(*) FROM n) AS nodes, (SELECT count(*) FROM n WHERE node_type IN {words(voc.TASK_TYPES)} AND NOT {_DONE}) AS open_tasks, (SELECT count(*) FROM e) AS edges, (SELECT count(*) FROM n WHERE status IN ('ready', 'queued') AND node_type = 'task' AND id NOT IN (SELECT id FROM h) AND id NOT IN (SELECT target FROM e WHERE type = 'parent')) AS ready, (SELECT count(*) FROM h) AS blocked, (SELECT count(*) FROM n WHERE id NOT IN (SELECT source FROM e WHERE type = 'parent')) AS roots, (SELECT count(*) FROM n WHERE id NOT IN (SELECT source FROM e WHERE type = 'parent' UNION SELECT target FROM e WHERE type = 'parent')) AS flat")
+def a17_status_report(spark, sf):
+    n, e = _graph(spark, sf)
+    return tasks.status_report(table(spark, sf, "pkb_documents"), n, e, tasks.states(n, e), AS_OF)
+
+
 @query(f"WITH RECURSIVE {NODES}, w AS (SELECT id, list_sort(list_distinct(list_filter(regexp_split_to_array(lower(coalesce(label, '')), '\\s+'), lambda x: x <> ''))) AS s FROM n), j AS (SELECT a.id AS a, b.id AS b, len(list_intersect(a.s, b.s)) / len(list_distinct(list_concat(a.s, b.s))) AS score FROM w a JOIN w b ON a.id < b.id WHERE len(a.s) > 0 AND len(b.s) > 0 AND len(list_intersect(a.s, b.s)) / len(list_distinct(list_concat(a.s, b.s))) >= 0.7), u AS (SELECT a, b FROM j UNION SELECT b, a FROM j), c AS (SELECT DISTINCT a AS id, a AS r FROM u UNION SELECT c.id, u.b FROM c JOIN u ON u.a = c.r), m AS (SELECT id, min(r) AS grp FROM c GROUP BY id), z AS (SELECT grp, count(*) AS size FROM m GROUP BY grp) SELECT z.grp AS \"group\", z.size, round(max(j.score), 6) AS best, count(*) AS pairs FROM j JOIN m ON m.id = j.a JOIN z ON z.grp = m.grp GROUP BY 1, 2")
 def a9_cluster_scores(spark, sf):
     """Groups of notes with similar titles, their best score and how many pairs scored."""

@@ -18,10 +18,11 @@ SCENES = f"{BASE}, {_DRAWN}, {_NODES}, {_EDGES}"
 _AT = "z AS (SELECT *, (row_number() OVER (PARTITION BY scene, depth ORDER BY id) - 1) * 280.0 AS px, depth * 170.0 AS py FROM x)"
 
 
-def query(sql: str):
+def query(sql: str | None = None):
     def add(f):
         QUERIES[f.__name__] = f
-        ORACLES[f.__name__] = sql
+        if sql:
+            ORACLES[f.__name__] = sql
         return f
 
     return add
@@ -132,3 +133,9 @@ def x4_edges_added(spark, sf):
     base = one(edges.filter("type IN ('link', 'similar_to')"))
     diff = scene.three_way(base, base, one(scene.arrows(_drawings(spark, sf))), key, ["here"])
     return diff.filter("change = 'added'").groupBy("scene").agg(F.count(F.lit(1)).alias("added"))
+
+
+@query()
+def x5_layers(spark, sf):
+    """Layers of drawings by the longest way to each node; SQL that walks every way would not end."""
+    return scene.layers(*_parts(spark, sf))

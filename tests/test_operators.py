@@ -411,3 +411,14 @@ def test_frontmatter_updates(spark):
     assert {(r["id"], r["field"]) for r in changes.checked(u).filter("problem IS NULL").collect()} == {("a", "n"), ("a", "status"), ("z", "x")}
     new = {r["id"]: r for r in changes.updated(docs, u).collect()}
     assert json.loads(new["a"]["frontmatter"]) == {"id": "a", "depends_on": ["b", "[[docs/B.md|x]]", "c"], "title": "b", "status": "done"} and json.loads(new["z"]["frontmatter"]) == {"x": [1]}
+
+
+def test_layers_and_places(spark):
+    from quillgraph.operators import scene
+
+    nodes = spark.createDataFrame([("s", i, dep) for i, dep in (("a1", 0), ("a2", 0), ("b1", 1), ("b2", 1), ("c", 2))], "scene string, id string, depth int")
+    edges = spark.createDataFrame([("s", "a1", "b2"), ("s", "a2", "b1"), ("s", "c", "b1"), ("s", "a1", "c")], "scene string, source string, target string")
+    layers = scene.layers(nodes, edges)
+    assert {(r["id"], r["rank"]) for r in layers.collect()} == {("a1", 0), ("a2", 0), ("b1", 1), ("b2", 1), ("c", 2)}
+    placed = {r["id"]: r["place"] for r in scene.arranged(layers, edges).collect()}
+    assert (placed["a1"] < placed["a2"]) == (placed["b2"] < placed["b1"])
