@@ -28,7 +28,9 @@ def spread(facts: DataFrame, on: list[str], light: int = LIGHT) -> list[tuple[in
 
 
 def lookup_join(facts: DataFrame, dim: DataFrame, on: list[str], how: str = "inner", light: int = LIGHT) -> DataFrame:
-    """``facts`` with the columns of ``dim`` (at most one row per key), ``how`` inner or left.
+    """``facts`` with the columns of ``dim``, ``how`` inner or left; hot keys of ``facts`` are spread.
+
+    ``dim`` has one row per key as a rule; of several each meets every row of the key.
 
     Rows of heavy buckets are salted by a hash of the whole row, and only the rows of
     ``dim`` in those buckets are repeated, once per salt: their number is bounded by
