@@ -134,6 +134,30 @@ _STRIP = "regexp_replace({}, '^\\s+|\\s+$', '', 'g')"
 _BODIES = f"d AS (SELECT DISTINCT p.id, c.config_id, c.chunk_size, {_STRIP.format("replace(coalesce(p.body, ''), chr(13), '')")} AS t FROM pkb_documents p JOIN chunk_configs c ON c.config_id = coalesce(p.config_id, (SELECT config_id FROM chunk_configs WHERE is_default)))"
 _LINES = "l AS (SELECT id, config_id, chunk_size, unnest(string_split(t, chr(10))) AS line, generate_subscripts(string_split(t, chr(10)), 1) AS i FROM d WHERE strlen(t) > chunk_size), f AS (SELECT *, regexp_matches(line, '^\\s*```') AS fence, count(*) FILTER (regexp_matches(line, '^\\s*```')) OVER (PARTITION BY id ORDER BY i) AS k FROM l), b AS (SELECT *, NOT fence AND k % 2 = 0 AND trim(line) = '' AS gap FROM f), g AS (SELECT *, count(*) FILTER (gap) OVER (PARTITION BY id ORDER BY i) AS block FROM b)"
 
+
+
+def _plain(c: str) -> str:
+    """A text without what the comparison passes over; of entities those that these texts may hold."""
+    for raw, to in (("&#39;", "''"), ("&apos;", "''"), ("&quot;", '"'), ("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&")):
+        c = f"replace({c}, '{raw}', '{to}')"
+    for pattern, to in (
+        ("(?i)</?(?:a|abbr|b|code|del|em|font|i|ins|kbd|mark|q|s|small|span|strong|sub|sup|tt|u)(?:\\s[^<>]*)?/?>", ""),
+        ("</?[a-zA-Z!][^<>]*>", " "),
+        ("[\\x{AD}\\x{34F}\\x{61C}\\x{180B}-\\x{180E}\\x{200B}-\\x{200F}\\x{202A}-\\x{202E}\\x{2060}-\\x{206F}\\x{FE00}-\\x{FE0F}\\x{FEFF}]", ""),
+        ("\\]\\([^()\\s]*(?:\\s+\"[^\"]*\")?\\)|\\[\\[[^\\]|\\n]*\\|", ""),
+        ("(?m)^[ \\t>]*(?:(?:[-+*]|\\d{1,3}[.)])[ \\t]+)?(?:\\[[ xX]\\][ \\t]+)?", ""),
+        ("[*`~\\\\]+", ""),
+    ):
+        c = f"regexp_replace({c}, '{pattern}', '{to}', 'g')"
+    return f"lower({c})"
+
+
+# words parted at a line end keep a mark until it is known whether a passage has the joined word
+_ITEM_WORDS = f"p AS (SELECT DISTINCT item_id, regexp_extract_all({_plain('passage')}, '[\\p{{L}}\\p{{N}}]+') AS w FROM eval_items WHERE passage IS NOT NULL), kn AS (SELECT list(DISTINCT x) AS k FROM (SELECT unnest(w) AS x FROM p))"
+_DOC_WORDS = f"q AS (SELECT DISTINCT doc_id, regexp_extract_all(regexp_replace({_plain('text')}, '([\\p{{L}}\\p{{N}}]+)[-‐‑][ \\t]*\\r?\\n[ \\t>]*([\\p{{L}}\\p{{N}}]+)', '\\1⁞\\2', 'g'), '[\\p{{L}}\\p{{N}}⁞]+') AS w FROM documents WHERE text <> ''), d AS (SELECT doc_id, flatten(list_transform(w, lambda x: CASE WHEN NOT contains(x, '⁞') THEN [x] WHEN list_contains(k, replace(x, '⁞', '')) THEN [replace(x, '⁞', '')] ELSE string_split(x, '⁞') END)) AS w FROM q, kn)"
+_EIGHTS = "ir AS (SELECT item_id, len(w) AS n, i, array_to_string(w[i:i + 7], ' ') AS g FROM (SELECT item_id, w, unnest(range(1, len(w) - 6)) AS i FROM p WHERE len(w) >= 8)), dr AS (SELECT DISTINCT doc_id, g FROM (SELECT doc_id, array_to_string(w[i:i + 7], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS i FROM d WHERE len(w) >= 8)) WHERE g IN (SELECT g FROM ir)), cv AS (SELECT dr.doc_id, ir.item_id, any_value(ir.n) AS n, len(list_distinct(flatten(list(range(ir.i, ir.i + 8))))) AS covered FROM dr JOIN ir ON ir.g = dr.g GROUP BY 1, 2)"
+_LEAKED = f"WITH {_ITEM_WORDS}, {_DOC_WORDS}, {_EIGHTS}, lk AS (SELECT doc_id, item_id, n, covered FROM cv WHERE covered >= 0.3 * n - 1e-9)"
+
 # distinct texts, their runs of five words, links between texts, and what is joined over links and copies
 _TEXTS = "tx AS (SELECT row_number() OVER (ORDER BY k) AS t, k, b FROM (SELECT DISTINCT coalesce(title, '') || chr(10) || coalesce(body, '') AS k, coalesce(body, '') AS b FROM pkb_documents)), ids AS (SELECT DISTINCT d.id, tx.t FROM pkb_documents d JOIN tx ON tx.k = coalesce(d.title, '') || chr(10) || coalesce(d.body, '') AND tx.b = coalesce(d.body, ''))"
 _FIVES = "w5 AS (SELECT t, list_filter(regexp_split_to_array(lower(k), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') AS w, len(list_filter(regexp_split_to_array(lower(b), '[^\\p{L}\\p{N}]+'), lambda x: x <> '')) AS n FROM tx), s5 AS (SELECT DISTINCT t, array_to_string(w[i:i + 4], ' ') AS g FROM (SELECT t, w, unnest(range(1, len(w) - 3)) AS i FROM w5 WHERE n >= 20)), z5 AS (SELECT t, count(*) AS n FROM s5 GROUP BY t)"
@@ -150,5 +174,7 @@ ORACLES = {
     "p1_found": f"WITH {_BODIES}, {_LINES} SELECT id, config_id, CASE WHEN max(strlen(t)) > any_value(chunk_size) THEN 'inside' ELSE 'between' END AS cut FROM (SELECT id, config_id, chunk_size, block, {_STRIP.format("string_agg(line, chr(10) ORDER BY i) FILTER (NOT gap)")} AS t FROM g GROUP BY ALL) GROUP BY id, config_id",
     "p2_found": f"WITH {_WORDS}, {_RUNS} SELECT x.a AS id_a, x.b AS id_b FROM (SELECT a.id AS a, b.id AS b, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.id < b.id GROUP BY 1, 2) x JOIN z za ON za.id = x.a JOIN z zb ON zb.id = x.b WHERE x.k >= 0.5 * (za.n + zb.n - x.k)",
     "p8_complete": "SELECT limit_id, capacity_tokens AS capacity, (SELECT count(DISTINCT doc_id) FROM documents WHERE text <> '') AS texts, 0 AS misplaced, 0 AS overfull FROM pack_limits",
+    "p9_found": f"{_LEAKED} SELECT doc_id, item_id FROM lk",
+    "p9_clean": f"{_LEAKED} SELECT source, count(*) AS documents FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM lk) GROUP BY 1",
     "p6_found": f"WITH {_ENTRIES} SELECT cluster_id, 'canonical' AS field, id FROM (SELECT cluster_id, id, row_number() OVER (PARTITION BY cluster_id ORDER BY c NULLS LAST, n_children DESC, word_count DESC, id) AS r FROM t) WHERE r = 1 UNION ALL SELECT cluster_id, field, id FROM (SELECT cluster_id, field, id, row_number() OVER (PARTITION BY cluster_id, field ORDER BY m DESC NULLS LAST, id) AS r FROM (SELECT cluster_id, id, m, 'status' AS field, status AS v FROM t UNION ALL SELECT cluster_id, id, m, 'assignee', assignee FROM t UNION ALL SELECT cluster_id, id, m, 'due', due FROM t) WHERE {_SAYS}) WHERE r = 1",
 }
