@@ -175,6 +175,7 @@ ORACLES = {
     "p2_found": f"WITH {_WORDS}, {_RUNS} SELECT x.a AS id_a, x.b AS id_b FROM (SELECT a.id AS a, b.id AS b, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.id < b.id GROUP BY 1, 2) x JOIN z za ON za.id = x.a JOIN z zb ON zb.id = x.b WHERE x.k >= 0.5 * (za.n + zb.n - x.k)",
     "p8_complete": "SELECT limit_id, capacity_tokens AS capacity, (SELECT count(DISTINCT doc_id) FROM documents WHERE text <> '') AS texts, 0 AS misplaced, 0 AS overfull FROM pack_limits",
     "p9_found": f"{_LEAKED} SELECT doc_id, item_id FROM lk",
+    "p9_matches": f"{_LEAKED}, dp AS (SELECT DISTINCT doc_id, i, array_to_string(w[i:i + 7], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS i FROM d WHERE len(w) >= 8 AND doc_id IN (SELECT doc_id FROM lk))), ht AS (SELECT dp.doc_id, ir.item_id, dp.i AS pos, dp.i - ir.i AS diag FROM dp JOIN ir ON ir.g = dp.g JOIN lk ON lk.doc_id = dp.doc_id AND lk.item_id = ir.item_id), sl AS (SELECT doc_id, item_id, diag, pos - row_number() OVER (PARTITION BY doc_id, item_id, diag ORDER BY pos) AS s, pos FROM ht), ln AS (SELECT doc_id, item_id, count(*) + 7 AS longest, min(pos) - 1 AS at_word FROM sl GROUP BY doc_id, item_id, diag, s), bs AS (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY longest DESC, at_word) AS r FROM ln) SELECT lk.doc_id, lk.item_id, CAST(lk.n AS INTEGER) AS words, CAST(lk.covered AS INTEGER) AS covered, CAST(bs.longest AS INTEGER) AS longest, CAST(bs.at_word AS INTEGER) AS at_word FROM lk JOIN bs ON bs.doc_id = lk.doc_id AND bs.item_id = lk.item_id AND bs.r = 1",
     "p9_clean": f"{_LEAKED} SELECT source, count(*) AS documents FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM lk) GROUP BY 1",
     "p6_found": f"WITH {_ENTRIES} SELECT cluster_id, 'canonical' AS field, id FROM (SELECT cluster_id, id, row_number() OVER (PARTITION BY cluster_id ORDER BY c NULLS LAST, n_children DESC, word_count DESC, id) AS r FROM t) WHERE r = 1 UNION ALL SELECT cluster_id, field, id FROM (SELECT cluster_id, field, id, row_number() OVER (PARTITION BY cluster_id, field ORDER BY m DESC NULLS LAST, id) AS r FROM (SELECT cluster_id, id, m, 'status' AS field, status AS v FROM t UNION ALL SELECT cluster_id, id, m, 'assignee', assignee FROM t UNION ALL SELECT cluster_id, id, m, 'due', due FROM t) WHERE {_SAYS}) WHERE r = 1",
 }
