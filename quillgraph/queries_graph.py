@@ -173,7 +173,22 @@ def g23_pagerank(spark, sf):
     return graph.pagerank(n, e.select(F.col("source").alias("src"), F.col("target").alias("dst")))
 
 
-@query()
+#: Rounds of SQL, more than the longest of the shortest ways in the smallest tables.
+_FAR = 40
+_WAYS = levels(
+    _FAR,
+    "SELECT id AS s, id, 1.0::DOUBLE AS ways FROM n",
+    "SELECT s, id, sum(ways) AS ways FROM (SELECT f{j}.s, w.dst AS id, f{j}.ways * w.k AS ways FROM f{j} JOIN w ON w.src = f{j}.id) x WHERE NOT EXISTS (SELECT 1 FROM seen{j} z WHERE z.s = x.s AND z.id = x.id) GROUP BY 1, 2), seen{k} AS MATERIALIZED (SELECT s, id FROM seen{j} UNION ALL SELECT s, id FROM f{k}",
+).replace(", f1 AS", ", seen0 AS (SELECT s, id FROM f0), f1 AS", 1)
+_LEANS = ", ".join(
+    f"b{k} AS MATERIALIZED (SELECT f{k}.s, f{k}.id, any_value(f{k}.ways) AS ways, "
+    + (f"coalesce(sum(f{k}.ways * w.k / b{k + 1}.ways * (1 + b{k + 1}.lean)), 0) AS lean FROM f{k} LEFT JOIN w ON w.src = f{k}.id LEFT JOIN b{k + 1} ON b{k + 1}.s = f{k}.s AND b{k + 1}.id = w.dst" if k < _FAR else f"0.0::DOUBLE AS lean FROM f{k}")
+    + " GROUP BY 1, 2)"
+    for k in range(_FAR, 0, -1)
+)
+
+
+@query(f"WITH {BASE}, w AS (SELECT source AS src, target AS dst, count(*) AS k FROM e GROUP BY 1, 2), {_WAYS}, {_LEANS} SELECT n.id, round(coalesce(x.b, 0) / ((SELECT count(*) FROM n) - 1) / ((SELECT count(*) FROM n) - 2), 6) AS betweenness FROM n LEFT JOIN (SELECT id, sum(lean) AS b FROM ({' UNION ALL '.join(f'SELECT id, lean FROM b{k}' for k in range(1, _FAR + 1))}) GROUP BY 1) x ON x.id = n.id")
 def g24_betweenness(spark, sf):
     """Over edges of every kind; edges of several kinds between two nodes are parallel paths."""
     n = stored(_nodes(spark, sf), "nodes")
@@ -532,7 +547,17 @@ def g38_duplicate_groups(spark, sf):
     return groups.join(best.select("group", F.col("id").alias("canonical")), "group").select("id", "group", "size", "canonical")
 
 
-@query()
+_TREE4 = levels(
+    4,
+    "SELECT id AS seed, id, [id] AS path FROM tp",
+    "SELECT seed, id, min(path) AS path FROM (SELECT f{j}.seed, t.dst AS id, list_append(f{j}.path, t.dst) AS path FROM f{j} JOIN t ON t.src = f{j}.id) x WHERE NOT EXISTS (SELECT 1 FROM seen{j} s WHERE s.seed = x.seed AND s.id = x.id) GROUP BY 1, 2), seen{k} AS MATERIALIZED (SELECT seed, id FROM seen{j} UNION ALL SELECT seed, id FROM f{k}",
+).replace(", f1 AS", ", seen0 AS (SELECT seed, id FROM f0), f1 AS", 1)
+
+
+@query(
+    f"WITH {BASE}, t AS (SELECT target AS src, source AS dst, min(CASE type WHEN 'depends_on' THEN 0 WHEN 'soft_depends_on' THEN 1 ELSE 2 END) AS rank FROM e WHERE type IN ('depends_on', 'soft_depends_on', 'parent') GROUP BY 1, 2), tp AS (SELECT id FROM n WHERE id NOT IN (SELECT source FROM e WHERE type = 'parent') AND id IN (SELECT src FROM t) AND id NOT IN (SELECT dst FROM t)), {_TREE4},"
+    f" st AS (SELECT seed, id, path, unnest(range(2, len(path) + 1)) AS i FROM ({every(4, 'seed, id, path', 1)})), ky AS (SELECT st.seed, st.id, CAST(len(any_value(st.path)) - 1 AS INTEGER) AS depth, list({{'i': i, 'rank': t.rank, 'dst': t.dst}} ORDER BY i) AS key FROM st JOIN t ON t.src = st.path[i - 1] AND t.dst = st.path[i] GROUP BY 1, 2 UNION ALL SELECT id, id, 0, [{{'i': 0, 'rank': 0, 'dst': ''}}] FROM tp) SELECT seed, id, depth, CAST(row_number() OVER (PARTITION BY seed ORDER BY key) AS INTEGER) AS \"order\" FROM ky"
+)
 def g43_reading_order(spark, sf):
     """What hangs from the roots that have children, depth first, four levels deep."""
     n = stored(_nodes(spark, sf), "nodes")

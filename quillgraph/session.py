@@ -84,8 +84,10 @@ def observed(df: DataFrame, label: str, **counts) -> tuple[DataFrame, dict]:
 
 
 def _delete(spark: SparkSession, path: str) -> None:
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    jvm, context = spark._jvm, spark.sparkContext._jsc
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    # a stopped session has no settings of its own any more
+    at.getFileSystem(context.hadoopConfiguration() if context is not None else jvm.org.apache.hadoop.conf.Configuration()).delete(at, True)
 
 
 def sweep(spark: SparkSession) -> None:
