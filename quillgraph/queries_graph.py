@@ -47,7 +47,7 @@ def _nodes(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _edges(spark: SparkSession, sf: str) -> DataFrame:
-    return model.resolved_edges(table(spark, sf, "edges"), stored(_nodes(spark, sf), "nodes"))
+    return model.resolved_edges(table(spark, sf, "edges"), _nodes(spark, sf))
 
 
 def _links(spark: SparkSession, sf: str, *types: str) -> DataFrame:
