@@ -34,6 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
@@ -48,12 +49,16 @@ BLOCK_BITS = 16
 FILTER_BITS = 28
 SHARED = 8
 ORDERS = 3
-#: Postings of a lot, which one task holds at once.
-LOT_POSTINGS = 8_000_000
+#: Runs of a lot, whose postings one task holds in narrow columns.
+LOT_POSTINGS = 4_000_000
+#: Bytes of text worked on at once, postings and pairs of texts held before they are sent on.
+SLICE = 1 << 21
+POSTED = 600_000
+MET = 1 << 20
 #: A run of more texts than this is dealt to several tasks.
 HOT = 20_000
 #: Pairs looked at in one go.
-SLAB = 1 << 21
+SLAB = 1 << 18
 LOT_SCHEMA = "lot int, data binary"
 
 
@@ -65,6 +70,16 @@ def _unpacked(raw: bytes) -> bytes:
     return zstandard.ZstdDecompressor().decompress(raw)
 
 
+def _slices(batches: Iterator[pa.RecordBatch], most: int | None = None) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about ``most`` bytes of text, whatever a batch of Spark holds."""
+    for b in batches:
+        size = sum(pc.fill_null(pc.binary_length(b.column(c)), 0).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("title", "body"))
+        at = np.cumsum(size) // (most or SLICE)
+        begin = np.flatnonzero(np.append(True, at[1:] != at[:-1])[: len(at)])
+        for s, e in zip(begin, np.append(begin[1:], b.num_rows)):
+            yield b.slice(int(s), int(e - s))
+
+
 def _runs(batch: pa.RecordBatch, size: int, min_words: int) -> tuple[np.ndarray, np.ndarray]:
     """``run, row``: distinct runs of each row with enough words, sorted by row, then by value."""
     titles, bodies = batch.column("title").to_pylist(), batch.column("body").to_pylist()
@@ -112,10 +127,10 @@ def _sketch(texts: DataFrame, size: int, min_words: int) -> np.ndarray:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros((2, 1 << SKETCH_BITS), np.uint32)
-        for b in batches:
+        for b in _slices(batches):
             runs, _ = _runs(b, size, min_words)
             for row, cell in enumerate(_cells(runs)):
-                sums[row] += np.bincount(cell, minlength=1 << SKETCH_BITS).astype(np.uint32)
+                np.add.at(sums[row], cell, np.uint32(1))
         if sums.any():
             blocks = sums.reshape(-1, 1 << BLOCK_BITS)
             yield pa.record_batch([pa.array(range(len(blocks)), pa.int32()), pa.array([_packed(x.tobytes()) for x in blocks], pa.binary())], ["block", "counts"])
@@ -172,13 +187,14 @@ def _shrunk(c: np.ndarray) -> np.ndarray:
 
 
 def _grown(c: np.ndarray) -> np.ndarray:
+    """The numbers, still in the narrowest type."""
     wide = np.ascontiguousarray(c.T)
-    return wide.view(f"<u{wide.shape[1]}").ravel().astype(np.uint64)
+    return wide.view(f"<u{wide.shape[1]}").ravel()
 
 
 def _opened(raw: bytes) -> dict[str, np.ndarray]:
     with np.load(io.BytesIO(_unpacked(raw))) as z:
-        return {n: _grown(z[n]) for n in z.files}
+        return {n: _grown(z[n]).astype(np.uint64) if n == "docs" else _grown(z[n]) for n in z.files}
 
 
 def _postings(texts: DataFrame, size: int, min_words: int, t: float, held: Broadcast, labels: list[int]) -> DataFrame:
@@ -192,7 +208,8 @@ def _postings(texts: DataFrame, size: int, min_words: int, t: float, held: Broad
     """
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, limit = held.value
-        for b in batches:
+        pending, posted, base = [], 0, 0
+        for b in _slices(batches):
             runs, owner = _runs(b, size, min_words)
             if not len(runs):
                 continue
@@ -232,48 +249,73 @@ def _postings(texts: DataFrame, size: int, min_words: int, t: float, held: Broad
                 side = np.concatenate([side[cold], np.where(low == high, 0, np.where(mine[again] == low, 1, 2))])
                 group = np.concatenate([group[cold], cell])
                 cols = [np.concatenate([c[cold], c[hot][again]]) for c in cols]
-            key = group >> np.uint64(24)
-            place = (mix64(key) % np.uint64(len(labels))).astype(np.int64)
-            order = np.argsort(key)
-            place, key = place[order], key[order]
-            # within a lot keys are sorted, so their gaps are small
-            seq = np.argsort(place, kind="stable")
-            gap = np.empty(len(key), np.uint64)
-            sorted_key, sorted_place = key[seq], place[seq]
-            step = np.append(sorted_key[:1], sorted_key[1:] - np.where(sorted_place[1:] == sorted_place[:-1], sorted_key[:-1], 0))
-            gap[seq] = step
-            names = ("at", *(f"left{k}" for k in range(ORDERS)))
-            yield from _lots(place, labels, {"docs": docs, "sizes": n}, ("at",), group=gap, side=side[order], **dict(zip(names, (c[order] for c in cols))))
+            pending.append((group, side.astype(np.uint8), docs, n.astype(np.uint32), *((c + (base if k == 0 else 0)).astype(np.uint32) for k, c in enumerate(cols))))
+            posted, base = posted + len(group), base + len(docs)
+            if posted >= POSTED:
+                yield from sent(pending)
+                pending, posted, base = [], 0, 0
+        if pending:
+            yield from sent(pending)
+
+    def sent(pending: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
+        group, side, docs, n, *cols = (np.concatenate(x) for x in zip(*pending))
+        key = group >> np.uint64(24)
+        place = (mix64(key) % np.uint64(len(labels))).astype(np.int64)
+        order = np.argsort(key)
+        place, key = place[order], key[order]
+        # within a lot keys are sorted, so their gaps are small
+        seq = np.argsort(place, kind="stable")
+        gap = np.empty(len(key), np.uint64)
+        sorted_key, sorted_place = key[seq], place[seq]
+        step = np.append(sorted_key[:1], sorted_key[1:] - np.where(sorted_place[1:] == sorted_place[:-1], sorted_key[:-1], 0))
+        gap[seq] = step
+        names = ("at", *(f"left{k}" for k in range(ORDERS)))
+        yield from _lots(place, labels, {"docs": docs, "sizes": n}, ("at",), group=gap, side=side[order], **dict(zip(names, (c[order] for c in cols))))
 
     return texts.select("title", "body", "whole").mapInArrow(post, LOT_SCHEMA)
 
 
-def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict[str, np.ndarray]]]:
-    """All lots of each label, one label after another."""
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[list[bytes]]:
+    """All lots of each label, packed, one label after another."""
     by: dict[int, list[bytes]] = {}
     for b in batches:
         for k, raw in zip(b.column("lot").to_pylist(), b.column("data").to_pylist()):
             by.setdefault(k, []).append(raw)
+    b = None
     for k in sorted(by):
-        yield [_opened(raw) for raw in by.pop(k)]
-
-
-def _joined(lots: list[dict[str, np.ndarray]], refs: tuple[str, ...]) -> tuple[np.ndarray, list[np.ndarray]]:
-    """The texts of all lots, each once, and what ``refs`` of all lots point at among them."""
-    docs = np.concatenate([x["docs"] for x in lots])
-    docs, number = np.unique(docs, return_inverse=True)
-    begin = np.cumsum([0, *(len(x["docs"]) for x in lots)])
-    return docs, [np.concatenate([number[x[r].astype(np.int64) + b] for x, b in zip(lots, begin)]) for r in refs]
+        yield by.pop(k)
+
+
+def _parts(raws: list[bytes]) -> Iterator[tuple[np.ndarray, tuple[np.ndarray, ...]]]:
+    """The texts of a label, and its postings by run (``group, doc, n, side, left...``) in parts of about ``POSTED``, each run in one part."""
+    docs, cols, begin = [], [], 0
+    while raws:
+        x = _opened(raws.pop())
+        at = x["at"].astype(np.int64)
+        docs.append(x["docs"])
+        cols.append((np.cumsum(x["group"], dtype=np.uint64), (at + begin).astype(np.uint32), x["sizes"][at], x["side"], *(x[f"left{k}"] for k in range(ORDERS))))
+        begin += len(x["docs"])
+    docs, number = np.unique(np.concatenate(docs), return_inverse=True)
+    number = number.astype(np.uint32)
+    whole = [np.concatenate(c) for c in zip(*cols)]
+    del cols, x
+    order = np.argsort(whole[0])
+    at = 0
+    while at < len(order):
+        stop = min(at + POSTED, len(order))
+        # all of the last run
+        stop = int(np.searchsorted(whole[0], whole[0][order[stop - 1]], "right", sorter=order))
+        mine = order[at:stop]
+        at = stop
+        group, doc, *rest = (c[mine] for c in whole)
+        yield docs, (group, number[doc], *rest)
 
 
-def _meetings(lots: list[dict[str, np.ndarray]], doc: np.ndarray, t: float) -> Iterator[tuple[np.ndarray, ...]]:
+def _meetings(postings: tuple[np.ndarray, ...], t: float) -> Iterator[tuple[np.ndarray, ...]]:
     """``pair, votes...``: pairs of texts (numbers) that meet within a prefix, with their votes under every order, in slabs."""
-    group = np.concatenate([np.cumsum(x["group"]) for x in lots])
-    n = np.concatenate([x["sizes"][x["at"].astype(np.int64)] for x in lots])
-    side, *left = (np.concatenate([x[c] for x in lots]) for c in ("side", *(f"left{k}" for k in range(ORDERS))))
+    group, doc, n, side, *left = (c.astype(np.uint64 if k == 0 else np.int64) for k, c in enumerate(postings))
     order = np.lexsort((doc, n, group))
-    group, doc, n, side = group[order], doc[order], n[order].astype(np.int64), side[order]
-    left = [x[order].astype(np.int64) for x in left]
+    group, doc, n, side, *left = (c[order] for c in (group, doc, n, side, *left))
     # copies post the same: one of them is enough
     fresh = np.append(True, (group[1:] != group[:-1]) | (doc[1:] != doc[:-1]))[: len(group)]
     group, doc, n, side, *left = (c[fresh] for c in (group, doc, n, side, *left))
@@ -301,7 +343,7 @@ def _meetings(lots: list[dict[str, np.ndarray]], doc: np.ndarray, t: float) -> I
         votes = [np.minimum(x[i], x[j]) + slack > 0 for x in left]
         keep = np.logical_or.reduce(votes) & ((side[i] == 0) | (side[i] != side[j])) & (doc[i] != doc[j])
         # where the pair demands fewer than SHARED meetings, one is enough
-        unit = np.where(need[keep] < SHARED, SHARED, 1)
+        unit = np.where(need[keep] < SHARED, SHARED, 1).astype(np.uint8)
         low, high = np.minimum(doc[i[keep]], doc[j[keep]]), np.maximum(doc[i[keep]], doc[j[keep]])
         yield low << 32 | high, *(v[keep] * unit for v in votes)
 
@@ -313,7 +355,29 @@ def _added(pair: np.ndarray, *votes: np.ndarray) -> tuple[np.ndarray, ...]:
     at = np.flatnonzero(np.append(True, pair[1:] != pair[:-1])[: len(pair)])
     if not len(at):
         return pair, *votes
-    return pair[at], *(np.minimum(np.add.reduceat(v[order], at), SHARED) for v in votes)
+    return pair[at], *(np.minimum(np.add.reduceat(v[order], at, dtype=np.int64), SHARED).astype(np.uint8) for v in votes)
+
+
+def _counted(raws: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Keys of the pairs of a label that have their votes under every order; about ``MET`` pairs are added up at once."""
+    lots = []
+    while raws:
+        lots.append(_opened(raws.pop()))
+    cuts = -(-sum(len(x["a"]) for x in lots) // MET)
+    for cut in range(cuts):
+        found = []
+        for x in lots:
+            # the keys' own bits deal the pairs, apart from those that chose the label
+            mine = slice(None) if cuts == 1 else (x["docs"][x["a"]] ^ mix64(x["docs"][x["b"]])) % np.uint64(cuts) == cut
+            found.append((x["docs"][x["a"][mine]], x["docs"][x["b"][mine]], x["votes"][mine].astype(np.uint16)))
+        a, b, packed = map(np.concatenate, zip(*found))
+        del found
+        docs, number = np.unique(np.concatenate([a, b]), return_inverse=True)
+        pair = number[: len(a)] << 32 | number[len(a) :]
+        del a, b, number
+        pair, *votes = _added(pair, *((packed >> 4 * k & 15).astype(np.uint8) for k in range(ORDERS)))
+        pair = pair[np.minimum.reduce(votes) >= SHARED]
+        yield docs[pair >> 32].astype(np.uint64).view(np.int64), docs[pair & 0xFFFFFFFF].astype(np.uint64).view(np.int64)
 
 
 def candidate_keys(texts: DataFrame, size: int, min_words: int, t: float, most: int = HOT) -> DataFrame:
@@ -325,30 +389,32 @@ def candidate_keys(texts: DataFrame, size: int, min_words: int, t: float, most:
     labels = even_labels(spark, parts)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for lots in _gathered(batches):
-            docs, (doc,) = _joined(lots, ("at",))
-            sums, pending = [], 0
-            for x in _meetings(lots, doc, t):
-                sums.append(x)
-                pending += len(x[0])
-                if pending > 4 * SLAB:
-                    sums = [_added(*map(np.concatenate, zip(*sums)))]
-                    pending = len(sums[0][0])
+        for raws in _gathered(batches):
+            docs, sums, pending = None, [], 0
+            for docs, part in _parts(raws):
+                for x in _meetings(part, t):
+                    sums.append(x)
+                    pending += len(x[0])
+                    if pending > 2 * MET:
+                        sums = [_added(*map(np.concatenate, zip(*sums)))]
+                        pending = len(sums[0][0])
+                        if pending > MET:  # votes of a pair may come in several lots
+                            yield from met(docs, *sums[0])
+                            sums, pending = [], 0
             if sums:
-                pair, *votes = _added(*map(np.concatenate, zip(*sums)))
-                a, b = pair >> 32, pair & 0xFFFFFFFF
-                with np.errstate(over="ignore"):
-                    place = (mix64(docs[a] ^ mix64(docs[b])) % np.uint64(len(labels))).astype(np.int64)
-                packed = sum(v << 4 * k for k, v in enumerate(votes))
-                yield from _lots(place, labels, {"docs": docs}, ("a", "b"), a=a, b=b, votes=packed)
+                yield from met(docs, *_added(*map(np.concatenate, zip(*sums))))
+
+    def met(docs: np.ndarray, pair: np.ndarray, *votes: np.ndarray) -> Iterator[pa.RecordBatch]:
+        a, b = pair >> 32, pair & 0xFFFFFFFF
+        with np.errstate(over="ignore"):
+            place = (mix64(docs[a] ^ mix64(docs[b])) % np.uint64(len(labels))).astype(np.int64)
+        packed = sum(v.astype(np.uint16) << 4 * k for k, v in enumerate(votes))
+        yield from _lots(place, labels, {"docs": docs}, ("a", "b"), a=a, b=b, votes=packed)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for lots in _gathered(batches):
-            docs, (a, b) = _joined(lots, ("a", "b"))
-            packed = np.concatenate([x["votes"] for x in lots]).astype(np.int64)
-            pair, *votes = _added(a << 32 | b, *(packed >> 4 * k & 15 for k in range(ORDERS)))
-            pair = pair[np.minimum.reduce(votes) >= SHARED]
-            yield pa.record_batch([pa.array(docs[pair >> 32].view(np.int64)), pa.array(docs[pair & 0xFFFFFFFF].view(np.int64))], ["a", "b"])
+        for raws in _gathered(batches):
+            for a, b in _counted(raws):
+                yield pa.record_batch([pa.array(a), pa.array(b)], ["a", "b"])
 
     # counts below twice what chance puts into a cell say nothing
     chance = 2 * float(LEVELS[sketch].mean())
@@ -409,7 +475,7 @@ def run_sets(texts: DataFrame, size: int, min_words: int, keys: DataFrame, filte
         texts = texts.join(keys.select("whole").distinct(), "whole", "left_semi")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _slices(batches):
             if held is not None:
                 hit = np.ones(b.num_rows, bool)
                 for at in _bits(b.column("whole").to_numpy(), want):
