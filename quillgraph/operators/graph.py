@@ -10,8 +10,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import count
+from typing import NamedTuple
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -63,6 +68,45 @@ def _steps(first: int, most: int | None) -> Iterator[int]:
     return iter(range(first, most + 1)) if most is not None else count(first)
 
 
+class _Lists(NamedTuple):
+    """Adjacency lists by number: the nodes of edges in dictionary order; ends and values of the edges from each, by number."""
+
+    ids: pa.Array
+    begin: np.ndarray
+    ends: np.ndarray
+    value: np.ndarray | None
+
+    def numbers(self, ids: pa.Array) -> np.ndarray:
+        """The number of each id, -1 where no edge has it."""
+        return pc.fill_null(pc.index_in(ids, self.ids), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+
+    def steps(self, front: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For every edge from the nodes of ``front``, in order: the place of its start in ``front``, and the edge."""
+        n = self.begin[front + 1] - self.begin[front]
+        upto = np.cumsum(n)
+        return np.repeat(np.arange(len(front)), n), np.repeat(self.begin[front] - upto + n, n) + np.arange(upto[-1] if len(n) else 0)
+
+
+def _lists(edges: DataFrame, value: str | None = None) -> Broadcast | None:
+    """The adjacency lists of distinct edges (a table) for every task, or None where there are more than ``BROADCAST_EDGES``."""
+    if edges.count() > BROADCAST_EDGES:
+        return None
+    rows = edges.toArrow()
+    src, dst = (rows[c].combine_chunks().cast(pa.string()) for c in ("src", "dst"))
+    ids = pc.unique(pa.concat_arrays([src, dst]))
+    ids = ids.take(pc.sort_indices(ids))
+    a, b = (pc.index_in(x, ids).to_numpy(zero_copy_only=False) for x in (src, dst))
+    order = np.lexsort((b, a))
+    begin = np.searchsorted(a[order], np.arange(len(ids) + 1))
+    values = rows[value].to_numpy()[order] if value else None
+    return edges.sparkSession.sparkContext.broadcast(_Lists(ids, begin, b[order], values))
+
+
+def _dealt(seeds: DataFrame) -> DataFrame:
+    """Seeds in tasks of about equal numbers, several for each core."""
+    return seeds.repartition(8 * max(6, seeds.sparkSession.sparkContext.defaultParallelism))
+
+
 def closure(edges: DataFrame, seeds: DataFrame | None = None, max_depth: int | None = None) -> DataFrame:
     """``seed, id, depth``: what each seed reaches, at the least depth, without itself.
 
@@ -377,9 +421,18 @@ def damped_sum(edges: DataFrame, base: DataFrame, max_depth: int | None = None)
     """``id, total``: sum over what a node reaches of base x path factor / depth.
 
     ``edges``: ``src, dst, factor``; ``base``: ``id, base``. Among shortest paths the one
-    with the largest product of factors counts.
+    with the largest product of factors counts. Up to ``BROADCAST_EDGES`` distinct edges every
+    task holds the graph and only equal terms of a sum are written; beyond, levels are joined.
     """
     edges = stored(edges.groupBy("src", "dst").agg(F.max("factor").alias("factor")).filter("src <> dst"), "edges")
+    held = _lists(edges, "factor")
+    if held is not None:
+        known = base.select("id", F.col("base").cast("double").alias("base")).join(edges.select(F.col("dst").alias("id")).distinct(), "id", "left_semi").toArrow()
+        bases = edges.sparkSession.sparkContext.broadcast((known["id"].combine_chunks(), known["base"].combine_chunks()))
+        run = lambda batches: _terms(held.value, bases.value, batches, max_depth)
+        terms = _dealt(edges.select(F.col("src").alias("id")).distinct()).mapInArrow(run, "id string, term double, n long")
+        total = F.sum(F.col("term").cast("decimal(30,12)") * F.col("n").cast("decimal(7,0)"))
+        return terms.groupBy("id").agg(F.round(total, 2).cast("double").alias("total"))
     front = stored(edges.select(F.col("src").alias("seed"), F.col("dst").alias("id"), "factor", F.lit(1).alias("depth")), "front")
     seen = front
     for depth in _steps(2, max_depth):
@@ -389,3 +442,50 @@ def damped_sum(edges: DataFrame, base: DataFrame, max_depth: int | None = None)
             break
         seen = stored(seen.unionByName(front), "seen")
     return seen.join(base, "id").groupBy(F.col("seed").alias("id")).agg(F.round(F.sum((F.col("base") * F.col("factor") / F.col("depth")).cast("decimal(30,12)")), 2).cast("double").alias("total"))
+
+
+#: Cells of seeds by nodes that a task holds at once.
+CELLS = 1 << 24
+
+
+def _terms(g: _Lists, bases: tuple[pa.Array, pa.Array], batches: Iterator[pa.RecordBatch], max_depth: int | None) -> Iterator[pa.RecordBatch]:
+    """``id, term, n``: the terms of ``damped_sum`` of the seeds of some batches, each with how often a seed has it at a depth.
+
+    As many seeds at once as there is room to mark what each has seen.
+    """
+    nodes = len(g.ids)
+    at = g.numbers(bases[0].cast(pa.string()))
+    base, there = np.full(nodes, np.nan), np.zeros(nodes, bool)
+    base[at[at >= 0]], there[at[at >= 0]] = pc.fill_null(bases[1], np.nan).to_numpy(zero_copy_only=False)[at >= 0], True
+    width = max(1, CELLS // max(1, nodes))
+    seen = np.zeros(width * nodes, bool)
+    for b in batches:
+        numbers = g.numbers(b.column("id").cast(pa.string()))
+        for k in range(0, len(numbers), width):
+            seeds = numbers[k : k + width]
+            cell, factor, marked = np.arange(len(seeds)) * nodes + seeds, np.ones(len(seeds)), []
+            seen[cell] = True
+            for depth in _steps(1, max_depth):
+                marked.append(cell)
+                start, edge = g.steps(cell % nodes)
+                to, got = cell[start] // nodes * nodes + g.ends[edge], factor[start] * g.value[edge]
+                new = ~seen[to]
+                to, got = to[new], got[new]
+                if not len(to):
+                    break
+                # of several ways the largest product
+                order = np.lexsort((got, to))
+                to, got = to[order], got[order]
+                last = np.append(to[1:] != to[:-1], True)
+                cell, factor = to[last], got[last]
+                seen[cell] = True
+                mine = there[cell % nodes]
+                seed, term = cell[mine] // nodes, base[cell[mine] % nodes] * factor[mine] / depth
+                if len(seed):
+                    order = np.lexsort((term, seed))
+                    seed, term = seed[order], term[order]
+                    begin = np.flatnonzero(np.append(True, (seed[1:] != seed[:-1]) | (term[1:] != term[:-1])))
+                    yield pa.record_batch([g.ids.take(pa.array(seeds[seed[begin]])), pa.array(term[begin], from_pandas=True), pa.array(np.diff(np.append(begin, len(seed))))], ["id", "term", "n"])
+            for cells in marked:
+                seen[cells] = False
+            seen[cell] = False
