@@ -2,6 +2,8 @@
 
 import random
 
+import pyarrow as pa
+
 from quillgraph.operators import graph
 
 
@@ -28,3 +30,37 @@ def test_damped_sums_without_rounds(spark, monkeypatch):
             m.setattr(graph, "_counted", no_rounds)
             got = {x["id"]: x["total"] for x in graph.damped_sum(e, base, depth).collect()}
         assert got == want and len(got) > 20
+
+
+def test_betweenness_by_arrays(spark):
+    r = random.Random(8)
+    rows = [(f"v{r.randrange(120):03}", f"v{r.randrange(120):03}") for _ in range(320)]
+    rows += r.choices(rows, k=40)
+    many = {}
+    for a, b in rows:
+        if a != b:
+            many.setdefault(a, {})
+            many[a][b] = many[a].get(b, 0) + 1
+    want = {}
+    for s in many:
+        depth, ways, order, behind = {s: 0}, {s: 1}, [s], {}
+        for v in order:
+            for w, k in many.get(v, {}).items():
+                if w not in depth:
+                    depth[w], ways[w] = depth[v] + 1, 0
+                    order.append(w)
+                if depth[w] == depth[v] + 1:
+                    ways[w] += ways[v] * k
+                    behind.setdefault(w, []).append((v, k))
+        lean = dict.fromkeys(order, 0.0)
+        for w in reversed(order[1:]):
+            for v, k in behind[w]:
+                lean[v] += ways[v] * k / ways[w] * (1 + lean[w])
+            want[w] = want.get(w, 0.0) + lean[w]
+    flow = spark.createDataFrame([(a, b, k) for a, x in many.items() for b, k in x.items()], "src string, dst string, k long")
+    held = graph._lists(flow, "k").value
+    assert (held.value > 1).any()
+    sources = pa.record_batch([pa.array([*many, "alone"])], ["id"])
+    got = dict(zip(*(c.to_pylist() for c in next(graph._leaning(held, iter([sources]))))))
+    assert max(want.values()) > 10 and set(got) == {v for v, x in want.items() if x}
+    assert all(abs(got[v] - want[v]) < 1e-6 for v in got)
