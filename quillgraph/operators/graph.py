@@ -136,8 +136,16 @@ def closure(edges: DataFrame, seeds: DataFrame | None = None, max_depth: int | N
 
 
 def shortest_paths(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None) -> DataFrame:
-    """``seed, id, depth, path``: of the shortest paths from a seed the first in dictionary order."""
+    """``seed, id, depth, path``: of the shortest paths from a seed the first in dictionary order.
+
+    Up to ``BROADCAST_EDGES`` distinct edges every task holds the graph and goes from seed to
+    seed, so nothing but the result is written; beyond, levels of all seeds are joined at once.
+    """
     edges = stored(edges.select("src", "dst").distinct(), "edges")
+    held = _lists(edges)
+    if held is not None:
+        run = lambda batches: _paths_of(held.value, batches, max_depth)
+        return _dealt(seeds.select("id").distinct()).mapInArrow(run, "seed string, id string, depth int, path array<string>")
     front = stored(seeds.select(F.col("id").alias("seed"), "id", F.lit(0).alias("depth"), F.array("id").alias("path")).distinct(), "front")
     seen = front
     for depth in _steps(1, max_depth):
@@ -152,6 +160,65 @@ def shortest_paths(edges: DataFrame, seeds: DataFrame, max_depth: int | None = N
     return seen
 
 
+#: Rows of paths, and cells of seeds by nodes, that a task holds at once.
+PATH_ROWS = 50_000
+CELLS = 1 << 24
+
+
+def _paths_of(g: _Lists, batches: Iterator[pa.RecordBatch], max_depth: int | None) -> Iterator[pa.RecordBatch]:
+    """The rows of ``shortest_paths`` from the seeds of some batches.
+
+    A level is kept in the order of its paths, and ends of edges are in order: so what comes
+    to a node first is its first path.
+    """
+    names = ["seed", "id", "depth", "path"]
+    seen, first = np.full(len(g.ids), -1), np.empty(len(g.ids), np.int64)
+    held, rows, turn = [], 0, 0
+
+    def sent() -> pa.RecordBatch:
+        n = np.array([len(p) for _, p in held])
+        depth = np.repeat([p.shape[1] - 1 for _, p in held], n)
+        flat = np.concatenate([p.ravel() for _, p in held])
+        ends = np.cumsum(depth + 1)
+        path = pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), g.ids.take(pa.array(flat)))
+        return pa.record_batch([g.ids.take(pa.array(np.repeat([s for s, _ in held], n))), g.ids.take(pa.array(flat[ends - 1])), pa.array(depth, pa.int32()), path], names)
+
+    for b in batches:
+        seeds = b.column("id").cast(pa.string())
+        at = g.numbers(seeds)
+        alone = seeds.filter(pa.array(at < 0))
+        if len(alone):
+            yield pa.record_batch([alone, alone, pa.array(np.zeros(len(alone)), pa.int32()), pa.ListArray.from_arrays(pa.array(np.arange(len(alone) + 1), pa.int32()), alone)], names)
+        for s in at[at >= 0]:
+            turn += 1
+            paths = np.array([[s]])
+            seen[s] = turn
+            for depth in count(0):
+                # a deep level of many paths goes out in pieces
+                most = max(1, 5 * PATH_ROWS // (depth + 1))
+                for k in range(0, len(paths), most):
+                    held.append((s, paths[k : k + most]))
+                    rows += held[-1][1].size
+                    if rows >= 5 * PATH_ROWS:
+                        yield sent()
+                        held, rows = [], 0
+                if depth == max_depth:
+                    break
+                start, edge = g.steps(paths[:, -1])
+                end = g.ends[edge]
+                new = seen[end] != turn
+                start, end = start[new], end[new]
+                if not len(end):
+                    break
+                place = np.arange(len(end))
+                first[end[::-1]] = place[::-1]
+                new = first[end] == place
+                paths = np.column_stack([paths[start[new]], end[new]])
+                seen[end] = turn
+    if held:
+        yield sent()
+
+
 def all_shortest_paths(edges: DataFrame, pairs: DataFrame, max_paths: int = 3, max_depth: int | None = None) -> DataFrame:
     """``src, dst, rank, path``: up to ``max_paths`` shortest paths per pair, in dictionary order (a top-k report).
 
@@ -460,10 +527,6 @@ def damped_sum(edges: DataFrame, base: DataFrame, max_depth: int | None = None)
     return seen.join(base, "id").groupBy(F.col("seed").alias("id")).agg(F.round(F.sum((F.col("base") * F.col("factor") / F.col("depth")).cast("decimal(30,12)")), 2).cast("double").alias("total"))
 
 
-#: Cells of seeds by nodes that a task holds at once.
-CELLS = 1 << 24
-
-
 def _terms(g: _Lists, bases: tuple[pa.Array, pa.Array], batches: Iterator[pa.RecordBatch], max_depth: int | None) -> Iterator[pa.RecordBatch]:
     """``id, term, n``: the terms of ``damped_sum`` of the seeds of some batches, each with how often a seed has it at a depth.
 

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pyarrow as pa
 
 from quillgraph.operators import graph
@@ -64,3 +65,31 @@ def test_betweenness_by_arrays(spark):
     got = dict(zip(*(c.to_pylist() for c in next(graph._leaning(held, iter([sources]))))))
     assert max(want.values()) > 10 and set(got) == {v for v, x in want.items() if x}
     assert all(abs(got[v] - want[v]) < 1e-6 for v in got)
+
+
+def test_shortest_paths_without_rounds(spark, monkeypatch):
+    pairs = sample(9, 40, 110)
+    e = spark.createDataFrame(pairs + pairs[:5], "src string, dst string")
+    seeds = spark.createDataFrame([("n01",), ("n02",), ("n02",), ("nowhere",), ("n30",)], "id string")
+    rows = lambda df: sorted((x["seed"], x["id"], x["depth"], x["path"]) for x in df.collect())
+    for depth in (None, 3, 0):
+        monkeypatch.setattr(graph, "BROADCAST_EDGES", 0)
+        want = rows(graph.shortest_paths(e, seeds, depth))
+        with monkeypatch.context() as m:
+            m.setattr(graph, "BROADCAST_EDGES", 1000)
+            m.setattr(graph, "_counted", no_rounds)
+            got = graph.shortest_paths(e, seeds, depth)
+            assert [k for _, k in got.dtypes] == ["string", "string", "int", "array<string>"]
+            assert rows(got) == want
+    assert ("nowhere", "nowhere", 0, ["nowhere"]) in want
+
+
+def test_paths_are_sent_in_pieces(monkeypatch):
+    monkeypatch.setattr(graph, "PATH_ROWS", 4)
+    n = 60
+    ids = pa.array([f"n{k:02}" for k in range(n)])
+    # a star of fifty leaves
+    held = graph._Lists(ids, np.array([0, *[50] * n]), np.arange(1, 51), None)
+    batches = list(graph._paths_of(held, iter([pa.record_batch([ids.slice(0, 1)], ["id"])]), None))
+    assert len(batches) == 5 and max(b.num_rows for b in batches) < 12 and sum(b.num_rows for b in batches) == 51
+    assert all(len(p) == d + 1 and p[-1] == i for b in batches for i, d, p in zip(*(b.column(c).to_pylist() for c in ("id", "depth", "path"))))
