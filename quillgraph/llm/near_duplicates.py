@@ -463,22 +463,25 @@ def _filter(keys: DataFrame, size: int) -> np.ndarray:
 
 
 def run_sets(texts: DataFrame, size: int, min_words: int, keys: DataFrame, filter_bits: int = FILTER_BITS) -> DataFrame:
-    """``whole, runs`` of the texts among ``keys`` (column whole): their sorted run sets (binary).
+    """``whole, runs`` of the texts among ``keys`` (``whole``, and one of its ids): their sorted run sets (binary).
 
-    A Bloom filter of ten bits a key and more lets through a few others too, which meet
+    Only rows of that id are looked at, so copies cost nothing. A Bloom filter of ten bits a key and more lets through a few others too, which meet
     nobody later. Keys too many for ``2**filter_bits`` bits are joined instead.
     """
     spark = texts.sparkSession
+    # one hash for a text and its id, under the name that the filter reads
+    one = F.xxhash64("whole", "id").alias("one")
+    texts, keys = texts.select("title", "body", "whole", one), keys.select(one)
     want = 1 << max(16, (10 * keys.count()).bit_length())
-    held = spark.sparkContext.broadcast(_filter(keys, want)) if want <= 1 << filter_bits else None
+    held = spark.sparkContext.broadcast(_filter(keys.withColumnRenamed("one", "whole"), want)) if want <= 1 << filter_bits else None
     if held is None:
-        texts = texts.join(keys.select("whole").distinct(), "whole", "left_semi")
+        texts = texts.join(keys.distinct(), "one", "left_semi")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _slices(batches):
             if held is not None:
                 hit = np.ones(b.num_rows, bool)
-                for at in _bits(b.column("whole").to_numpy(), want):
+                for at in _bits(b.column("one").to_numpy(), want):
                     hit &= (held.value[at >> np.uint64(3)] >> (7 - (at & np.uint64(7))).astype(np.uint8) & 1).astype(bool)
                 b = b.filter(pa.array(hit))
             runs, owner = _runs(b, size, min_words)
@@ -489,7 +492,7 @@ def run_sets(texts: DataFrame, size: int, min_words: int, keys: DataFrame, filte
             whole = b.column("whole").to_numpy()[owner[begin]]
             yield pa.record_batch([pa.array(whole), pa.array([runs[s:e].tobytes() for s, e in zip(begin, end)], pa.binary())], ["whole", "runs"])
 
-    return texts.select("title", "body", "whole").mapInArrow(sets, "whole long, runs binary")
+    return texts.select("title", "body", "whole", "one").mapInArrow(sets, "whole long, runs binary")
 
 
 def _verify(pairs: DataFrame, t: float) -> DataFrame:
@@ -521,8 +524,9 @@ class NearDuplicates:
         release(texts.sparkSession)
         self.members = texts.select("whole", "id").distinct()
         # texts under several ids are looked at again only to see whether they have enough words
-        copied = self.members.groupBy("whole").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo < hi").select("whole")
-        keys = stored(candidates.select(F.explode(F.array("a", "b")).alias("whole")).unionByName(copied), "keys")
+        named = self.members.groupBy("whole").agg(F.min("id").alias("id"), F.max("id").alias("hi"))
+        met = candidates.select(F.explode(F.array("a", "b")).alias("whole")).distinct().withColumn("met", F.lit(True))
+        keys = stored(named.join(met, "whole", "left").filter("met OR id < hi").select("whole", "id"), "keys")
         sets = stored(run_sets(texts, size, min_words, keys, filter_bits), "sets")
         self.long_enough = sets.select("whole").distinct()
         # one exchange by key removes copies and serves both joins

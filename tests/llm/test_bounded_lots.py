@@ -57,3 +57,10 @@ def test_votes_are_added_in_cuts(monkeypatch):
         monkeypatch.setattr(nd, "MET", most)
         rows = [(int(x), int(y)) for a, b in nd._counted(list(raws)) for x, y in zip(a, b)]
         assert len(rows) == len(set(rows)) and set(rows) == want and want
+
+
+def test_copies_have_one_run_set(spark):
+    texts = nd._keyed(spark.createDataFrame([(f"c{k:03}", None, "some words that are in every one of these copies " * 4) for k in range(50)], "id string, title string, body string"))
+    keys = texts.filter("id = 'c000'").select("whole", "id")
+    for bits in (28, 0):
+        assert nd.run_sets(texts, 3, 20, keys, bits).count() == 1
