@@ -15,10 +15,11 @@ of the pair, k up to a). The operator
 4. verifies candidates on their whole run sets.
 
 The sketch only decides the order, never what is found: the result is exact, but for texts
-or runs that share a 64-bit hash. Copies share one key, so they meet others once, however
-many there are.
+or runs that share a 64-bit hash. Of copies the row of the smallest id is posted, however
+many there are (see ``_firsts``).
 
-Size of what moves: about half of each text's runs, once. Broadcast are the sketch
+Size of what moves: about half of each text's runs, once. Rows go by numbers, which lie
+close together in a lot and so take a byte or two where the keys of texts take eight. Broadcast are the sketch
 (``2 * 2**SKETCH_BITS`` bytes) and a Bloom filter of the candidates of at most
 ``2**FILTER_BITS`` bits; where that would be too small, a join does its work.
 
@@ -36,7 +37,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
-from pyspark import Broadcast
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -116,7 +117,7 @@ def _coded(counts: np.ndarray) -> np.ndarray:
     return np.minimum(np.searchsorted(LEVELS, counts, "left"), len(LEVELS) - 1).astype(np.uint8)
 
 
-def _sketch(texts: DataFrame, size: int, min_words: int) -> np.ndarray:
+def _sketch(texts: DataFrame, size: int, min_words: int, firsts: Broadcast) -> np.ndarray:
     """Two rows of codes (see ``LEVELS``) of counts that never fall short of the true ones.
 
     A task counts all it reads into one array, so there are no more tasks than keep the
@@ -127,7 +128,7 @@ def _sketch(texts: DataFrame, size: int, min_words: int) -> np.ndarray:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros((2, 1 << SKETCH_BITS), np.uint32)
-        for b in _slices(batches):
+        for b in _slices(_passed(batches, firsts)):
             runs, _ = _runs(b, size, min_words)
             for row, cell in enumerate(_cells(runs)):
                 np.add.at(sums[row], cell, np.uint32(1))
@@ -145,7 +146,7 @@ def _sketch(texts: DataFrame, size: int, min_words: int) -> np.ndarray:
             yield pa.record_batch([pa.array(list(sums), pa.int32()), pa.array([_packed(_coded(x).tobytes()) for x in sums.values()], pa.binary())], ["block", "counts"])
 
     schema = "block int, counts binary"
-    parts = texts.select("title", "body").coalesce(tasks).mapInArrow(count, schema).repartition("block").mapInArrow(add, schema).collect()
+    parts = texts.select("title", "body", "one").coalesce(tasks).mapInArrow(count, schema).repartition("block").mapInArrow(add, schema).collect()
     out = np.zeros((2 << SKETCH_BITS) >> BLOCK_BITS << BLOCK_BITS, np.uint8).reshape(-1, 1 << BLOCK_BITS)
     for r in parts:
         out[r["block"]] = np.frombuffer(_unpacked(r["counts"]), np.uint8)
@@ -158,6 +159,33 @@ def _keyed(texts: DataFrame) -> DataFrame:
     return texts.filter(F.col("id").isNotNull()).select("id", "title", "body", F.xxhash64(*text).alias("whole"))
 
 
+def _one(rows: DataFrame) -> DataFrame:
+    """Rows with ``one``, a hash of a text and its id."""
+    return rows.withColumn("one", F.xxhash64("whole", "id"))
+
+
+def _passed(batches: Iterator[pa.RecordBatch], held: Broadcast | None) -> Iterator[pa.RecordBatch]:
+    """The rows whose ``one`` is in a filter of ``_filter``; all where there is none."""
+    for b in batches:
+        if held is not None:
+            hit = np.ones(b.num_rows, bool)
+            for at in _bits(b.column("one").to_numpy(), 8 * len(held.value)):
+                hit &= (held.value[at >> np.uint64(3)] >> (7 - (at & np.uint64(7))).astype(np.uint8) & 1).astype(bool)
+            b = b.filter(pa.array(hit))
+        yield b
+
+
+def _firsts(members: DataFrame, filter_bits: int = FILTER_BITS) -> Broadcast:
+    """A filter with the smallest id of each text of ``members`` (``whole, id``).
+
+    It lets a copy through now and then, which costs a little work and changes no result: so
+    its size has a bound, however many texts there are.
+    """
+    firsts = _one(members.groupBy("whole").agg(F.min("id").alias("id"))).select(F.col("one").alias("whole"))
+    size = 1 << max(16, min(filter_bits, (10 * firsts.count()).bit_length()))
+    return members.sparkSession.sparkContext.broadcast(_filter(firsts, size))
+
+
 def _lots(place: np.ndarray, labels: list[int], docs: dict[str, np.ndarray], refs: tuple[str, ...], **columns: np.ndarray) -> Iterator[pa.RecordBatch]:
     """Rows cut by ``place``, the index of a label, into one compressed lot per label.
 
@@ -172,6 +200,8 @@ def _lots(place: np.ndarray, labels: list[int], docs: dict[str, np.ndarray], ref
             part = {n: c[mine] for n, c in columns.items()}
             used, at = np.unique(np.concatenate([part[r] for r in refs]), return_inverse=True)
             part |= dict(zip(refs, np.split(at, len(refs)))) | {n: c[used] for n, c in docs.items()}
+            # numbers of rows are in order, so their gaps are small
+            part["docs"] = np.diff(part["docs"].astype(np.uint64), prepend=np.uint64(0))
             out = io.BytesIO()
             np.savez(out, **{n: _shrunk(c) for n, c in part.items()})
             names.append(label)
@@ -194,13 +224,18 @@ def _grown(c: np.ndarray) -> np.ndarray:
 
 def _opened(raw: bytes) -> dict[str, np.ndarray]:
     with np.load(io.BytesIO(_unpacked(raw))) as z:
-        return {n: _grown(z[n]).astype(np.uint64) if n == "docs" else _grown(z[n]) for n in z.files}
+        return {n: np.cumsum(_grown(z[n]), dtype=np.uint64) if n == "docs" else _grown(z[n]) for n in z.files}
 
 
-def _postings(texts: DataFrame, size: int, min_words: int, t: float, held: Broadcast, labels: list[int]) -> DataFrame:
+#: A row's number: the number of its task above, its place among the rows of the task below.
+ROW_BITS = 40
+
+
+def _postings(texts: DataFrame, size: int, min_words: int, t: float, held: Broadcast, labels: list[int], firsts: Broadcast | None = None) -> DataFrame:
     """Lots of postings: ``group`` (gaps of sorted 40-bit run keys), ``at``, ``left0`` and so on, ``side``.
 
-    ``at`` is a place in the tables ``docs`` and ``sizes``: keys of texts and their numbers of runs.
+    ``at`` is a place in the tables ``docs`` and ``sizes``: numbers of rows and of their runs. What text has
+    a number goes out once, in lots of labels below 0: ``docs`` and ``whole``.
 
     ``left``: how many runs of the text are not before this one in that order, 0 if it is
     beyond the prefix. A run of many texts is dealt to cells of pairs of blocks, each with at
@@ -209,13 +244,17 @@ def _postings(texts: DataFrame, size: int, min_words: int, t: float, held: Broad
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, limit = held.value
         pending, posted, base = [], 0, 0
-        for b in _slices(batches):
+        context = TaskContext.get()
+        task, rows = context.partitionId() if context else 0, 0
+        for b in _slices(_passed(batches, firsts)):
             runs, owner = _runs(b, size, min_words)
             if not len(runs):
                 continue
             begin = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
             n = np.diff(np.append(begin, len(runs)))
-            docs = b.column("whole").to_numpy().view(np.uint64)[owner[begin]]
+            docs = np.uint64(task << ROW_BITS) + np.arange(rows, rows + len(begin), dtype=np.uint64)
+            rows += len(begin)
+            wholes = b.column("whole").to_numpy().view(np.uint64)[owner[begin]]
             at = np.repeat(np.arange(len(begin)), n)
             c0, c1 = _cells(runs)
             seen = LEVELS[np.minimum(counts[0][c0], counts[1][c1])]
@@ -249,7 +288,7 @@ def _postings(texts: DataFrame, size: int, min_words: int, t: float, held: Broad
                 side = np.concatenate([side[cold], np.where(low == high, 0, np.where(mine[again] == low, 1, 2))])
                 group = np.concatenate([group[cold], cell])
                 cols = [np.concatenate([c[cold], c[hot][again]]) for c in cols]
-            pending.append((group, side.astype(np.uint8), docs, n.astype(np.uint32), *((c + (base if k == 0 else 0)).astype(np.uint32) for k, c in enumerate(cols))))
+            pending.append((group, side.astype(np.uint8), docs, wholes, n.astype(np.uint32), *((c + (base if k == 0 else 0)).astype(np.uint32) for k, c in enumerate(cols))))
             posted, base = posted + len(group), base + len(docs)
             if posted >= POSTED:
                 yield from sent(pending)
@@ -258,7 +297,8 @@ def _postings(texts: DataFrame, size: int, min_words: int, t: float, held: Broad
             yield from sent(pending)
 
     def sent(pending: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
-        group, side, docs, n, *cols = (np.concatenate(x) for x in zip(*pending))
+        group, side, docs, wholes, n, *cols = (np.concatenate(x) for x in zip(*pending))
+        yield from _lots(np.zeros(len(docs), np.int64), [~labels[int(docs[0] % np.uint64(len(labels)))]], {"docs": docs, "whole": wholes}, ("at",), at=np.arange(len(docs)))
         key = group >> np.uint64(24)
         place = (mix64(key) % np.uint64(len(labels))).astype(np.int64)
         order = np.argsort(key)
@@ -272,18 +312,18 @@ def _postings(texts: DataFrame, size: int, min_words: int, t: float, held: Broad
         names = ("at", *(f"left{k}" for k in range(ORDERS)))
         yield from _lots(place, labels, {"docs": docs, "sizes": n}, ("at",), group=gap, side=side[order], **dict(zip(names, (c[order] for c in cols))))
 
-    return texts.select("title", "body", "whole").mapInArrow(post, LOT_SCHEMA)
+    return texts.select("title", "body", "whole", "one").mapInArrow(post, LOT_SCHEMA)
 
 
-def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[list[bytes]]:
-    """All lots of each label, packed, one label after another."""
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[bytes]]]:
+    """Each label and all its lots, packed, one label after another."""
     by: dict[int, list[bytes]] = {}
     for b in batches:
         for k, raw in zip(b.column("lot").to_pylist(), b.column("data").to_pylist()):
             by.setdefault(k, []).append(raw)
     b = None
     for k in sorted(by):
-        yield by.pop(k)
+        yield k, by.pop(k)
 
 
 def _parts(raws: list[bytes]) -> Iterator[tuple[np.ndarray, tuple[np.ndarray, ...]]]:
@@ -316,7 +356,7 @@ def _meetings(postings: tuple[np.ndarray, ...], t: float) -> Iterator[tuple[np.n
     group, doc, n, side, *left = (c.astype(np.uint64 if k == 0 else np.int64) for k, c in enumerate(postings))
     order = np.lexsort((doc, n, group))
     group, doc, n, side, *left = (c[order] for c in (group, doc, n, side, *left))
-    # copies post the same: one of them is enough
+    # a row that came twice with a run is one
     fresh = np.append(True, (group[1:] != group[:-1]) | (doc[1:] != doc[:-1]))[: len(group)]
     group, doc, n, side, *left = (c[fresh] for c in (group, doc, n, side, *left))
     if not len(group):
@@ -359,7 +399,7 @@ def _added(pair: np.ndarray, *votes: np.ndarray) -> tuple[np.ndarray, ...]:
 
 
 def _counted(raws: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Keys of the pairs of a label that have their votes under every order; about ``MET`` pairs are added up at once."""
+    """Numbers of the pairs of a label that have their votes under every order; about ``MET`` pairs are added up at once."""
     lots = []
     while raws:
         lots.append(_opened(raws.pop()))
@@ -380,16 +420,20 @@ def _counted(raws: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield docs[pair >> 32].astype(np.uint64).view(np.int64), docs[pair & 0xFFFFFFFF].astype(np.uint64).view(np.int64)
 
 
-def candidate_keys(texts: DataFrame, size: int, min_words: int, t: float, most: int = HOT) -> DataFrame:
-    """``a, b``: keys of pairs that pass the filters of every order, from the texts of ``_keyed``."""
+def candidate_keys(texts: DataFrame, members: DataFrame, size: int, min_words: int, t: float, most: int = HOT, filter_bits: int = FILTER_BITS) -> DataFrame:
+    """``a, b``: keys of pairs that pass the filters of every order, from the texts of ``_keyed`` and their ``whole, id``."""
     spark = texts.sparkSession
-    sketch = _sketch(texts, size, min_words)
+    firsts, texts = _firsts(members, filter_bits), _one(texts)
+    sketch = _sketch(texts, size, min_words, firsts)
     # as many lots as the runs counted ask for
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(LEVELS[sketch[0]].sum()) // LOT_POSTINGS + 1)
     labels = even_labels(spark, parts)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for raws in _gathered(batches):
+        for label, raws in _gathered(batches):
+            if label < 0:
+                yield pa.record_batch([pa.array([label] * len(raws), pa.int32()), pa.array(raws, pa.binary())], ["lot", "data"])
+                continue
             docs, sums, pending = None, [], 0
             for docs, part in _parts(raws):
                 for x in _meetings(part, t):
@@ -412,16 +456,26 @@ def candidate_keys(texts: DataFrame, size: int, min_words: int, t: float, most:
         yield from _lots(place, labels, {"docs": docs}, ("a", "b"), a=a, b=b, votes=packed)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for raws in _gathered(batches):
-            for a, b in _counted(raws):
-                yield pa.record_batch([pa.array(a), pa.array(b)], ["a", "b"])
+        for label, raws in _gathered(batches):
+            if label < 0:
+                named = ((x["docs"].view(np.int64), x["whole"].astype(np.uint64).view(np.int64)) for x in map(_opened, raws))
+            for a, b in _counted(raws) if label >= 0 else named:
+                yield pa.record_batch([pa.array(a), pa.array(b), pa.array(np.full(len(a), label >= 0))], ["a", "b", "pair"])
 
     # counts below twice what chance puts into a cell say nothing
     chance = 2 * float(LEVELS[sketch].mean())
     held = spark.sparkContext.broadcast((sketch, max(most, int(chance))))
-    lots = _postings(texts, size, min_words, t, held, labels)
-    out = stored(lots.repartition(parts, "lot").mapInArrow(meet, LOT_SCHEMA).repartition(parts, "lot").mapInArrow(count, "a long, b long"), "pairs")
+    lots = _postings(texts, size, min_words, t, held, labels, firsts)
+    # one table of pairs of numbers and of the texts they stand for, from one run over the rows
+    rows = stored(lots.repartition(parts, "lot").mapInArrow(meet, LOT_SCHEMA).repartition(parts, "lot").mapInArrow(count, "a long, b long, pair boolean"), "numbers")
     held.destroy()
+    firsts.destroy()
+    del lots
+    release(spark)
+    named = rows.filter("NOT pair")
+    pairs = rows.filter("pair").select("a", "b").join(named.select("a", F.col("b").alias("x")), "a").join(named.select(F.col("a").alias("b"), F.col("b").alias("y")), "b")
+    out = stored(pairs.filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "pairs")
+    discard(rows)
     return out
 
 
@@ -469,21 +523,14 @@ def run_sets(texts: DataFrame, size: int, min_words: int, keys: DataFrame, filte
     nobody later. Keys too many for ``2**filter_bits`` bits are joined instead.
     """
     spark = texts.sparkSession
-    # one hash for a text and its id, under the name that the filter reads
-    one = F.xxhash64("whole", "id").alias("one")
-    texts, keys = texts.select("title", "body", "whole", one), keys.select(one)
+    texts, keys = _one(texts).drop("id"), _one(keys).select("one")
     want = 1 << max(16, (10 * keys.count()).bit_length())
     held = spark.sparkContext.broadcast(_filter(keys.withColumnRenamed("one", "whole"), want)) if want <= 1 << filter_bits else None
     if held is None:
         texts = texts.join(keys.distinct(), "one", "left_semi")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in _slices(batches):
-            if held is not None:
-                hit = np.ones(b.num_rows, bool)
-                for at in _bits(b.column("one").to_numpy(), want):
-                    hit &= (held.value[at >> np.uint64(3)] >> (7 - (at & np.uint64(7))).astype(np.uint8) & 1).astype(bool)
-                b = b.filter(pa.array(hit))
+        for b in _slices(_passed(batches, held)):
             runs, owner = _runs(b, size, min_words)
             if not len(runs):
                 continue
@@ -520,9 +567,9 @@ class NearDuplicates:
 
     def __init__(self, texts: DataFrame, size: int = 5, min_words: int = 20, threshold: float = 0.8, most: int = HOT, filter_bits: int = FILTER_BITS):
         texts = _keyed(texts)
-        candidates = candidate_keys(texts, size, min_words, threshold, most)
+        self.members = stored(texts.select("whole", "id").distinct(), "members")
+        candidates = candidate_keys(texts, self.members, size, min_words, threshold, most, filter_bits)
         release(texts.sparkSession)
-        self.members = texts.select("whole", "id").distinct()
         # texts under several ids are looked at again only to see whether they have enough words
         named = self.members.groupBy("whole").agg(F.min("id").alias("id"), F.max("id").alias("hi"))
         met = candidates.select(F.explode(F.array("a", "b")).alias("whole")).distinct().withColumn("met", F.lit(True))
@@ -540,14 +587,20 @@ class NearDuplicates:
         """``id_a, id_b, similarity``, id_a < id_b: every pair of ids, copies among themselves included.
 
         As many rows as there are such pairs; ``groups`` says the same in one row per id. A
-        text of many ids is spread over tasks.
+        text of many ids is spread over tasks. A pair can come more than once only by an id of
+        several texts; all others go out as they are made, without an exchange.
         """
-        members = stored(self.members, "members")
-        ma, mb = members.select(F.col("whole").alias("wa"), F.col("id").alias("x")), members.select(F.col("whole").alias("wb"), F.col("id").alias("y"))
-        linked = lookup_join(mb, lookup_join(ma, self.links, ["wa"]), ["wb"]).select("x", "y", "similarity")
+        several = self.members.groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("id", F.lit(True).alias("m"))
+        members = stored(self.members.join(several, "id", "left").select("whole", "id", F.coalesce("m", F.lit(False)).alias("m")), "members")
+        ma, mb = members.select(F.col("whole").alias("wa"), F.col("id").alias("x"), F.col("m").alias("mx")), members.select(F.col("whole").alias("wb"), F.col("id").alias("y"), F.col("m").alias("my"))
+        cols = ["x", "y", "similarity", "mx", "my"]
+        linked = lookup_join(mb, lookup_join(ma, self.links, ["wa"]), ["wb"]).select(cols)
         same = ma.join(self.long_enough.select(F.col("whole").alias("wa")), "wa", "left_semi")
-        copies = lookup_join(same, mb.withColumnRenamed("wb", "wa"), ["wa"]).filter("x < y").select("x", "y", F.lit(1.0).alias("similarity"))
-        return linked.unionByName(copies).filter("x <> y").groupBy(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")).agg(F.max("similarity").alias("similarity"))
+        copies = lookup_join(same, mb.withColumnRenamed("wb", "wa"), ["wa"]).filter("x < y").withColumn("similarity", F.lit(1.0)).select(cols)
+        found = linked.unionByName(copies).withColumns({"id_a": F.least("x", "y"), "id_b": F.greatest("x", "y")})
+        # two filters, since each reaches the members while one of both would meet every pair again
+        again = found.filter("mx").unionByName(found.filter("NOT mx AND my")).filter("x <> y").groupBy("id_a", "id_b").agg(F.max("similarity").alias("similarity"))
+        return found.filter("NOT mx AND NOT my").select("id_a", "id_b", "similarity").unionByName(again)
 
     def groups(self) -> DataFrame:
         """``id, class_id, links``: one row per id; the class joins everything reachable over links.
